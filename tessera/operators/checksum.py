@@ -34,7 +34,7 @@ def encode_row(values) -> bytes:
     return struct.pack(">I", len(values)) + b"".join(map(encode_value, values))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _hex_double(xs: pd.Series) -> pd.Series:
     return xs.map(lambda v: encode_value(None if v is None else float(v)).hex())
 
@@ -86,7 +86,7 @@ def ulp_equal(a: float | None, b: float | None, ulps: int = 4) -> bool:
 
 
 def within_ulps(a: Column, b: Column, ulps: int = 4) -> Column:
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def equal(x: pd.Series, y: pd.Series) -> pd.Series:
         p, q = x.to_numpy(float), y.to_numpy(float)
         near = (np.signbit(p) == np.signbit(q)) & (np.abs(p.view(np.int64) - q.view(np.int64)) <= ulps)
