@@ -6,9 +6,10 @@ in which every (sample number, sample) toggles one bit.  The population count
 of two sketches' XOR estimates how many samples differ, and does so precisely
 where similarity is high.  Texts with equal sets collapse into one
 representative before any pair is made.  A band bucket links its members to its
-smallest id only; pairs that pass the sketch are confirmed on full sets.
-Buckets that still hold several components are compared across components, so
-no link between different texts is lost to the shortcut.
+smallest id, then buckets that still hold several components link theirs to a
+member picked by hash; pairs that pass the sketch are confirmed on full sets.
+Buckets that even then hold several components are compared across components,
+so no link between different texts is lost to the shortcut.
 """
 
 from __future__ import annotations
@@ -29,27 +30,30 @@ from tessera.llm.storage import materialize
 
 @dataclass(frozen=True)
 class Params:
-    """shingle: words; percent: least Jaccard similarity in hundredths; bands x rows MinHash samples; bits of the sketch.
+    """shingle: words; percent: least Jaccard similarity in hundredths; bands x rows MinHash samples in keys; samples and bits of the sketch.
 
     At a similarity of 0.8, 32 bands of 5 rows miss a pair with a chance of 3e-6.
+    ids_to_send: up to as many ids are broadcast to pick texts, more are joined by a shuffle.
     """
 
     shingle: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    bits: int = 512
+    samples: int = 512
+    bits: int = 2048
+    ids_to_send: int = 1_000_000
 
     @property
     def most_odd(self) -> int:
-        """Odd bits up to which a pair is confirmed: six standard deviations over the mean at the least similarity."""
-        samples = self.bands * self.rows
+        """Odd bits up to which a pair is confirmed: five standard deviations over the mean at the least similarity."""
+        samples = self.samples
         j = self.percent / 100
         toggles = 2 * samples * (1 - j)
         mean = self.bits / 2 * (1 - math.exp(-2 * toggles / self.bits))
         spread = 2 * math.sqrt(samples * j * (1 - j)) * math.exp(-2 * toggles / self.bits)
         parity = math.sqrt(self.bits) / 4 * (1 - math.exp(-4 * toggles / self.bits))
-        return min(self.bits, math.ceil(mean + 6 * math.hypot(spread, parity)))
+        return min(self.bits, math.ceil(mean + 5 * math.hypot(spread, parity)))
 
 
 def _sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +84,7 @@ def _sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
 def _signatures(hashes: np.ndarray, begin: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprints n x 2, band keys n x bands, sketches n x bits / 64) of the non-empty sets."""
     heads = begin[:-1][np.diff(begin) > 0]
-    n, samples = len(heads), p.bands * p.rows
+    n, samples = len(heads), max(p.samples, p.bands * p.rows)
     seeds = textbytes.mix64(np.arange(1, 2 * samples + 1, dtype=np.uint64))
     low = np.empty((samples, n), np.uint64)
     with np.errstate(over="ignore"):
@@ -93,7 +97,7 @@ def _signatures(hashes: np.ndarray, begin: np.ndarray, p: Params) -> tuple[np.nd
             for r in range(p.rows):
                 key = textbytes.mix64(key * np.uint64(0x2545F4914F6CDD1D) + low[b * p.rows + r])
             keys[:, b] = key
-        bit = textbytes.mix64(low + seeds[:samples, None]) % np.uint64(p.bits)
+        bit = textbytes.mix64(low[: p.samples] + seeds[: p.samples, None]) % np.uint64(p.bits)
     flat = (np.arange(n, dtype=np.int64)[None, :] * p.bits + bit.astype(np.int64)).ravel()
     odd = (np.bincount(flat, minlength=n * p.bits) & 1).astype(np.uint8).reshape(n, p.bits)
     return prints, keys, np.packbits(odd, axis=1).view(np.uint64)
@@ -147,15 +151,16 @@ def _odd_bits(x: str, y: str) -> F.Column:
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, p: Params, name: str) -> DataFrame:
     """The pairs (a, b) whose sketches agree and whose full sets reach the similarity."""
-    one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}")).hint("merge") for c in "ab")
     # similarity of 0.8 needs sizes within that ratio; the sketch rules out the rest
     near = pairs.join(one, "a").join(two, "b").where(F.col("n_a") * p.percent <= F.col("n_b") * 100).where(F.col("n_b") * p.percent <= F.col("n_a") * 100).where(_odd_bits("sketch_a", "sketch_b") <= p.most_odd)
     near = materialize(near.select("a", "b", "n_a", "n_b"), f"{name}-near")
-    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    ids = materialize(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+    # the size of what is broadcast is counted first
+    picked = docs.join(F.broadcast(ids) if ids.count() <= p.ids_to_send else ids, "id", "left_semi")
     # equal ids have equal sets only if the table repeats a row: one set of each id is enough
-    sets = shingle_sets(docs.join(ids, "id", "left_semi"), p.shingle)
-    sets = materialize(sets, f"{name}-sets").dropDuplicates(["id"])
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
+    sets = materialize(shingle_sets(picked, p.shingle), f"{name}-sets").dropDuplicates(["id"])
+    both = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
     return materialize(both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * p.percent).select("a", "b"), f"{name}-links")
 
@@ -163,13 +168,27 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, p: Params
 _BLOCK = 512
 
 
-def _across(rows: DataFrame, p: Params) -> DataFrame:
-    """Pairs (a, b) of ``rows(key, id, component, sketch)`` in one bucket but two components whose sketches agree.
+def _mixed(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """``key, id, component`` of the buckets that hold several components."""
+    placed = shared.join(components.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return materialize(placed.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _picked(rows: DataFrame, sketches: DataFrame, p: Params) -> DataFrame:
+    """Pairs of each member with a member of its bucket picked by hash, in another component."""
+    lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "component")).alias("lead")).select("key", F.col("lead.id").alias("other"), F.col("lead.component").alias("there"))
+    return rows.join(lead, "key").where("component <> there").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame, sketches: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of ``mixed(key, id, component)`` in one bucket but two components whose sketches agree.
 
     A bucket is dealt out as blocks of ids, and a task compares two blocks with
     numpy, so a large bucket becomes many tasks of bounded memory.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    rows = mixed.join(sketches.select("id", "sketch").hint("merge"), "id")
+    sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
     dealt = rows.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -213,23 +232,25 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     classes = materialize(some.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("id")), "classes")
     kept = some.join(classes, ["f1", "f2", "n_shingles", "id"], "left_semi").dropDuplicates(["id", "f1", "f2"])
     kept = materialize(kept.select("id", F.col("n_shingles").alias("n"), "bands", "sketch"), "representatives")
-    sketches = kept.select("id", "n", "sketch").dropDuplicates(["id"])
     banded = kept.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    shared = materialize(banded.join(buckets, "key"), "buckets")
+    shared = materialize(banded.join(buckets.hint("merge"), "key"), "buckets")
+    # rows that repeat an id with another text may share an id between classes: they count as one document
+    sketches = kept.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
+    sketches = materialize(sketches, "sketches")
     stars = shared.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(stars, sketches, own, p, "star")
     components = materialize(connected_components(links), "components")
-    # rows that repeat an id with another text may share an id between classes: both ends count as one document
-    placed = shared.join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = placed.join(mixed, "key", "left_semi").join(sketches.select("id", "sketch"), "id")
-    more = _confirmed(_across(rest, p), sketches, own, p, "across")
-    if more.isEmpty():
-        final = components
-    else:
-        final = materialize(connected_components(links.unionByName(more)), "components")
+    for name, pairs_of in (("pick", _picked), ("across", _across)):
+        rest = _mixed(shared, components)
+        if rest.isEmpty():
+            break
+        more = _confirmed(pairs_of(rest, sketches, p), sketches, own, p, name)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            components = materialize(connected_components(links), "components")
+    final = components
     named = classes.join(final, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
