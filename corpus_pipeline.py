@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, langid, minhash, mixing, pii
 from tessera.llm.storage import materialize
 
-#: Texts whose best language is less likely than this are rejected, as are those without a letter.
-LEAST_SCORE = 0.4
+#: Texts whose best language is less likely than so many times an even share are rejected, as are those without a letter.
+LEAST_SHARE = 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: rejects texts of no recognisable language; a missing ``lang`` is filled in."""
-    named = langid.with_language(docs, langid.fit(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
+    model = langid.fit(docs)
+    least = LEAST_SHARE / max(len(model.languages), 2)
+    named = langid.with_language(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= least))
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

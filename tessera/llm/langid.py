@@ -25,7 +25,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Params:
-    """texts_per_language and windows_per_text bound the training sample (whole texts are windowed, windows are spread over them)."""
+    """texts_per_language and windows_per_text bound the training sample (whole texts are windowed, windows are spread over them); steps: least number of updates, for small samples."""
 
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
@@ -34,6 +34,7 @@ class Params:
     texts_per_language: int = 400
     windows_per_text: int = 6
     epochs: int = 5
+    steps: int = 600
     batch: int = 64
     rate: float = 0.004
     seed: int = 7
@@ -67,7 +68,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], p: Para
     weights = [model.embed, model.out, model.out_bias, *model.filters, *model.bias]
     first, second = ([np.zeros_like(w) for w in weights] for _ in range(2))
     step = 0
-    for _ in range(p.epochs):
+    for _ in range(max(p.epochs, -(-p.steps // -(-len(windows) // p.batch)))):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), p.batch):
             some = order[at : at + p.batch]
