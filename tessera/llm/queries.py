@@ -59,5 +59,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id AND a.n * 80 <= b.n * 100 AND b.n * 80 <= a.n * 100
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept FROM s JOIN (SELECT id, min(root) AS c FROM r GROUP BY 1) ON id = doc_id
+"""
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)
+SELECT id AS vec_id, (SELECT count(*) FROM l WHERE l.a = id) AS n_links, min(root) AS component_id, min(root) = id AS kept FROM r GROUP BY id
+"""
+
+
+def _op3_sql() -> str:
+    known = ", ".join(f"'{words}': '{name}'" for name, words in licenses.SENTENCES.items())
+    hits = ", ".join(f"CASE WHEN regexp_matches(q, ',{'(?:[^,]+,)*?'.join(s + ',' for s in rule)}') THEN '{name}' END" for name, rule in licenses.RULES)
+    look_up = lambda xs: f"list_filter(list_transform({xs}, lambda s: m[trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))]), lambda x: x IS NOT NULL)".replace("\\\\", "\\")
+    ends = "regexp_replace(regexp_replace(text, '[.!?;:](\\s|$)', chr(1) || '\\1', 'g'), '\\n[ \\t]*\\n', chr(1), 'g')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, MAP {{{known}}} AS m FROM documents),
+f AS (SELECT doc_id, {look_up(f"string_split({ends}, chr(1))")} AS a, {look_up("string_split(text, chr(10))")} AS b, regexp_matches(text, '(?i){licenses.GATE}') AS hit FROM d),
+g AS (SELECT doc_id, CASE WHEN hit THEN a || list_filter(list_distinct(b), lambda x: NOT list_contains(a, x)) ELSE [] END AS ids FROM f),
+h AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS q FROM g)
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+  array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT NULL))), ',') AS licenses FROM h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": _op3_sql(), "op9_embedding_near_dedup": OP9_SQL}
