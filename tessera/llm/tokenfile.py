@@ -81,8 +81,9 @@ class _Model:
         self.high = max(1, 1 << max(0, id_bits - p.low_bits))
         self.inner = 1 << ((self.high.bit_length() - 1) // 2)
         groups = self.high // self.inner
-        self.freq = np.ones((lanes, groups, self.inner), np.int32)
-        self.group = np.full((lanes, groups), self.inner, np.int32)
+        # high parts by lanes, and sums of ``inner`` of them: running sums go over whole rows
+        self.freq = np.ones((self.high, lanes), np.int32)
+        self.group = np.full((groups, lanes), self.inner, np.int32)
         self.freq_sum = np.full(lanes, self.high, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
@@ -132,24 +133,32 @@ class _Model:
         sure = self.sure
         self.trust[self.slot] = np.where(hit, np.minimum(sure + 1, 7), sure >> 1)
         self.guess[self.slot] = np.where(hit | (sure > 0), self.said, ids)
-        part = ids >> self.p.low_bits
-        self.freq[self.lane, part // self.inner, part % self.inner] += 24
-        self.group[self.lane, part // self.inner] += 24
+        part = ids.astype(np.int64) >> self.p.low_bits
+        lanes = len(self.lane)
+        self.freq.reshape(-1)[part * lanes + self.lane] += 24
+        self.group.reshape(-1)[part // self.inner * lanes + self.lane] += 24
         self.freq_sum += 24
         self.step += 1
         if self.step % 128 == 0:
             self.freq -= self.freq >> 1
-            self.group = self.freq.sum(axis=2)
-            self.freq_sum = self.group.sum(axis=1, dtype=np.int64)
+            self.group = self.freq.reshape(-1, self.inner, lanes).sum(axis=1, dtype=np.int32)
+            self.freq_sum = self.group.sum(axis=0, dtype=np.int64)
         self.before, self.last = self.last, ids.astype(np.int64)
 
+    def _inside(self, group: np.ndarray) -> np.ndarray:
+        """Running sums of the frequencies in each lane's group, inner x lanes."""
+        lanes = len(self.lane)
+        first = group * (self.inner * lanes) + self.lane
+        return np.cumsum(self.freq.take(first + np.arange(0, self.inner * lanes, lanes)[:, None]), axis=0, dtype=np.int32)
+
     def span(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, end) of the high parts' shares, in 1/65536."""
+        lanes = len(self.lane)
         group, own = part // self.inner, part % self.inner
-        before = np.cumsum(self.group, axis=1)[self.lane, group] - self.group[self.lane, group]
-        inside = np.cumsum(self.freq[self.lane, group], axis=1)
-        upper = before + inside[self.lane, own]
-        lower = upper - self.freq[self.lane, group, own]
+        at = group * lanes + self.lane
+        before = np.cumsum(self.group, axis=0, dtype=np.int32).take(at) - self.group.take(at)
+        upper = (before + self._inside(group).take(own * lanes + self.lane)).astype(np.int64)
+        lower = upper - self.freq.take(part * lanes + self.lane)
         return self.both + lower * self.left // self.freq_sum, self.both + upper * self.left // self.freq_sum
 
     def find(self, spot: np.ndarray) -> np.ndarray:
@@ -157,11 +166,11 @@ class _Model:
         spot = np.maximum(spot - self.both, 0)
         # share of part k ends at floor(upper * left / sum) > spot, that is upper >= least
         least = ((spot + 1) * self.freq_sum + self.left - 1) // self.left
-        total = np.cumsum(self.group, axis=1)
-        group = np.minimum((total < least[:, None]).sum(axis=1), total.shape[1] - 1)
-        least -= total[self.lane, group] - self.group[self.lane, group]
-        inside = np.cumsum(self.freq[self.lane, group], axis=1)
-        own = np.minimum((inside < least[:, None]).sum(axis=1), self.inner - 1)
+        total = np.cumsum(self.group, axis=0, dtype=np.int32)
+        group = np.minimum((total < least).sum(axis=0), len(total) - 1)
+        at = group * len(self.lane) + self.lane
+        least -= total.take(at) - self.group.take(at)
+        own = np.minimum((self._inside(group) < least).sum(axis=0), self.inner - 1)
         return group * self.inner + own
 
 
