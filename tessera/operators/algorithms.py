@@ -47,25 +47,26 @@ def triangle_count(edges: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component`` (smallest id reachable, directions ignored) by alternating large-star and small-star contraction."""
     now = materialize(undirected(edges), "links")
-    mark = None
-    while True:
+    while not _is_forest_of_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = materialize(both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct(), "large")
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low, "b")
         then = materialize(joined.select(F.col("m").alias("a"), "b").unionByName(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct(), "small")
-        seen = tuple(then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         discard(large)
         discard(now)
         now = then
-        if seen == mark:
-            break
-        mark = seen
     roots = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether every node is a root or has one root and nothing below it."""
+    ends = links.select(F.col("b").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("a").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """``id, community``: in each round every node takes its neighbours' most frequent label, ties to the lowest."""
     pairs = undirected(edges)

@@ -47,12 +47,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(df: DataFrame | None, path: str | None) -> None:
-    """Deletes a scratch table that no later plan reads."""
-    if path:
-        _remove(path)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the table read back."""
     spark = df.sparkSession
