@@ -2,8 +2,8 @@
 
 Vectors of one label are dealt into shards of bounded size.  Each shard builds
 a graph, which is stored; every vector of the label queries every shard of the
-label, in blocks.  A query whose beam ends inside the wanted similarity is
-repeated with a wider beam, and a block's beam is doubled until an audit
+label, in blocks.  A beam that finds near vectors is widened by flooding the
+links from them, and a block's beams are doubled until an audit
 against brute force finds every link of its sampled queries.  Found links are
 confirmed by cosine in double precision and united into components.
 """
@@ -105,21 +105,33 @@ class Graph:
         return out
 
     def _back(self, targets: np.ndarray, sources: np.ndarray, at: int) -> None:
+        """Adds links targets -> sources; of more than fit a node keeps diverse ones among its old links and the nearest new ones."""
         near = self.near[at]
-        order = np.argsort(targets, kind="stable")
-        targets, sources = targets[order], sources[order]
-        heads, begin, count = np.unique(targets, return_index=True, return_counts=True)
         width = near.shape[1]
-        for head, a, k in zip(heads.tolist(), begin.tolist(), count.tolist(), strict=True):
-            row = near[head]
-            have = int((row >= 0).sum())
-            if have + k <= width:
-                row[have : have + k] = sources[a : a + k]
-            else:
-                ids = np.unique(np.concatenate([row[:have], sources[a : a + k]]))[None]
-                row[:] = -1
-                kept = self._diverse(ids, (self.x[ids[0]] @ self.x[head])[None], width)[0]
-                row[: len(kept)] = kept
+        sims = np.einsum("kd,kd->k", self.x[targets], self.x[sources])
+        order = np.lexsort((-sims, targets))
+        targets, sources, sims = targets[order], sources[order], sims[order]
+        heads, begin, count = np.unique(targets, return_index=True, return_counts=True)
+        place = np.arange(len(targets)) - np.repeat(begin, count)
+        some = place < width
+        row = np.repeat(np.arange(len(heads)), count)[some]
+        new = np.full((len(heads), width), -1, np.int64)
+        new[row, place[some]] = sources[some]
+        for a in range(0, len(heads), 1024):
+            part = slice(a, a + 1024)
+            both = np.concatenate([near[heads[part]], new[part]], axis=1)
+            # left-justified if they fit, chosen anew if not
+            filled = (both >= 0).sum(axis=1)
+            order = np.argsort(both < 0, axis=1, kind="stable")
+            rows = np.take_along_axis(both, order, 1)[:, :width]
+            over = np.flatnonzero(filled > width)
+            if len(over):
+                ids = both[over]
+                score = np.where(ids >= 0, np.einsum("hcd,hd->hc", self.x[ids], self.x[heads[part][over]]), -np.inf)
+                kept = self._diverse(ids, score, width)
+                rows[over] = -1
+                rows[over, : kept.shape[1]] = kept
+            near[heads[part]] = rows
 
     def beam(self, queries: np.ndarray, entry: np.ndarray, at: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the best ``width`` nodes found on a level, nearest first, -1 where there are fewer."""
@@ -173,28 +185,40 @@ class Graph:
             sims.append(found[1])
         return np.concatenate(ids), np.concatenate(sims)
 
+    def flood(self, query: np.ndarray, start: np.ndarray, least: float, slack: float = 0.08) -> np.ndarray:
+        """All nodes of at least this similarity that links from ``start`` reach over nodes not much farther."""
+        seen = np.zeros(len(self.x), bool)
+        seen[start] = True
+        found, front = [start], start
+        while len(front):
+            next_ = self.near[0][front].ravel()
+            next_ = np.unique(next_[next_ >= 0])
+            next_ = next_[~seen[next_]]
+            seen[next_] = True
+            sims = self.x[next_] @ query
+            found.append(next_[sims >= least])
+            front = next_[sims >= least - slack]
+        return np.concatenate(found)
+
     def within(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
-        """Nodes of at least this similarity for each query; beams widen until the recall audit passes."""
+        """Nodes of at least this similarity for each query.
+
+        A beam that finds any is widened by flooding the links from those; all
+        beams are doubled until the recall audit passes.
+        """
         n, width, p = len(self.x), self.p.beam, self.p
         found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         audit = np.unique(np.linspace(0, len(queries) - 1, min(p.audit, len(queries))).astype(int))
         truth = [np.flatnonzero(row >= least) for row in queries[audit] @ self.x.T]
-        todo = np.arange(len(queries))
         while True:
-            ids, sims = self.search(queries[todo], width)
-            for k, i in enumerate(todo.tolist()):
-                found[i] = ids[k][(sims[k] >= least) & (ids[k] >= 0)]
-            if width >= n:
-                return found
-            full = todo[(sims[:, -1] >= least) & (ids[:, -1] >= 0)]
+            ids, sims = self.search(queries, width)
+            for k in range(len(queries)):
+                close = ids[k][(sims[k] >= least) & (ids[k] >= 0)]
+                found[k] = self.flood(queries[k], close, least) if 1 < len(close) < n else close
             wanted = sum(map(len, truth))
             got = sum(len(np.intersect1d(t, found[i], assume_unique=True)) for t, i in zip(truth, audit.tolist(), strict=True))
-            exhausted = set(full.tolist())
-            missed = any(len(np.setdiff1d(t, found[i])) for t, i in zip(truth, audit.tolist(), strict=True) if i not in exhausted)
-            passed = not missed or got >= p.recall * wanted
-            if passed and not len(full):
+            if width >= n or got >= p.recall * wanted:
                 return found
-            todo = full if passed else np.arange(len(queries))
             width = min(n, 2 * width)
 
     def pack(self) -> list[bytes]:
