@@ -40,20 +40,20 @@ class Params:
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    samples: int = 512
-    bits: int = 2048
+    samples: int = 768
+    bits: int = 3072
     ids_to_send: int = 1_000_000
 
     @property
     def most_odd(self) -> int:
-        """Odd bits up to which a pair is confirmed: five standard deviations over the mean at the least similarity."""
+        """Odd bits up to which a pair is confirmed: four and a half standard deviations over the mean at the least similarity."""
         samples = self.samples
         j = self.percent / 100
         toggles = 2 * samples * (1 - j)
         mean = self.bits / 2 * (1 - math.exp(-2 * toggles / self.bits))
         spread = 2 * math.sqrt(samples * j * (1 - j)) * math.exp(-2 * toggles / self.bits)
         parity = math.sqrt(self.bits) / 4 * (1 - math.exp(-4 * toggles / self.bits))
-        return min(self.bits, math.ceil(mean + 5 * math.hypot(spread, parity)))
+        return min(self.bits, math.ceil(mean + 4.5 * math.hypot(spread, parity)))
 
 
 def _sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,17 +185,20 @@ def _across(mixed: DataFrame, sketches: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) of ``mixed(key, id, component)`` in one bucket but two components whose sketches agree.
 
     A bucket is dealt out as blocks of ids, and a task compares two blocks with
-    numpy, so a large bucket becomes many tasks of bounded memory.
+    numpy, so a large bucket becomes many tasks of bounded memory.  Of the
+    buckets that two texts share, the one of their first common band gives the pair.
     """
-    rows = mixed.join(sketches.select("id", "sketch").hint("merge"), "id")
+    rows = mixed.join(sketches.select("id", "sketch", "bands").hint("merge"), "id")
     sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
     dealt = rows.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch", "bands")
 
     def compare(batch: pa.Table) -> pa.Table:
         sketch = np.array(batch.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(batch.num_rows, -1)
+        bands = np.array(batch.column("bands").combine_chunks().flatten()).reshape(batch.num_rows, -1)
+        key = batch.column("key")[0].as_py()
         ids, component, block = (batch.column(c).to_numpy() for c in ("id", "component", "block"))
         i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -205,6 +208,7 @@ def _across(mixed: DataFrame, sketches: DataFrame, p: Params) -> DataFrame:
             others = others[component[others] != component[x]]
             odd = np.bitwise_count(sketch[others] ^ sketch[x]).sum(axis=1)
             close = others[odd <= p.most_odd]
+            close = close[bands[x][(bands[close] == bands[x]).argmax(axis=1)] == key]
             found_a.append(np.full(len(close), ids[x]))
             found_b.append(ids[close])
         a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
@@ -236,7 +240,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     buckets = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     shared = materialize(banded.join(buckets.hint("merge"), "key"), "buckets")
     # rows that repeat an id with another text may share an id between classes: they count as one document
-    sketches = kept.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
+    sketches = kept.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "n", "sketch", "bands").dropDuplicates(["id"])
     sketches = materialize(sketches, "sketches")
     stars = shared.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(stars, sketches, own, p, "star")
