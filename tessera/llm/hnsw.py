@@ -3,9 +3,10 @@
 Vectors of one label are dealt into shards of bounded size.  Each shard builds
 a graph, which is stored; every vector of the label queries every shard of the
 label, in blocks.  A beam that finds near vectors is widened by flooding the
-links from them, and a block's beams are doubled until an audit
-against brute force finds 0.995 of the links of its sampled queries.  Found links are
-confirmed by cosine in double precision and united into components.
+links from them, and a block's beams are doubled until an audit against brute
+force finds every link of each sampled query; a block that does not get there is
+compared with its shard exactly.  Found links are confirmed by cosine in double
+precision and united into components.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 from tessera.llm.components import connected_components
 from tessera.llm.storage import materialize
 
+#: Single precision finds links down to this much under the least similarity; the cosine in double precision decides.
+SLACK = 1e-4
+
 
 @dataclass(frozen=True)
 class Params:
-    """links: neighbours kept per node (twice as many on the ground level); audit: queries checked by brute force per block."""
+    """links: neighbours kept per node (twice as many on the ground level); audit: queries checked by brute force per block, and one more for as many links found; recall: of each checked query's links."""
 
     links: int = 12
     build_beam: int = 48
@@ -31,7 +35,7 @@ class Params:
     shard_rows: int = 16384
     query_rows: int = 8192
     audit: int = 48
-    recall: float = 0.995
+    recall: float = 1.0
     seed: int = 5
 
 
@@ -200,26 +204,58 @@ class Graph:
             front = next_[sims >= least - slack]
         return np.concatenate(found)
 
-    def within(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
-        """Nodes of at least this similarity for each query.
+    def strays(self) -> np.ndarray:
+        """Nodes that no path of ground links from the entry reaches."""
+        seen = np.zeros(len(self.x), bool)
+        seen[self.entry] = True
+        front = np.array([self.entry])
+        while len(front):
+            next_ = np.unique(self.near[0][front])
+            front = next_[(next_ >= 0) & ~seen[next_]]
+            seen[front] = True
+        return np.flatnonzero(~seen)
+
+    def exact(self, queries: np.ndarray, nodes: np.ndarray, least: float) -> list[np.ndarray]:
+        """Those of ``nodes`` of at least this similarity for each query, by blocked matrix products."""
+        out, x = [], self.x[nodes]
+        for a in range(0, len(queries), 512):
+            out += [nodes[row >= least] for row in queries[a : a + 512] @ x.T]
+        return out
+
+    def within(self, queries: np.ndarray, own: np.ndarray, least: float) -> list[np.ndarray]:
+        """Nodes of at least this similarity for each query, without the query's ``own`` node (-1 where it is not in the shard).
 
-        A beam that finds any is widened by flooding the links from those; all
-        beams are doubled until the recall audit passes.
+        A beam that finds any is widened by flooding the links from those.
+        Nodes that the entry does not reach are compared with every query.
+        Beams are doubled until every audited query has its links; where a beam
+        would read as many vectors as the shard holds, the block is compared
+        with the whole shard.
         """
         n, width, p = len(self.x), self.p.beam, self.p
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-        audit = np.unique(np.linspace(0, len(queries) - 1, min(p.audit, len(queries))).astype(int))
-        truth = [np.flatnonzero(row >= least) for row in queries[audit] @ self.x.T]
-        while True:
+        every, strays, floor = np.arange(n), self.strays(), least - SLACK
+        outside = self.exact(queries, strays, floor)
+        while width * self.near[0].shape[1] < n:
             ids, sims = self.search(queries, width)
+            sims = np.where((ids < 0) | (ids == own[:, None]), -np.inf, sims)
+            found = []
             for k in range(len(queries)):
-                close = ids[k][(sims[k] >= least) & (ids[k] >= 0)]
-                found[k] = self.flood(queries[k], close, least) if 1 < len(close) < n else close
-            wanted = sum(map(len, truth))
-            got = sum(len(np.intersect1d(t, found[i], assume_unique=True)) for t, i in zip(truth, audit.tolist(), strict=True))
-            if width >= n or got >= p.recall * wanted:
-                return found
-            width = min(n, 2 * width)
+                close = np.union1d(ids[k][sims[k] >= floor], outside[k])
+                close = close[close != own[k]]
+                found.append(np.unique(self.flood(queries[k], close, floor)) if len(close) else close)
+            audit = self._audited(np.array([len(f) for f in found]), sims.max(axis=1))
+            truth = self.exact(queries[audit], every, least - SLACK / 10)
+            if all(len(np.intersect1d(t, found[i])) >= p.recall * len(t) for t, i in ((t[t != own[i]], i) for t, i in zip(truth, audit.tolist(), strict=True))):
+                return [f[f != own[k]] for k, f in enumerate(found)]
+            width *= 2
+        return [f[f != own[k]] for k, f in enumerate(self.exact(queries, every, floor))]
+
+    def _audited(self, links: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Queries to audit, more where there are more links: half spread over all, half over those that have links or come nearest to one."""
+        q = len(links)
+        size = min(q, self.p.audit + int(links.sum()) // self.p.audit)
+        likely = np.argsort(-best, kind="stable")[: max(size, np.count_nonzero(links))]
+        spread = lambda m: np.linspace(0, m - 1, size - size // 2 if size < q else q).astype(int)
+        return np.union1d(spread(q), likely[spread(len(likely))])
 
     def pack(self) -> list[bytes]:
         return [self.x.tobytes(), np.int64(self.entry).tobytes(), *(a.tobytes() for a in self.near)]
@@ -288,9 +324,9 @@ def near_duplicate_vectors(table: DataFrame, least: float = 0.93, params: Params
             ids = np.array(right.column("ids")[0].as_py(), np.int64)
             graph = Graph.unpack(right.column("parts")[0].as_py(), len(ids), p)
             asking, x = left.column("id").to_numpy(), _unit(_matrix(left.column("vector")))
-            # single precision finds; the cosine in double precision below decides
-            for i, found in enumerate(graph.within(x.astype(np.float32), least - 1e-4)):
-                other = ids[found][ids[found] != asking[i]]
+            at = np.minimum(np.searchsorted(ids, asking), len(ids) - 1)
+            for i, found in enumerate(graph.within(x.astype(np.float32), np.where(ids[at] == asking, at, -1), least)):
+                other = ids[found]
                 a.append(np.full(len(other), asking[i]))
                 b.append(other)
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))

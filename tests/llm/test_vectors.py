@@ -109,3 +109,22 @@ def test_components(spark):
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert connected_components(chain).where("component <> 0").count() == 0
     assert connected_components(chain.where("false")).count() == 0
+
+
+def test_graph_search_loses_no_link_of_sparse_or_unreached_nodes():
+    rng = np.random.default_rng(12)
+    hot = rng.normal(size=16) + rng.normal(0, 0.02, (600, 16))
+    pairs = np.repeat(rng.normal(size=(700, 16)), 2, axis=0) + rng.normal(0, 0.05, (1400, 16))
+    x = np.concatenate([hot, pairs])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = [np.flatnonzero(row).tolist() for row in near]
+    own = np.arange(len(x))
+    poor = hnsw.Graph(x, hnsw.Params(links=3, build_beam=6, beam=4)).build()
+    assert [f.tolist() for f in poor.within(x, own, 0.93)] == want
+    cut = hnsw.Graph(x, hnsw.Params()).build()
+    cut.near = [np.where(np.isin(level, [900, 901, 1500]), -1, level) for level in cut.near]
+    got = cut.within(x, own, 0.93)
+    assert [got[k].tolist() for k in (900, 901, 1500, 1501)] == [want[k] for k in (900, 901, 1500, 1501)]
+    assert [f.tolist() for f in cut.within(x[600:], np.full(1400, -1), 0.93)] == [sorted([*w, k + 600]) for k, w in enumerate(want[600:])]
