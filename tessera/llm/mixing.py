@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling (operator 7).
 
-A source's documents are cut into blocks.  With a weight of w in a period of W
-slots, block k is released at slot floor(k W / w) and due by ceil((k + 1) W /
-w); in every slot the released block with the earliest deadline goes next.
-Weights are whole shares of the period, so the schedule repeats exactly, the
-driver plans one period only, and every block's slot is arithmetic.  At any slot
-a source that still has blocks is less than one block from its share.
+A source's documents are cut into blocks.  Block k of a source of weight w (all
+weights sum to 1) is released at slot floor(k / w) and due by ceil((k + 1) / w);
+in every slot the released block with the earliest deadline goes next.  Both
+bounds come from the exact weights in whole numbers, so at any slot a source
+that still has blocks is less than one block from its target, however long the
+schedule and however many the sources.  The driver plans one entry a block.
+Only where a period is asked for are weights rounded to shares of it; then the
+plan of one period repeats.
 """
 
 from __future__ import annotations
@@ -13,17 +15,20 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Params:
-    """block: documents; period: slots, and so the precision of weights; temperature: exponent of document counts where no weights are given; bucket: documents ranked in one task."""
+    """block: documents; period: slots after which the schedule repeats, with weights rounded to shares of it, or None for the exact weights; temperature: exponent of document counts where no weights are given; bucket: documents ranked in one task."""
 
     block: int = 16
-    period: int = 1000
+    period: int | None = None
     temperature: float = 0.5
     bucket: int = 4096
 
@@ -35,7 +40,8 @@ def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
         return {}
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    period = max(period, len(names))
+    if period < len(names):
+        raise ValueError(f"{len(names)} sources need a period of as many slots")
     total = sum(weights.values())
     ideal = {s: weights[s] / total * (period - len(names)) for s in names}
     out = {s: 1 + int(ideal[s]) for s in names}
@@ -62,6 +68,52 @@ def schedule(share: Mapping[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+def exact(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in the very ratios of the weights."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    scale = max((f.denominator for f in parts.values()), default=1)  # powers of two
+    return {s: f.numerator * (scale // f.denominator) for s, f in parts.items()}
+
+
+Places = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def earliest(weight: Mapping[str, int], blocks: Mapping[str, int]) -> Places:
+    """(release, deadline, slot) of every block of every source: earliest deadline first among released blocks; slots with none stay empty."""
+    total = sum(weight.values())
+    out = {s: np.zeros((3, blocks[s]), np.int64) for s in weight}
+    waiting = [(0, s, 0) for s in sorted(weight) if blocks[s]]
+    ready: list[tuple[int, str, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // weight[s]), s, k, release))
+        deadline, s, k, release = heapq.heappop(ready)
+        out[s][:, k] = release, deadline, slot
+        slot += 1
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, ((k + 1) * total // weight[s], s, k + 1))
+    return {s: tuple(a) for s, a in out.items()}
+
+
+def periodic(share: Mapping[str, int], blocks: Mapping[str, int]) -> Places:
+    """The same from the plan of one period."""
+    period = sum(share.values())
+    at = {s: np.zeros(n, np.int64) for s, n in share.items()}
+    for slot, (s, k) in enumerate(schedule(share)):
+        at[s][k] = slot
+    out = {}
+    for s, n in share.items():
+        k = np.arange(blocks[s], dtype=np.int64)
+        out[s] = (k * period // n, -(-(k + 1) * period // n), k // n * period + at[s][k % n])
+    return out
+
+
 def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, params: Params = Params(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with struct column ``mix_`` (source, block, release, deadline, slot, position) added.
 
@@ -71,37 +123,35 @@ def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, par
     count to ``temperature``.  Within a source documents are dealt by a hash of
     their id into buckets of bounded size, which are ranked apart and joined by
     running counts, so a source with a third of all rows is no single task.  The
-    number of sources is taken to be small enough for the driver.
+    driver holds the sources and, for each block of documents, three numbers.
     """
     p = params
     name = F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("n"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), name.alias("mix_source"), docs[id_col].alias("mix_id"))
     counts = {r.mix_source: r["n"] for r in rows.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).collect()}
     given = {"n" if s is None else f"s{s}": float(w) for s, w in (weights or {}).items()}
-    share = shares({s: given.get(s, float(n) ** p.temperature) for s, n in counts.items()}, p.period)
-    period = sum(share.values())
+    weights_of = {s: given.get(s, float(n) ** p.temperature) for s, n in counts.items()}
+    blocks = {s: -(-n // p.block) for s, n in counts.items()}
+    places = earliest(exact(weights_of), blocks) if p.period is None else periodic(shares(weights_of, p.period), blocks)
     spark = docs.sparkSession
-    slots = spark.createDataFrame([(s, k, at, share[s]) for at, (s, k) in enumerate(schedule(share))], "mix_source string, turn int, at int, share int")
     buckets = spark.createDataFrame([(s, -(-n // p.bucket)) for s, n in counts.items()], "mix_source string, buckets int")
-    # both tables are bounded by the period and the number of sources
+    # bounded by the number of sources
     dealt = rows.join(F.broadcast(buckets), "mix_source").withColumn("bucket", F.pmod(F.xxhash64("mix_id", F.xxhash64("row")), F.col("buckets")).cast("int"))
-    sizes = dealt.groupBy("mix_source", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("mix_source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sizes = dealt.groupBy("mix_source", "bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("mix_source", "bucket").collect()
+    before, columns = dict.fromkeys(counts, 0), {c: [] for c in ("mix_source", "bucket", "before", "release", "deadline", "slot")}
+    for s, bucket, n in sizes:
+        first, last = before[s] // p.block, (before[s] + n - 1) // p.block
+        for c, v in zip(columns, (s, bucket, before[s], *(a[first : last + 1] for a in places[s])), strict=True):
+            columns[c].append(v)
+        before[s] += n
+    kinds = {"mix_source": pa.string(), "bucket": pa.int32(), "before": pa.int64()}
+    # one row a bucket with the places of its blocks: the join meets the rows where they were ranked
+    placed = spark.createDataFrame(pa.table({c: pa.array(v, kinds.get(c, pa.list_(pa.int64()))) for c, v in columns.items()}))
     rank = F.row_number().over(Window.partitionBy("mix_source", "bucket").orderBy("mix_id", F.xxhash64("row")))
-    ranked = dealt.withColumn("rank", rank - 1).join(sizes, ["mix_source", "bucket"]).withColumn("index", F.col("before") + F.col("rank"))
+    ranked = dealt.withColumn("rank", rank - 1).join(placed, ["mix_source", "bucket"]).withColumn("index", F.col("before") + F.col("rank"))
     ranked = ranked.withColumn("block", F.floor(F.col("index") / p.block)).withColumn("position", F.col("index") % p.block)
-    turn = slots.select("mix_source", "turn", "at", "share")
-    shared = slots.select("mix_source", "share").distinct()
-    ranked = ranked.join(F.broadcast(shared), "mix_source").withColumn("turn", (F.col("block") % F.col("share")).cast("int")).drop("share").join(F.broadcast(turn), ["mix_source", "turn"])
-    mix = F.struct(
-        F.col("row")[source_col].cast("string").alias("source"),
-        F.col("block"),
-        F.expr(f"block * {period} div share").alias("release"),
-        F.expr(f"((block + 1) * {period} + share - 1) div share").alias("deadline"),
-        F.expr(f"block div share * {period} + at").alias("slot"),
-        F.col("position"),
-    )
+    turn = (F.col("block") - F.floor(F.col("before") / p.block)).cast("int")
+    mix = F.struct(F.col("row")[source_col].cast("string").alias("source"), F.col("block"), *(F.get(c, turn).alias(c) for c in ("release", "deadline", "slot")), F.col("position"))
     return ranked.select(*[F.col("row")[c].alias(c) for c in docs.columns], mix.alias("mix_"))
 
 

@@ -9,6 +9,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -298,3 +299,33 @@ def test_mixing_places_every_row_once(spark):
     assert mixed.columns == rows.columns and mixed.count() == n + 3
     assert mixing.plan(docs(spark, [])).count() == 0
     assert heapq.nsmallest(1, place.values()) == [0]
+
+
+@pytest.mark.parametrize("n", [1, 20, 1300])
+def test_schedule_follows_the_target_weights(n):
+    weights = {f"s{i:04}": (1 + (i * 7919 % 997)) ** 0.5 * (9 if i == 0 else 1) for i in range(n)}
+    total = sum(map(Fraction, weights.values()))
+    blocks = {s: 2 + int(12000 * w / float(total)) for s, w in weights.items()}
+    slots = sorted((int(at), s, k) for s, (_, _, slot) in mixing.earliest(mixing.exact(weights), blocks).items() for k, at in enumerate(slot))
+    assert len({at for at, _, _ in slots}) == len(slots) == sum(blocks.values())
+    done = dict.fromkeys(weights, 0)
+    for at, s, k in slots:
+        w = Fraction(weights[s]) / total
+        # less than a block ahead after it, less than a block behind before it
+        assert k == done[s] and k < w * (at + 1) and w * at < k + 1
+        done[s] += 1
+
+
+def test_mixing_by_target_weights(spark):
+    n = 12000
+    names = ["hot" if i % 3 == 0 else f"s{i % 19}" for i in range(n)]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "doc_id bigint, source string")
+    out = mixing.plan(rows, None, mixing.Params(block=1, bucket=512)).select("doc_id", "mix_.*").collect()
+    weights = {s: Fraction(float(names.count(s)) ** 0.5) for s in set(names)}
+    total = sum(weights.values())
+    assert sorted(r["doc_id"] for r in out) == list(range(n)) and len({r["slot"] for r in out}) == n
+    assert {s: sorted(r["block"] for r in out if r["source"] == s) for s in weights} == {s: list(range(names.count(s))) for s in weights}
+    for r in out:
+        w = weights[r["source"]] / total
+        assert r["release"] == math.floor(r["block"] / w) and r["deadline"] == math.ceil((r["block"] + 1) / w)
+        assert r["release"] <= r["slot"] < r["deadline"]
