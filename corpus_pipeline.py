@@ -42,8 +42,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE: ids of every text, and the hash of the text decoded from them."""
-    return bpe.encode_documents(docs)
+    """BPE: ids of every text, and the hash of the text decoded from them, in the order of the Pfair schedule.
+
+    A table read again has lost the order of its files, so the schedule, which
+    depends on the rows alone, is drawn up once more; ``slot`` and ``position``
+    give each document's place in it.
+    """
+    order = mixing.interleave(docs, placed=True)
+    place = F.struct("doc_id", F.col("mix_.slot").alias("slot"), F.col("mix_.position").alias("position"))
+    # the encoder maps each partition in its order
+    coded = bpe.encode_documents(order.select(place.alias("place"), "text"), id_col="place")
+    return coded.select("place.doc_id", *coded.columns[1:], "place.slot", "place.position")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("pii", redact_pii), ("mix", mix), ("bpe", encode)]

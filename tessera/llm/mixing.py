@@ -155,7 +155,8 @@ def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, par
     return ranked.select(*[F.col("row")[c].alias(c) for c in docs.columns], mix.alias("mix_"))
 
 
-def interleave(docs: DataFrame, weights: Mapping[str | None, float] | None = None, params: Params = Params(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` in the order of the schedule: ranges of slots in ascending partitions, sorted within; same columns and rows."""
+def interleave(docs: DataFrame, weights: Mapping[str | None, float] | None = None, params: Params = Params(), id_col: str = "doc_id", source_col: str = "source", placed: bool = False) -> DataFrame:
+    """``docs`` in the order of the schedule: ranges of slots in ascending partitions, sorted within; same columns and rows, with ``mix_`` where ``placed``."""
     order = ["mix_.slot", "mix_.position"]
-    return plan(docs, weights, params, id_col, source_col).repartitionByRange(*order).sortWithinPartitions(*order).drop("mix_")
+    out = plan(docs, weights, params, id_col, source_col).repartitionByRange(*order).sortWithinPartitions(*order)
+    return out if placed else out.drop("mix_")

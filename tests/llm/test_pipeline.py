@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import corpus_pipeline
+from tessera.llm import mixing
+from tessera.llm.storage import materialize
 from tests.llm.test_text import brute_components, library, spans_of  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +40,15 @@ def test_pipeline(spark, library):  # noqa: F811
         ids = library.encode(redacted(rows[i]), add_special_tokens=False).ids
         assert got[i]["ids"] == ids and got[i]["n_tokens"] == len(ids)
         assert got[i]["decoded_sha256"] == hashlib.sha256(redacted(rows[i]).encode()).hexdigest()
+
+
+def test_order_of_the_schedule_reaches_the_output(spark):
+    rows = [(i, f"text number {i} of the corpus", "en", "hot" if i % 3 else f"s{i % 7}", 20) for i in range(700)]
+    docs = spark.createDataFrame([*rows, (None, "no id", "en", "hot", 5)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = materialize(corpus_pipeline.mix(spark, docs, DATA), "mixed")
+    want = {r["doc_id"]: (r["slot"], r["position"]) for r in mixing.plan(docs).select("doc_id", "mix_.slot", "mix_.position").collect()}
+    got = corpus_pipeline.encode(spark, mixed, DATA).collect()
+    assert [r["doc_id"] for r in got] == sorted(want, key=want.get)
+    assert all((r["slot"], r["position"]) == want[r["doc_id"]] for r in got)
+    out = [(r["slot"], r["position"]) for r in corpus_pipeline.run(spark, DATA).collect()]
+    assert out == sorted(out) and len(set(out)) == len(out)
