@@ -214,7 +214,7 @@ def community_detection(spark, d):
 @query()
 def betweenness(spark, d):
     g = order_graph(spark, d)
-    return algorithms.betweenness(g.nodes, g.edges, 5).withColumn("betweenness", F.round("betweenness", 6))
+    return algorithms.betweenness(g.nodes, g.edges).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query()

@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.catalog import graphs
 from tessera.functions import cypher as fn
 from tessera.functions import geo, science
-from tessera.graph import PropertyGraph
+from tessera.graph import PropertyGraph, order_graph
 from tessera.harness import load, runner, spec
 from tessera.harness.cache import MODES, ResultCache, allows
 from tessera.operators import algorithms, checksum, procedures, statistics, traversal
@@ -371,3 +372,32 @@ def test_streaming_equals_batch(spark, tmp_path):
         q.awaitTermination()
     assert sorted(map(tuple, spark.table("win").collect())) == sorted(map(tuple, events.windowed(rows, "10 minutes").collect()))
     assert spark.table("state").agg(F.max("n")).first()[0] > 0 and spark.table("dup").count() == 60
+
+
+def test_registered_betweenness_is_from_fifty_sources(spark):
+    data = "/root/testdata/sf0.001"
+    g = order_graph(spark, data)
+    out = {}
+    for a, b in g.edges.where("src <> dst").select("src", "dst").distinct().collect():
+        out.setdefault(a, set()).add(b)
+    score = dict.fromkeys((r["id"] for r in g.nodes.collect()), 0.0)
+    sources = [r["id"] for r in g.nodes.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    assert len(set(sources)) == 50
+    for s in sources:
+        dist, paths, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in out.get(v, ()):
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        credit = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for w in out.get(v, ()):
+                if dist[w] == dist[v] + 1:
+                    credit[v] += paths[v] / paths[w] * (1 + credit[w])
+            if v != s:
+                score[v] += credit[v]
+    got = {r["id"]: r["betweenness"] for r in graphs.betweenness(spark, data).collect()}
+    assert got.keys() == score.keys() and all(abs(got[i] - score[i]) < 1e-5 for i in score)
