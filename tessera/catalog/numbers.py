@@ -186,8 +186,7 @@ def probit_sign(spark, d):
 
 @query()
 def bootstrap_interval(spark, d):
-    e = table(spark, d, "events").where("event_id < 2000")
-    out = statistics.bca_interval(e, "value", ["event_type"], 2000)
+    out = statistics.bca_interval(table(spark, d, "events"), "value", ["event_type"])
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("lower", "upper", "bias", "acceleration")])
 
 

@@ -136,7 +136,9 @@ def bca(x: np.ndarray, resamples: int = 10000, level: float = 0.95, seed: int =
     from statistics import NormalDist
 
     normal, rng, n = NormalDist(), np.random.default_rng(seed), len(x)
-    means = np.sort(np.concatenate([x[rng.integers(0, n, (min(500, resamples - a), n))].mean(axis=1) for a in range(0, resamples, 500)]))
+    # some resamples at a time, of four million draws at most
+    some = min(500, max(1, 4_000_000 // n))
+    means = np.sort(np.concatenate([x[rng.integers(0, n, (min(some, resamples - a), n))].mean(axis=1) for a in range(0, resamples, some)]))
     mean = x.mean()
     below = np.clip((means < mean).mean(), 1 / (resamples + 1), 1 - 1 / (resamples + 1))
     bias = normal.inv_cdf(float(below))

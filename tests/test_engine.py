@@ -5,12 +5,13 @@ from __future__ import annotations
 import itertools
 import json
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.catalog import graphs
+from tessera.catalog import graphs, numbers
 from tessera.functions import cypher as fn
 from tessera.functions import geo, science
 from tessera.graph import PropertyGraph, order_graph
@@ -401,3 +402,19 @@ def test_registered_betweenness_is_from_fifty_sources(spark):
                 score[v] += credit[v]
     got = {r["id"]: r["betweenness"] for r in graphs.betweenness(spark, data).collect()}
     assert got.keys() == score.keys() and all(abs(got[i] - score[i]) < 1e-5 for i in score)
+
+
+def test_bootstrap_interval_reads_all_events(spark):
+    data = "/root/testdata/sf0.01"
+    groups = {}
+    for kind, x in spark.read.parquet(f"{data}/events.parquet").select("event_type", "value").where("value is not null").collect():
+        groups.setdefault(kind, []).append(float(x))
+    got = {r["event_type"]: r for r in numbers.bootstrap_interval(spark, data).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {k: len(x) for k, x in groups.items()} and sum(map(len, groups.values())) > 2000
+    for k, x in groups.items():
+        # as drawn 10000 times, one resample after the other
+        x, rng = np.sort(np.array(x)), np.random.default_rng(42)
+        means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(10000)])
+        error = x.std() / len(x) ** 0.5
+        assert abs(got[k]["lower"] - np.quantile(means, 0.025)) < 0.3 * error and abs(got[k]["upper"] - np.quantile(means, 0.975)) < 0.3 * error
+        assert abs(NormalDist().cdf(got[k]["bias"]) - (means < x.mean()).mean()) < 1e-4
