@@ -17,8 +17,13 @@ LEAST_SHARE = 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: rejects texts of no recognisable language; a missing ``lang`` is filled in."""
+    """Language ID: rejects texts of no recognisable language; a missing ``lang`` is filled in.
+
+    Where no document is labelled no language can be told, and only texts without a letter are rejected.
+    """
     model = langid.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     least = LEAST_SHARE / max(len(model.languages), 2)
     named = langid.with_language(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= least))
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)

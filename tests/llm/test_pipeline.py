@@ -52,3 +52,10 @@ def test_order_of_the_schedule_reaches_the_output(spark):
     assert all((r["slot"], r["position"]) == want[r["doc_id"]] for r in got)
     out = [(r["slot"], r["position"]) for r in corpus_pipeline.run(spark, DATA).collect()]
     assert out == sorted(out) and len(set(out)) == len(out)
+
+
+def test_language_stage_keeps_documents_without_any_label(spark):
+    texts = ["Some plain text.", "Ein Satz auf Deutsch.", "漢字", "12 34 !?", "", None]
+    docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    named = corpus_pipeline.language(spark, docs, DATA)
+    assert named.columns == docs.columns and sorted(r["doc_id"] for r in named.collect()) == [0, 1, 2]
