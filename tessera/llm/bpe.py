@@ -14,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import textbytes
 
-#: Distinct words a Python worker remembers between batches; beyond it the memory is emptied, results are the same.
-WORDS_KEPT = 600_000
+#: Distinct words, and pairs of tokens, that a Python worker remembers between batches (about 25 MB each); beyond it the memory is emptied, results are the same.
+WORDS_KEPT = 200_000
 _NEVER = 1 << 60
 
 
@@ -68,7 +69,7 @@ class Vocabulary:
             self.rank[left, right] = r
             self.parts.setdefault(whole, (left, right, r))
         self._spines: tuple[dict, dict] = ({}, {})
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(piece at the border, rank of the merge that takes it in) from a byte up to the token; side 0: its end, 1: its start."""
@@ -99,14 +100,14 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 500_000:
+        if len(self._fits) > WORDS_KEPT:
             self._fits.clear()
-        self._fits[a, b] = result
+        self._fits[a * self.size + b] = result
         return result
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Ids of each of ``words``, which come in byte order: a depth-first walk of their trie."""
-        look_up, fits, known, longest, lengths = self.ids.get, self.fits, self._fits.get, self.longest, self.lengths
+        look_up, fits, known, longest, lengths, size = self.ids.get, self.fits, self._fits.get, self.longest, self.lengths, self.size
         path, last = b"", [-1]
         for word in words:
             shared, most = 0, min(len(path), len(word))
@@ -121,7 +122,7 @@ class Vocabulary:
                     token = look_up(word[start:end])
                     if token is not None:
                         if start:
-                            fit = known((last[start], token))
+                            fit = known(last[start] * size + token)
                             if fit is None:
                                 fit = fits(last[start], token)
                             if not fit:
@@ -138,6 +139,19 @@ class Vocabulary:
             yield out
 
 
+    @cached_property
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all tokens after one another, begin of each and an end)."""
+        return np.frombuffer(b"".join(self.bytes), np.uint8), np.concatenate([[0], np.cumsum(self.lengths)])
+
+    @cached_property
+    def decimal(self) -> tuple[np.ndarray, np.ndarray]:
+        """(decimal digits of every id and a comma, in rows of equal width; characters used of each)."""
+        each = [b"%d," % i for i in range(self.size)]
+        width = len(each[-1])
+        return np.frombuffer(b"".join(d.ljust(width) for d in each), np.uint8).reshape(-1, width), np.array([len(d) for d in each])
+
+
 @cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -162,15 +176,18 @@ class WordTable:
 
     def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.decimal: list[bytes] = []
         self.flat = np.zeros(1 << 16, np.int32)
         self.offset = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _encoded(self, words: list[bytes]) -> Iterator[list[int]]:
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
         if self.engine == "trie":
-            return self.vocab.encode_words(words)
-        return (e.ids for e in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False))
+            each = list(self.vocab.encode_words(words))
+            return np.fromiter(chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each))
+        # the words are pre-tokens already: one call encodes them all, each apart
+        done = self.library.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        return np.array(done.ids, np.int32), np.bincount(np.array(done.word_ids, np.int64), minlength=len(words))
 
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
         """Word numbers of distinct pre-tokens; new ones are encoded."""
@@ -178,20 +195,22 @@ class WordTable:
             self._clear()
         number = self.number
         new = sorted(w for w in distinct if w not in number)
-        plain = [w for w in new if w not in self.vocab.special]
-        encoded = dict(zip(plain, self._encoded(plain), strict=True)) if plain else {}
-        for word in new:
-            ids = encoded[word] if word in encoded else [self.vocab.special[word]]
+        for words in ([w for w in new if w in self.vocab.special], [w for w in new if w not in self.vocab.special]):
+            if not words:
+                continue
+            if words[0] in self.vocab.special:
+                ids, counts = np.array([self.vocab.special[w] for w in words], np.int32), np.ones(len(words), np.int64)
+            else:
+                ids, counts = self._encoded(words)
             k = len(number)
-            number[word] = k
+            number.update(zip(words, range(k, k + len(words)), strict=True))
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            if k + 2 > len(self.offset):
-                self.offset = np.concatenate([self.offset, np.zeros(len(self.offset), np.int64)])
+            if len(number) + 1 > len(self.offset):
+                self.offset = np.concatenate([self.offset, np.zeros(max(len(self.offset), len(words)), np.int64)])
             self.flat[self.used : self.used + len(ids)] = ids
+            self.offset[k + 1 : k + 1 + len(words)] = self.used + np.cumsum(counts)
             self.used += len(ids)
-            self.offset[k + 1] = self.used
-            self.decimal.append(b",".join(b"%d" % i for i in ids))
         return np.fromiter((number[w] for w in distinct), np.int64, len(distinct))
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,23 +263,26 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sha = word_table(path), hashlib.sha256
-        pieces = table.vocab.bytes
+        pieces, starts = table.vocab.spelled
+        digits, sizes = table.vocab.decimal
+        column = np.arange(digits.shape[1])
         for batch in batches:
             for a, b, buf, offsets in textbytes.chunks(batch.column(1)):
                 numbers, first = table.encode(buf, offsets)
                 ids, begin = table.ids(numbers, first)
-                words, spelled, plain = numbers.tolist(), table.decimal, ids.tolist()
-                digests, decoded = [], []
-                for i in range(b - a):
-                    digests.append(sha(b",".join([spelled[k] for k in words[first[i] : first[i + 1]]])).hexdigest())
-                    text = b"".join([pieces[k] for k in plain[begin[i] : begin[i + 1]]])
-                    decoded.append(sha(text.decode("utf-8", "replace").encode()).hexdigest())
+                long = sizes[ids]
+                written, at = digits[ids][column < long[:, None]].tobytes(), np.concatenate([[0], np.cumsum(long)])[begin].tolist()
+                long = starts[ids + 1] - starts[ids]
+                text, cut = pieces[textbytes.ragged(starts[ids], long)].tobytes(), np.concatenate([[0], np.cumsum(long)])[begin].tolist()
+                # the comma after a text's last id goes
+                digests = [sha(written[x : max(x, y - 1)]).hexdigest() for x, y in pairwise(at)]
+                decoded = [sha(text[x:y].decode("utf-8", "replace").encode()).hexdigest() for x, y in pairwise(cut)]
                 out = [batch.column(0).slice(a, b - a), pa.array(np.diff(begin), pa.int64())]
                 if keep_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32())))
-                yield pa.RecordBatch.from_arrays([*out, pa.array(digests), pa.array(decoded)], names=names)
+                yield pa.RecordBatch.from_arrays([*out, pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     fields = [(id_col, kind), ("n_tokens", "bigint"), *([("ids", "array<int>")] if keep_ids else []), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     names = [f for f, _ in fields]
-    return docs.select(docs[id_col], docs[text_col].cast("string").alias("text")).mapInArrow(run, ", ".join(f"`{f}` {k}" for f, k in fields))
+    return textbytes.map_texts(docs.select(docs[id_col], docs[text_col].cast("string").alias("text")), run, ", ".join(f"`{f}` {k}" for f, k in fields))

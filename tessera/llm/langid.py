@@ -182,7 +182,7 @@ def training_windows(docs: DataFrame, p: Params, id_col: str, text_col: str, lan
                 at = first[own] + k * per[own] // np.maximum(take[own], 1)
                 yield pa.RecordBatch.from_arrays([pa.array([windows[i].tobytes() for i in at], pa.binary()), batch.column(1).slice(a, b - a).take(pa.array(own))], names=["window", "lang"])
 
-    got = picked.select("text", "lang").mapInArrow(cut, "window binary, lang string").toPandas().sort_values(["lang", "window"], kind="stable")
+    got = textbytes.map_texts(picked.select("text", "lang"), cut, "window binary, lang string").toPandas().sort_values(["lang", "window"], kind="stable")
     languages = sorted(counts)
     x = np.frombuffer(b"".join(bytes(w) for w in got["window"]), np.uint8).reshape(-1, p.window)
     return x, np.searchsorted(languages, got["lang"].to_numpy().astype(str)), languages
@@ -240,7 +240,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(language, pa.string()), pa.array(score)], names=[*own.schema.names, "lang_pred", "lang_score"])
 
     schema = T.StructType([*keep.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return keep.mapInArrow(run, schema)
+    return textbytes.map_texts(keep, run, schema)
 
 
 def identify(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                     names=["id", "n_shingles", "f1", "f2", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>")
+    return textbytes.map_texts(docs, run, "id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -142,7 +142,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 hashes, begin = _sets(buf, offsets, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(hashes.view(np.int64)))], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return textbytes.map_texts(docs, run, "id bigint, shingles array<bigint>")
 
 
 def _odd_bits(x: str, y: str) -> F.Column:

@@ -6,27 +6,59 @@ that memory is bounded by ``CHUNK_BYTES`` plus the longest single text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 21
+#: Bytes of an Arrow batch between Spark and Python (one row more, however long), unless the session sets its own limit.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNSET = f"{(1 << 31) - 2}b"  # what a session without a limit of its own answers
 LETTER, NUMBER, OTHER, SPACE, SPECIAL = 1, 2, 3, 4, 9
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the machine, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes; a worker returns its free memory after each partition.
+
+    The limit is a setting of the session; it is set here only where the session has none.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_LIMIT, _UNSET) == _UNSET:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+
+    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(partition, schema)
+
+
 def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows; null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string()).fill_null("")
+    if col.null_count:
+        col = col.fill_null("")
     n = len(col)
     if not n:
         return
     _, off, data = col.buffers()
-    off = np.frombuffer(off, dtype=np.int64)[col.offset : col.offset + n + 1]
+    off = np.frombuffer(off, dtype=np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:

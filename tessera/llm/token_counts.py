@@ -111,4 +111,4 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, rows), pa.array(np.diff(first), pa.int64()), pa.array(distinct, pa.int64()), pa.array(tokens), pa.array(np.round(logp, 6))], names=[id_col, "n_pretokens", "n_distinct", "n_tokens", "log_prob"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col], docs[text_col].cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_pretokens bigint, n_distinct bigint, n_tokens bigint, log_prob double")
+    return textbytes.map_texts(docs.select(docs[id_col], docs[text_col].cast("string").alias("text")), run, f"`{id_col}` {kind}, n_pretokens bigint, n_distinct bigint, n_tokens bigint, log_prob double")
