@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import textbytes
 
-#: Distinct words, and pairs of tokens, that a Python worker remembers between batches (about 25 MB each); beyond it the memory is emptied, results are the same.
-WORDS_KEPT = 200_000
+#: Distinct words that a Python worker remembers between batches, about 150 bytes each, by engine, and pairs of tokens; beyond it the memory is emptied, results are the same.
+WORDS_KEPT = {"trie": 350_000, "library": 900_000}
+PAIRS_KEPT = 200_000
 _NEVER = 1 << 60
 
 
@@ -61,23 +62,32 @@ class Vocabulary:
             self.bytes[i] = token
         self.lengths = [len(t) for t in self.bytes]
         self.longest = max(map(len, self.ids))
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
-        for r, pair in enumerate(spec["model"]["merges"]):
-            a, b = map(raw, pair.split(" ") if isinstance(pair, str) else pair)
-            left, right, whole = self.ids[a], self.ids[b], self.ids[a + b]
-            self.rank[left, right] = r
-            self.parts.setdefault(whole, (left, right, r))
+        self._merges = spec["model"]["merges"]
+        self._raw = raw
         self._spines: tuple[dict, dict] = ({}, {})
         self._fits: dict[int, bool] = {}
 
+    @cached_property
+    def merges(self) -> tuple[dict[int, int], dict[int, tuple[int, int, int]]]:
+        """(rank of each pair of tokens, numbered as one; left, right and rank of each merged token)."""
+        rank: dict[int, int] = {}
+        parts: dict[int, tuple[int, int, int]] = {}
+        for r, pair in enumerate(self._merges):
+            a, b = map(self._raw, pair.split(" ") if isinstance(pair, str) else pair)
+            left, right, whole = self.ids[a], self.ids[b], self.ids[a + b]
+            rank[left * self.size + right] = r
+            parts.setdefault(whole, (left, right, r))
+        self._merges = None
+        return rank, parts
+
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(piece at the border, rank of the merge that takes it in) from a byte up to the token; side 0: its end, 1: its start."""
         found = self._spines[side].get(token)
         if found is None:
             found, piece = [(token, _NEVER)], token
-            while piece in self.parts:
-                left, right, r = self.parts[piece]
+            parts = self.merges[1]
+            while piece in parts:
+                left, right, r = parts[piece]
                 piece = left if side else right
                 found.append((piece, r))
             found.reverse()
@@ -86,10 +96,10 @@ class Vocabulary:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a followed by b is the encoding of their joined bytes."""
-        ends, heads, i, j, rank = self._spine(a, 0), self._spine(b, 1), 0, 0, self.rank
+        ends, heads, i, j, rank, size = self._spine(a, 0), self._spine(b, 1), 0, 0, self.merges[0], self.size
         while True:
             (x, rx), (y, ry) = ends[i], heads[j]
-            across = rank.get((x, y), _NEVER)
+            across = rank.get(x * size + y, _NEVER)
             if across < rx and across <= ry and across < _NEVER:  # equal ranks merge leftmost first
                 result = False
                 break
@@ -100,7 +110,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > WORDS_KEPT:
+        if len(self._fits) > PAIRS_KEPT:
             self._fits.clear()
         self._fits[a * self.size + b] = result
         return result
@@ -191,27 +201,29 @@ class WordTable:
 
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
         """Word numbers of distinct pre-tokens; new ones are encoded."""
-        if len(self.number) > WORDS_KEPT:
+        if len(self.number) > WORDS_KEPT[self.engine]:
             self._clear()
         number = self.number
-        new = sorted(w for w in distinct if w not in number)
-        for words in ([w for w in new if w in self.vocab.special], [w for w in new if w not in self.vocab.special]):
-            if not words:
-                continue
-            if words[0] in self.vocab.special:
-                ids, counts = np.array([self.vocab.special[w] for w in words], np.int32), np.ones(len(words), np.int64)
-            else:
-                ids, counts = self._encoded(words)
-            k = len(number)
-            number.update(zip(words, range(k, k + len(words)), strict=True))
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            if len(number) + 1 > len(self.offset):
-                self.offset = np.concatenate([self.offset, np.zeros(max(len(self.offset), len(words)), np.int64)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.offset[k + 1 : k + 1 + len(words)] = self.used + np.cumsum(counts)
-            self.used += len(ids)
-        return np.fromiter((number[w] for w in distinct), np.int64, len(distinct))
+        known = list(map(number.get, distinct))
+        new = [w for w, k in zip(distinct, known, strict=True) if k is None]
+        if not new:
+            return np.array(known, np.int64)
+        k = len(number)
+        special = self.vocab.special
+        plain = sorted(w for w in new if w not in special) if self.engine == "trie" else [w for w in new if w not in special]
+        words = plain + [w for w in new if w in special]
+        ids, counts = self._encoded(plain) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        marks = [special[w] for w in words[len(plain) :]]
+        ids, counts = np.concatenate([ids, np.array(marks, np.int32)]), np.concatenate([counts, np.ones(len(marks), np.int64)])
+        number.update(zip(words, range(k, k + len(words)), strict=True))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
+        if len(number) + 1 > len(self.offset):
+            self.offset = np.concatenate([self.offset, np.zeros(max(len(self.offset), len(words)), np.int64)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.offset[k + 1 : k + 1 + len(words)] = self.used + np.cumsum(counts)
+        self.used += len(ids)
+        return np.array([number[w] if k is None else k for w, k in zip(distinct, known, strict=True)], np.int64)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word number of every pre-token, index of each text's first pre-token and an end)."""
@@ -219,7 +231,7 @@ class WordTable:
         if not len(words):
             return np.zeros(0, np.int64), first
         coded = words.dictionary_encode()
-        return self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()], first
+        return self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()], first
 
     def ids(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, index of each text's first id and an end)."""

@@ -67,7 +67,7 @@ class _Counts:
         self.known: dict[bytes, tuple[int, float]] = {}
 
     def look_up(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > bpe.WORDS_KEPT:
+        if len(self.known) > bpe.WORDS_KEPT["trie"]:
             self.known.clear()
         new = sorted(w for w in distinct if w not in self.known)
         self.known.update(zip(new, self.trie.forward(new), strict=True))
@@ -100,7 +100,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
                 tokens, logp, distinct = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows, np.int64)
                 if len(words):
                     coded = words.dictionary_encode()
-                    each_tokens, each_logp = table.look_up(coded.dictionary.to_pylist())
+                    each_tokens, each_logp = table.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
                     # a terminal's count for a text: one (text, word) key with its number of occurrences
                     text = np.repeat(np.arange(rows), np.diff(first))
                     key, terminal = np.unique(text * len(each_tokens) + coded.indices.to_numpy(), return_counts=True)

@@ -3,16 +3,17 @@
 A file is a table of frames in ascending id order of the documents, written by
 the engine's own committing writer, so a lost executor leaves no half file.  A
 frame holds whole documents' ids cut into blocks; blocks start from a reset
-model, carry their own CRC-32 and decode alone.  All blocks of a frame are
-coded side by side, one id of every block at a time, in integer arithmetic
-only, so that any machine decodes what another encoded.
+model, carry their own CRC-32 and decode alone.  All blocks of a frame (the
+lanes) are coded side by side, one id of every block at a time, in integer
+arithmetic only, so that any machine decodes what another encoded.
 
 For each id, a table of order-2 contexts and one of order-1 contexts each guess
-an id.  Adaptive 16-bit probabilities, chosen by the guess's confidence and the
-lane's recent hit rate (order 0), are mixed in the logistic domain with weights
-learned on the way; the mixed probability splits the coder's range into "the
-order-2 guess", "the order-1 guess" and the adaptive order-0 frequencies of the
-id's high part; the low part follows in equal shares.
+an id.  The adaptive probability of a guess, by its confidence, and the lane's
+recent hit rate (order 0) are mixed in the logistic domain with weights learned
+on the way.  The mixed probabilities split the coder's range into "the order-2
+guess", "the order-1 guess" and the order-0 shares of the id's high part, which
+follow the lane's own counts; the low part takes equal shares of the high
+part's.  One step of the coder takes all of an id.
 """
 
 from __future__ import annotations
@@ -31,21 +32,34 @@ from tessera.llm import bpe, textbytes
 from tessera.llm.storage import scratch_path
 
 _U = np.uint64
-_TOTAL_BITS = 16
 _WORD = _U(32)
 _LOW32 = _U(0xFFFFFFFF)
+#: Bits of the shares of guesses and high parts, of the order-0 counts, and least count of a high part.
+_SHARE, _COUNT, _LEAST = 16, 14, 4
+
+
+#: Change of a guess's confidence by the old one, after a miss (it is halved) and after a hit (one more, 7 at most).
+_CONFIDENCE = np.array([-((c + 1) >> 1) for c in range(8)] + [1] * 7 + [0], np.int32)
 
 
 @dataclass(frozen=True)
 class Params:
-    """block: ids coded from one reset; frame: ids after which a frame closes at the next document end; low_bits: of an id, coded in equal shares."""
+    """block: ids coded from one reset; frame: ids after which a frame closes at the next document end; low_bits: of an id, coded in equal shares; contexts: slots of each order in a block; refresh: ids after which the order-0 shares follow the counts."""
 
-    block: int = 2048
-    frame: int = 4_000_000
+    block: int = 1024
+    frame: int = 10_000_000
     low_bits: int = 10
-    contexts: int = 2048
+    contexts: int = 512
+    refresh: int = 64
     end_id: int = 2
 
+    def low(self, id_bits: int) -> int:
+        """Bits coded in equal shares: more where ids are so long that their high parts would be too many."""
+        found = max(self.low_bits, id_bits - 8)
+        if found > 32 - _SHARE:
+            raise ValueError(f"ids of {id_bits} bits are too long")
+        return found
+
 
 @cache
 def _squash() -> tuple[np.ndarray, np.ndarray]:
@@ -60,170 +74,183 @@ def _squash() -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
-    """State of all lanes (blocks): guesses, their confidences, adaptive probabilities, mixing weights and order-0 frequencies.
+    """State of all lanes: guesses with confidences, adaptive probabilities, mixing weights, hit rates and order-0 counts.
 
-    Arrays of both decisions (order-2 guess right, else order-1 guess right) and
-    their three inputs are stacked, so that a step is few vector operations.
+    Both decisions (order-2 guess right, else order-1 guess right) are stacked,
+    so that a step is few vector operations.  A guess is its id in the upper
+    bits of a cell and its confidence of 0 to 7 in the lower three.
     """
 
     def __init__(self, lanes: int, p: Params, id_bits: int):
-        self.p, self.step = p, 0
+        self.p, self.lanes, self.step = p, lanes, 0
         self.lane = np.arange(lanes)
+        self.low = p.low(id_bits)
         self.base = np.stack([self.lane, self.lane + lanes]) * p.contexts
-        self.guess = np.zeros(2 * lanes * p.contexts, np.int32)
-        self.trust = np.zeros(2 * lanes * p.contexts, np.int8)
+        self.table = np.zeros(2 * lanes * p.contexts, np.int32)
         start = np.array([100, 1400, 2200, 2900, 3300, 3600, 3800, 3900], np.int32) << 4
-        # rows: decision 0 and 1, each by confidence of order 2, of order 1 and by recent hits (order 0)
-        self.prob = np.tile(start, 6 * lanes)
-        self.cells = np.arange(6)[:, None] * (lanes * 8) + self.lane * 8
-        self.weight = np.full((2, 3, lanes), 1 << 15, np.int32)
-        self.recent = np.zeros((2, lanes), np.int32)
-        self.high = max(1, 1 << max(0, id_bits - p.low_bits))
-        self.inner = 1 << ((self.high.bit_length() - 1) // 2)
-        groups = self.high // self.inner
-        # high parts by lanes, and sums of ``inner`` of them: running sums go over whole rows
-        self.freq = np.ones((self.high, lanes), np.int32)
-        self.group = np.full((groups, lanes), self.inner, np.int32)
-        self.freq_sum = np.full(lanes, self.high, np.int64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self) -> None:
-        """Guesses of both orders and the shares of the coder's range that they get."""
-        squash, stretch = _squash()
+        # by decision, lane and confidence
+        self.prob = np.tile(start, 2 * lanes)
+        self.cells = np.stack([self.lane, self.lane + lanes]) * 8
+        self.weight = np.full((2, 2, lanes), 3 << 14, np.int32)
+        self.recent = np.full((2, lanes), 1 << 14, np.int32)
+        self.high = max(2, 1 << max(0, id_bits - self.low))
+        self.freq = np.full((self.high, lanes), 2, np.int32)
+        self.share = np.empty((self.high + 1, lanes), np.int32)
+        self._reshare()
+
+    def _reshare(self) -> None:
+        """Running order-0 shares of the high parts, from the counts: they sum to a fixed power of two."""
+        total = np.cumsum(self.freq, axis=0, dtype=np.int64)
+        free = (1 << _COUNT) - _LEAST * self.high
+        unit = (free << 24) // total[-1]
+        self.share[0] = 0
+        self.share[1:] = (total * unit >> 24) + _LEAST * np.arange(1, self.high + 1)[:, None]
+        self.share[-1] = 1 << _COUNT
+
+    def counted(self, ids: np.ndarray, step: int) -> None:
+        """Adds the high parts of the last ``ids`` (steps x lanes) to the counts; older counts fade."""
+        cell = (ids >> self.low).astype(np.int64) * self.lanes + self.lane
+        if step >= self.p.refresh:
+            self.freq -= self.freq >> 2
+        self.freq += 16 * np.bincount(cell.ravel(), minlength=self.freq.size).reshape(self.freq.shape).astype(np.int32)
+        self._reshare()
+
+    def refreshes(self, steps: int) -> list[int]:
+        """Steps before which the order-0 shares change: early ones at powers of two, later ones evenly apart."""
+        at, out = 8, []
+        while at < steps:
+            out.append(at)
+            at += min(at, self.p.refresh)
+        return out
+
+    def slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Table cells of both orders' contexts; the ids may be of many steps."""
+        last, before = last.astype(np.int64), before.astype(np.int64)
         mask = self.p.contexts - 1
-        slot = np.stack([(self.last * 0x9E3779B1 + self.before * 0x85EBCA77) >> 13, (self.last * 0xC2B2AE35) >> 11])
-        slot &= mask
-        slot += self.base
-        self.slot = slot
-        self.said = self.guess.take(slot)
-        self.sure = self.trust.take(slot)
+        return np.stack([((last * 0x9E3779B1 + before * 0x85EBCA77) >> 13 & mask) + self.base[0], ((last * 0xC2B2AE35) >> 11 & mask) + self.base[1]], axis=-2)
+
+    def predict(self, slot: np.ndarray) -> None:
+        """Guesses of both orders at ``slot`` and the shares of the coder's range that they get."""
+        squash, stretch = _squash()
+        self.entry = entry = self.table.take(slot)
+        self.said = entry >> 3
+        self.sure = sure = entry & 7
         self.same = self.said[0] == self.said[1]
-        cell = self.cells.copy()
-        cell[0] += self.sure[0]
-        cell[1] += self.sure[1]
-        cell[2] += self.recent[0] >> 13
-        cell[3] += self.sure[0]
-        cell[4] += self.sure[1]
-        cell[5] += self.recent[1] >> 13
-        self.cell, self.old = cell, self.prob.take(cell)
-        self.input = stretch.take(self.old >> 4).reshape(2, 3, -1)
-        dot = (self.weight * (self.input >> 1)).sum(axis=1) >> 15
-        np.clip(dot, -2047, 2047, out=dot)
-        self.chance = squash.take(dot + 2048)
-        self.share2 = np.clip(self.chance[0] << 4, 64, 49152).astype(np.int64)
-        rest = 65536 - self.share2
-        self.share1 = np.where(self.same, 0, np.clip((rest * self.chance[1]) >> 12, 16, rest - 12288))
-        self.left = rest - self.share1
-        self.both = self.share2 + self.share1
-
-    def update(self, ids: np.ndarray) -> None:
-        hit = self.said == ids
+        self.cell = self.cells + sure
+        self.old = self.prob.take(self.cell)
+        self.input = stretch.take(np.stack([self.old, self.recent], axis=1) >> 4)
+        dot = (self.weight[:, 0] * self.input[:, 0] + self.weight[:, 1] * self.input[:, 1]) >> 16
+        self.chance = squash.take(np.clip(dot, -2048, 2047) + 2048)
+        self.share2 = share2 = np.clip(self.chance[0] << 4, 64, 57344)
+        rest = 65536 - share2
+        share1 = np.minimum(np.maximum((rest * self.chance[1]) >> 12, 16), rest - 4096)
+        share1[self.same] = 0
+        self.share1 = share1
+        self.both = share2 + share1
+        self.left = rest - share1
+
+    def update(self, slot: np.ndarray, ids: np.ndarray, hit: np.ndarray) -> None:
+        """Learns that ``ids`` came; ``hit``: which guesses were right."""
         active = ~(hit[0] | self.same)
-        error = np.where(hit, 4095, 0) - self.chance
+        error = hit * np.int32(4095) - self.chance
         error[1] *= active
-        self.weight += (self.input * error[:, None]) >> 13
-        np.clip(self.weight, -(1 << 18), 1 << 18, out=self.weight)
-        aim = np.where(hit, 65535, 0).astype(np.int32)
-        change = (aim[:, None] - self.old.reshape(2, 3, -1)) >> 5
+        weight = self.weight
+        weight += (self.input * error[:, None]) >> 10
+        self.step += 1
+        if not self.step & 15:  # a weight moves less than 2 ** 13 in a step, so no product overflows between
+            np.clip(weight, -(1 << 18), 1 << 18, out=weight)
+        aim = hit * np.int32(65535)
+        change = (aim - self.old) >> 5
         change[1] *= active
-        self.prob[self.cell] = self.old + change.reshape(6, -1)
+        self.prob[self.cell] = self.old + change
         move = (aim - self.recent) >> 4
         move[1] *= active
         self.recent += move
         sure = self.sure
-        self.trust[self.slot] = np.where(hit, np.minimum(sure + 1, 7), sure >> 1)
-        self.guess[self.slot] = np.where(hit | (sure > 0), self.said, ids)
-        part = ids.astype(np.int64) >> self.p.low_bits
-        lanes = len(self.lane)
-        self.freq.reshape(-1)[part * lanes + self.lane] += 24
-        self.group.reshape(-1)[part // self.inner * lanes + self.lane] += 24
-        self.freq_sum += 24
-        self.step += 1
-        if self.step % 128 == 0:
-            self.freq -= self.freq >> 1
-            self.group = self.freq.reshape(-1, self.inner, lanes).sum(axis=1, dtype=np.int32)
-            self.freq_sum = self.group.sum(axis=0, dtype=np.int64)
-        self.before, self.last = self.last, ids.astype(np.int64)
-
-    def _inside(self, group: np.ndarray) -> np.ndarray:
-        """Running sums of the frequencies in each lane's group, inner x lanes."""
-        lanes = len(self.lane)
-        first = group * (self.inner * lanes) + self.lane
-        return np.cumsum(self.freq.take(first + np.arange(0, self.inner * lanes, lanes)[:, None]), axis=0, dtype=np.int32)
-
-    def span(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, end) of the high parts' shares, in 1/65536."""
-        lanes = len(self.lane)
-        group, own = part // self.inner, part % self.inner
-        at = group * lanes + self.lane
-        before = np.cumsum(self.group, axis=0, dtype=np.int32).take(at) - self.group.take(at)
-        upper = (before + self._inside(group).take(own * lanes + self.lane)).astype(np.int64)
-        lower = upper - self.freq.take(part * lanes + self.lane)
-        return self.both + lower * self.left // self.freq_sum, self.both + upper * self.left // self.freq_sum
-
-    def find(self, spot: np.ndarray) -> np.ndarray:
-        """The high part whose share holds each spot."""
-        spot = np.maximum(spot - self.both, 0)
-        # share of part k ends at floor(upper * left / sum) > spot, that is upper >= least
-        least = ((spot + 1) * self.freq_sum + self.left - 1) // self.left
-        total = np.cumsum(self.group, axis=0, dtype=np.int32)
-        group = np.minimum((total < least).sum(axis=0), len(total) - 1)
-        at = group * len(self.lane) + self.lane
-        least -= total.take(at) - self.group.take(at)
-        own = np.minimum((self._inside(group) < least).sum(axis=0), self.inner - 1)
-        return group * self.inner + own
+        entry = self.entry + _CONFIDENCE.take(sure + hit * np.int32(8))
+        fresh = ids << 3
+        entry -= fresh
+        entry *= hit | (sure > 0)
+        entry += fresh
+        self.table[slot] = entry
+
+
+def _windows(model: _Model, steps: int) -> Iterator[tuple[int, int]]:
+    """Runs of steps between changes of the order-0 shares."""
+    edges = [0, *model.refreshes(steps), steps]
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
+def _settle(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Lanes whose first word is settled or, where the range is too narrow, is made so by cutting the range."""
+    settled = (low ^ (low + width)) <= _LOW32
+    tight = width <= _LOW32
+    tight &= ~settled
+    if tight.any():
+        width[tight] = (~low[tight] + _U(1)) & _LOW32
+        settled |= tight
+    return settled
 
 
 def encode_blocks(ids: np.ndarray, p: Params, id_bits: int) -> tuple[list[bytes], np.ndarray]:
     """(code of each block, CRC-32 of each block's ids as little-endian 32-bit) of a run of ids."""
     if not len(ids):
         return [], np.zeros(0, np.int64)
-    lanes = -(-len(ids) // p.block)
-    grid = np.zeros((p.block, lanes), np.int64)
-    padded = np.concatenate([ids, np.zeros(lanes * p.block - len(ids), ids.dtype)])
-    grid[:] = padded.reshape(lanes, p.block).T
-    steps = min(p.block, len(ids))
+    lanes, steps = -(-len(ids) // p.block), min(p.block, len(ids))
+    padded = np.zeros(lanes * p.block, np.int32)
+    padded[: len(ids)] = ids
+    # two rows of zeros before the first id are its contexts
+    grid = np.zeros((steps + 2, lanes), np.int32)
+    grid[2:] = padded.reshape(lanes, p.block).T[:steps]
+    del padded
     model = _Model(lanes, p, id_bits)
+    bits = model.low
+    mask, scale, unit_bits = (1 << bits) - 1, np.int64(1 << bits), _U(_SHARE + bits)
     low, width = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    out = np.zeros((lanes, 2 * p.block + 8), np.uint32)
-    used = np.zeros(lanes, np.int64)
-
-    def code(at: np.ndarray, size: np.ndarray, bits: int, on: np.ndarray | None) -> None:
-        nonlocal low, width
-        unit = width >> _U(bits)
-        new_low, new_width = low + unit * at.astype(_U), unit * size.astype(_U)
-        if on is not None:
-            new_low, new_width = np.where(on, new_low, low), np.where(on, new_width, width)
-        low, width = new_low, new_width
-        settled = (low ^ (low + width)) < (_U(1) << _WORD)
-        tight = ~settled & (width < (_U(1) << _WORD))
-        move = np.flatnonzero(settled | tight)
-        if len(move):
-            width[tight] = (~low[tight] + _U(1)) & _LOW32
-            out[move, used[move]] = (low[move] >> _WORD).astype(np.uint32)
-            used[move] += 1
-            low[move] <<= _WORD
-            width[move] <<= _WORD
-
+    out = np.zeros((lanes, steps + 8), np.uint32)
+    flat = out.reshape(-1)
+    at_word = np.arange(lanes) * out.shape[1]
     with np.errstate(over="ignore"):
-        for step in range(steps):
-            now = grid[step]
-            model.predict()
-            hit2 = now == model.said[0]
-            hit1 = ~hit2 & (now == model.said[1])
-            plain = ~hit2 & ~hit1
-            part = now >> p.low_bits
-            begin, end = model.span(part)
-            at = np.where(hit2, 0, np.where(hit1, model.share2, begin))
-            size = np.where(hit2, model.share2, np.where(hit1, model.share1, end - begin))
-            code(at, size, _TOTAL_BITS, None)
-            code(now & ((1 << p.low_bits) - 1), np.ones(lanes, np.int64), p.low_bits, plain)
-            model.update(now.astype(np.int32))
+        for first, end in _windows(model, steps):
+            if first:
+                model.counted(grid[last_first + 2 : first + 2], first)
+            last_first = first
+            rows = grid[first + 2 : end + 2]
+            slots = model.slots(grid[first + 1 : end + 1], grid[first : end])
+            cell = (rows >> bits).astype(np.int64) * lanes + model.lane
+            begins, ends = model.share.take(cell), model.share.take(cell + lanes)
+            lows = (rows & mask).astype(np.int64)
+            for k in range(end - first):
+                now, slot = rows[k], slots[k]
+                model.predict(slot)
+                hit = model.said == now
+                begin = model.both + (begins[k] * model.left >> _COUNT)
+                size = (model.both + (ends[k] * model.left >> _COUNT) - begin).astype(np.int64)
+                at = begin * scale + lows[k] * size
+                # products with truth values choose: random masks are slower
+                first_share, second = model.share2 * scale, hit[1] > hit[0]
+                plain = ~(hit[0] | second)
+                at *= plain
+                at += first_share * second
+                size *= plain
+                size += first_share * hit[0]
+                size += model.share1 * (scale * second)
+                unit = width >> unit_bits
+                low += unit * at.view(_U)
+                width = unit * size.view(_U)
+                move = _settle(low, width)
+                flat[at_word] = low >> _WORD  # a lane that does not move on writes its word again
+                at_word += move
+                shift = move * _WORD
+                low <<= shift
+                width <<= shift
+                model.update(slot, now, hit)
         for _ in range(2):
-            out[model.lane, used] = (low >> _WORD).astype(np.uint32)
-            used += 1
+            flat[at_word] = low >> _WORD
+            at_word += 1
             low = low << _WORD
     little = ids.astype("<u4")
+    used = at_word - np.arange(lanes) * out.shape[1]
     codes = [out[k, : used[k]].astype("<u4").tobytes() for k in range(lanes)]
     return codes, np.array([zlib.crc32(little[k * p.block : (k + 1) * p.block].tobytes()) for k in range(lanes)], np.int64)
 
@@ -234,51 +261,63 @@ def decode_blocks(codes: list[bytes], count: int, sums: np.ndarray, p: Params, i
     if not lanes:
         return np.zeros(0, np.int32)
     size = np.array([len(c) // 4 for c in codes])
-    source = np.zeros((lanes, int(size.max()) + 8), np.uint32)
+    source = np.zeros((lanes, int(size.max()) + 8), _U)
     for k, c in enumerate(codes):
         source[k, : size[k]] = np.frombuffer(c, "<u4")
+    flat = source.reshape(-1)
     model = _Model(lanes, p, id_bits)
+    bits = model.low
+    scale, unit_bits, top = np.int64(1 << bits), _U(_SHARE + bits), _U((1 << (_SHARE + bits)) - 1)
     low, width = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    value = source[:, 0].astype(_U) << _WORD | source[:, 1].astype(_U)
-    used = np.full(lanes, 2)
+    value = source[:, 0] << _WORD | source[:, 1]
+    at_word = np.arange(lanes) * source.shape[1] + 2
     steps = min(p.block, count)
-    grid = np.zeros((p.block, lanes), np.int32)
-    last = source.shape[1] - 1
-
-    def take(at: np.ndarray, share: np.ndarray, unit: np.ndarray, on: np.ndarray | None) -> None:
-        nonlocal low, width
-        new_low, new_width = low + unit * at.astype(_U), unit * share.astype(_U)
-        if on is not None:
-            new_low, new_width = np.where(on, new_low, low), np.where(on, new_width, width)
-        low, width = new_low, new_width
-        settled = (low ^ (low + width)) < (_U(1) << _WORD)
-        tight = ~settled & (width < (_U(1) << _WORD))
-        move = np.flatnonzero(settled | tight)
-        if len(move):
-            width[tight] = (~low[tight] + _U(1)) & _LOW32
-            low[move] <<= _WORD
-            width[move] <<= _WORD
-            value[move] = value[move] << _WORD | source[move, np.minimum(used[move], last)].astype(_U)
-            used[move] += 1
-
+    grid = np.zeros((steps + 2, lanes), np.int32)
     with np.errstate(over="ignore"):
-        for step in range(steps):
-            model.predict()
-            unit = width >> _U(_TOTAL_BITS)
-            spot = np.minimum((value - low) // unit, _U(65535)).astype(np.int64)
-            hit2, plain = spot < model.share2, spot >= model.both
-            part = model.find(spot)
-            begin, end = model.span(part)
-            at = np.where(hit2, 0, np.where(plain, begin, model.share2))
-            share = np.where(hit2, model.share2, np.where(plain, end - begin, model.share1))
-            take(at, share, unit, None)
-            unit = width >> _U(p.low_bits)
-            rest = np.minimum((value - low) // unit, _U((1 << p.low_bits) - 1)).astype(np.int64)
-            take(rest, np.ones(lanes, np.int64), unit, plain)
-            now = np.where(hit2, model.said[0], np.where(plain, part << p.low_bits | rest, model.said[1])).astype(np.int32)
-            grid[step] = now
-            model.update(now)
-    ids = np.ascontiguousarray(grid.T).ravel()[:count]
+        for first, end in _windows(model, steps):
+            if first:
+                model.counted(grid[last_first + 2 : first + 2], first)
+            last_first = first
+            shares = model.share.reshape(-1)
+            for k in range(first, end):
+                slot = model.slots(grid[k + 1], grid[k])
+                model.predict(slot)
+                unit = width >> unit_bits
+                spot = np.minimum((value - low) // unit, top).view(np.int64)
+                share = (spot >> bits).astype(np.int32)
+                hit2 = share < model.share2
+                now = np.where(hit2, model.said[0], model.said[1])
+                at = np.where(hit2, 0, model.share2 * scale)
+                size = np.where(hit2, model.share2, model.share1) * scale
+                plain = np.flatnonzero(share >= model.both)
+                if len(plain):
+                    both, left = model.both[plain], model.left[plain]
+                    # a part's share begins at floor(shares * left): it is the last one at or before this
+                    most = (((share[plain] - both + 1) << _COUNT) - 1) // left
+                    place, jump = plain, model.high >> 1
+                    while jump:
+                        up = place + jump * lanes
+                        place = np.where(shares.take(up) <= most, up, place)
+                        jump >>= 1
+                    begin = both + (shares.take(place) * left >> _COUNT)
+                    own = (both + (shares.take(place + lanes) * left >> _COUNT) - begin).astype(np.int64)
+                    begin = begin * scale
+                    rest = (spot[plain] - begin) // own
+                    now[plain] = (place // lanes << bits) + rest
+                    at[plain] = begin + rest * own
+                    size[plain] = own
+                grid[k + 2] = now
+                low += unit * at.view(_U)
+                width = unit * size.view(_U)
+                move = _settle(low, width)
+                shift = move * _WORD
+                low <<= shift
+                width <<= shift
+                value <<= shift
+                value |= flat.take(at_word, mode="clip") * move
+                at_word += move
+                model.update(slot, now, model.said == now)
+    ids = np.ascontiguousarray(grid[2:].T).ravel()[:count] if lanes > 1 else grid[2:, 0][:count]
     little = ids.astype("<u4")
     for k in range(lanes):
         if zlib.crc32(little[k * p.block : (k + 1) * p.block].tobytes()) != sums[k]:
@@ -292,8 +331,11 @@ _FRAME = "part int, frame int, id_bits int, count bigint, ids array<bigint>, siz
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encodes every whole text with the tokenizers library, adds ``end_id`` to each and writes files in ascending id order.
 
-    Null text is empty, a null id sorts first, equal ids keep together in any
-    order; an empty table writes no frame.  Texts are range-partitioned by id
+    Every text is cut into pre-tokens by the library's own published pattern
+    (tests compare with the library on whole texts, fuzzed ones too) and the
+    library encodes the distinct ones.  Null text is empty, a null id sorts
+    first, rows of equal id are in order of their text; an empty table writes no
+    frame.  Other columns are not read.  Texts are range-partitioned by id
     (balanced, whatever the sources' sizes) and sorted in their partitions.
     """
     p, file = params, tokenizer or bpe.default_tokenizer()
@@ -334,8 +376,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, params:
     lists = pa.list_(pa.int64())
     arrow = pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("id_bits", pa.int32()), ("count", pa.int64()), ("ids", lists), ("sizes", lists), ("sums", lists), ("codes", pa.list_(pa.binary()))])
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    ordered.mapInArrow(run, _FRAME).write.option("compression", "uncompressed").parquet(path)
+    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    textbytes.map_texts(ordered, run, _FRAME).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_ids(spark, path: str, params: Params = Params(), keep_ids: bool = True) -> DataFrame:
@@ -364,7 +406,7 @@ def read_ids(spark, path: str, params: Params = Params(), keep_ids: bool = True)
 
     fields = [("part", "int"), ("frame", "int"), ("doc_id", "bigint"), ("at", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint"), *([("ids", "array<int>")] if keep_ids else [])]
     names = [f for f, _ in fields]
-    found = frames.mapInArrow(run, ", ".join(f"{f} {k}" for f, k in fields))
+    found = textbytes.map_texts(frames, run, ", ".join(f"{f} {k}" for f, k in fields))
     return found.join(offsets, ["part", "frame"]).select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 
 

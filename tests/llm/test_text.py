@@ -93,8 +93,9 @@ def test_unigram_forward_equals_plain_dynamic_programming(spark):
 def test_range_coder_round_trip(ids, block):
     p = tokenfile.Params(block=block)
     x = np.array(ids, np.int32)
-    codes, sums = tokenfile.encode_blocks(x, p, 16)
-    assert (tokenfile.decode_blocks(codes, len(x), sums, p, 16) == x).all()
+    for bits in (16, 24):
+        codes, sums = tokenfile.encode_blocks(x * (1 << bits - 16), p, bits)
+        assert (tokenfile.decode_blocks(codes, len(x), sums, p, bits) == x * (1 << bits - 16)).all()
 
 
 def test_range_coder_blocks_are_apart_and_checked():
@@ -123,6 +124,16 @@ def test_token_files(spark, library, tmp_path):
     assert tokenfile.round_trip(docs(spark, [])).count() == 0
 
 
+def test_token_files_with_null_and_repeated_ids(spark, library):
+    rows = [(3, "three"), (None, "none"), (3, "another three"), (3, "three"), (1, None)]
+    got = tokenfile.round_trip(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).orderBy("start").collect()
+    at = 0
+    for r, (i, t) in zip(got, [(None, "none"), (1, ""), (3, "another three"), (3, "three"), (3, "three")], strict=True):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def words_of(t):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
