@@ -295,12 +295,14 @@ def near_duplicate_vectors(table: DataFrame, least: float = 0.93, params: Params
     components, null labels and null ids link with nothing (component_id is the
     own id; a null id stays null and is kept).  Vectors of another length than
     most never meet: lengths are compared apart.  Equal vectors of a label count
-    as links of one another without being searched.  Repeated rows of one id
-    count as one vector.  Other columns are not read.
+    as links of one another without being searched.  Of rows that
+    repeat an id, the one of the smallest label and vector counts.  Other columns are not read.
     """
     p = params
     rows = table.select(table[id_col].cast("bigint").alias("id"), table[vector_col].cast("array<double>").alias("vector"), table[label_col].cast("string").alias("label"))
-    base = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector"))).dropDuplicates(["id"])
+    base = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector")))
+    # of rows that repeat an id, the one of the smallest label and vector counts
+    base = base.groupBy("id").agg(F.min(F.struct("label", "vector")).alias("x")).select("id", "x.*")
     base = materialize(base.withColumn("label", F.concat_ws(":", F.size("vector"), "label")), "vectors")
     same = base.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     same = materialize(same, "distinct-vectors")

@@ -222,14 +222,15 @@ def _predict(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[s
     return [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), has.tolist(), strict=True)], score
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred string`` and ``lang_score double`` added.
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the predicted language (string) and its score (double) added under ``names``.
 
     Only the text is looked at.  ``und`` with score 0 where text is null or has
     no letter, or the model knows no language.  Columns of these two names in
-    the input are replaced; all others are kept as they are.  A narrow map.
+    the input are replaced, so a caller who wants to keep them gives other
+    names; all others are kept as they are.  A narrow map.
     """
-    keep = docs.drop("lang_pred", "lang_score")
+    keep = docs.drop(*names)
     at = keep.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +238,9 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             for a, b, buf, offsets in textbytes.chunks(batch.column(at)):
                 language, score = _predict(model, buf, offsets)
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(language, pa.string()), pa.array(score)], names=[*own.schema.names, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(language, pa.string()), pa.array(score)], names=[*own.schema.names, *names])
 
-    schema = T.StructType([*keep.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*keep.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return textbytes.map_texts(keep, run, schema)
 
 

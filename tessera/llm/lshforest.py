@@ -113,7 +113,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, params: Params = P
 
     ``queries`` has the same columns as ``table``.  A row is never its own
     query's neighbour.  Null or zero vectors, vectors with null or non-finite
-    components and null ids take no part; rows that repeat an id count once;
+    components and null ids take no part; of rows that repeat an id the smallest vector counts;
     vectors of another length than the query's are no candidates.  Fewer than
     ``k`` candidates give fewer rows, an empty table none.  Rows are dealt into
     shards of bounded size, queries into blocks; every block meets every shard.
@@ -122,7 +122,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, params: Params = P
 
     def clean(df: DataFrame) -> DataFrame:
         rows = df.select(df[id_col].cast("bigint").alias("id"), df[vector_col].cast("array<double>").alias("vector"))
-        return rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["id"]).withColumn("dim", F.size("vector"))
+        # of rows that repeat an id, the one of the smallest vector counts
+        return rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
 
     rows, asked = materialize(clean(table), "vectors"), materialize(clean(queries), "queries")
     counts = materialize(

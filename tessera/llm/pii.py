@@ -1,11 +1,14 @@
 """Personal data by rules and bootstrapped contextual extraction (operator 8).
 
-Only DataFrame and SQL functions.  Base rules give the seed entities.  The
-words left of a seed are lexical patterns; the same patterns before other
-identifier-like tokens make a pattern-instance graph.  Pattern confidence (share
-of its instances believed in, seeds counting one) and instance belief (chance
-that not all of its patterns err) are computed in turns, and patterns of high
-confidence and support name instances that no rule knows.
+Only DataFrame and SQL functions.  Base rules give the seed entities of four
+kinds; a fifth kind, secrets, is seeded by long random-looking strings that a
+name is set to.  Words left and right of an entity, and the name that it is set
+to, are lexical patterns; the same patterns beside other identifier-like tokens
+make a pattern-instance graph.  In each generation a pattern's confidence (the
+belief in its distinct values over their number and one) and the belief in a
+value (chance that not all of its accepted patterns err) are computed in turns;
+values believed in are seeds of the next generation, so new patterns may follow
+from them.  Accepted patterns name identifiers that no rule knows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.storage import materialize
 
+#: Kinds of the base rules; the method may add spans of these and of LEARNED kinds.
 KINDS = ("email", "ip", "card", "phone")
+LEARNED = (*KINDS, "secret")
 
 # The base rules' patterns, with possessive repeats and look-behinds that leave
 # the matches as they are but keep long runs of one class linear.
@@ -41,26 +46,38 @@ _VALID = {
     "phone": "length(translate(x.value, '+ ().-', '')) BETWEEN 8 AND 15",
 }
 _TOKEN = r"(?<!\S)(?=\S*?[0-9@])\S++"
-_SPAN = "array<struct<kind:int,s:int,e:int,value:string,context:string>>"
+#: A secret's seed: long, of letters and digits, and a name is set to it.
+_SECRET = "t.value rlike '^[A-Za-z0-9+/_=-]{32,}$' AND t.value rlike '[0-9]' AND t.value rlike '[A-Za-z]' AND exists(t.at, c -> startswith(c, 'set:'))"
+_SPAN = "array<struct<kind:int,s:int,e:int,value:string,at:array<string>>>"
 
 
 @dataclass(frozen=True)
 class Params:
-    """rounds of scoring; support: distinct seed values of a pattern; confidence of patterns and belief in instances that are enough; reach: characters looked at for the two words before an entity."""
+    """generations of scoring; support: distinct believed values of a pattern; confidence of patterns and belief in values that are enough; reach: characters looked at on either side of an entity."""
 
-    rounds: int = 3
+    generations: int = 3
     support: int = 5
-    confidence: float = 0.8
+    confidence: float = 0.85
     belief: float = 0.8
     reach: int = 64
 
 
+def _patterns(reach: int) -> str:
+    """SQL: the lexical patterns between ``p``, the text before an entity, and ``q``, the text after it."""
+    words = f"filter(split(lower(regexp_replace(right(p, {reach}), '[^\\\\p{{L}}]+', ' ')), ' '), w -> w <> '')"
+    two = f"transform(array({words}), ws -> CASE WHEN size(ws) > 1 THEN concat('two:', ws[size(ws) - 2], ' ', ws[size(ws) - 1]) END)[0]"
+    one = f"transform(array({words}), ws -> CASE WHEN size(ws) > 0 THEN concat('one:', ws[size(ws) - 1]) END)[0]"
+    set_ = f"nullif(concat('set:', regexp_extract(lower(right(p, {reach})), '([\\\\p{{L}}_][\\\\p{{L}}\\\\p{{N}}_-]*)[\"\\']?\\\\s*[=:][\\\\s\"\\']*$', 1)), 'set:')"
+    after = f"nullif(concat('after:', regexp_extract(lower(left(q, {reach})), '^[^\\\\p{{L}}]*(\\\\p{{L}}+)', 1)), 'after:')"
+    return f"array_compact(array({two}, {one}, {set_}, {after}))"
+
+
 def _matches(pattern: str, kind: int, reach: int) -> str:
     """SQL: spans of all matches, by the lengths of what lies between them."""
     quoted = "r'" + pattern.replace("'", "\\'") + "'"
-    words = f"array_join(slice(reverse(filter(split(lower(regexp_replace(right(p, {reach}), '[^\\\\p{{L}}]+', ' ')), ' '), w -> w <> '')), 1, 2), ' ')"
-    zipped = f"zip_with(slice(split(text, {quoted}, -1), 1, size(regexp_extract_all(text, {quoted}, 0))), regexp_extract_all(text, {quoted}, 0), (p, h) -> struct(length(p) AS gap, length(h) AS len, h AS value, {words} AS context))"
-    step = "struct(a.pos + z.gap + z.len AS pos, concat(a.found, array(struct({kind} AS kind, a.pos + z.gap AS s, a.pos + z.gap + z.len AS e, z.value AS value, z.context AS context))) AS found)".format(kind=kind)
+    gaps, hits = f"split(text, {quoted}, -1)", f"regexp_extract_all(text, {quoted}, 0)"
+    zipped = f"transform(array({gaps}), g -> zip_with(zip_with(slice(g, 1, size(g) - 1), {hits}, (p, h) -> struct(p, h)), slice(g, 2, size(g) - 1), (x, q) -> transform(array(x.p), p -> struct(length(p) AS gap, length(x.h) AS len, x.h AS value, {_patterns(reach)} AS at))[0]))[0]"
+    step = "struct(a.pos + z.gap + z.len AS pos, concat(a.found, array(struct({kind} AS kind, a.pos + z.gap AS s, a.pos + z.gap + z.len AS e, z.value AS value, z.at AS at))) AS found)".format(kind=kind)
     return f"aggregate({zipped}, struct(0 AS pos, cast(array() AS {_SPAN}) AS found), (a, z) -> {step}, a -> a.found)"
 
 
@@ -77,48 +94,63 @@ def _scanned(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFram
     """``id, mark, base, tokens`` of each row: base spans and identifier-like tokens outside them, from one pass over the texts."""
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(p.reach))
-    tokens = f"CASE WHEN text rlike '[0-9@]' THEN {_matches(_TOKEN, -1, p.reach)} ELSE cast(array() AS {_SPAN}) END"
-    # a token's own left text holds the words since the last token, so contexts never span two identifiers
-    outside = f"filter({tokens}, t -> t.context <> '' AND length(t.value) >= 5 AND NOT exists(base, b -> b.s < t.e AND t.s < b.e))"
-    return rows.select("id", F.xxhash64("id", "text").alias("mark"), "base", F.expr(outside).alias("tokens"))
+    found = f"CASE WHEN text rlike '[0-9@]' THEN {_matches(_TOKEN, -1, p.reach)} ELSE cast(array() AS {_SPAN}) END"
+    # signs around a token are not of it; the text beside a token ends at the next token, so patterns never span two
+    lead = "length(regexp_extract(t.value, '^[^A-Za-z0-9]*', 0))"
+    core = "regexp_extract(t.value, '[A-Za-z0-9](?:.*[A-Za-z0-9])?', 0)"
+    cores = f"transform({found}, t -> struct(t.kind AS kind, t.s + {lead} AS s, t.s + {lead} + length({core}) AS e, {core} AS value, t.at AS at))"
+    outside = f"filter({cores}, t -> size(t.at) > 0 AND length(t.value) >= 5 AND NOT exists(base, b -> b.s < t.e AND t.s < b.e))"
+    seeded = f"transform({outside}, t -> struct(CASE WHEN {_SECRET} THEN {len(KINDS)} ELSE -1 END AS kind, t.s AS s, t.e AS e, t.value AS value, t.at AS at))"
+    return rows.select("id", _mark(F.col("id"), F.col("text")), "base", F.expr(seeded).alias("tokens"))
+
+
+def _mark(id_: Column, text: Column) -> Column:
+    """128 bits of a row's id and text."""
+    return F.struct(F.xxhash64(id_, text).alias("a"), F.xxhash64(text, id_, F.lit(1)).alias("b")).alias("mark")
 
 
 def learned_spans(scanned: DataFrame, p: Params) -> DataFrame:
-    """``mark, spans`` of entities that only accepted patterns name."""
-    seeds = scanned.select("mark", F.explode("base").alias("x")).select("mark", "x.*").where("context <> ''")
-    others = scanned.select("mark", F.explode("tokens").alias("x")).select("mark", "x.*")
-    edges = seeds.groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.lit(True))
-    known = seeds.select("context").distinct()
-    loose = others.join(known, "context", "left_semi").groupBy("context", "value").agg(F.count(F.lit(1)).alias("n"))
-    edges = materialize(edges.unionByName(loose.select("context", "value", F.lit(-1).alias("kind"), "n", F.lit(False).alias("seed"))), "pii-graph")
-    kinds = edges.where("seed").groupBy("context", "kind").agg(F.count_distinct("value").alias("support"))
-    total = edges.groupBy("context").agg(F.count_distinct("value").alias("total"))
-    patterns = materialize(kinds.join(total, "context").withColumn("confidence", F.col("support") / F.col("total")), "pii-patterns")
-    grown = edges.where("not seed").select("context", "value").distinct()
-    belief = None
-    for _ in range(p.rounds):
-        # belief: one minus the chance that all patterns of the value err
-        belief = grown.join(patterns.select("context", "kind", "confidence"), "context").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("belief"))
-        gained = grown.join(belief, "value").groupBy("context", "kind").agg(F.sum("belief").alias("gained"))
-        patterns = patterns.select("context", "kind", "support", "total").join(gained, ["context", "kind"], "left").withColumn("confidence", (F.col("support") + F.coalesce("gained", F.lit(0.0))) / F.col("total"))
-        patterns = materialize(patterns, "pii-patterns")
-    fit = patterns.where((F.col("support") >= p.support) & (F.col("confidence") >= p.confidence) & (F.col("support") >= 0.5 * F.col("total")))
-    sure = belief.where(F.col("belief") >= p.belief).select("value", "kind")
-    found = others.drop("kind").join(fit.select("context", "kind"), "context").join(sure, ["value", "kind"], "left_semi")
-    return found.groupBy("mark").agg(F.collect_set(F.struct("kind", "s", "e")).alias("more"))
+    """``mark, more`` (kind, s, e) of the entities that accepted patterns name."""
+    beside = lambda c: scanned.select("mark", F.explode(c).alias("x")).select("mark", "x.*").select("mark", "kind", "s", "e", "value", F.explode("at").alias("pattern"))
+    tokens = beside("tokens")
+    # distinct values of a pattern first: a hot pattern or value is one row from each task
+    graph = materialize(beside("base").unionByName(tokens).groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-graph")
+    total = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    seeds = graph.where("kind >= 0").select("value", "kind").distinct().withColumn("belief", F.lit(1.0))
+    believed, fit, accepted = seeds, None, -1
+    for _ in range(p.generations):
+        linked = graph.select("pattern", "value").join(believed, "value")
+        sums = linked.groupBy("pattern", "kind").agg(F.sum("belief").alias("sum"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= p.support)
+        scored = sums.join(total, "pattern").withColumn("confidence", F.col("sum") / (F.col("total") + 1))
+        fit = materialize(scored.where(F.col("confidence") >= p.confidence).select("pattern", "kind", "confidence"), "pii-patterns")
+        now = fit.count()
+        if now == accepted or not now:
+            break
+        accepted = now
+        # belief: one minus the chance that all accepted patterns of the value err
+        chance = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
+        grown = graph.where("kind < 0").select("pattern", "value").join(fit, "pattern").groupBy("value", "kind").agg(chance.alias("belief")).where(F.col("belief") >= p.belief)
+        believed = materialize(seeds.unionByName(grown), "pii-believed")
+    sure = believed.select("value", "kind").distinct()
+    named = tokens.drop("kind").join(fit.select("pattern", "kind"), "pattern").join(sure, ["value", "kind"], "left_semi")
+    return named.groupBy("mark").agg(F.collect_set(F.struct("kind", "s", "e")).alias("more"))
 
 
 _PLAIN = "array<struct<kind:int,s:int,e:int>>"
 
 
 def _joined(spans: str) -> Column:
-    names = ", ".join(f"'{k}'" for k in KINDS)
+    names = ", ".join(f"'{k}'" for k in LEARNED)
     return F.expr(f"array_join(transform({spans}, x -> concat_ws(':', element_at(array({names}), x.kind + 1), cast(x.s AS string), cast(x.e AS string))), ',')")
 
 
+def _plain() -> Column:
+    return F.expr(f"cast(transform(base, x -> struct(x.kind, x.s, x.e)) AS {_PLAIN})")
+
+
 def _with_learned(rows: DataFrame, more: DataFrame) -> DataFrame:
     """``rows`` with column ``spans``: base and learned ones, by kind and start."""
-    plain = F.expr(f"cast(transform(base, x -> struct(x.kind, x.s, x.e)) AS {_PLAIN})")
+    plain = _plain()
     if more.isEmpty():
         return rows.withColumn("spans", plain)
     return rows.join(more, "mark", "left").withColumn("spans", F.array_sort(F.array_union(plain, F.coalesce(F.col("more"), F.expr(f"cast(array() AS {_PLAIN})"))))).drop("more")
@@ -128,8 +160,8 @@ def find(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", tex
     """Personal data in every whole text.
 
     Returns ``id, n_email, n_ip, n_card, n_phone long`` (base spans),
-    ``base_sha256 string``, ``spans string`` (base and learned), one row per
-    input row.  Null or empty text has none.  A null id stays null; repeated
+    ``base_sha256 string``, ``spans string`` (base and learned), ``n_learned,
+    n_spans long``, one row per input row.  Null or empty text has none.  A null id stays null; repeated
     rows stay repeated.  Other columns are not read.  Texts are read once; only
     spans are kept and shuffled.
     """
@@ -137,7 +169,7 @@ def find(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", tex
     more = materialize(learned_spans(scanned, params), "pii-learned")
     out = _with_learned(scanned, more)
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) AS bigint)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return out.select(F.col("id").alias(id_col), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return out.select(F.col("id").alias(id_col), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size(F.array_except("spans", _plain())).cast("bigint").alias("n_learned"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def redact(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,10 +180,10 @@ def redact(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", t
     """
     scanned = materialize(_scanned(docs, params, id_col, text_col), "pii-spans")
     more = materialize(learned_spans(scanned, params), "pii-learned")
-    names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
+    names = ", ".join(f"'[{k.upper()}]'" for k in LEARNED)
     names_ = docs.columns
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    inner = docs.select(F.struct(*[docs[c] for c in names_]).alias("row"), F.xxhash64(docs[id_col], text).alias("mark"), text.alias("text")).withColumn("base", base_spans(params.reach))
+    inner = docs.select(F.struct(*[docs[c] for c in names_]).alias("row"), _mark(docs[id_col], text), text.alias("text")).withColumn("base", base_spans(params.reach))
     own = _with_learned(inner, more).withColumn("spans", F.expr("array_sort(spans, (x, y) -> CASE WHEN x.s <> y.s THEN x.s - y.s ELSE y.e - x.e END)"))
     clean = f"""CASE WHEN size(spans) = 0 THEN text ELSE aggregate(spans, struct(0 AS pos, '' AS out), (a, x) -> CASE WHEN x.s < a.pos
         THEN struct(greatest(a.pos, x.e) AS pos, a.out AS out)

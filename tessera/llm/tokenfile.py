@@ -8,9 +8,8 @@ lanes) are coded side by side, one id of every block at a time, in integer
 arithmetic only, so that any machine decodes what another encoded.
 
 For each id, a table of order-2 contexts and one of order-1 contexts each guess
-an id.  The adaptive probability of a guess, by its confidence, and the lane's
-recent hit rate (order 0) are mixed in the logistic domain with weights learned
-on the way.  The mixed probabilities split the coder's range into "the order-2
+an id.  A guess's confidence and the lane's recent hit rate (order 0) are mixed
+in the logistic domain with weights learned on the way.  The mixed probabilities split the coder's range into "the order-2
 guess", "the order-1 guess" and the order-0 shares of the id's high part, which
 follow the lane's own counts; the low part takes equal shares of the high
 part's.  One step of the coder takes all of an id.
@@ -38,7 +37,8 @@ _LOW32 = _U(0xFFFFFFFF)
 _SHARE, _COUNT, _LEAST = 16, 14, 4
 
 
-#: Change of a guess's confidence by the old one, after a miss (it is halved) and after a hit (one more, 7 at most).
+#: What a guess's confidence says in the logistic domain, and how it changes by the old one, after a miss (it is halved) and after a hit (one more, 7 at most).
+_BELIEF = np.array([-1900, -250, 60, 340, 540, 780, 1050, 1300], np.int32)
 _CONFIDENCE = np.array([-((c + 1) >> 1) for c in range(8)] + [1] * 7 + [0], np.int32)
 
 
@@ -74,7 +74,7 @@ def _squash() -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
-    """State of all lanes: guesses with confidences, adaptive probabilities, mixing weights, hit rates and order-0 counts.
+    """State of all lanes: guesses with confidences, mixing weights, hit rates and order-0 counts.
 
     Both decisions (order-2 guess right, else order-1 guess right) are stacked,
     so that a step is few vector operations.  A guess is its id in the upper
@@ -87,11 +87,8 @@ class _Model:
         self.low = p.low(id_bits)
         self.base = np.stack([self.lane, self.lane + lanes]) * p.contexts
         self.table = np.zeros(2 * lanes * p.contexts, np.int32)
-        start = np.array([100, 1400, 2200, 2900, 3300, 3600, 3800, 3900], np.int32) << 4
-        # by decision, lane and confidence
-        self.prob = np.tile(start, 2 * lanes)
-        self.cells = np.stack([self.lane, self.lane + lanes]) * 8
         self.weight = np.full((2, 2, lanes), 3 << 14, np.int32)
+        self.input = np.empty((2, 2, lanes), np.int32)
         self.recent = np.full((2, lanes), 1 << 14, np.int32)
         self.high = max(2, 1 << max(0, id_bits - self.low))
         self.freq = np.full((self.high, lanes), 2, np.int32)
@@ -106,6 +103,13 @@ class _Model:
         self.share[0] = 0
         self.share[1:] = (total * unit >> 24) + _LEAST * np.arange(1, self.high + 1)[:, None]
         self.share[-1] = 1 << _COUNT
+        # begin and end of a part in one cell
+        self.ends = self.share[:-1] << _COUNT + 1 | self.share[1:]
+
+    def span(self, ends: np.ndarray, both: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) in the coder's range of parts by their cells."""
+        begin = both + ((ends >> _COUNT + 1) * left >> _COUNT)
+        return begin.astype(np.int64), (both + ((ends & (2 << _COUNT) - 1) * left >> _COUNT) - begin).astype(np.int64)
 
     def counted(self, ids: np.ndarray, step: int) -> None:
         """Adds the high parts of the last ``ids`` (steps x lanes) to the counts; older counts fade."""
@@ -125,9 +129,12 @@ class _Model:
 
     def slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Table cells of both orders' contexts; the ids may be of many steps."""
-        last, before = last.astype(np.int64), before.astype(np.int64)
-        mask = self.p.contexts - 1
-        return np.stack([((last * 0x9E3779B1 + before * 0x85EBCA77) >> 13 & mask) + self.base[0], ((last * 0xC2B2AE35) >> 11 & mask) + self.base[1]], axis=-2)
+        last, before = last.view(np.uint32), before.view(np.uint32)
+        out = np.empty((*last.shape[:-1], 2, self.lanes), np.int64)
+        shift = np.uint32(32 - (self.p.contexts.bit_length() - 1))
+        np.add((last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA77)) >> shift, self.base[0], out=out[..., 0, :], casting="unsafe")
+        np.add((last * np.uint32(0xC2B2AE35)) >> shift, self.base[1], out=out[..., 1, :], casting="unsafe")
+        return out
 
     def predict(self, slot: np.ndarray) -> None:
         """Guesses of both orders at ``slot`` and the shares of the coder's range that they get."""
@@ -136,9 +143,8 @@ class _Model:
         self.said = entry >> 3
         self.sure = sure = entry & 7
         self.same = self.said[0] == self.said[1]
-        self.cell = self.cells + sure
-        self.old = self.prob.take(self.cell)
-        self.input = stretch.take(np.stack([self.old, self.recent], axis=1) >> 4)
+        self.input[:, 0] = _BELIEF.take(sure)
+        self.input[:, 1] = stretch.take(self.recent >> 4)
         dot = (self.weight[:, 0] * self.input[:, 0] + self.weight[:, 1] * self.input[:, 1]) >> 16
         self.chance = squash.take(np.clip(dot, -2048, 2047) + 2048)
         self.share2 = share2 = np.clip(self.chance[0] << 4, 64, 57344)
@@ -160,9 +166,6 @@ class _Model:
         if not self.step & 15:  # a weight moves less than 2 ** 13 in a step, so no product overflows between
             np.clip(weight, -(1 << 18), 1 << 18, out=weight)
         aim = hit * np.int32(65535)
-        change = (aim - self.old) >> 5
-        change[1] *= active
-        self.prob[self.cell] = self.old + change
         move = (aim - self.recent) >> 4
         move[1] *= active
         self.recent += move
@@ -211,21 +214,20 @@ def encode_blocks(ids: np.ndarray, p: Params, id_bits: int) -> tuple[list[bytes]
     flat = out.reshape(-1)
     at_word = np.arange(lanes) * out.shape[1]
     with np.errstate(over="ignore"):
-        for first, end in _windows(model, steps):
+        for first, stop in _windows(model, steps):
             if first:
                 model.counted(grid[last_first + 2 : first + 2], first)
             last_first = first
-            rows = grid[first + 2 : end + 2]
-            slots = model.slots(grid[first + 1 : end + 1], grid[first : end])
+            rows = grid[first + 2 : stop + 2]
+            slots = model.slots(grid[first + 1 : stop + 1], grid[first:stop])
             cell = (rows >> bits).astype(np.int64) * lanes + model.lane
-            begins, ends = model.share.take(cell), model.share.take(cell + lanes)
+            ends = model.ends.take(cell)
             lows = (rows & mask).astype(np.int64)
-            for k in range(end - first):
+            for k in range(stop - first):
                 now, slot = rows[k], slots[k]
                 model.predict(slot)
                 hit = model.said == now
-                begin = model.both + (begins[k] * model.left >> _COUNT)
-                size = (model.both + (ends[k] * model.left >> _COUNT) - begin).astype(np.int64)
+                begin, size = model.span(ends[k], model.both, model.left)
                 at = begin * scale + lows[k] * size
                 # products with truth values choose: random masks are slower
                 first_share, second = model.share2 * scale, hit[1] > hit[0]
@@ -299,9 +301,8 @@ def decode_blocks(codes: list[bytes], count: int, sums: np.ndarray, p: Params, i
                         up = place + jump * lanes
                         place = np.where(shares.take(up) <= most, up, place)
                         jump >>= 1
-                    begin = both + (shares.take(place) * left >> _COUNT)
-                    own = (both + (shares.take(place + lanes) * left >> _COUNT) - begin).astype(np.int64)
-                    begin = begin * scale
+                    begin, own = model.span(model.ends.take(place), both, left)
+                    begin *= scale
                     rest = (spot[plain] - begin) // own
                     now[plain] = (place // lanes << bits) + rest
                     at[plain] = begin + rest * own
@@ -361,7 +362,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, params:
             return row
 
         for batch in batches:
-            for a, b, buf, offsets in textbytes.chunks(batch.column(1)):
+            for a, b, buf, offsets in textbytes.chunks(batch.column(1), 2 * textbytes.CHUNK_BYTES):
                 numbers, first = table.encode(buf, offsets)
                 ids, begin = table.ids(numbers, first)
                 ended = np.insert(ids, begin[1:], p.end_id)

@@ -219,8 +219,31 @@ def test_base_rules_equal_regular_expressions(spark):
 def test_patterns_discover_unseen_identifiers(spark):
     texts = [f"Please contact user{i}@mail.example.com today" for i in range(12)]
     texts += ["Please contact helpdesk77 today", "nothing to see77777 here", "some plain words"]
-    got = {r["doc_id"]: r["spans"] for r in pii.find(docs(spark, texts), pii.Params(confidence=0.7, belief=0.5)).collect()}
-    assert got[12] == "email:15:25" and got[13] == got[14] == "" and got[0].startswith("email:15:")
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(14)]
+    # long strings that a name is set to seed secrets; the name then finds a short one, and that one a second name
+    texts += [f'w{i}w Token = "{k}" x{i}x' for i, k in enumerate(keys)] + ['y Token = "abc12345"!!', "word 1234567890123456 word", f"{keys[0][:-1]} alone"]
+    got = {r["doc_id"]: r for r in pii.find(docs(spark, [*texts, None, texts[12]])).collect()}
+    assert got[12]["spans"] == got[len(texts) + 1]["spans"] == "email:15:25" and got[13]["spans"] == got[14]["spans"] == ""
+    assert got[0]["spans"].startswith("email:15:") and got[0]["n_learned"] == 0
+    assert all(got[15 + i]["spans"] == f"secret:{13 + (i > 9)}:{53 + (i > 9)}" and got[15 + i]["n_spans"] == 1 for i in range(14))
+    assert got[29]["spans"] == "secret:11:19" and got[30]["spans"] == got[31]["spans"] == "" and got[32]["n_spans"] == 0
+
+
+def test_discovery_on_the_documents(spark):
+    """Every secret set to a name is found; numbers that fail the card check are left alone."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    more = {r["doc_id"]: r["spans"] for r in pii.find(rows).where("n_learned > 0").collect()}
+    want = {i: [m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)] for i, t in texts.items()}
+    want = {i: v for i, v in want.items() if v}
+    got = {i: [tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x.startswith("secret:")] for i, s in more.items()}
+    assert got == want and len(want) > 5
+
+
+def test_finding_with_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, "mail a@b.co"), (None, None), (7, "mail a@b.co"), (7, "mail a@b.co"), (7, "1.2.3.4")], "doc_id bigint, text string")
+    got = sorted(((r["doc_id"] or 0, r["spans"]) for r in pii.find(rows).collect()))
+    assert got == [(0, ""), (0, "email:5:11"), (7, "email:5:11"), (7, "email:5:11"), (7, "ip:0:7")]
 
 
 def test_redaction(spark):
