@@ -16,6 +16,13 @@ from tessera.llm.storage import materialize
 LEAST_SHARE = 1.2
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: rejects texts of no recognisable language; a missing ``lang`` is filled in.
 
@@ -25,15 +32,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     least = LEAST_SHARE / max(len(model.languages), 2)
-    named = langid.with_language(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= least))
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    pred, score = _free(docs, "lang_pred"), _free(docs, "lang_score")
+    named = langid.with_language(docs, model, names=(pred, score)).where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= least))
+    return named.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: the document with the smallest id of each group stays, once."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """MinHash near-dedup: the document with the smallest id of each group stays.
+
+    Of rows that repeat an id one stays, the first in order of its columns as
+    JSON; rows without an id stay.  Only ids are shuffled to find repeats.
+    """
+    found = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_"), F.max("kept").alias("kept_"))
+    found = materialize(found.where("kept_ and doc_id is not null").select("doc_id", "n_"), "kept")
+    own = docs.join(found.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    twice = found.where("n_ > 1").select("doc_id")
+    if not twice.isEmpty():
+        row = F.struct(*docs.columns)
+        first = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row_")).select("row_.*")
+        own = own.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    return own.unionByName(docs.where("doc_id is null"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
