@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from tessera.llm import textbytes
 
 #: Distinct words that a Python worker remembers between batches, about 150 bytes each, by engine, and pairs of tokens; beyond it the memory is emptied, results are the same.
-WORDS_KEPT = {"trie": 350_000, "library": 900_000}
-PAIRS_KEPT = 200_000
+WORDS_KEPT = {"trie": 250_000, "library": 900_000}
+PAIRS_KEPT = 100_000
 _NEVER = 1 << 60
 
 
