@@ -14,14 +14,14 @@ def cypher_scan(spark, d):
     return cypher.query(order_graph(spark, d), "MATCH (n:Customer) WHERE n.value > $t RETURN n.id AS id, n.value AS value", t=5000)
 
 
-@query("WITH {graph} SELECT src, count(*) AS deg FROM e WHERE src < 1000 GROUP BY 1 HAVING count(*) > 3 ORDER BY deg DESC, src LIMIT 100")
+@query("WITH {graph} SELECT src, count(*) AS deg FROM e WHERE src < 10000 GROUP BY 1 HAVING count(*) > 3 ORDER BY deg DESC, src LIMIT 100")
 def cypher_segmentation(spark, d):
-    return cypher.query(order_graph(spark, d), "MATCH (n)-[e]->(m) WHERE n.id < 1000 WITH n.id AS src, count(m) AS deg WHERE deg > 3 RETURN src, deg ORDER BY deg DESC, src LIMIT 100")
+    return cypher.query(order_graph(spark, d), "MATCH (n)-[e]->(m) WHERE n.id < 10000 WITH n.id AS src, count(m) AS deg WHERE deg > 3 RETURN src, deg ORDER BY deg DESC, src LIMIT 100")
 
 
-@query("WITH {graph} SELECT a.src AS x, b.dst AS z, count(*) AS n FROM e a JOIN e b ON a.dst = b.src AND a.eid <> b.eid WHERE a.src < 20 GROUP BY 1, 2")
+@query("WITH {graph} SELECT a.src AS x, b.dst AS z, count(*) AS n FROM e a JOIN e b ON a.dst = b.src AND a.eid <> b.eid GROUP BY 1, 2")
 def cypher_two_hops(spark, d):
-    return cypher.query(order_graph(spark, d), "MATCH (a)-[]->(b)-[]->(c) WHERE a.id < 20 RETURN a.id AS x, c.id AS z, count(*) AS n")
+    return cypher.query(order_graph(spark, d), "MATCH (a)-[]->(b)-[]->(c) RETURN a.id AS x, c.id AS z, count(*) AS n")
 
 
 @query("WITH RECURSIVE {graph}, r(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 3) SELECT DISTINCT id, category FROM r JOIN n USING (id) WHERE depth > 0")
@@ -29,16 +29,16 @@ def cypher_reach(spark, d):
     return cypher.query(order_graph(spark, d), "MATCH (a {id: 1})-[*1..3]->(b) RETURN DISTINCT b.id AS id, b.category AS category")
 
 
-@query("WITH {graph} SELECT a.src AS x, count(*) AS n FROM e a JOIN e b ON a.dst = b.src AND a.eid <> b.eid WHERE a.src < 30 GROUP BY 1")
+@query("WITH {graph} SELECT a.src AS x, count(*) AS n FROM e a JOIN e b ON a.dst = b.src AND a.eid <> b.eid GROUP BY 1")
 def cypher_trail_counts(spark, d):
-    return cypher.query(order_graph(spark, d), "MATCH (a)-[*2..2]->(b) WHERE a.id < 30 RETURN a.id AS x, count(b) AS n")
+    return cypher.query(order_graph(spark, d), "MATCH (a)-[*2..2]->(b) RETURN a.id AS x, count(b) AS n")
 
 
-@query("WITH {graph} SELECT n.id, count(e.eid) AS k FROM n LEFT JOIN e ON e.src = n.id AND e.type = '1-URGENT' WHERE n.id < 100 GROUP BY 1")
+@query("WITH {graph} SELECT n.id, count(e.eid) AS k FROM n LEFT JOIN e ON e.src = n.id AND e.type = '1-URGENT' GROUP BY 1")
 def cypher_optional(spark, d):
     g = order_graph(spark, d)
     g = type(g)(g.nodes, g.edges.withColumn("type", F.regexp_replace("type", r"^\d-", "")))
-    return cypher.query(g, "MATCH (n) WHERE n.id < 100 OPTIONAL MATCH (n)-[e:URGENT]->(m) RETURN n.id AS id, count(m) AS k")
+    return cypher.query(g, "MATCH (n) OPTIONAL MATCH (n)-[e:URGENT]->(m) RETURN n.id AS id, count(m) AS k")
 
 
 @query("WITH {graph} SELECT id FROM n WHERE EXISTS (SELECT 1 FROM e WHERE e.src = n.id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.dst = n.id)")

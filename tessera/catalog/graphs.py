@@ -13,18 +13,18 @@ def _seed(spark, *ids):
     return spark.createDataFrame([(i,) for i in ids], "id bigint")
 
 
-@query("WITH {graph} SELECT src, count(*) AS deg FROM e WHERE src < 1000 GROUP BY 1 HAVING count(*) > 3 ORDER BY deg DESC, src LIMIT 100")
+@query("WITH {graph} SELECT src, count(*) AS deg FROM e WHERE src < 10000 GROUP BY 1 HAVING count(*) > 3 ORDER BY deg DESC, src LIMIT 100")
 def segmentation_medium(spark, d):
-    e = order_graph(spark, d).edges.where("src < 1000")
+    e = order_graph(spark, d).edges.where("src < 10000")
     return e.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).where("deg > 3").orderBy(F.desc("deg"), "src").limit(100)
 
 
 @query(
-    "WITH {graph}, two AS (SELECT a.src, count(DISTINCT b.dst) AS reach FROM e a JOIN e b ON a.dst = b.src AND a.eid <> b.eid WHERE a.src < 200 GROUP BY 1 HAVING count(DISTINCT b.dst) > 20) SELECT t.src, t.reach, count(DISTINCT e.dst) AS neighbours FROM two t JOIN e ON e.src = t.src GROUP BY 1, 2"
+    "WITH {graph}, two AS (SELECT a.src, count(DISTINCT b.dst) AS reach FROM e a JOIN e b ON a.dst = b.src AND a.eid <> b.eid WHERE a.src < 10000 GROUP BY 1 HAVING count(DISTINCT b.dst) > 20) SELECT t.src, t.reach, count(DISTINCT e.dst) AS neighbours FROM two t JOIN e ON e.src = t.src GROUP BY 1, 2"
 )
 def segmentation_complex(spark, d):
     e = order_graph(spark, d).edges.select("eid", "src", "dst")
-    a = e.where("src < 200")
+    a = e.where("src < 10000")
     b = e.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("eid").alias("eid2"))
     two = a.join(b, "dst").where("eid <> eid2").groupBy("src").agg(F.count_distinct("end").alias("reach")).where("reach > 20")
     return two.join(e, "src").groupBy("src", "reach").agg(F.count_distinct("dst").alias("neighbours"))
@@ -49,10 +49,10 @@ def bfs_levels(spark, d):
     return traversal.levels(order_graph(spark, d).edges, _seed(spark, 1), 4).withColumn("depth", F.col("depth").cast("bigint"))
 
 
-@query("WITH RECURSIVE {graph}, r(id, depth) AS (SELECT id, 0 FROM n WHERE nation = 3 AND id < 100 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 2) SELECT DISTINCT id FROM r WHERE depth > 0")
+@query("WITH RECURSIVE {graph}, r(id, depth) AS (SELECT id, 0 FROM n WHERE nation = 3 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 2) SELECT DISTINCT id FROM r WHERE depth > 0")
 def portable_reachability(spark, d):
     g = order_graph(spark, d)
-    return traversal.reach(g.edges, g.nodes.where("nation = 3 and id < 100"), 2)
+    return traversal.reach(g.edges, g.nodes.where("nation = 3"), 2)
 
 
 @query("WITH RECURSIVE {graph}, f AS (SELECT * FROM e WHERE src < dst AND type IN ('1-URGENT', '2-HIGH')), r(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT f.dst, r.depth + 1 FROM r JOIN f ON f.src = r.id WHERE r.depth < 6) SELECT id, depth::BIGINT AS depth FROM r WHERE depth > 0")
@@ -71,11 +71,13 @@ def exact_depth_counts(spark, d):
     return traversal.count_walks(order_graph(spark, d).edges.where("src < dst"), _seed(spark, 1), 3)
 
 
-@query("WITH {graph} SELECT a.src AS id, count(DISTINCT b.dst) AS n FROM e a JOIN e b ON a.dst = b.src AND a.eid <> b.eid WHERE a.src < 100 GROUP BY 1")
+@query("WITH {graph} SELECT a.src AS id, count(DISTINCT b.dst) AS n FROM e a JOIN e b ON a.dst = b.src AND a.eid <> b.eid GROUP BY 1")
 def two_hop_distinct(spark, d):
     e = order_graph(spark, d).edges
-    t = traversal.trails(e, spark.range(100), 2, 2)
-    return t.groupBy(F.col("seed").alias("id")).agg(F.count_distinct("id").alias("n"))
+    near = e.select(F.col("src").alias("id"), F.col("dst").alias("middle"), F.col("eid").alias("first"))
+    far = e.select(F.col("src").alias("middle"), F.col("dst").alias("end"), "eid")
+    # distinct ends before the count: partly in each task
+    return near.join(far, "middle").where("first <> eid").select("id", "end").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _PATH = "WITH RECURSIVE {graph}, s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT s.b, r.depth + 1 FROM r JOIN s ON s.a = r.id WHERE r.depth < 5) "
@@ -130,13 +132,13 @@ def topk_reachable(spark, d):
 def _code(spark, d) -> PropertyGraph:
     p = table(spark, d, "part")
     n = p.count()
-    nodes = p.select(F.col("p_partkey").alias("id"), F.array(F.lit("Function")).alias("labels"), F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("complexity"), F.col("p_brand").alias("module"), (F.col("p_partkey") == 1).alias("entry"))
+    nodes = p.select(F.col("p_partkey").alias("id"), F.array(F.lit("Function")).alias("labels"), F.concat_ws("#", "p_name", "p_partkey").alias("name"), F.col("p_size").cast("bigint").alias("complexity"), F.col("p_brand").alias("module"), (F.col("p_partkey") == 1).alias("entry"))
     calls = p.select((F.col("p_partkey") * 2).alias("eid"), F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % n).alias("dst"), F.lit("CALLS").alias("type"))
     more = p.where("p_size > 25").select((F.col("p_partkey") * 2 + 1).alias("eid"), F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 13 + 1) % n).alias("dst"), F.lit("CALLS").alias("type"))
     return PropertyGraph(nodes, calls.unionByName(more))
 
 
-_CODE = "n AS (SELECT p_partkey AS id, p_name AS name, p_size AS complexity, p_brand AS module FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part UNION ALL SELECT p_partkey, (p_partkey * 13 + 1) % (SELECT count(*) FROM part) FROM part WHERE p_size > 25)"
+_CODE = "n AS (SELECT p_partkey AS id, p_name || '#' || p_partkey AS name, p_size AS complexity, p_brand AS module FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part UNION ALL SELECT p_partkey, (p_partkey * 13 + 1) % (SELECT count(*) FROM part) FROM part WHERE p_size > 25)"
 _GRADE = "CASE WHEN {x} <= 5 THEN 'A' WHEN {x} <= 10 THEN 'B' WHEN {x} <= 20 THEN 'C' WHEN {x} <= 30 THEN 'D' ELSE 'F' END"
 _COUPLING = "ends AS (SELECT a.module AS ma, b.module AS mb FROM e JOIN n a ON e.src = a.id JOIN n b ON e.dst = b.id), x AS (SELECT least(ma, mb) AS module_a, greatest(ma, mb) AS module_b, count(*) AS calls FROM ends WHERE ma <> mb GROUP BY 1, 2), g AS (SELECT m, count(*) AS d FROM (SELECT ma AS m FROM ends UNION ALL SELECT mb FROM ends) GROUP BY 1), c AS (SELECT module_a, module_b, round(2 * calls / (p.d + q.d), 6) AS coupling_score FROM x JOIN g p ON p.m = module_a JOIN g q ON q.m = module_b)"
 _DEAD = "alive(id) AS (SELECT 1::BIGINT UNION SELECT e.dst FROM alive JOIN e ON e.src = alive.id)"
@@ -178,13 +180,13 @@ def code_dependencies(spark, d):
 # algorithms
 
 
-_RANK = ", ".join(f"r{k} AS (SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce(s.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT src FROM e)) / (SELECT count(*) FROM n)) AS rank FROM n LEFT JOIN (SELECT e.dst AS id, sum(r.rank / g.d) AS got FROM e JOIN r{k - 1} r ON r.id = e.src JOIN g ON g.src = e.src GROUP BY 1) s USING (id))" for k in range(1, 6))
+_RANK = ", ".join(f"r{k} AS MATERIALIZED (SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce(s.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT src FROM e)) / (SELECT count(*) FROM n)) AS rank FROM n LEFT JOIN (SELECT e.dst AS id, sum(r.rank / g.d) AS got FROM e JOIN r{k - 1} r ON r.id = e.src JOIN g ON g.src = e.src GROUP BY 1) s USING (id))" for k in range(1, 21))
 
 
-@query("WITH {graph}, g AS (SELECT src, count(*) AS d FROM e GROUP BY 1), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n), " + _RANK + " SELECT id, round(rank, 9) AS rank FROM r5")
+@query("WITH {graph}, g AS (SELECT src, count(*) AS d FROM e GROUP BY 1), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n), " + _RANK + " SELECT id, round(rank, 9) AS rank FROM r20")
 def pagerank(spark, d):
     g = order_graph(spark, d)
-    return algorithms.pagerank(g.nodes, g.edges, 5).withColumn("rank", F.round("rank", 9))
+    return algorithms.pagerank(g.nodes, g.edges, 20).withColumn("rank", F.round("rank", 9))
 
 
 @query("WITH {graph}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst) SELECT count(*) AS triangles FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b")
@@ -192,23 +194,20 @@ def triangle_count(spark, d):
     return algorithms.triangle_count(order_graph(spark, d).edges)
 
 
-_FOREST = "f AS (SELECT src, dst FROM e WHERE eid % 40 = 0)"
-
-
-@query("WITH RECURSIVE {graph}, " + _FOREST + ", s AS (SELECT src AS a, dst AS b FROM f UNION SELECT dst, src FROM f), r(id, root) AS (SELECT id, id FROM n UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY 1")
+@query("WITH RECURSIVE {graph}, s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(id, component) USING KEY (id) AS (SELECT id, id FROM n UNION (SELECT s.b, min(r.component) FROM r JOIN s ON s.a = r.id JOIN recurring.r AS old ON old.id = s.b WHERE r.component < old.component GROUP BY 1)) SELECT id, component FROM r")
 def connected_components(spark, d):
     g = order_graph(spark, d)
-    return algorithms.connected_components(g.nodes, g.edges.where("eid % 40 = 0"))
+    return algorithms.connected_components(g.nodes, g.edges)
 
 
 def _vote(k: int) -> str:
-    return f"v{k} AS (SELECT b AS id, community, count(*) AS c FROM l{k - 1} JOIN s ON s.a = l{k - 1}.id GROUP BY 1, 2), l{k} AS (SELECT l{k - 1}.id, coalesce(w.community, l{k - 1}.community) AS community FROM l{k - 1} LEFT JOIN (SELECT id, community FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, community) = 1) w USING (id))"
+    return f"v{k} AS MATERIALIZED (SELECT b AS id, community, count(*) AS c FROM l{k - 1} JOIN s ON s.a = l{k - 1}.id GROUP BY 1, 2), l{k} AS MATERIALIZED (SELECT l{k - 1}.id, coalesce(w.community, l{k - 1}.community) AS community FROM l{k - 1} LEFT JOIN (SELECT id, community FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, community) = 1) w USING (id))"
 
 
-@query("WITH {graph}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), s AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), l0 AS (SELECT id, id AS community FROM n), " + ", ".join(_vote(k) for k in range(1, 4)) + " SELECT id, community FROM l3")
+@query("WITH {graph}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), s AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), l0 AS (SELECT id, id AS community FROM n), " + ", ".join(_vote(k) for k in range(1, 21)) + " SELECT id, community FROM l20")
 def community_detection(spark, d):
     g = order_graph(spark, d)
-    return algorithms.label_propagation(g.nodes, g.edges, 3)
+    return algorithms.label_propagation(g.nodes, g.edges, 20)
 
 
 @query()
@@ -220,7 +219,7 @@ def betweenness(spark, d):
 @query()
 def louvain(spark, d):
     g = order_graph(spark, d)
-    return algorithms.louvain(g.nodes, g.edges, 4, 2)
+    return algorithms.louvain(g.nodes, g.edges)
 
 
 # social queries on the order graph
@@ -238,9 +237,9 @@ def messages_of_friends(spark, d):
     return table(spark, d, "orders").join(F.broadcast(f), F.col("o_custkey") == F.col("friend")).select(F.col("o_orderkey").alias("message"), "friend", F.col("o_orderdate").alias("created")).orderBy(F.desc("created"), "message").limit(20)
 
 
-@query("SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_orderkey < 2000 GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) > 1")
 def cooccurrence(spark, d):
-    x = table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", F.col("l_partkey").alias("a"))
+    x = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"))
     y = x.select("l_orderkey", F.col("a").alias("b"))
     return x.join(y, "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -131,7 +131,7 @@ REGISTRY: dict[str, Callable[..., Column]] = {
     "startswith": lambda a, b: F.startswith(a, b), "endswith": lambda a, b: F.endswith(a, b), "contains": lambda a, b: F.contains(a, b),
     "reverse": F.reverse, "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"),
     "round": round_half_up, "sign": sign, "tointeger": to_integer, "tofloat": to_float, "tostring": lambda x: x.cast("string"),
-    "rand": lambda: F.rand(42), "sqrt": F.sqrt, "log": F.log, "exp": F.exp, "sin": F.sin, "cos": F.cos, "tan": F.tan, "atan2": F.atan2, "pi": F.pi, "radians": F.radians, "degrees": F.degrees,
+    "rand": lambda: F.rand(), "sqrt": F.sqrt, "log": F.log, "exp": F.exp, "sin": F.sin, "cos": F.cos, "tan": F.tan, "atan2": F.atan2, "pi": F.pi, "radians": F.radians, "degrees": F.degrees,
     "coalesce": F.coalesce, "head": head, "last": last, "tail": tail, "range": range_list, "valuetype": value_type,
     "date": lambda s: F.to_date(s), "localdatetime": lambda s: F.to_timestamp_ntz(s), "point": point,
     "haversine_distance": geo.haversine_distance, "geo.bearing": geo.bearing, "geo.is_ahead": geo.is_ahead, "geo.destination": geo.destination, "geo.to_utm": geo.to_utm, "geo.to_mgrs": geo.to_mgrs,

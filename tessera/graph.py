@@ -7,6 +7,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import materialize
+
 
 @dataclass(frozen=True)
 class PropertyGraph:
@@ -66,6 +68,7 @@ class PropertyGraph:
         found = pairs.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
         top = self.edges.agg(F.coalesce(F.max("eid"), F.lit(-1)).alias("top"))
         numbered = found.withColumn("eid", F.monotonically_increasing_id()).crossJoin(F.broadcast(top)).withColumn("eid", F.col("eid") + F.col("top") + 1).drop("top").withColumn("type", F.lit(kind))
+        numbered = materialize(numbered, "new-edges")  # numbers given once: a plan run again would give others
         return self._next(edges=self.edges.unionByName(numbered, allowMissingColumns=True))
 
     def set_property(self, where: Column, name: str, value: Column) -> PropertyGraph:

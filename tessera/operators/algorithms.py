@@ -14,11 +14,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     n = nodes.count()
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     steps = materialize(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(degree, "src").select(F.col("src").alias("id"), "dst", (F.col("m") / F.col("degree")).alias("share")), "steps")
-    ends = materialize(degree.select(F.col("src").alias("id")), "with-edges")
     rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
     for at in range(rounds):
         given = rank.join(steps, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = rank.join(ends, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        # what was not given away is the rank of nodes without out-edges
+        given = materialize(given, f"given{at}") if at % 3 == 2 else given
+        lost = given.agg((1 - F.coalesce(F.sum("got"), F.lit(0.0))).alias("lost"))
         new = nodes.select("id").join(given, "id", "left").crossJoin(F.broadcast(lost))  # one row
         old = rank
         rank = new.select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import numpy as np
@@ -36,7 +37,9 @@ def encode_row(values) -> bytes:
 
 @F.pandas_udf(T.StringType())
 def _hex_double(xs: pd.Series) -> pd.Series:
-    return xs.map(lambda v: encode_value(None if v is None else float(v)).hex())
+    x = xs.to_numpy(float) + 0.0  # negative zero becomes zero
+    bits = np.where(np.isnan(x), np.uint64(0x7FF8000000000000), x.view(np.uint64)).astype(">u8").tobytes().hex()
+    return pd.Series([f"{TAGS['float']:02x}{bits[k : k + 16]}" for k in range(0, len(bits), 16)], index=xs.index, dtype=object)
 
 
 def canonical(column: Column, kind: T.DataType) -> Column:
@@ -60,9 +63,13 @@ def canonical_rows(df: DataFrame) -> DataFrame:
 
 
 def set_hash(df: DataFrame) -> str:
-    """``sha256:`` hash of all rows in encoded order; rows are gathered, so it is for results, not tables."""
-    rows = canonical_rows(df).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row")), ""), 256)).first()[0]
-    return f"sha256:{rows}"
+    """``sha256:`` hash of all rows, whatever their order: equal rows are counted, hashed rows sorted in buckets by their first bytes, and the buckets hashed in order."""
+    rows = canonical_rows(df).groupBy("row").agg(F.count(F.lit(1)).alias("n")).select(F.concat_ws(":", F.sha2("row", 256), F.col("n").cast("string")).alias("h"))
+    for width in (4, 2, 0):
+        rows = rows.groupBy(F.left("h", F.lit(width)).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("own"))
+        rows = rows.select(F.concat("at", F.lit("="), "own").alias("h"))
+    found = rows.first()
+    return f"sha256:{found['h'].removeprefix('=') if found else hashlib.sha256(b'').hexdigest()}"
 
 
 def fast_hash(df: DataFrame) -> tuple[int, str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.cypher import normal_cdf
 
-# Outlier scaling of median and mean deviations, and the threshold on modified z-scores.
-MAD_SCALE, MEAN_SCALE, Z_LIMIT = 0.6745, 0.7979, 3.5
+# Outlier scaling of deviations, and the threshold on modified z-scores.
+MAD_SCALE, Z_LIMIT = 0.6745, 3.5
 
 
 def descriptive(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -24,18 +26,16 @@ def descriptive(df: DataFrame, value: str, by: list[str] | None = None) -> DataF
 def percentiles(df: DataFrame, value: str, points: list[float], by: list[str] | None = None, exact_below: int | None = None) -> DataFrame:
     """Linear-interpolation percentiles ``p50`` and so on.
 
-    With ``exact_below`` groups of as many rows or more get the bounded-memory
-    approximate percentile, as a digest would.
+    With ``exact_below`` groups of as many rows or more get them from a t-digest.
     """
     exact = [F.percentile(value, p).alias(f"p{round(p * 1000) / 10:g}".replace(".", "_")) for p in points]
     if exact_below is None:
         return df.groupBy(*(by or [])).agg(*exact)
-    rough = [F.percentile_approx(F.col(value).cast("double"), p, 10000).alias(f"p{round(p * 1000) / 10:g}".replace(".", "_")) for p in points]
     if not by:
-        return df.agg(*(rough if df.count() >= exact_below else exact))
+        return digest_quantiles(digests(df, value), points) if df.count() >= exact_below else df.agg(*exact)
     sizes = df.groupBy(*by).agg((F.count(F.lit(1)) >= exact_below).alias("large_"))
     marked = df.join(sizes, by)
-    return marked.where("not large_").groupBy(*by).agg(*exact).unionByName(marked.where("large_").groupBy(*by).agg(*rough))
+    return marked.where("not large_").groupBy(*by).agg(*exact).unionByName(digest_quantiles(digests(marked.where("large_"), value, by), points, by))
 
 
 def floor_index_percentile(value: Column | str, p: float, least: int) -> Column:
@@ -54,13 +54,14 @@ def mad(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
 
 
 def outliers(df: DataFrame, value: str, by: list[str] | None = None, limit: float = Z_LIMIT) -> DataFrame:
-    """``df`` with ``score`` and ``outlier``: modified z-score, by mean deviation where the median deviation is 0, 0 where both are."""
+    """``df`` with ``score`` and ``outlier``: modified z-score without sign, by mean deviation where the median deviation is 0, 0 where both are."""
     by = by or []
     scale = mad(df, value, by)
     back = df.join(scale, by) if by else df.crossJoin(F.broadcast(scale))  # one row
-    off = F.col(value) - F.col("median")
-    score = F.when(F.col("mad") > 0, MAD_SCALE * off / F.col("mad")).when(F.col("mean_dev") > 0, MEAN_SCALE * off / F.col("mean_dev")).otherwise(0.0)
-    return back.withColumn("score", score).withColumn("outlier", F.abs("score") > limit).drop("median", "mad", "mean_dev")
+    off = F.abs(F.col(value) - F.col("median"))
+    spread = F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("mean_dev"))
+    score = F.when(spread > 0, MAD_SCALE * off / spread).otherwise(F.when(off.isNotNull(), 0.0))
+    return back.withColumn("score", score).withColumn("outlier", F.col("score") > limit).drop("median", "mad", "mean_dev")
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -118,6 +119,8 @@ def compare_metric(df: DataFrame, value: str, side: str, by: list[str] | None =
 def bca_interval(df: DataFrame, value: str, by: list[str], resamples: int = 10000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """``lower, upper, bias, acceleration`` of the mean: bias-corrected accelerated bootstrap of each group with three values or more.
 
+    ``bias`` is the mean of the resampled means less the mean.
+
     Groups are samples of a measurement, taken to fit one task; each draws from its own seeded stream.
     """
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema), "n bigint", "lower double", "upper double", "bias double", "acceleration double"])
@@ -140,18 +143,17 @@ def bca(x: np.ndarray, resamples: int = 10000, level: float = 0.95, seed: int =
     some = min(500, max(1, 4_000_000 // n))
     means = np.sort(np.concatenate([x[rng.integers(0, n, (min(some, resamples - a), n))].mean(axis=1) for a in range(0, resamples, some)]))
     mean = x.mean()
-    below = np.clip((means < mean).mean(), 1 / (resamples + 1), 1 - 1 / (resamples + 1))
-    bias = normal.inv_cdf(float(below))
+    shift = normal.inv_cdf(float(np.clip((means < mean).mean(), 1e-6, 1 - 1e-6)))
     left_out = (x.sum() - x) / (n - 1)
     off = left_out.mean() - left_out
     spread = (off**2).sum()
     acceleration = 0.0 if spread == 0 else float((off**3).sum() / (6 * spread**1.5))
     ends = []
     for p in ((1 - level) / 2, (1 + level) / 2):
-        z = bias + normal.inv_cdf(p)
-        q = normal.cdf(bias + z / (1 - acceleration * z))
+        z = shift + normal.inv_cdf(p)
+        q = normal.cdf(shift + z / (1 - acceleration * z))
         ends.append(float(np.quantile(means, q)))
-    return ends[0], ends[1], bias, acceleration
+    return ends[0], ends[1], float(means.mean() - mean), acceleration
 
 
 def jackknife(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -212,25 +214,67 @@ def variance_parts(df: DataFrame, value: str, run: str) -> DataFrame:
     return per.crossJoin(F.broadcast(all_)).groupBy("t", "k").agg((F.sum(F.col("n") * F.pow(F.col("m") - F.col("s") / F.col("t"), 2)) / (F.first("k") - 1)).alias("between"), (F.sum((F.col("n") - 1) * F.col("v")) / (F.first("t") - F.first("k"))).alias("within")).select("between", "within")
 
 
-def cusum_step(state: dict | None, x: float, least: int = 5, sigma: float = 4.0, drift: float = 0.5) -> dict:
-    """One value of a steady-state detector: running mean and deviation of the regime, both one-sided sums, reset on a change.
+@dataclass
+class SteadyState:
+    """A detector of the steady state of a series, one value at a time.
 
-    ``steady`` once a regime has lasted ``least`` values without the sums crossing ``sigma`` deviations.
+    The first ``least`` values fix a baseline mean and deviation.  Both
+    one-sided sums of departures from it, less half of ``drift`` deviations a
+    value, are held against ``sigma`` deviations; a baseline that does not vary
+    stands in a tenth of its mean for the deviation, with the whole drift.  A sum
+    beyond its bound starts a new regime at that value, whose baseline is the
+    value itself.  The state is steady once ``least`` values in a row have left
+    the regime's deviation within ``sigma * drift / 10`` of its mean; it stays so.
     """
-    s = dict(state) if state else {"n": 0, "mean": 0.0, "m2": 0.0, "up": 0.0, "down": 0.0, "changes": 0}
-    s["changed"] = False
-    if s["n"] >= least:
-        deviation = max((s["m2"] / (s["n"] - 1)) ** 0.5, 1e-12)
-        z = (x - s["mean"]) / deviation
-        s["up"], s["down"] = max(0.0, s["up"] + z - drift), max(0.0, s["down"] - z - drift)
-        if s["up"] > sigma or s["down"] > sigma:
-            s.update(n=0, mean=0.0, m2=0.0, up=0.0, down=0.0, changes=s["changes"] + 1, changed=True)
-    s["n"] += 1
-    off = x - s["mean"]
-    s["mean"] += off / s["n"]
-    s["m2"] += off * (x - s["mean"])
-    s["steady"] = s["n"] >= least
-    return s
+
+    seen: int = 0
+    n: int = 0
+    mean: float = 0.0
+    m2: float = 0.0
+    base: float = 0.0
+    deviation: float = 0.0
+    up: float = 0.0
+    down: float = 0.0
+    calm: int = 0
+    changes: int = 0
+    steady_at: int = -1
+    least: int = 5
+    sigma: float = 4.0
+    drift: float = 0.5
+
+    def bounds(self) -> tuple[float, float]:
+        """(allowance of a value, bound of the sums)."""
+        if self.deviation > 1e-9:
+            return self.drift / 2 * self.deviation, self.sigma * self.deviation
+        unit = self.drift * abs(self.base) / 10
+        return max(unit, 1e-10), max(self.sigma * unit, 1e-9)
+
+    def add(self, x: float) -> bool:
+        """Takes the next value; whether the state is steady."""
+        self.seen += 1
+        self.n += 1
+        off = x - self.mean
+        self.mean += off / self.n
+        self.m2 += off * (x - self.mean)
+        if self.seen < self.least or self.steady_at >= 0:
+            return self.steady_at >= 0
+        deviation = (self.m2 / (self.n - 1)) ** 0.5 if self.n > 1 else 0.0
+        if not self.changes and self.n == self.least:
+            self.base, self.deviation = self.mean, deviation
+        allowance, bound = self.bounds()
+        off = x - self.base
+        self.up, self.down = max(0.0, self.up + off - allowance), max(0.0, self.down - off - allowance)
+        if max(self.up, self.down) > bound:
+            self.n, self.mean, self.m2, self.base, self.deviation = 1, x, 0.0, x, 0.0
+            self.up = self.down = 0.0
+            self.calm, self.changes = 0, self.changes + 1
+            return False
+        if self.n >= self.least:
+            spread = deviation / abs(self.mean) if abs(self.mean) > 1e-10 else 0.0
+            self.calm = self.calm + 1 if deviation < 1e-9 or spread <= self.sigma * self.drift / 10 else 0
+            if self.calm >= self.least:
+                self.steady_at = self.seen - 1
+        return self.steady_at >= 0
 
 
 def cusum(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
@@ -240,17 +284,79 @@ def cusum(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        state, steady, changes = None, [], []
+        state, steady, changes = SteadyState(), [], []
         for x in rows[value]:
             if pd.notna(x):
-                state = cusum_step(state, float(x))
-            steady.append(bool(state and state["steady"]))
-            changes.append(state["changes"] if state else 0)
+                state.add(float(x))
+            steady.append(state.steady_at >= 0)
+            changes.append(state.changes)
         return rows.assign(steady=steady, changes=changes)
 
     return own.groupBy(*by).applyInPandas(run, schema)
 
 
+def digest(values: np.ndarray, weights: np.ndarray, compression: float = 100.0) -> tuple[np.ndarray, np.ndarray]:
+    """(means, weights) of centroids: values in order merge while a centroid stays within four times its share of the tail weight over the compression."""
+    order = np.argsort(values, kind="stable")
+    values, weights = values[order].astype(float), weights[order].astype(float)
+    total, means, sizes, before = weights.sum(), [], [], 0.0
+    for x, w in zip(values.tolist(), weights.tolist(), strict=True):
+        if means:
+            q = (before + (sizes[-1] + w) / 2) / total
+            if sizes[-1] + w <= max(1.0, 4 * total * q * (1 - q) / compression):
+                sizes[-1] += w
+                means[-1] += (x - means[-1]) * w / sizes[-1]
+                continue
+            before += sizes[-1]
+        means.append(x)
+        sizes.append(w)
+    return np.array(means), np.array(sizes)
+
+
+def digests(df: DataFrame, value: str, by: list[str] | None = None, compression: float = 100.0) -> DataFrame:
+    """``by…, mean, weight``: the centroids of each group's t-digest.
+
+    Every batch is digested where it lies, so a hot group sends a bounded number
+    of centroids from each task; those are digested once more.  Digests of
+    several tables merge by the union of their centroids through ``merge_digests``.
+    """
+    by = by or []
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("mean"), F.lit(1.0).alias("weight"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)])
+
+    def part(batches):
+        for rows in batches:
+            groups = rows.groupby(by, dropna=False, sort=False) if by else [((), rows)]
+            yield from (_digested(key if isinstance(key, tuple) else (key,), by, some, compression) for key, some in groups)
+
+    return merge_digests(own.mapInPandas(part, schema), by, compression)
+
+
+def _digested(key: tuple, by: list[str], rows: pd.DataFrame, compression: float) -> pd.DataFrame:
+    means, sizes = digest(rows["mean"].to_numpy(), rows["weight"].to_numpy(), compression)
+    return pd.DataFrame({**dict(zip(by, key, strict=True)), "mean": means, "weight": sizes})
+
+
+def merge_digests(centroids: DataFrame, by: list[str] | None = None, compression: float = 100.0) -> DataFrame:
+    by = by or []
+    return centroids.groupBy(*by).applyInPandas(lambda key, rows: _digested(key, by, rows, compression), centroids.schema)
+
+
+def digest_quantiles(centroids: DataFrame, points: list[float], by: list[str] | None = None) -> DataFrame:
+    """``p50`` and so on of each group of centroids, linear between their middles."""
+    by = by or []
+    names = [f"p{round(p * 1000) / 10:g}".replace(".", "_") for p in points]
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in centroids.select(*by).schema), *(f"{n} double" for n in names)])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("mean", kind="stable")
+        mean, weight = rows["mean"].to_numpy(float), rows["weight"].to_numpy(float)
+        middle = np.cumsum(weight) - weight / 2
+        return pd.DataFrame([(*key, *(float(np.interp(p * weight.sum(), middle, mean)) for p in points))])
+
+    return centroids.groupBy(*by).applyInPandas(run, fields)
+
+
 def enough_samples(samples: list[float], least: int = 10, share: float = 0.02) -> bool:
     """Whether the half-width of the mean's normal interval is below ``share`` of the mean."""
     n = len(samples)

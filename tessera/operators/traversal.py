@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tessera.storage import materialize
 
 MAX_DEPTH = 64
+#: Ids of a frontier that are broadcast; depth up to which a search reads the edges as they are instead of a prepared table.
+SENT, PREPARED = 200_000, 4
 
 
 def _steps(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -32,19 +34,23 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out
     A seed is reached too if a walk of at least one edge returns to it.
     ``allowed(id)`` restricts every node after the seeds, level by level.
     """
-    steps = _steps(edges, direction).select("a", "b").where("a is not null and b is not null").distinct()
+    steps = _steps(edges, direction).select("a", "b").where("a is not null and b is not null")
     if allowed is not None:
         steps = steps.join(allowed.select(F.col("id").alias("b")), "b", "left_semi")
-    steps = materialize(steps, "steps")
+    if depth > PREPARED:
+        steps = materialize(steps.distinct(), "steps")
     found: DataFrame | None = None
-    frontier = seeds.select("id").where("id is not null").distinct()
+    frontier = materialize(seeds.select("id").where("id is not null").distinct(), "seeds")
     for at in range(1, min(depth, MAX_DEPTH) + 1):
-        reached = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        rows = frontier.count()
+        if not rows:
+            break
+        # a small frontier is sent to the edges, which are scanned where they lie
+        near = F.broadcast(frontier) if rows <= SENT else frontier
+        reached = steps.join(near, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
         if found is not None:
             reached = reached.join(found, "id", "left_anti")
         level = materialize(reached.withColumn("depth", F.lit(at)), f"level{at}")
-        if level.isEmpty():
-            break
         found = level if found is None else found.unionByName(level)
         frontier = level.select("id")
     return found if found is not None else frontier.withColumn("depth", F.lit(0)).where("false")

@@ -1,8 +1,8 @@
 """Scratch tables in the folder the cluster shares (``spark.checkpoint.dir``).
 
 A table written here cuts lineage and outlives any executor.  The folder comes
-from the session; only where it is unset (tests) is one below the local
-temporary folder made.  Scratch is deleted when the driver's Python ends.
+from the session; only where it is unset on a local master (tests) is one below
+the local temporary folder made, on a cluster that is an error.  Scratch is deleted when the driver's Python ends.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.statistics import cusum_step
+from tessera.operators.statistics import SteadyState
 
 
 def stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
@@ -38,19 +38,19 @@ def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def steady_state(events: DataFrame) -> DataFrame:
-    """The detector's state of each event type after every batch; the state is seven numbers a key."""
-    state = "n int, mean double, m2 double, up double, down double, changes int"
-    names = ["n", "mean", "m2", "up", "down", "changes"]
+    """The detector's state of each event type after every batch; the state is eleven numbers a key."""
+    kinds = {"seen": "int", "n": "int", "mean": "double", "m2": "double", "base": "double", "deviation": "double", "up": "double", "down": "double", "calm": "int", "changes": "int", "steady_at": "int"}
+    state = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(zip(names, held.get, strict=True)) if held.exists else None
+        now = SteadyState(*(held.get if held.exists else ()))
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
         for x in rows["value"]:
             if pd.notna(x):
-                now = cusum_step(now, float(x))
-        if now is not None:
-            held.update(tuple(now[k] for k in names))
-            yield pd.DataFrame({"event_type": [key[0]], "n": [now["n"]], "mean": [now["mean"]], "changes": [now["changes"]], "steady": [now["n"] >= 5]})
+                now.add(float(x))
+        if now.seen:
+            held.update(tuple(getattr(now, name) for name in kinds))
+            yield pd.DataFrame({"event_type": [key[0]], "n": [now.seen], "mean": [now.mean], "changes": [now.changes], "steady": [now.steady_at >= 0]})
 
     out = "event_type string, n int, mean double, changes int, steady boolean"
     return events.select("event_type", "ts", "event_id", "value").groupBy("event_type").applyInPandasWithState(run, out, state, "update", GroupStateTimeout.NoTimeout)

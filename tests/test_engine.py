@@ -249,10 +249,25 @@ def test_statistics_golden(spark):
     low, high, _, _ = statistics.bca(np.arange(100.0), 2000)
     assert low < 49.5 < high
     assert statistics.enough_samples([10.0] * 10) and not statistics.enough_samples([1.0, 100.0] * 5)
-    state = None
-    for x in [1.0, 1.1, 0.9, 1.0, 1.05] * 4 + [9.0] * 6:
-        state = statistics.cusum_step(state, x)
-    assert state["changes"] == 1 and state["steady"]
+    state, at = statistics.SteadyState(), None
+    for k, x in enumerate([50.0, 50.0, 50.0, 50.0, 50.0, *[9.0] * 12]):
+        if state.add(x) and at is None:
+            at = k
+    # the drop starts a regime; nine values of it are five calm ones in a row
+    assert state.changes == 1 and state.steady_at == at == 13
+    wild = statistics.SteadyState()
+    assert not any(wild.add(x) for x in [1.0, 100.0, 3.0, 77.0] * 20)
+    flat = spark.createDataFrame([(i, v) for i, v in enumerate([3.0] * 9 + [4.0, 100.0])], "i int, v double")
+    scores = {r["i"]: (round(r["score"], 4), r["outlier"]) for r in statistics.outliers(flat, "v").collect()}
+    assert scores[10] == (round(0.6745 * 97 / (98 / 11), 4), True) and scores[0] == (0.0, False)
+    _, _, bias, _ = statistics.bca(np.array([1.0, 2.0, 10.0]), 4000)
+    assert abs(bias) < 0.2
+    many = spark.range(20000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("k"))
+    got = {r["k"]: r for r in statistics.digest_quantiles(statistics.digests(many, "v", ["k"]), [0.01, 0.5, 0.99], ["k"]).collect()}
+    for k in (0, 1):
+        assert all(abs(got[k][n] - 20000 * p) < 60 for n, p in (("p1", 0.01), ("p50", 0.5), ("p99", 0.99)))
+    sizes = statistics.digests(many, "v").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
+    assert sizes["w"] == 20000 and sizes["n"] < 600
     kind = spark.createDataFrame([(0.01, -10.0), (0.01, 1.0), (0.5, 50.0), (None, 1.0)], "p double, d double").select(statistics.classify_change(F.col("p"), F.col("d")).alias("c"))
     assert [r["c"] for r in kind.collect()] == ["Improvement", "NoChange", "Inconclusive", "Inconclusive"]
 
