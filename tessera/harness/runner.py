@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.graph import PropertyGraph
 from tessera.harness import spec as specs
 from tessera.operators import checksum
+from tessera.operators.procedures import Budget, budget_of
 from tessera.operators.statistics import enough_samples
 from tessera.plans import cypher, gfql
 
@@ -89,10 +90,7 @@ def dataset_matches(graph: PropertyGraph, nodes: int, edges: int) -> bool:
 
 def frame(graph: PropertyGraph, spec: specs.Spec, values: dict) -> DataFrame:
     if spec.language == "gfql":
-        text = spec.query
-        for k, v in values.items():
-            text = re.sub(rf"\${k}\b", lambda _, v=v: repr(v), text)
-        return gfql.parse(graph, text).run()
+        return gfql.parse(graph, spec.query, values).run()
     return cypher.query(graph, spec.query, **values)
 
 
@@ -100,6 +98,14 @@ def timed(make: Callable[[], DataFrame]) -> tuple[float, int]:
     """Milliseconds to run a query wholly, every row and column, and its rows."""
     began = time.perf_counter()
     seen = Observation()
+    spark = SparkSession.getActiveSession()
+    allowed = budget_of(spark) if spark else None
+    if allowed is not None:
+        with Budget(spark, allowed) as budget:
+            make().observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+        if budget.spent:
+            raise TimeoutError(f"more than {allowed} ms")
+        return (time.perf_counter() - began) * 1000, seen.get["n"]
     make().observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
     return (time.perf_counter() - began) * 1000, seen.get["n"]
 
@@ -122,8 +128,14 @@ def run(graph: PropertyGraph, spec: specs.Spec, overrides: dict | None = None, a
         record |= {"samples": samples, "warm_ms": sum(samples) / n, "p50_ms": samples[n // 2], "p95_ms": samples[min(n - 1, int(n * 0.95))]}
         fine = checksum.check(make(), spec.oracle) if spec.oracle else True
         record["outcome"] = (Outcome.SUCCESS if fine else Outcome.CORRECTNESS_MISMATCH).value
-    except SyntaxError as e:
+    except (SyntaxError, KeyError) as e:
         record |= {"outcome": Outcome.UNSUPPORTED.value, "error": str(e)}
+    except TimeoutError as e:
+        record |= {"outcome": Outcome.TIMEOUT.value, "error": str(e)}
+    except FileNotFoundError as e:
+        record |= {"outcome": Outcome.DATASET_FAILURE.value, "error": str(e)}
+    except MemoryError as e:
+        record |= {"outcome": Outcome.OUT_OF_MEMORY.value, "error": str(e)}
     except Exception as e:  # a failed run is a result
         record |= {"outcome": Outcome.ENGINE_ERROR.value, "error": str(e)[:500]}
     return record

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.graph import PropertyGraph
 from tessera.operators import algorithms, traversal, vector
 
+#: Session setting that holds the time a measured query may take, in milliseconds.
+BUDGET = "tessera.query.budget.ms"
 #: Upper complexity of each grade; what is above the last is an F.
 GRADES = (("A", 5), ("B", 10), ("C", 20), ("D", 30))
 
@@ -99,9 +101,9 @@ def health_report(graph: PropertyGraph, prop: str = "complexity", module: str =
     return joined.select(grade(F.col("avg_complexity")).alias("grade"), "total_functions", "avg_complexity", "dead_code_count", "coupling_score")
 
 
-def impact_analysis(graph: PropertyGraph, name: str, depth: int = 5) -> DataFrame:
-    """``affected, depth, path_count`` of callers, and callers of callers, of a node."""
-    start = graph.nodes.where(F.col("name") == name).select("id")
+def impact_analysis(graph: PropertyGraph, name: str | int, depth: int = 5) -> DataFrame:
+    """``affected, depth, path_count`` of callers, and callers of callers, of the node of an id or of all nodes of a name."""
+    start = graph.nodes.where(F.col("name" if isinstance(name, str) else "id") == name).select("id")
     first = traversal.levels(graph.edges, start, depth, "in")
     paths = None
     for h in range(1, depth + 1):
@@ -138,6 +140,76 @@ class Budget:
         return self.spent and kind is not None
 
 
+def query_budget(graph: PropertyGraph, milliseconds: float) -> DataFrame:
+    """Sets the time that a measured query of this session may take; 0 lifts it."""
+    graph.spark.conf.set(BUDGET, str(float(milliseconds)))
+    return graph.spark.createDataFrame([(float(milliseconds), milliseconds > 0)], "budget_ms double, enforced boolean")
+
+
+def budget_of(spark: SparkSession) -> float | None:
+    """The session's budget in milliseconds, if it has one."""
+    found = float(spark.conf.get(BUDGET, "0"))
+    return found if found > 0 else None
+
+
+def _vectors(graph: PropertyGraph, source) -> tuple[DataFrame, str, str]:
+    """(table, id column, vector column) of a table, or of the nodes' property that an index is named after."""
+    if isinstance(source, DataFrame):
+        return source, "vec_id", "embedding"
+    name = source if source in graph.nodes.columns else source.removesuffix("_index")
+    return graph.nodes.where(F.col(name).isNotNull()), "id", name
+
+
+def vector_search(graph: PropertyGraph, source, query: list[float], k: int) -> DataFrame:
+    """``node, score``: the nearest vectors of a table or of an index of the nodes."""
+    rows, id_col, name = _vectors(graph, source)
+    return vector.vector_topk(rows, query, k, name, id_col)
+
+
+def cluster_similar(graph: PropertyGraph, *args) -> DataFrame:
+    """``cluster_id, members, avg_similarity``: with a table before the threshold of its vectors, else of the nodes' embeddings."""
+    source, least = args if len(args) > 1 else ("embedding", args[0])
+    rows, id_col, name = _vectors(graph, source)
+    if "label" not in rows.columns:
+        rows = rows.withColumn("label", F.lit(""))
+    return vector.similar_clusters(rows, least, id_col=id_col, vector=name, listed=True)
+
+
+def semantic_search(graph: PropertyGraph, *args) -> DataFrame:
+    """``node, score, snippet`` of the texts of a table, or else of the nodes (property ``text`` or ``name``)."""
+    if isinstance(args[0], DataFrame):
+        return vector.semantic_search(*args)
+    return vector.semantic_search(graph.nodes, *args, id_col="id", text_col="text" if "text" in graph.nodes.columns else "name")
+
+
+def vector_similarity(node: F.Column, prop: str, query: F.Column) -> F.Column:
+    """Cosine of a bound node's vector property with a query."""
+    return vector.cosine(node.getField(prop), query)
+
+
+#: Procedures that give a value for each bound row, and the columns of the others that hold node ids.
+ROW_WISE = {"vector_similarity": vector_similarity}
+YIELDS_NODES = {"vector_search": "node", "semantic_search": "node"}
+
+
+def _caches(graph: PropertyGraph) -> DataFrame:
+    """Drops every cached table of the session."""
+    graph.spark.catalog.clearCache()
+    return graph.spark.createDataFrame([(True,)], "cleared boolean")
+
+
+def _cache_call(name: str) -> Callable[..., DataFrame]:
+    """A procedure on the result cache that the graph's session learns into."""
+
+    def call(graph: PropertyGraph, *args) -> DataFrame:
+        from tessera.harness import cache
+
+        return getattr(cache.of(graph.spark), name)(*args)
+
+    call.__doc__ = f"The result cache's {name.replace('_', ' ')}."
+    return call
+
+
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "frontier_profile": frontier_profile, "neighborhood_stats": neighborhood_stats, "topk_reachable": topk_reachable, "find_path_budgeted": find_path_budgeted,
     "edge_aggregate": edge_aggregate, "live_aggregate": live_aggregate, "complexity": complexity, "coupling": coupling, "dead_code": dead_code,
@@ -146,8 +218,9 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "triangle_count": lambda g: algorithms.triangle_count(g.edges), "community_detection": lambda g, rounds=20: algorithms.label_propagation(g.nodes, g.edges, rounds),
     "betweenness": lambda g, sources=50: algorithms.betweenness(g.nodes, g.edges, sources), "louvain": lambda g: algorithms.louvain(g.nodes, g.edges),
     "bfs": lambda g, start, depth: traversal.levels(g.edges, _seed(g, start), depth),
-    "vector_search": lambda g, table, query, k: vector.vector_topk(table, query, k), "cluster_similar": lambda g, table, least: vector.similar_clusters(table, least),
-    "semantic_search": lambda g, table, text, k: vector.semantic_search(table, text, k),
+    "vector_search": vector_search, "cluster_similar": cluster_similar, "semantic_search": semantic_search, "query_budget": query_budget,
+    "clear_cache": _caches, "clear_plan_cache": _caches,
+    "emergent_cache_stats": _cache_call("as_table"), "emergent_invalidation_stats": _cache_call("invalidations"), "emergent_config": _cache_call("settings"),
 }
 
 

@@ -141,6 +141,31 @@ def shortest_path(edges: DataFrame, start: int, end: int, depth: int = 16, direc
     return path[::-1]
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int, direction: str = "both") -> DataFrame:
+    """``a, b, ids_``: the node ids of a shortest path of at most ``depth`` edges for each of ``pairs(a, b)`` that has one.
+
+    One search for all starts at once, keyed by start; each reached node holds
+    its smallest path.  A start is dropped when all of its ends are found.
+    """
+    steps = materialize(_steps(edges, direction).select(F.col("a").alias("from_"), F.col("b").alias("to_")).where("from_ <> to_").distinct(), "steps")
+    now = materialize(pairs.select("a", F.col("a").alias("id"), F.array("a").alias("ids_")).distinct(), "starts")
+    left, seen, found = pairs, now.select("a", "id"), None
+    for at in range(min(depth, MAX_DEPTH) + 1):
+        hit = left.join(now, (left["a"] == now["a"]) & (left["b"] == now["id"])).select(left["a"], "b", "ids_")
+        hit = materialize(hit, f"found{at}")
+        found = hit if found is None else found.unionByName(hit)
+        left = materialize(left.join(hit, ["a", "b"], "left_anti"), f"left{at}")
+        if left.isEmpty():
+            break
+        grown = now.join(left.select("a").distinct(), "a", "left_semi").join(steps, F.col("id") == F.col("from_"))
+        grown = grown.groupBy("a", F.col("to_").alias("id")).agg(F.min(F.concat("ids_", F.array("to_"))).alias("ids_"))
+        now = materialize(grown.join(seen, ["a", "id"], "left_anti"), f"level{at}")
+        if now.isEmpty():
+            break
+        seen = seen.unionByName(now.select("a", "id"))
+    return found
+
+
 def distances(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
     """``id, hops`` of every node within ``depth``, seeds at 0."""
     zero = seeds.select("id").distinct().withColumn("hops", F.lit(0))

@@ -41,14 +41,14 @@ def expand_from(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seeds.select(F.col("id").alias("seed")).join(seen, "seed", "left").groupBy("seed").agg(F.count("id").alias("n"))
 
 
-def similar_clusters(table: DataFrame, least: float, label: str = "label", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``cluster_id, members, avg_similarity`` of components of pairs of one label with cosine ``least`` or more."""
+def similar_clusters(table: DataFrame, least: float, label: str = "label", id_col: str = "vec_id", vector: str = "embedding", listed: bool = False) -> DataFrame:
+    """``cluster_id, members, avg_similarity`` of components of pairs of one label with cosine ``least`` or more; members are counted, or ``listed``."""
     own = table.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(label).alias("l"))
     pairs = own.alias("x").join(own.alias("y"), (F.col("x.l") == F.col("y.l")) & (F.col("x.id") < F.col("y.id")))
     links = pairs.select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"), cosine(F.col("x.v"), F.col("y.v")).alias("s")).where(F.col("s") >= least)
     place = algorithms.connected_components(own.select("id"), links)
     score = links.join(place.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.avg("s").alias("avg_similarity"))
-    members = place.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    members = place.groupBy("component").agg((F.array_sort(F.collect_list("id")) if listed else F.count(F.lit(1))).alias("members"))
     return members.join(score, "component").select(F.col("component").alias("cluster_id"), "members", "avg_similarity")
 
 

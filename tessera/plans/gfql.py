@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,13 +150,31 @@ def chain(graph: PropertyGraph, **context) -> Chain:
 _STEPS = {"n", "e_forward", "e_reverse", "e_undirected", "filter", "map", "group_by", "count_by", "avg_by", "sort_by", "order_by", "limit"}
 
 
-def parse(graph: PropertyGraph, text: str, **context) -> Chain:
-    """A chain from text; only known steps with literal arguments (bare map keys allowed) are read, nothing is evaluated."""
-    import re
+_SETTING = re.compile(r"\s*SET\s+GFQL_CONTEXT\s+((?:\w+\s*=\s*(?:'[^']*'|\"[^\"]*\"|[\w.+-]+)\s*,?\s*)+);?", re.I)
 
-    quoted = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', text.strip())
+
+def _value(text: str):
+    try:
+        return ast.literal_eval(text)
+    except (ValueError, SyntaxError):
+        return text
+
+
+def parse(graph: PropertyGraph, text: str, params: dict | None = None, **context) -> Chain:
+    """A chain from text, over any number of lines; only known steps with literal arguments (bare map keys allowed) are read, nothing is evaluated.
+
+    ``$name`` stands for a value of ``params``.  ``SET GFQL_CONTEXT name = value, …``
+    before the chain adds to ``context``.
+    """
+    while found := _SETTING.match(text):
+        context |= {k: _value(v) for k, v in re.findall(r"(\w+)\s*=\s*('[^']*'|\"[^\"]*\"|[\w.+-]+)", found[1])}
+        text = text[found.end() :]
+    for name, value in (params or {}).items():
+        text = re.sub(rf"\${name}\b", lambda _, v=value: repr(v), text)
+    quoted = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', text.strip().rstrip(";"))
     calls = []
-    node = ast.parse(quoted, mode="eval").body
+    # brackets let a chain run over lines
+    node = ast.parse(f"({quoted}\n)", mode="eval").body
     while isinstance(node, ast.Call):
         if isinstance(node.func, ast.Name):
             if node.func.id != "chain" or node.args:

@@ -61,6 +61,7 @@ class Plan:
     used: dict[str, set[str]] = field(default_factory=dict)
 
     def add(self, kind: str, **args) -> Plan:
+        """Appends a step."""
         self.steps.append(Op(kind, args))
         return self
 
@@ -80,19 +81,27 @@ class Plan:
         for label in node.labels:
             rows = rows.where(F.array_contains("labels", label))
         for name, value in node.where.items():
-            rows = rows.where(F.col(name) == value if name in rows.columns else F.lit(False))
+            if not callable(value):
+                rows = rows.where(F.col(name) == value if name in rows.columns else F.lit(False))
         return rows.select(F.struct(*rows.columns).alias(node.var))
 
+    def _bound(self, df: DataFrame, node: Node) -> DataFrame:
+        """Conditions of a property map that depend on what is bound: with the join before, equi-joins."""
+        for name, value in node.where.items():
+            if callable(value):
+                df = df.where(F.col(f"{node.var}.{name}") == value(df))
+        return df
+
     def _plain(self, node: Node) -> bool:
         """Whether the node's table is not needed: edges always have both ends."""
         return not node.labels and not node.where and self.used.get(node.var, set()) <= {"id"}
 
-    def _match(self, df: DataFrame | None, chain: list, optional: bool = False, where: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    def _match(self, df: DataFrame | None, chain: list, optional: bool = False, where: Callable[[DataFrame], Column] | None = None, path: str | None = None, nodes: bool = False) -> DataFrame:
         if optional:
             assert df is not None
             marked = df.withColumn("row_", F.monotonically_increasing_id())
             marked = materialize(marked, "optional")
-            inner = self._match(marked, chain)
+            inner = self._match(marked, chain, path=path, nodes=nodes)
             if where is not None:
                 inner = inner.where(where(inner))
             new = [c for c in inner.columns if c not in marked.columns]
@@ -104,24 +113,84 @@ class Plan:
             df = df.crossJoin(self._struct(start))
         elif start.labels or start.where:
             df = self._narrow(df, start)
+        df = self._bound(df, start)
         seen: list[str] = []
         for edge, node in zip(chain[1::2], chain[2::2], strict=True):
-            df = self._expand(df, start, edge, node, seen)
+            df = self._expand(df, start, edge, node, seen, path is not None)
             start = node
+        if path is not None:
+            df = self._path(df, chain, path, nodes)
         if where is not None:
             df = df.where(where(df))
         return df
 
+    def _path(self, df: DataFrame, chain: list, path: str, nodes: bool) -> DataFrame:
+        """Struct column ``path``: ``hops``, ``eids`` and, if asked for, ``nodes`` with their properties."""
+        ids, eids = F.array(F.col(f"{chain[0].var}.id")), F.array().cast("array<bigint>")
+        for edge, node in zip(chain[1::2], chain[2::2], strict=True):
+            if edge.varied:
+                ids, eids = F.concat(ids, F.slice(F.col(f"{edge.var}.nodes"), 2, 1 << 20)), F.concat(eids, F.col(f"{edge.var}.eids"))
+            else:
+                ids, eids = F.concat(ids, F.array(F.col(f"{node.var}.id"))), F.concat(eids, F.array(F.col(f"{edge.var}.eid")))
+        if not nodes:
+            return df.withColumn(path, F.struct(F.size(eids).cast("bigint").alias("hops"), eids.alias("eids")))
+        return self._with_nodes(df.withColumn("ids_", ids).withColumn("eids_", eids), path)
+
+    def _with_nodes(self, df: DataFrame, path: str) -> DataFrame:
+        """Turns ``ids_`` and ``eids_`` into the path column: a join for all nodes of all paths, and their order restored."""
+        marked = materialize(df.withColumn("row_", F.monotonically_increasing_id()), "paths")
+        own = self.graph.nodes
+        steps = marked.select("row_", F.posexplode("ids_").alias("at_", "id")).join(own, "id")
+        lists = steps.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("at_", F.struct(*own.columns).alias("n")))).alias("ns"))
+        out = marked.join(lists, "row_").withColumn(path, F.struct(F.size("eids_").cast("bigint").alias("hops"), F.col("eids_").alias("eids"), F.transform("ns", lambda x: x["n"]).alias("nodes")))
+        return out.drop("row_", "ns", "ids_", "eids_")
+
+    def _shortest(self, df: DataFrame | None, chain: list, path: str | None, nodes: bool = False) -> DataFrame:
+        """One shortest path between the two ends, ties to the smallest node ids; no row where there is none."""
+        start, edge, end = chain
+        for node in (start, end):
+            if df is None:
+                df = self._struct(node)
+            elif node.var not in df.columns:
+                df = df.crossJoin(self._struct(node))
+            elif node.labels or node.where:
+                df = self._narrow(df, node)
+        edges = self.graph.typed(*edge.types)
+        pairs = df.select(F.col(f"{start.var}.id").alias("a"), F.col(f"{end.var}.id").alias("b")).distinct()
+        found = traversal.shortest_paths(edges, materialize(pairs, "pairs"), edge.high if edge.varied else 1, edge.direction)
+        found = found.withColumnsRenamed({"a": "from_", "b": "to_"})
+        out = df.join(found, (F.col(f"{start.var}.id") == F.col("from_")) & (F.col(f"{end.var}.id") == F.col("to_"))).drop("from_", "to_")
+        if nodes:
+            return self._with_nodes(out.withColumn("eids_", F.slice("ids_", 2, 1 << 20)), path)
+        return out.withColumn(path or "path_", F.struct((F.size("ids_") - 1).cast("bigint").alias("hops"), F.col("ids_").alias("ids"))).drop("ids_")
+
+    def _comprehend(self, df: DataFrame, chain: list, where: Callable | None, fn: Callable, var: str) -> DataFrame:
+        """Column ``var``: for each row the list of a pattern's values, from one grouped join on the pattern's first node."""
+        start = chain[0].var
+        inner = Plan(self.graph, used=self.used)._match(df.select(start).distinct(), chain, where=where)
+        lists = inner.groupBy(F.col(f"{start}.id").alias("key_")).agg(F.array_sort(F.collect_list(fn(inner))).alias(var))
+        out = df.join(lists, F.col(f"{start}.id") == F.col("key_"), "left").drop("key_")
+        return out.withColumn(var, F.coalesce(var, F.array().cast(out.schema[var].dataType)))
+
+    def _load(self, df: DataFrame | None, path: str, var: str) -> DataFrame:
+        """A row of text columns for each line of a file with a header."""
+        rows = self.graph.spark.read.option("header", True).csv(path)
+        rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(var))
+        return rows if df is None else df.crossJoin(rows)
+
+    def _compute(self, df: DataFrame, fn: Callable, column: str) -> DataFrame:
+        return df.withColumn(column, fn(df)).where(F.col(column).isNotNull())
+
     def _narrow(self, df: DataFrame, node: Node) -> DataFrame:
         fine = self._struct(node).select(F.col(f"{node.var}.id").alias("ok_"))
         return df.join(fine, F.col(f"{node.var}.id") == F.col("ok_"), "left_semi")
 
-    def _expand(self, df: DataFrame, start: Node, edge: Edge, node: Node, seen: list[str]) -> DataFrame:
+    def _expand(self, df: DataFrame, start: Node, edge: Edge, node: Node, seen: list[str], on_path: bool = False) -> DataFrame:
         edges = self.graph.typed(*edge.types)
         for name, value in edge.where.items():
             edges = edges.where(F.col(name) == value)
         if edge.varied:
-            return self._vary(df, start, edge, node, edges)
+            return self._vary(df, start, edge, node, edges, on_path)
         props = [c for c in edges.columns]
         out = edges.select(F.col("src").alias("from_"), F.col("dst").alias("to_"), F.struct(*props).alias(edge.var))
         back = edges.select(F.col("dst").alias("from_"), F.col("src").alias("to_"), F.struct(*props).alias(edge.var))
@@ -137,16 +206,17 @@ class Plan:
             return df.where(F.col(f"{node.var}.id") == F.col("to_")).drop("to_")
         if self._plain(node):
             return df.withColumn(node.var, F.struct(F.col("to_").alias("id"))).drop("to_")
-        return df.join(self._struct(node), F.col("to_") == F.col(f"{node.var}.id")).drop("to_")
+        return self._bound(df.join(self._struct(node), F.col("to_") == F.col(f"{node.var}.id")).drop("to_"), node)
 
-    def _vary(self, df: DataFrame, start: Node, edge: Edge, node: Node, edges: DataFrame) -> DataFrame:
+    def _vary(self, df: DataFrame, start: Node, edge: Edge, node: Node, edges: DataFrame, on_path: bool) -> DataFrame:
         seeds = df.select(F.col(f"{start.var}.id").alias("id")).distinct()
-        if self.distinct_ends and edge.low == 1:
+        if self.distinct_ends and edge.low == 1 and not on_path:
             pairs = keyed_reach(edges, seeds, edge.high, edge.direction)
         else:
             walked = traversal.trails(edges, seeds, edge.low, edge.high, edge.direction)
             pairs = walked.select("seed", F.col("id").alias("to_"), F.struct(F.size("eids").cast("bigint").alias("hops"), F.col("nodes"), F.col("eids")).alias(edge.var))
-        out = df.join(pairs, F.col(f"{start.var}.id") == F.col("seed")).drop("seed")
+        pairs = pairs.withColumnRenamed("seed", "from_")
+        out = df.join(pairs, F.col(f"{start.var}.id") == F.col("from_")).drop("from_")
         return self._land(out, node)
 
     def _where(self, df: DataFrame, fn: Callable[[DataFrame], Column], text: str = "") -> DataFrame:
@@ -175,9 +245,16 @@ class Plan:
     def _limit(self, df: DataFrame, n: int) -> DataFrame:
         return df.limit(n)
 
-    def _call(self, df: DataFrame | None, fn: Callable, columns: list[tuple[str, str]]) -> DataFrame:
+    def _call(self, df: DataFrame | None, fn: Callable, columns: list[tuple[str, str]], nodes: str | None = None) -> DataFrame:
+        """The procedure's rows, beside each row bound before; a column of node ids becomes one of nodes."""
         out = fn()
-        return out.select(*[F.col(c).alias(name) for c, name in columns]) if columns else out
+        out = out.select(*[F.col(c).alias(name) for c, name in columns]) if columns else out
+        node = next((name for c, name in columns if c == nodes), None)
+        if node:
+            own = self.graph.nodes
+            rest = [c for c in out.columns if c != node]
+            out = out.withColumnRenamed(node, "id_").join(own.select(F.col("id").alias("id_"), F.struct(*own.columns).alias(node)), "id_").select(node, *rest)
+        return out if df is None or not df.columns else df.crossJoin(out)
 
     def _exists(self, df: DataFrame, chain: list, negated: bool = False) -> DataFrame:
         inner = Plan(self.graph, used=self.used)._match(df.select(chain[0].var).distinct(), chain)

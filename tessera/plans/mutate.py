@@ -34,7 +34,7 @@ class Writer(Parser):
             if self.word() in _WRITES:
                 getattr(self, f"_{self.next().lower()}")()
             else:
-                plan = Plan(self.graph)
+                plan = self.current = Plan(self.graph)
                 self.used = plan.used
                 start, returned = self.bound, False
                 while self.peek() and self.word() not in _WRITES:
@@ -66,6 +66,10 @@ class Writer(Parser):
             value = self.expr()
             self.need("as")
             plan.add("Unwind", fn=value, var=self.next())
+        elif self.take("call"):
+            self.call(plan)
+        elif self.take("load"):
+            self.load(plan)
         elif self.take("with"):
             self.projection(plan)
             if self.take("where"):
@@ -75,18 +79,6 @@ class Writer(Parser):
         else:
             raise SyntaxError(f"unexpected {self.peek()!r}")
 
-    def map(self) -> dict:
-        """Property maps of written patterns may hold any expression."""
-        self.need("{")
-        out = {}
-        while not self.take("}"):
-            key = self.next()
-            self.need(":")
-            value = self.expr()
-            out[key] = value if value.literal is None else value.literal
-            self.take(",")
-        return out
-
     # writes
 
     def _rows(self) -> DataFrame:
@@ -105,7 +97,7 @@ class Writer(Parser):
             self._constraint()
             return
         while True:
-            self.create_chain(self.pattern())
+            self.create_chain(self.pattern()[1])
             if not self.take(","):
                 return
 
@@ -206,7 +198,7 @@ class Writer(Parser):
                 return
 
     def _merge(self) -> None:
-        chain = self.pattern()
+        chain = self.pattern()[1]
         on: dict[str, list] = {"create": [], "match": []}
         while self.take("on"):
             which = self.next().lower()
@@ -257,11 +249,23 @@ class Writer(Parser):
     # schema
 
     def _index(self) -> None:
-        self.take("if") and self.need("not") and self.need("exists")
-        self.take("on") or self.take("for")
-        self.need(":") if self.peek() == ":" else None
-        label = self.next()
-        self.need("(")
+        """``[name] [IF NOT EXISTS] ON :Label(property)`` or ``… FOR (n:Label) ON (n.property)``."""
+        if self.word() not in ("on", "for", "if"):
+            self.next()
+        if self.take("if"):
+            self.need("not")
+            self.need("exists")
+        if self.take("for"):
+            label = self.node().labels[0]
+            self.need("on")
+            self.need("(")
+            self.next()
+            self.need(".")
+        else:
+            self.need("on")
+            self.need(":")
+            label = self.next()
+            self.need("(")
         name = self.next()
         self.need(")")
         self.graph = self.graph.create_index(label, name)
@@ -284,6 +288,34 @@ class Writer(Parser):
         self.graph = self.graph.add_constraint(node.labels[0], name, "exists" if exists else "unique")
 
 
+def profile(df: DataFrame) -> DataFrame:
+    """``step, depth, operator, rows, db_hits`` of each physical operator, outermost first, after running the whole query.
+
+    ``rows`` is what the operator put out, null where it does not count; a scan's
+    rows are its ``db_hits``.
+    """
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    out: list[tuple[int, int, str, int | None, int | None]] = []
+
+    def walk(plan, depth: int) -> None:
+        name = plan.nodeName()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan(), depth)
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan(), depth)
+        counted = plan.metrics().get("numOutputRows")
+        rows = counted.get().value() if counted.isDefined() else None
+        out.append((len(out), depth, name.strip(), rows, rows if "Scan" in name else None))
+        kids = plan.children()
+        for k in range(kids.size()):
+            walk(kids.apply(k), depth + 1)
+
+    walk(run.executedPlan(), 0)
+    return df.sparkSession.createDataFrame(out, "step int, depth int, operator string, rows bigint, db_hits bigint")
+
+
 class Session:
     """A current graph that texts read and change; BEGIN holds changes back until COMMIT."""
 
@@ -307,7 +339,11 @@ class Session:
                     self.graph = before
                     raise ValueError(f"{label}.{name} is not {kind}")
             return None
-        if word.startswith(("explain ", "profile ")):
+        if word == "show index info":
+            return self.graph.show_indexes()
+        if word.startswith("profile "):
+            return profile(Parser(text.strip()[8:], self.graph, params).query())
+        if word.startswith("explain "):
             plan = Parser(text.strip()[8:], self.graph, params).plan()
             return self.graph.spark.createDataFrame([(line,) for line in plan.explain().split("\n")], "step string")
         if any(f" {w} " in f" {' '.join(word.replace('(', ' ').split())} " for w in _WRITES):
