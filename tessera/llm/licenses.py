@@ -1,14 +1,15 @@
 """Licence scans by sentence-rule recognition (operator 3).
 
-Texts are cut into sentences and lines; each is normalised and looked up among
-known licence sentences.  The identifiers found, in text order, are matched
-against licence rules, each an ordered sequence of identifiers that may have
-other identifiers between.
+A text becomes its words in lower case with a mark wherever a line or a sentence
+ends between two of them.  Known licence sentences are looked up from mark to
+mark, in text order; marks inside one (wrapped lines, abbreviations such as
+``v. 2.0``) do not count.  The identifiers found are matched against licence
+rules, each an ordered sequence of identifiers that may have others between.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Well-known licence sentences, normalised (lower case, words of letters and digits, single spaces).
@@ -23,8 +24,11 @@ SENTENCES = {
     "mit-ref-this": "this project is licensed under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
@@ -33,6 +37,10 @@ SENTENCES = {
     "gpl3-ref": "this work is licensed under the gnu general public license version 3",
     "gpl3-ref-short": "licensed under the gnu general public license version 3",
     "gpl-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl21-redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-redistribute": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-ref": "licensed under the gnu general public license version 2",
     "lgpl3-ref": "licensed under the gnu lesser general public license version 3",
     "agpl3-ref": "licensed under the gnu affero general public license version 3",
@@ -43,33 +51,40 @@ SENTENCES = {
     "cc-by-nd-ref": "licensed under cc by nd 4 0",
     "cc0-ref": "licensed under cc0 1 0",
     "all-rights": "copyright all rights reserved",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache2": "spdx license identifier apache 2 0",
-    "spdx-bsd3": "spdx license identifier bsd 3 clause",
-    "spdx-gpl3": "spdx license identifier gpl 3 0 only",
+    "unlicense-dedicate": "this is free and unencumbered software released into the public domain",
 }
 
+# Licence of every public identifier that a tag may name.
+SPDX = {
+    "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause",
+    "CC-BY-4.0": "CC-BY-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC-BY-ND-4.0": "CC-BY-ND-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC0-1.0": "CC0-1.0",
+    "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "ISC": "ISC",
+    "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "MIT": "MIT", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense",
+}
+SENTENCES |= {f"spdx-{tag.lower()}": "spdx license identifier " + tag.lower().replace("-", " ").replace(".", " ") for tag in SPDX}
+
 # Licence, and the sentence identifiers that must follow one another in this order.
 RULES = [
     ("Apache-2.0", ["apache2-ref"]),
     ("Apache-2.0", ["apache2-ref-the"]),
     ("Apache-2.0", ["apache2-comply", "apache2-copy", "apache2-unless"]),
-    ("Apache-2.0", ["spdx-apache2"]),
     ("MIT", ["mit-ref"]),
     ("MIT", ["mit-ref-licensed"]),
     ("MIT", ["mit-ref-this"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
-    ("MIT", ["spdx-mit"]),
     ("ISC", ["isc-grant"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("BSD-3-Clause", ["spdx-bsd3"]),
     ("BSD", ["bsd-ref"]),
     ("GPL-3.0", ["gpl3-ref"]),
     ("GPL-3.0", ["gpl3-ref-short"]),
     ("GPL-3.0", ["gpl-redistribute"]),
-    ("GPL-3.0", ["spdx-gpl3"]),
     ("GPL-2.0", ["gpl2-ref"]),
+    ("GPL-2.0", ["gpl2-redistribute"]),
+    ("LGPL-2.1", ["lgpl21-redistribute"]),
+    ("LGPL-3.0", ["lgpl3-redistribute"]),
+    ("AGPL-3.0", ["agpl3-redistribute"]),
+    ("Unlicense", ["unlicense-dedicate"]),
     ("LGPL-3.0", ["lgpl3-ref"]),
     ("AGPL-3.0", ["agpl3-ref"]),
     ("MPL-2.0", ["mpl2-ref"]),
@@ -80,32 +95,46 @@ RULES = [
     ("CC0-1.0", ["cc0-ref"]),
     ("Proprietary", ["all-rights"]),
 ]
+RULES += [(name, [f"spdx-{tag.lower()}"]) for tag, name in SPDX.items()]
+
+#: Every known sentence holds one of these words whole, however it is wrapped or spelled in capitals, so texts without any need no cutting.
+ANCHORS = ("license", "licensed", "copyright", "permission", "redistribution", "redistributions", "redistribute", "software", "cc", "cc0")
+_MARK = "\x01"
+
+
+def _marked(text: Column) -> Column:
+    """Lower-case words with one blank between, or one mark where a line or a sentence ends; a mark at either end."""
+    plain = F.translate(F.lower(text), _MARK, " ")
+    ends = F.regexp_replace(plain, r"[.!?;:](?=\s|$)|\R", _MARK)
+    words = F.regexp_replace(F.concat(F.lit(_MARK), ends, F.lit(_MARK)), rf"[^\p{{L}}\p{{N}}{_MARK}]++", " ")
+    return F.regexp_replace(words, rf" ?{_MARK}[ {_MARK}]*+", _MARK)
+
 
-#: Every known sentence holds one of these, so other texts need no cutting.
-GATE = "licen[cs]|copyright|permi(?:ssion|tted)|software is provided|redistribut"
+def _sentence_pattern() -> str:
+    """All known sentences, longest first, from mark to mark."""
+    every = sorted(SENTENCES.values(), key=lambda s: (-len(s), s))
+    return f"(?<={_MARK})(?:{'|'.join(s.replace(' ', f'[ {_MARK}]') for s in every)})(?={_MARK})"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licences stated in every whole text.
 
     Returns ``id, n_sentences long`` (known sentences), ``sentence_ids string``
-    (comma-joined, in text order), ``licenses string`` (distinct, sorted,
-    comma-joined), one row per input row.  A sentence ends at ``. ! ? ; :``
-    before white space or the end, or at an empty line, so wrapped lines are
-    joined; a line that is a known sentence by itself counts too, once.  Null or
-    empty text states none.  A null id stays null, repeated rows stay repeated,
-    other columns are not read.  A narrow map in built-in functions.
+    (comma-joined, in text order, as often as they stand), ``licenses string``
+    (distinct, sorted, comma-joined), one row per input row.  A line ends at a
+    line break, a sentence at ``. ! ? ; :`` before white space or the end.  A known
+    sentence counts where it begins and ends at such an end, the longest one
+    where several begin, and the next is looked for behind it.  Null or empty
+    text states none.  A null id stays null, repeated rows stay repeated, other
+    columns are not read.  A narrow map in built-in functions, linear in the text.
     """
     known = F.create_map(*[F.lit(x) for name, words in SENTENCES.items() for x in (words, name)])
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    # positions keep sentences and lines in one order: a line's is its end, as a sentence's
-    pieces = lambda regex: F.expr(f"transform(split(text, r'{regex}', -1), s -> trim(regexp_replace(lower(s), '[^\\\\p{{L}}\\\\p{{N}}]+', ' ')))")
-    lines = F.transform(pieces(r"\R"), lambda s: F.try_element_at(known, s))
-    sentences = F.transform(pieces(r"[.!?;:](?=\s|$)|\R[ \t]*\R"), lambda s: F.try_element_at(known, s))
-    some = F.col("text").rlike(f"(?i){GATE}")
-    none = F.expr("cast(array() AS array<string>)")
-    rows = rows.withColumn("by_line", F.when(some, F.array_compact(lines)).otherwise(none)).withColumn("by_sentence", F.when(some, F.array_compact(sentences)).otherwise(none))
-    rows = rows.withColumn("found", F.concat("by_sentence", F.array_except("by_line", "by_sentence"))).withColumn("sequence", F.concat(F.lit(","), F.array_join("found", ","), F.lit(",")))
-    hits = [F.when(F.col("sequence").rlike("," + "(?:[^,]+,)*?".join(f"{s}," for s in rule)), F.lit(name)) for name, rule in RULES]
-    licenses = F.when(F.size("found") > 0, F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))), ",")).otherwise("")
+    some = F.col("text").rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(ANCHORS)})(?![\p{{L}}\p{{N}}])")
+    hits = F.regexp_extract_all(_marked(F.col("text")), F.lit(_sentence_pattern()), F.lit(0))
+    found = F.transform(hits, lambda h: F.try_element_at(known, F.translate(h, _MARK, " ")))
+    rows = rows.withColumn("found", F.when(some, found).otherwise(F.expr("cast(array() AS array<string>)")))
+    rows = rows.withColumn("sequence", F.concat(F.lit(","), F.array_join("found", ","), F.lit(",")))
+    named = [F.when(F.col("sequence").rlike("," + "(?:[^,]+,)*?".join(f"{s}," for s in rule)), F.lit(name)) for name, rule in RULES]
+    licenses = F.when(F.size("found") > 0, F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))), ",")).otherwise("")
     return rows.select(F.col("id").alias(id_col), F.size("found").cast("bigint").alias("n_sentences"), F.array_join("found", ",").alias("sentence_ids"), licenses.alias("licenses"))

@@ -84,17 +84,27 @@ SELECT id AS vec_id, (SELECT count(*) FROM l WHERE l.a = id) AS n_links, min(roo
 
 
 def _op3_sql() -> str:
-    known = ", ".join(f"'{words}': '{name}'" for name, words in licenses.SENTENCES.items())
-    hits = ", ".join(f"CASE WHEN regexp_matches(q, ',{'(?:[^,]+,)*?'.join(s + ',' for s in rule)}') THEN '{name}' END" for name, rule in licenses.RULES)
-    look_up = lambda xs: f"list_filter(list_transform({xs}, lambda s: m[trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))]), lambda x: x IS NOT NULL)".replace("\\\\", "\\")
-    ends = "regexp_replace(regexp_replace(text, '[.!?;:](\\s|$)', chr(1) || '\\1', 'g'), '\\n[ \\t]*\\n', chr(1), 'g')"
+    """Runs of the pieces between line and sentence ends are looked up one by one, and the runs chosen by following pointers from the first."""
+    known = ", ".join(f"('{name}', '{words}', {words.count(' ') + 1})" for name, words in licenses.SENTENCES.items())
+    rules = ", ".join(f"('{name}', [{', '.join(repr(s) for s in rule)}])" for name, rule in licenses.RULES)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, MAP {{{known}}} AS m FROM documents),
-f AS (SELECT doc_id, {look_up(f"string_split({ends}, chr(1))")} AS a, {look_up("string_split(text, chr(10))")} AS b, regexp_matches(text, '(?i){licenses.GATE}') AS hit FROM d),
-g AS (SELECT doc_id, CASE WHEN hit THEN a || list_filter(list_distinct(b), lambda x: NOT list_contains(a, x)) ELSE [] END AS ids FROM f),
-h AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS q FROM g)
-SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-  array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT NULL))), ',') AS licenses FROM h
+WITH RECURSIVE known(id, words, n) AS (VALUES {known}), rules(name, steps) AS (VALUES {rules}),
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (SELECT r, unnest(string_split(replace(lower(text), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(lower(text), chr(13), chr(10)), chr(10)), 1) AS l FROM numbered WHERE text IS NOT NULL),
+parts AS (SELECT r, l, regexp_split_to_array(line, '[.!?;:](\\s+|$)') AS ps FROM lines),
+pieces AS (SELECT r, l, generate_subscripts(ps, 1) AS p, trim(regexp_replace(unnest(ps), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS words FROM parts),
+own AS (SELECT r, list(words ORDER BY l, p) AS ps FROM pieces WHERE words <> '' GROUP BY r),
+heads AS (SELECT DISTINCT split_part(words, ' ', 1) AS head FROM known),
+starts AS MATERIALIZED (SELECT r, ps, i FROM (SELECT r, ps, unnest(range(1, len(ps) + 1)) AS i FROM own) WHERE split_part(ps[i], ' ', 1) IN (SELECT head FROM heads)),
+runs AS (SELECT DISTINCT s.r, s.i, s.i + k.w AS j, array_to_string(s.ps[s.i:s.i + k.w], ' ') AS words FROM starts s JOIN (SELECT unnest(range(0, (SELECT max(n) FROM known))) AS w) k ON s.i + k.w <= len(s.ps)),
+hits AS (SELECT r, i, max(j) AS j, arg_max(id, j) AS id FROM runs JOIN known USING (words) GROUP BY r, i),
+linked AS (SELECT r, i, id, (SELECT min(x.i) FROM hits x WHERE x.r = h.r AND x.i > h.j) AS next FROM hits h),
+chosen(r, i, id, next) AS (SELECT r, i, id, next FROM linked WHERE (r, i) IN (SELECT r, min(i) FROM hits GROUP BY r) UNION ALL SELECT l.r, l.i, l.id, l.next FROM chosen c JOIN linked l ON l.r = c.r AND l.i = c.next),
+ids AS (SELECT r, list(id ORDER BY i) AS ids FROM chosen GROUP BY r),
+matched AS (SELECT DISTINCT r, name FROM ids, rules WHERE regexp_matches(',' || array_to_string(ids, ',') || ',', '(^|,)' || array_to_string(list_transform(steps, lambda s: replace(s, '.', '[.]')), ',(.*,)?') || ','))
+SELECT d.doc_id, coalesce(len(ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+  coalesce(names, '') AS licenses
+FROM numbered d LEFT JOIN ids USING (r) LEFT JOIN (SELECT r, string_agg(name, ',' ORDER BY name) AS names FROM matched GROUP BY r) USING (r)
 """
 
 

@@ -255,13 +255,23 @@ def test_redaction(spark):
 
 def test_licence_rules(spark):
     every = [s for _, rule in licenses.RULES for s in rule]
-    assert set(every) <= set(licenses.SENTENCES)
-    assert all(re.search(licenses.GATE, s) for s in licenses.SENTENCES.values())
+    assert set(every) <= set(licenses.SENTENCES) and len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
+    assert all(set(s.split()) & set(licenses.ANCHORS) for s in licenses.SENTENCES.values())
     mit = [licenses.SENTENCES[s] for s in ("mit-grant", "mit-notice", "mit-as-is")]
-    texts = [None, "", "Licensed under the Apache License, Version 2.0.", "Some words.\nReleased under the MIT License.\nMore", ". ".join(mit) + ".", ". ".join(mit[::-1]) + ".", "\n".join(mit[0].split(" the ")) and mit[0].replace(" any ", "\nany ").capitalize() + ".", "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.", "we talk of a license here"]
-    got = [r["licenses"] for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()]
-    assert got == ["", "", "Apache-2.0", "MIT", "MIT", "", "", "CC-BY-NC-4.0,GPL-3.0", ""]
-    assert licenses.scan(docs(spark, texts)).where("doc_id = 6").first()["n_sentences"] == 1
+    bsd = [licenses.SENTENCES[s] for s in ("bsd-grant", "bsd-source", "bsd-binary")]
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+    asis = 'THE SOFTWARE\nIS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    texts = [None, "", "Licensed under the Apache License, Version 2.0.", "Some words.\nReleased under the MIT License.\nMore", ". ".join(mit) + ".", ". ".join(mit[::-1]) + ".", mit[0].replace(" any ", "\nany ").capitalize() + ".", "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.", "we talk of a license here"]
+    texts += [f"{bsd[0]}:\n1. {bsd[1]}\n2. {bsd[2].replace(' this list ', chr(10) + 'this list ')}.", f"{mit[0]}\n{mit[1]}\n{asis}", asis, mpl, gpl, "# SPDX-License-Identifier: GPL-2.0-or-later\nx = 1", "Copyright 2020 X\n" + mit[0].replace(" any ", "\nany ") + ":", "Released under the MIT License.\n" * 3, "license " * 30000, "-" * 60000 + " license", "license\x01 \x01software"]
+    rows = docs(spark, texts)
+    got = [(r["licenses"], r["sentence_ids"]) for r in licenses.scan(rows).orderBy("doc_id").collect()]
+    assert [g for g, _ in got] == ["", "", "Apache-2.0", "MIT", "MIT", "", "", "CC-BY-NC-4.0,GPL-3.0", "", "BSD-2-Clause", "MIT", "", "MPL-2.0", "GPL-2.0", "GPL-2.0", "", "MIT", "", "", ""]
+    assert got[6][1] == got[15][1] == "mit-grant" and got[11][1] == "mit-as-is" and got[16][1] == ",".join(["mit-ref"] * 3)
+    assert got[9][1] == "bsd-grant,bsd-source,bsd-binary"
+    assert licenses.scan(docs(spark, [])).count() == 0
+    same = spark.createDataFrame([(None, mpl), (4, gpl), (4, gpl)], "doc_id bigint, text string")
+    assert sorted(r["licenses"] for r in licenses.scan(same).collect()) == ["GPL-2.0", "GPL-2.0", "MPL-2.0"]
 
 
 def test_language_network_learns(spark):
