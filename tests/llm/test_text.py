@@ -68,24 +68,56 @@ def test_bpe_query(spark, library):
     assert bpe.encode_documents(docs(spark, [])).count() == 0
 
 
-def test_unigram_forward_equals_plain_dynamic_programming(spark):
-    unigrams = token_counts.zipf_unigrams(bpe.default_tokenizer())
-    trie = token_counts.UnigramTrie(unigrams)
-    words = sorted({w.encode() for w in ("hello", "help", "helping", " world", "zzzz", "é", "", "ab" * 40, "the", "then")})
-
-    def plain(w):
-        best = [(0.0, 0)]
+def test_token_counts_equal_plain_dynamic_programming(spark, library):
+    """Estimated probabilities and results of a whole table against a version without tries or tasks."""
+    path = bpe.default_tokenizer()
+    ids = bpe.vocabulary(path).ids
+    texts = [*AWKWARD, "hello help helping the then", "zzzz é " + "ab" * 40, "help the help the help"]
+
+    def cut(t):
+        words, _ = textbytes.pretokens(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))
+        return [w.as_py() for w in words]
+
+    def plain(w, score):
+        best = [(0.0, 0, [])]
         for e in range(1, len(w) + 1):
-            best.append(max(((best[s][0] + unigrams[w[s:e]], -best[s][1] - 1) for s in range(max(0, e - 128), e) if w[s:e] in unigrams), key=lambda x: x))
-            best[-1] = (best[-1][0], -best[-1][1])
-        return best[-1][1], best[-1][0]
-
-    for w, (n, p) in zip(words, trie.forward(words), strict=True):
-        assert n == plain(w)[0] and math.isclose(p, plain(w)[1], abs_tol=1e-9)
-    got = {r["doc_id"]: r for r in token_counts.token_counts(docs(spark, AWKWARD)).collect()}
-    assert got[0]["n_tokens"] == got[1]["n_tokens"] == 0 and got[10][1:] == got[11][1:]
-    assert got[4]["n_pretokens"] == 1 and got[5]["n_distinct"] == 3
-    assert got[5]["n_tokens"] == sum(plain(w)[0] for w in (b"one", b" two", b" three"))
+            found = None
+            for s in range(max(0, e - 128), e):
+                if w[s:e] in ids:
+                    new = (best[s][0] + score[ids[w[s:e]]], best[s][1] + 1, [*best[s][2], ids[w[s:e]]])
+                    if found is None or new[0] > found[0] or new[0] == found[0] and new[1] < found[1]:
+                        found = new
+            best.append(found)
+        return best[-1]
+
+    uses = {}
+    for t in texts:
+        for w in cut(t):
+            if len(w) < 400:
+                for k in plain(w, token_counts.equal_scores(path))[2]:
+                    uses[k] = uses.get(k, 0) + 1
+    short = [t for t in texts if t is None or len(t) < 400 or " " in t]
+    scores = token_counts.fit(docs(spark, short))
+    assert np.allclose(scores, token_counts.scores_of(uses, path))
+    got = {r["doc_id"]: r for r in token_counts.token_counts(docs(spark, short)).collect()}
+    for i, t in enumerate(short):
+        words = cut(t)
+        each = [plain(w, scores) for w in words]
+        assert (got[i]["n_pretokens"], got[i]["n_distinct"], got[i]["n_tokens"]) == (len(words), len(set(words)), sum(n for _, n, _ in each))
+        assert math.isclose(got[i]["log_prob"], sum(p for p, _, _ in each), abs_tol=1e-4)
+    # a long word, and tries that are emptied on the way
+    keep, token_counts.TERMINALS = token_counts.TERMINALS, 3
+    trie = token_counts.ForwardTrie(path, scores)
+    for t in short:
+        words = cut(t)
+        trie.insert(list(dict.fromkeys(words)), np.array([words.count(w) for w in dict.fromkeys(words)], np.int64))
+    total = trie.hand_over()
+    token_counts.TERMINALS = keep
+    assert total.sum() == sum(r["n_tokens"] for r in got.values())
+    assert token_counts.token_counts(docs(spark, ["x" * 30000])).first()["n_tokens"] > 0
+    assert token_counts.token_counts(docs(spark, [])).count() == 0
+    same = spark.createDataFrame([(None, "a b"), (2, "a b"), (2, "a b"), (3, None)], "doc_id bigint, text string")
+    assert sorted(((r["doc_id"] or 0, r["n_pretokens"]) for r in token_counts.token_counts(same).collect())) == [(0, 2), (2, 2), (2, 2), (3, 0)]
 
 
 @settings(max_examples=60, deadline=None)
