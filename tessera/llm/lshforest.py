@@ -3,13 +3,15 @@
 Every shard holds, for each of its trees, the sorted array of its vectors' long
 hash strings (signs of random projections).  A query descends each tree to its
 longest matching prefix, then all trees ascend together, one bit at a time,
-until enough candidates share the prefix; these are scored by the exact inner
-product.  How many are enough is raised until an audit against brute force
-reaches the wanted recall.
+until enough candidates share the prefix (on the last level tree by tree); these
+are scored by the exact inner product.  How many are enough starts small and is
+raised until an audit against brute force reaches the wanted recall.  A shard's
+forest is built once and stored; blocks of queries read it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,72 +27,110 @@ _BITS = 64
 
 @dataclass(frozen=True)
 class Params:
-    """wanted: least candidates per neighbour asked for; audit: queries checked by brute force in each block."""
+    """wanted: candidates per neighbour asked for, to begin with; audit: queries checked by brute force in each block; recall: what the audit must reach."""
 
-    trees: int = 48
-    wanted: int = 40
+    trees: int = 192
+    wanted: int = 8
+    growth: float = 1.25
     shard_rows: int = 16384
-    query_rows: int = 4096
-    audit: int = 48
-    recall: float = 0.97
+    query_rows: int = 32768
+    audit: int = 64
+    recall: float = 0.93
     seed: int = 11
 
 
 def _keys(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """trees x n hash strings, the first projection in the highest bit."""
-    signs = np.einsum("nd,tdb->tnb", x, planes, optimize=True) > 0
-    return np.packbits(signs, axis=2).view(">u8")[:, :, 0].astype(np.uint64)
+    out = np.empty((len(planes), len(x)), np.uint64)
+    for t, plane in enumerate(planes):
+        out[t] = np.packbits(x @ plane > 0, axis=1).view(">u8")[:, 0]
+    return out
 
 
 class Forest:
+    """Trees of one shard: the sorted hash strings of each and the vectors that they belong to."""
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, p: Params):
-        self.ids, self.x, self.p = ids, vectors.astype(np.float64), p
-        rng = np.random.default_rng(p.seed)
-        self.planes = rng.normal(size=(p.trees, self.x.shape[1] + 1, _BITS))
+        self.ids, self.x, self.p = ids, np.ascontiguousarray(vectors, np.float64), p
         # inner products of vectors of unequal length: one more component makes all lengths equal
         length = (self.x**2).sum(axis=1)
         lifted = np.concatenate([self.x, np.sqrt(np.maximum(length.max() - length, 0))[:, None]], axis=1)
-        keys = _keys(lifted, self.planes)
-        self.order = np.argsort(keys, axis=1, kind="stable")
+        self.middle = lifted.mean(axis=0)
+        keys = _keys(lifted - self.middle, self._planes())
+        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
         self.keys = np.take_along_axis(keys, self.order, 1)
 
-    def candidates(self, queries: np.ndarray, wanted: int) -> list[np.ndarray]:
-        """Positions of each query's candidates: synchronous ascent to the longest prefix that ``wanted`` entries of all trees share."""
-        asked = _keys(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1), self.planes)
-        q, trees, n = len(queries), self.p.trees, self.keys.shape[1]
-        low, high = np.zeros((trees, q), np.int64), np.full((trees, q), n)
-        todo = np.arange(q)
-        for depth in range(_BITS, 0, -1):
-            rest = np.uint64((1 << (_BITS - depth)) - 1)
+    def _planes(self) -> np.ndarray:
+        return np.random.default_rng(self.p.seed).normal(size=(self.p.trees, self.x.shape[1] + 1, _BITS))
+
+    def pack(self) -> list[bytes]:
+        return [a.tobytes() for a in (self.x, self.middle, self.order, self.keys)]
+
+    @classmethod
+    def unpack(cls, ids: np.ndarray, parts: list[bytes], p: Params) -> Forest:
+        own = cls.__new__(cls)
+        own.ids, own.p, n = ids, p, len(ids)
+        own.x, own.middle = np.frombuffer(parts[0]).reshape(n, -1), np.frombuffer(parts[1])
+        own.order, own.keys = np.frombuffer(parts[2], np.int32).reshape(-1, n), np.frombuffer(parts[3], np.uint64).reshape(-1, n)
+        return own
+
+    def asked(self, queries: np.ndarray) -> np.ndarray:
+        """Hash strings of queries; their added component is 0, and the middle counts by the query's length."""
+        length = np.sqrt((queries**2).sum(axis=1, keepdims=True))
+        scale = np.sqrt((self.x**2).sum(axis=1).max())
+        return _keys(np.concatenate([queries * scale / length, np.zeros((len(queries), 1))], axis=1) - self.middle, self._planes())
+
+    def candidates(self, keys: np.ndarray, wanted: int) -> list[np.ndarray]:
+        """Positions of each query's candidates: synchronous ascent until ``wanted`` entries of all trees share the prefix.
+
+        The trees ascend to that level one after another, and only until there are enough.
+        """
+        trees, q = keys.shape
+        n = self.keys.shape[1]
+        low, high = np.zeros((2, trees, q), np.int64)
+        todo, chosen = np.arange(q), [(None, 0)] * q
+        for depth in range(_BITS, -1, -1):
+            rest = np.uint64((1 << (_BITS - depth)) - 1) if depth else np.uint64(0xFFFFFFFFFFFFFFFF)
+            new_low, new_high = low.copy(), high.copy()
             for t in range(trees):
-                at = asked[t, todo]
-                low[t, todo] = np.searchsorted(self.keys[t], at & ~rest, side="left")
-                high[t, todo] = np.searchsorted(self.keys[t], at | rest, side="right")
-            todo = todo[(high - low)[:, todo].sum(axis=0) < wanted]
+                at = keys[t, todo]
+                new_low[t, todo] = np.searchsorted(self.keys[t], at & ~rest, side="left")
+                new_high[t, todo] = np.searchsorted(self.keys[t], at | rest, side="right")
+            size, old = new_high - new_low, high - low
+            enough = size[:, todo].sum(axis=0) >= wanted
+            for i in todo[enough | (depth == 0)]:
+                # entries after each further tree has ascended
+                total = old[:, i].sum() + np.cumsum(size[:, i] - old[:, i])
+                up = min(int(np.searchsorted(total, wanted)) + 1, trees)
+                chosen[i] = np.concatenate([new_low[:up, i], low[up:, i]]), np.concatenate([new_high[:up, i], high[up:, i]])
+            low, high = new_low, new_high
+            todo = todo[~enough]
             if not len(todo):
                 break
-        low[:, todo], high[:, todo] = 0, n
         out = []
-        for i in range(q):
+        for begin, end in chosen:
             mark = np.zeros(n, bool)
-            for t in range(trees):
-                mark[self.order[t, low[t, i] : high[t, i]]] = True
+            for t in np.flatnonzero(end > begin):
+                mark[self.order[t, begin[t] : end[t]]] = True
             out.append(np.flatnonzero(mark))
         return out
 
-    def nearest(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, inner products) of the ``k`` best of each query, ties to smaller ids; candidates grow until the audit passes."""
         n, p = len(self.ids), self.p
         audit = np.unique(np.linspace(0, len(queries) - 1, min(p.audit, len(queries))).astype(int))
         truth = [self._best(np.arange(n), queries[i], own[i], k)[0] for i in audit]
-        wanted = min(p.wanted * k, n) * 4
+        keys, wanted = self.asked(queries[audit]), p.wanted * k
         while wanted < n * p.trees:
-            got = self.candidates(queries[audit], wanted)
+            got = self.candidates(keys, wanted)
             hits = sum(len(np.intersect1d(t, self._best(c, queries[i], own[i], k)[0], assume_unique=True)) for t, c, i in zip(truth, got, audit, strict=True))
             if hits >= p.recall * sum(map(len, truth)):
                 break
-            wanted = int(wanted * 1.5)
-        return [self._best(c, queries[i], own[i], k) for i, c in enumerate(self.candidates(queries, wanted))]
+            wanted = int(wanted * p.growth) + 1
+        for a in range(0, len(queries), 512):
+            some = slice(a, a + 512)
+            for c, query, me in zip(self.candidates(self.asked(queries[some]), wanted), queries[some], own[some], strict=True):
+                yield self._best(c, query, me, k)
 
     def _best(self, at: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         at = at[self.ids[at] != own]
@@ -116,7 +156,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, params: Params = P
     components and null ids take no part; of rows that repeat an id the smallest vector counts;
     vectors of another length than the query's are no candidates.  Fewer than
     ``k`` candidates give fewer rows, an empty table none.  Rows are dealt into
-    shards of bounded size, queries into blocks; every block meets every shard.
+    shards of bounded size, queries into blocks; every block meets every shard's
+    stored forest.
     """
     p = params
 
@@ -130,14 +171,22 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, params: Params = P
         rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / p.shard_rows).cast("int").alias("shards")).join(asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / p.query_rows).cast("int").alias("blocks")), "dim"), "counts"
     )
     hashed = F.xxhash64("id")
-    offered = rows.join(counts, "dim").withColumn("shard", F.pmod(hashed, F.col("shards")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = asked.join(counts, "dim").withColumn("block", F.pmod(hashed, F.col("blocks")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
 
+    def build(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("id")
+        ids = shard.column("id").to_numpy()
+        parts = Forest(ids, _matrix(shard.column("vector")), p).pack()
+        return pa.table({"dim": shard.column("dim")[:1], "shard": shard.column("shard")[:1], "blocks": shard.column("blocks")[:1], "ids": pa.array([ids.tolist()], pa.list_(pa.int64())), "parts": pa.array([parts], pa.list_(pa.binary()))})
+
+    dealt = rows.join(counts, "dim").withColumn("shard", F.pmod(hashed, F.col("shards")).cast("int")).select("dim", "shard", "blocks", "id", "vector")
+    forests = materialize(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, blocks int, ids array<bigint>, parts array<binary>"), "forests")
+    offered = forests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            right = right.sort_by("id")
-            forest = Forest(right.column("id").to_numpy(), _matrix(right.column("vector")), p)
+            forest = Forest.unpack(np.array(right.column("ids")[0].as_py(), np.int64), right.column("parts")[0].as_py(), p)
             own = left.column("id").to_numpy()
             for i, (ids, scores) in enumerate(forest.nearest(_matrix(left.column("vector")), own, k)):
                 out[0].append(np.full(len(ids), own[i]))
@@ -147,6 +196,6 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, params: Params = P
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
 
     keys = ["dim", "shard", "block"]
-    found = sent.select(*keys, "id", "vector").groupBy(*keys).cogroup(offered.select(*keys, "id", "vector").groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = sent.select(*keys, "id", "vector").groupBy(*keys).cogroup(offered.select(*keys, "ids", "parts").groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

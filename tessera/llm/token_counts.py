@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, textbytes
 
 #: Terminals that a trie holds; beyond it the counts are handed over and the trie starts empty, results are the same.
-TERMINALS = 250_000
+TERMINALS = 700_000
 
 
 def equal_scores(path: str) -> np.ndarray:
