@@ -280,7 +280,7 @@ def similar_pairs(spark, d):
     return s.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("s"), 6).alias("mean"))
 
 
-@query()
+@query("WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.4), s AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, c) USING KEY (id) AS (SELECT id, id FROM v UNION (SELECT s.b, min(r.c) FROM r JOIN s ON s.a = r.id JOIN recurring.r AS old ON old.id = s.b WHERE r.c < old.c GROUP BY 1)) SELECT c AS cluster_id, (SELECT count(*) FROM r x WHERE x.c = r.c) AS members, round(avg(p.s), 6) AS avg_similarity FROM p JOIN r ON r.id = p.a GROUP BY 1, 2")
 def similarity_clusters(spark, d):
     return vector.similar_clusters(table(spark, d, "embeddings"), 0.4).withColumn("avg_similarity", F.round("avg_similarity", 6))
 
