@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import textbytes
 from tessera.llm.hnsw import usable
 from tessera.llm.storage import materialize
 
@@ -87,31 +88,36 @@ class Forest:
         """
         trees, q = keys.shape
         n = self.keys.shape[1]
-        low, high = np.zeros((2, trees, q), np.int64)
-        todo, chosen = np.arange(q), [(None, 0)] * q
-        for depth in range(_BITS, -1, -1):
-            rest = np.uint64((1 << (_BITS - depth)) - 1) if depth else np.uint64(0xFFFFFFFFFFFFFFFF)
-            new_low, new_high = low.copy(), high.copy()
+
+        def ranges(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Entries of each tree that share so many bits with each query; all for no bits, none beyond the last."""
+            rest = np.where(depth > 0, np.uint64(0xFFFFFFFFFFFFFFFF) >> np.minimum(depth, _BITS - 1).astype(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
+            rest[depth >= _BITS] = 0
+            low, high = np.empty((2, trees, q), np.int64)
             for t in range(trees):
-                at = keys[t, todo]
-                new_low[t, todo] = np.searchsorted(self.keys[t], at & ~rest, side="left")
-                new_high[t, todo] = np.searchsorted(self.keys[t], at | rest, side="right")
-            size, old = new_high - new_low, high - low
-            enough = size[:, todo].sum(axis=0) >= wanted
-            for i in todo[enough | (depth == 0)]:
-                # entries after each further tree has ascended
-                total = old[:, i].sum() + np.cumsum(size[:, i] - old[:, i])
-                up = min(int(np.searchsorted(total, wanted)) + 1, trees)
-                chosen[i] = np.concatenate([new_low[:up, i], low[up:, i]]), np.concatenate([new_high[:up, i], high[up:, i]])
-            low, high = new_low, new_high
-            todo = todo[~enough]
-            if not len(todo):
-                break
+                low[t] = np.searchsorted(self.keys[t], keys[t] & ~rest, side="left")
+                high[t] = np.searchsorted(self.keys[t], keys[t] | rest, side="right")
+            high[:, depth > _BITS] = low[:, depth > _BITS]
+            return low, high
+
+        # the longest prefix that enough entries share: their number falls with its length
+        some, few = np.zeros(q, np.int64), np.full(q, _BITS + 1)
+        while (few - some > 1).any():
+            middle = (some + few) // 2
+            low, high = ranges(middle)
+            enough = (high - low).sum(axis=0) >= wanted
+            some, few = np.where(enough, middle, some), np.where(enough, few, middle)
+        (low, high), (next_low, next_high) = ranges(some), ranges(some + 1)
+        size, longer = high - low, next_high - next_low
+        # of the trees in turn only so many ascend to it as are needed
+        total = longer.sum(axis=0) + np.cumsum(size - longer, axis=0)
+        up = np.arange(trees)[:, None] <= (total < wanted).sum(axis=0)
+        low, size = np.where(up, low, next_low), np.where(up, size, longer)
+        flat, base = self.order.reshape(-1), np.arange(trees) * n
         out = []
-        for begin, end in chosen:
+        for i in range(q):
             mark = np.zeros(n, bool)
-            for t in np.flatnonzero(end > begin):
-                mark[self.order[t, begin[t] : end[t]]] = True
+            mark[flat[textbytes.ragged(low[:, i] + base, size[:, i])]] = True
             out.append(np.flatnonzero(mark))
         return out
 
