@@ -6,10 +6,10 @@ probability of a prefix, and its last token) runs once for every trie node,
 however many words share the prefix; a terminal keeps its word's best
 segmentation and how often the word occurs.
 
-The model's probabilities are estimated from the table itself: in each round
-every document's pre-tokens are segmented by the round's scores, the terminals'
-counts give how often each token of the vocabulary is used, and those sums over
-all documents are the next round's scores.  The first round's scores are equal,
+The model's probabilities are estimated from the table itself: the
+distinct pre-tokens of all documents are counted, in each round they are
+segmented by the round's scores, the terminals' counts give how often each token
+of the vocabulary is used, and those sums are the next round's scores.  The first round's scores are equal,
 so that it takes the fewest tokens.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, textbytes
+from tessera.llm.storage import materialize
 
 #: Terminals that a trie holds; beyond it the counts are handed over and the trie starts empty, results are the same.
 TERMINALS = 700_000
@@ -49,7 +50,12 @@ class ForwardTrie:
     def __init__(self, path: str, scores: np.ndarray):
         ids = bpe.vocabulary(path).ids
         self.tokens = {piece: (float(scores[i]), i) for piece, i in ids.items()}
-        self.longest, self.size = max(map(len, ids)), len(scores)
+        self.size = len(scores)
+        # longest token by its last three bytes: where a token can end tells how far back it can begin
+        self.longest: dict[bytes, int] = {}
+        for piece in ids:
+            if len(piece) > self.longest.get(piece[-3:], 2):
+                self.longest[piece[-3:]] = len(piece)
         self.total = np.zeros(self.size, np.int64)
         self._clear()
 
@@ -66,7 +72,7 @@ class ForwardTrie:
         words that share a prefix share its nodes.  Of equal scores the one with
         fewer tokens counts, then the one with the longer last token.
         """
-        look_up, longest = self.tokens.get, self.longest
+        look_up, longest = self.tokens.get, self.longest.get
         path, score, count, last = b"", [0.0], [0], [(0, -1)]
         for word in words:
             shared, most = 0, min(len(path), len(word))
@@ -78,7 +84,8 @@ class ForwardTrie:
             del score[shared + 1 :], count[shared + 1 :], last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 best, fewest, back = -math.inf, 0, (0, -1)
-                for start in range(end - longest if end > longest else 0, end):
+                reach = longest(word[end - 3 : end], 2) if end > 2 else end
+                for start in range(end - reach if end > reach else 0, end):
                     found = look_up(word[start:end])
                     if found is not None:
                         total = score[start] + found[0]
@@ -129,32 +136,55 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield a, b, first, at, distinct, np.bincount(at, minlength=len(distinct))
 
 
-def token_uses(docs: DataFrame, path: str, scores: np.ndarray, text_col: str = "text") -> dict[int, int]:
-    """How often the best segmentations of all texts use each token id.
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word binary, n long``: how often each distinct pre-token stands in all texts; every task sums its own first."""
 
-    Every task sums its own texts, so at most a vocabulary of rows leaves it,
-    and at most a vocabulary of sums reaches the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for *_, distinct, times in _words(batch.column(0)):
+                for word, n in zip(distinct, times.tolist(), strict=True):
+                    seen[word] = seen.get(word, 0) + n
+                if len(seen) > TERMINALS:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+
+    each = textbytes.map_texts(docs.select(docs[text_col].cast("string").alias("text")), run, "word binary, n bigint")
+    return each.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def token_uses(words: DataFrame, path: str, scores: np.ndarray) -> dict[int, int]:
+    """How often the best segmentations of ``words(word, n)`` use each token id.
+
+    Every task walks its own words in byte order and sums them, so at most a
+    vocabulary of rows leaves it and a vocabulary of sums reaches the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = ForwardTrie(path, scores)
         for batch in batches:
-            for *_, distinct, times in _words(batch.column(0)):
-                trie.insert(distinct, times)
+            trie.insert(batch.column(0).to_numpy(zero_copy_only=False).tolist(), batch.column(1).to_numpy())
         total = trie.hand_over()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["token", "n"])
 
-    rows = textbytes.map_texts(docs.select(docs[text_col].cast("string").alias("text")), run, "token int, n bigint")
+    rows = textbytes.map_texts(words.sortWithinPartitions("word"), run, "token int, n bigint")
     return {r["token"]: r["n"] for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
 def fit(docs: DataFrame, tokenizer: str | None = None, rounds: int = 1, text_col: str = "text") -> np.ndarray:
     """Log probability of every token id of the vocabulary, estimated from all texts; an empty table gives equal ones."""
     path = tokenizer or bpe.default_tokenizer()
-    scores = equal_scores(path)
+    scores, words = equal_scores(path), word_counts(docs, text_col)
+    if rounds > 1:
+        words = materialize(words, "word-counts")
     for _ in range(rounds):
-        scores = scores_of(token_uses(docs, path, scores, text_col), path)
+        scores = scores_of(token_uses(words, path, scores), path)
     return scores
 
 
