@@ -367,6 +367,16 @@ def enough_samples(samples: list[float], least: int = 10, share: float = 0.02) -
     return 1.96 * deviation / n**0.5 < share * abs(mean)
 
 
+def compare_results(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two tables of result records: compare_metric of the samples of each benchmark that both have, and a line of text."""
+    side = lambda rows, later: rows.select("benchmark", F.explode("samples").alias("value"), F.lit(later).alias("later"))
+    both = before.select("benchmark").distinct().intersect(after.select("benchmark").distinct())
+    rows = side(before, False).unionByName(side(after, True)).join(both, "benchmark", "left_semi")
+    out = compare_metric(rows, "value", "later", ["benchmark"])
+    line = F.format_string("%s: %.3f -> %.3f ms (%+.1f %%), %s", "benchmark", "mean_a", "mean_b", "percent", "change")
+    return out.withColumn("line", line).orderBy("benchmark")
+
+
 def pairwise(df: DataFrame, engine: str, metric: str, value: str) -> DataFrame:
     """compare_metric of every two engines of a metric, by a self-join on the metric."""
     names = df.select(F.col(metric).alias("metric"), F.col(engine).alias("engine")).distinct()

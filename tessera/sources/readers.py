@@ -79,9 +79,12 @@ def unwind(df: DataFrame, xs: str, name: str) -> DataFrame:
 RESULT_SCHEMA = "benchmark string, engine string, timestamp string, cold_ms double, warm_ms double, samples array<double>, rows bigint, correctness struct<passed:boolean,message:string>, host struct<cpu:string,memory_gb:double>, outcome string"
 
 
-def results(spark: SparkSession, directory: str) -> DataFrame:
-    """Result records of all ``*.json`` files, with their file, in name order."""
+def results(spark: SparkSession, directory: str, engine: str | None = None, benchmark: str | None = None) -> DataFrame:
+    """Result records of all ``*.json`` files, of one engine or benchmark where named, with their file, in name order."""
     rows = spark.read.schema(RESULT_SCHEMA).option("multiLine", True).json(f"{directory}/*.json")
+    for name, value in (("engine", engine), ("benchmark", benchmark)):
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
     return rows.select("*", F.col("_metadata.file_name").alias("file")).orderBy("file")
 
 

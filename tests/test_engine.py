@@ -362,6 +362,20 @@ def test_harness(spark, graph, tmp_path):
     assert runner.transpile_ms(graph, "MATCH (n) RETURN n.id AS id", "cypher", 2) >= 0
 
 
+def test_results_are_filtered_and_compared(spark, tmp_path):
+    for k, (folder, base) in enumerate((("a", 100.0), ("b", 50.0))):
+        (tmp_path / folder).mkdir()
+        for name, engine in (("scan", "one"), ("sort" if k else "join", "two")):
+            record = {"benchmark": name, "engine": engine, "warm_ms": base, "samples": [base + i % 3 for i in range(30)]}
+            (tmp_path / folder / f"{name}.json").write_text(json.dumps(record))
+    a, b = (str(tmp_path / x) for x in "ab")
+    assert [r["benchmark"] for r in readers.results(spark, a).collect()] == ["join", "scan"]
+    assert [r["benchmark"] for r in readers.results(spark, a, engine="one").collect()] == ["scan"]
+    assert readers.results(spark, a, benchmark="sort").count() == 0
+    (row,) = statistics.compare_results(readers.results(spark, a), readers.results(spark, b)).collect()
+    assert row["benchmark"] == "scan" and row["change"] == "Improvement" and row["line"].startswith("scan: 101.000 -> 51.000 ms (-49.5 %)")
+
+
 def test_cache(spark, graph):
     cache = ResultCache(spark, promote=2)
     make = lambda: graph.nodes.select("id")
