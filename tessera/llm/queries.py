@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hnsw, langid, licenses, lshforest, minhash, mixing, pii, token_counts, tokenfile
+from tessera.llm import bpe, hnsw, impactsearch, langid, licenses, lshforest, minhash, mixing, pii, token_counts, tokenfile, toxicity, vectorcodes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +55,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impactsearch.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxic_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("passages", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("bigint").alias("n_passages"), spans.alias("passages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_minhash_near_dedup, op2_token_counts, op3_license_scan, op4_language_id, op5_bpe, op6_hash_prefix_forest, op7_pfair_mixing, op8_pii, op9_embedding_near_dedup, op10_token_files)
+    every = (op1_minhash_near_dedup, op2_token_counts, op3_license_scan, op4_language_id, op5_bpe, op6_hash_prefix_forest, op7_pfair_mixing, op8_pii, op9_embedding_near_dedup, op10_token_files, op11_filtering_lloyd, op12_impact_search, op13_toxic_passages)
     return {f.__name__: f for f in every}
 
 
@@ -83,6 +98,46 @@ SELECT id AS vec_id, (SELECT count(*) FROM l WHERE l.a = id) AS n_links, min(roo
 """
 
 
+def _op11_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry; the codebooks' tables follow one another."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT r, j, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT p.r, p.j, p.v, b.e, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{r} b USING (j)) GROUP BY r, j, v)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT b.j, b.e, coalesce(s.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT j, e, list(floor_div ORDER BY i) AS v FROM (
+      SELECT j, e, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS floor_div FROM (
+        SELECT j, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY j, e, i) GROUP BY j, e) s ON s.j = b.j AND s.e = b.e)""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, j, v[j * (len(v) // {parts}) + 1:(j + 1) * (len(v) // {parts})] AS v FROM k, range({parts}) t(j)),
+b0 AS MATERIALIZED (SELECT j, e, p.v FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM k ORDER BY vec_id, v LIMIT {entries}) USING (r)),
+{", ".join(steps)},
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY j) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+t AS (SELECT label, sum(error)::BIGINT AS label_error FROM c JOIN k USING (r) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY j, e)) FROM b{rounds}) AS codebooks_sha256
+FROM c JOIN k USING (r) JOIN t ON t.label IS NOT DISTINCT FROM k.label
+"""
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS total FROM d WHERE len(ws) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t, docs),
+q AS (SELECT item_id, t, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark) GROUP BY item_id, t),
+m AS (SELECT r, doc_id, 25 + (75 * len(ws) * docs) // total AS m FROM d, s WHERE len(ws) > 0),
+x AS (SELECT item_id, doc_id, r, sum(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY item_id, doc_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
 def _op3_sql() -> str:
     """Runs of the pieces between line and sentence ends are looked up one by one, and the runs chosen by following pointers from the first."""
     known = ", ".join(f"('{name}', '{words}', {words.count(' ') + 1})" for name, words in licenses.SENTENCES.items())
@@ -109,4 +164,4 @@ FROM numbered d LEFT JOIN ids USING (r) LEFT JOIN (SELECT r, string_agg(name, ',
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": _op3_sql(), "op9_embedding_near_dedup": OP9_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": _op3_sql(), "op9_embedding_near_dedup": OP9_SQL, "op11_filtering_lloyd": _op11_sql(), "op12_impact_search": OP12_SQL}
