@@ -34,6 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tessera.catalog import frontends, graphs, more, numbers, relational  # noqa: F401
+    from tessera.catalog import frontends, graphs, more, numbers, patterns, relational  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

@@ -59,7 +59,7 @@ def cypher_union(spark, d):
 
 @query("WITH {graph} SELECT type, count(*) AS n FROM e GROUP BY 1")
 def cypher_call(spark, d):
-    return cypher.query(order_graph(spark, d), "CALL xray.edge_aggregate() YIELD type, count AS n")
+    return cypher.query(order_graph(spark, d), "CALL edge_aggregate() YIELD type, count AS n")
 
 
 @query("WITH {graph} SELECT category, count(id) AS count_id, round(avg(value), 4) AS avg_value FROM n GROUP BY 1")

@@ -130,7 +130,7 @@ def cypher_pattern_comprehension(spark, d):
 
 @query("WITH {graph}, t AS (SELECT type, count(*) AS n FROM e GROUP BY 1) SELECT n.id, t.type, t.n FROM n, t WHERE n.value > 9900")
 def cypher_call_after_match(spark, d):
-    return cypher.query(order_graph(spark, d), "MATCH (x) WHERE x.value > 9900 CALL xray.edge_aggregate() YIELD type, count RETURN x.id AS id, type, count AS n")
+    return cypher.query(order_graph(spark, d), "MATCH (x) WHERE x.value > 9900 CALL edge_aggregate() YIELD type, count RETURN x.id AS id, type, count AS n")
 
 
 @query("WITH {graph} SELECT id, value FROM n WHERE value > 5000 ORDER BY value DESC, id LIMIT 20")

@@ -19,13 +19,15 @@ from tessera.storage import materialize
 MAX_DEPTH = 64
 #: Ids of a frontier that are broadcast; depth up to which a search reads the edges as they are instead of a prepared table.
 SENT, PREPARED = 200_000, 4
+#: Trails that are broadcast; a row holds two lists of at most MAX_DEPTH ids.
+SENT_TRAILS = 50_000
 
 
 def _steps(edges: DataFrame, direction: str = "out") -> DataFrame:
     """``a, b, eid`` in walking direction."""
     out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "eid")
     back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "eid")
-    return {"out": lambda: out, "in": lambda: back, "both": lambda: out.unionByName(back)}[direction]()
+    return {"out": lambda: out, "in": lambda: back, "both": lambda: out.unionByName(back.where("a <> b"))}[direction]()
 
 
 def levels(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", allowed: DataFrame | None = None) -> DataFrame:
@@ -76,11 +78,15 @@ def node_depths(edges: DataFrame, seeds: DataFrame, depth: int, direction: str =
 
 def trails(edges: DataFrame, seeds: DataFrame, low: int, high: int, direction: str = "out", max_rows: int = 50_000_000) -> DataFrame:
     """``seed, id, nodes, eids`` of every trail of ``low`` to ``high`` edges; more than ``max_rows`` in a level is an error, not a hang."""
-    steps = materialize(_steps(edges, direction), "steps")
-    now = seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("nodes"), F.array().cast("array<bigint>").alias("eids"))
-    out = now if low == 0 else None
+    steps = _steps(edges, direction)
+    if high > PREPARED:
+        steps = materialize(steps, "steps")
+    now = materialize(seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("nodes"), F.array().cast("array<bigint>").alias("eids")), "seeds")
+    out, rows = now if low == 0 else None, now.count()
     for at in range(1, min(high, MAX_DEPTH) + 1):
-        grown = now.join(steps, F.col("id") == F.col("a")).where(~F.array_contains("eids", F.col("eid")))
+        # few trails are sent to the edges, which are scanned where they lie
+        near = F.broadcast(now) if rows <= SENT_TRAILS else now
+        grown = steps.join(near, F.col("id") == F.col("a")).where(~F.array_contains("eids", F.col("eid")))
         now = materialize(grown.select("seed", F.col("b").alias("id"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("eids", F.col("eid")).alias("eids")), f"trails{at}")
         rows = now.count()
         if rows > max_rows:

@@ -102,8 +102,8 @@ class Chain:
         if not chain:
             chain = [Node("n0")]
         last = chain[-1].var
-        plan = Plan(self.graph, distinct_ends=True, used={last: {"*"}})
-        plan.add("Match", chain=chain)
+        plan = Plan(self.graph, used={last: {"*"}})
+        plan.add("Match", chains=[(None, chain, False)], distinct_ends=True, each=True)
         plan.add("Project", items=[("node", lambda df: F.col(last))], distinct=False)
         plan.add("Project", items=[(c, (lambda df, c=c: F.col(f"node.{c}"))) for c in self.graph.nodes.columns])
         return plan

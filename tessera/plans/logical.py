@@ -3,17 +3,21 @@
 A bound node or edge is one struct column, whose unused fields Catalyst prunes.
 Rewrites that Catalyst cannot make are made here: distinct ends of a
 variable-length step become a search with visited sets instead of trails; a
-node's table is joined only if more than its id is used; edges of one pattern
-differ.
+node's table is joined only if more than its id is used; a chain is walked from
+a node that is bound already or known by its id.  No edge is used twice by the
+patterns of one MATCH, whatever their form: each new edge is compared with those
+before that may be of its type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.graph import PropertyGraph
 from tessera.operators import traversal
@@ -56,7 +60,6 @@ class Op:
 class Plan:
     graph: PropertyGraph
     steps: list[Op] = field(default_factory=list)
-    distinct_ends: bool = False
     #: properties used of each variable; "*" for all
     used: dict[str, set[str]] = field(default_factory=dict)
 
@@ -96,32 +99,57 @@ class Plan:
         """Whether the node's table is not needed: edges always have both ends."""
         return not node.labels and not node.where and self.used.get(node.var, set()) <= {"id"}
 
-    def _match(self, df: DataFrame | None, chain: list, optional: bool = False, where: Callable[[DataFrame], Column] | None = None, path: str | None = None, nodes: bool = False) -> DataFrame:
+    def _match(
+        self, df: DataFrame | None, chains: list[tuple[str | None, list, bool]], optional: bool = False,
+        where: Callable[[DataFrame], Column] | None = None, distinct_ends: bool = False, each: bool = False,
+    ) -> DataFrame:
+        """All patterns ``(path variable, chain, whether the path's nodes are asked for)`` of one MATCH at once.
+
+        ``distinct_ends``: nothing later depends on how often a row occurs, so a
+        lone variable-length step may be searched; with ``each`` every such step.
+        """
         if optional:
-            assert df is not None
-            marked = df.withColumn("row_", F.monotonically_increasing_id())
-            marked = materialize(marked, "optional")
-            inner = self._match(marked, chain, path=path, nodes=nodes)
-            if where is not None:
-                inner = inner.where(where(inner))
+            first = df is None
+            df = self._one() if first else df
+            marked = materialize(df.withColumn("row_", F.monotonically_increasing_id()), "optional")
+            inner = self._match(marked, chains, where=where, distinct_ends=distinct_ends, each=each)
             new = [c for c in inner.columns if c not in marked.columns]
-            return marked.join(inner.select("row_", *new), "row_", "left").drop("row_")
-        start = chain[0]
+            return marked.join(inner.select("row_", *new), "row_", "left").drop("row_", *(["one_"] if first else []))
+        seen: list[Edge] = []
+        left = list(chains)
+        while left:
+            bound = set(df.columns) if df is not None else set()
+            # a chain that meets what is bound goes first, so that it is joined and not crossed
+            at = next((k for k, (_, chain, _) in enumerate(left) if any(n.var in bound for n in chain[::2])), 0)
+            path, chain, nodes = left.pop(at)
+            df = self._chain(df, chain, seen, path is not None, distinct_ends and (each or sum(len(c) // 2 for _, c, _ in chains) == 1))
+            if path is not None:
+                df = self._path(df, chain, path, nodes)
+        if where is not None:
+            df = df.where(where(df))
+        return df
+
+    def _one(self) -> DataFrame:
+        return self.graph.spark.range(1).select(F.lit(True).alias("one_"))
+
+    def _chain(self, df: DataFrame | None, chain: list, seen: list[Edge], on_path: bool, distinct_ends: bool) -> DataFrame:
+        """Walks a chain from its node that is bound, or else from one known by its id, to both sides."""
+        bound = set(df.columns) if df is not None else set()
+        nodes = chain[::2]
+        known = [k for k, n in enumerate(nodes) if n.var in bound] or [k for k, n in enumerate(nodes) if "id" in n.where and not callable(n.where["id"])] or [0]
+        at = known[0]
+        start = nodes[at]
         if df is None:
             df = self._struct(start)
-        elif start.var not in df.columns:
+        elif start.var not in bound:
             df = df.crossJoin(self._struct(start))
         elif start.labels or start.where:
             df = self._narrow(df, start)
         df = self._bound(df, start)
-        seen: list[str] = []
-        for edge, node in zip(chain[1::2], chain[2::2], strict=True):
-            df = self._expand(df, start, edge, node, seen, path is not None)
-            start = node
-        if path is not None:
-            df = self._path(df, chain, path, nodes)
-        if where is not None:
-            df = df.where(where(df))
+        for k in range(at, len(nodes) - 1):
+            df = self._expand(df, nodes[k], chain[2 * k + 1], nodes[k + 1], seen, on_path, distinct_ends)
+        for k in range(at, 0, -1):
+            df = self._expand(df, nodes[k], chain[2 * k - 1], nodes[k - 1], seen, on_path, distinct_ends, back=True)
         return df
 
     def _path(self, df: DataFrame, chain: list, path: str, nodes: bool) -> DataFrame:
@@ -164,14 +192,53 @@ class Plan:
             return self._with_nodes(out.withColumn("eids_", F.slice("ids_", 2, 1 << 20)), path)
         return out.withColumn(path or "path_", F.struct((F.size("ids_") - 1).cast("bigint").alias("hops"), F.col("ids_").alias("ids"))).drop("ids_")
 
-    def _comprehend(self, df: DataFrame, chain: list, where: Callable | None, fn: Callable, var: str) -> DataFrame:
-        """Column ``var``: for each row the list of a pattern's values, from one grouped join on the pattern's first node."""
-        start = chain[0].var
-        inner = Plan(self.graph, used=self.used)._match(df.select(start).distinct(), chain, where=where)
-        lists = inner.groupBy(F.col(f"{start}.id").alias("key_")).agg(F.array_sort(F.collect_list(fn(inner))).alias(var))
-        out = df.join(lists, F.col(f"{start}.id") == F.col("key_"), "left").drop("key_")
+    def _inner(self, df: DataFrame, chains: list, where: Callable | None, outer: set[str]) -> tuple[DataFrame, list[str], list[Column]]:
+        """(matches of a nested pattern with key columns, their names, the keys of the rows of ``df``).
+
+        The pattern sees what it shares with the row: its own bound variables
+        and those that its condition names.
+        """
+        own = {p.var for _, chain, _ in chains for p in chain} | outer
+        shared = [c for c in df.columns if c in own]
+        keys = []
+        for c in shared:
+            kind = df.schema[c].dataType
+            name = next((k for k in ("eid", "id") if isinstance(kind, T.StructType) and k in kind.names), None)
+            keys.append(F.col(f"`{c}`").getField(name) if name else F.col(f"`{c}`"))
+        names = [f"key{k}_" for k in range(len(keys))]
+        start = df.select(*[F.col(f"`{c}`") for c in shared], *[k.alias(n) for k, n in zip(keys, names, strict=True)]).dropDuplicates(names) if shared else None
+        return Plan(self.graph, used=self.used)._match(start, chains, where=where), names, keys
+
+    def _keyed(self, df: DataFrame, found: DataFrame, names: list[str], keys: list[Column], how: str) -> DataFrame:
+        if not names:  # the pattern shares nothing with the row
+            return df.join(found, F.lit(True), how)
+        same = [k == F.col(n) for k, n in zip(keys, names, strict=True)]
+        return df.join(found, reduce(lambda a, b: a & b, same), how)
+
+    def _comprehend(self, df: DataFrame, chains: list, where: Callable | None, fn: Callable, var: str, outer: set[str]) -> DataFrame:
+        """Column ``var``: for each row the list of a pattern's values, from one grouped join on what the pattern shares with the row."""
+        inner, names, keys = self._inner(df, chains, where, outer)
+        lists = inner.groupBy(*names).agg(F.array_sort(F.collect_list(fn(inner))).alias(var))
+        out = self._keyed(df, lists, names, keys, "left").drop(*names)
         return out.withColumn(var, F.coalesce(var, F.array().cast(out.schema[var].dataType)))
 
+    def _counted(self, df: DataFrame, chains: list, where: Callable | None, var: str, outer: set[str]) -> DataFrame:
+        """Column ``var``: how often the pattern occurs for each row."""
+        inner, names, keys = self._inner(df, chains, where, outer)
+        counts = inner.groupBy(*names).agg(F.count(F.lit(1)).alias(var))
+        return self._keyed(df, counts, names, keys, "left").drop(*names).withColumn(var, F.coalesce(var, F.lit(0).cast("bigint")))
+
+    def _marked(self, df: DataFrame, chains: list, where: Callable | None, var: str, outer: set[str]) -> DataFrame:
+        """Column ``var``: whether the pattern occurs for the row."""
+        inner, names, keys = self._inner(df, chains, where, outer)
+        found = inner.select(*names, F.lit(True).alias(var)).distinct()
+        return self._keyed(df, found, names, keys, "left").drop(*names).withColumn(var, F.coalesce(var, F.lit(False)))
+
+    def _exists(self, df: DataFrame, chains: list, where: Callable | None, outer: set[str], negated: bool = False) -> DataFrame:
+        inner, names, keys = self._inner(df, chains, where, outer)
+        found = inner.select(*names).distinct() if names else inner.select(F.lit(True).alias("some_")).limit(1)
+        return self._keyed(df, found, names, keys, "left_anti" if negated else "left_semi")
+
     def _load(self, df: DataFrame | None, path: str, var: str) -> DataFrame:
         """A row of text columns for each line of a file with a header."""
         rows = self.graph.spark.read.option("header", True).csv(path)
@@ -185,39 +252,67 @@ class Plan:
         fine = self._struct(node).select(F.col(f"{node.var}.id").alias("ok_"))
         return df.join(fine, F.col(f"{node.var}.id") == F.col("ok_"), "left_semi")
 
-    def _expand(self, df: DataFrame, start: Node, edge: Edge, node: Node, seen: list[str], on_path: bool = False) -> DataFrame:
+    def _expand(self, df: DataFrame, start: Node, edge: Edge, node: Node, seen: list[Edge], on_path: bool = False, distinct_ends: bool = False, back: bool = False) -> DataFrame:
+        """Joins one step; ``back`` walks it from its end to its start."""
         edges = self.graph.typed(*edge.types)
+        late = {}
         for name, value in edge.where.items():
-            edges = edges.where(F.col(name) == value)
+            if callable(value):
+                late[name] = value
+            else:
+                edges = edges.where(F.col(name) == value if name in edges.columns else F.lit(False))
+        direction = {"out": "in", "in": "out", "both": "both"}[edge.direction] if back else edge.direction
+        again = edge.var in df.columns
+        column = f"{edge.var}again_" if again else edge.var
         if edge.varied:
-            return self._vary(df, start, edge, node, edges, on_path)
-        props = [c for c in edges.columns]
-        out = edges.select(F.col("src").alias("from_"), F.col("dst").alias("to_"), F.struct(*props).alias(edge.var))
-        back = edges.select(F.col("dst").alias("from_"), F.col("src").alias("to_"), F.struct(*props).alias(edge.var))
-        steps = out if edge.direction == "out" else back if edge.direction == "in" else out.unionByName(back.where("from_ <> to_"))
-        df = df.join(steps, F.col(f"{start.var}.id") == F.col("from_")).drop("from_")
-        for other in seen:
-            df = df.where(F.col(f"{other}.eid") != F.col(f"{edge.var}.eid"))
-        seen.append(edge.var)
+            df = self._vary(df, start, edge, edges, direction, on_path, distinct_ends, back)
+            if again:
+                raise ValueError(f"{edge.var} is bound already")
+        else:
+            record = F.struct(*edges.columns).alias(column)
+            out = edges.select(F.col("src").alias("from_"), F.col("dst").alias("to_"), record)
+            into = edges.select(F.col("dst").alias("from_"), F.col("src").alias("to_"), record)
+            steps = out if direction == "out" else into if direction == "in" else out.unionByName(into.where("from_ <> to_"))
+            df = df.join(steps, F.col(f"{start.var}.id") == F.col("from_")).drop("from_")
+            for name, value in late.items():
+                df = df.where(F.col(f"{column}.{name}") == value(df) if name in edges.columns else F.lit(False))
+        if again:  # an edge of an earlier clause
+            df = df.where(F.col(f"{edge.var}.eid") == F.col(f"{column}.eid")).drop(column)
+        if edge.var in df.columns:  # a search of distinct ends carries no edges
+            for other in seen:
+                if not edge.types or not other.types or set(edge.types) & set(other.types):
+                    df = df.where(self._apart(edge, other))
+            seen.append(edge)
         return self._land(df, node)
 
+    @staticmethod
+    def _apart(a: Edge, b: Edge) -> Column:
+        """The two steps share no edge."""
+        if a.varied and b.varied:
+            return ~F.arrays_overlap(f"{a.var}.eids", f"{b.var}.eids")
+        if not a.varied and not b.varied:
+            return F.col(f"{a.var}.eid") != F.col(f"{b.var}.eid")
+        many, one = (a, b) if a.varied else (b, a)
+        return ~F.array_contains(F.col(f"{many.var}.eids"), F.col(f"{one.var}.eid"))
+
     def _land(self, df: DataFrame, node: Node) -> DataFrame:
         if node.var in df.columns:
-            return df.where(F.col(f"{node.var}.id") == F.col("to_")).drop("to_")
+            df = df.where(F.col(f"{node.var}.id") == F.col("to_")).drop("to_")
+            return self._bound(self._narrow(df, node), node) if node.labels or node.where else df
         if self._plain(node):
             return df.withColumn(node.var, F.struct(F.col("to_").alias("id"))).drop("to_")
         return self._bound(df.join(self._struct(node), F.col("to_") == F.col(f"{node.var}.id")).drop("to_"), node)
 
-    def _vary(self, df: DataFrame, start: Node, edge: Edge, node: Node, edges: DataFrame, on_path: bool) -> DataFrame:
+    def _vary(self, df: DataFrame, start: Node, edge: Edge, edges: DataFrame, direction: str, on_path: bool, distinct_ends: bool, back: bool) -> DataFrame:
         seeds = df.select(F.col(f"{start.var}.id").alias("id")).distinct()
-        if self.distinct_ends and edge.low == 1 and not on_path:
-            pairs = keyed_reach(edges, seeds, edge.high, edge.direction)
+        if distinct_ends and edge.low == 1 and not on_path and edge.var not in self.used:
+            pairs = keyed_reach(edges, seeds, edge.high, direction)
         else:
-            walked = traversal.trails(edges, seeds, edge.low, edge.high, edge.direction)
-            pairs = walked.select("seed", F.col("id").alias("to_"), F.struct(F.size("eids").cast("bigint").alias("hops"), F.col("nodes"), F.col("eids")).alias(edge.var))
+            walked = traversal.trails(edges, seeds, edge.low, edge.high, direction)
+            turn = F.reverse if back else lambda c: c  # lists are in the pattern's order
+            pairs = walked.select("seed", F.col("id").alias("to_"), F.struct(F.size("eids").cast("bigint").alias("hops"), turn(F.col("nodes")).alias("nodes"), turn(F.col("eids")).alias("eids")).alias(edge.var))
         pairs = pairs.withColumnRenamed("seed", "from_")
-        out = df.join(pairs, F.col(f"{start.var}.id") == F.col("from_")).drop("from_")
-        return self._land(out, node)
+        return df.join(pairs, F.col(f"{start.var}.id") == F.col("from_")).drop("from_")
 
     def _where(self, df: DataFrame, fn: Callable[[DataFrame], Column], text: str = "") -> DataFrame:
         return df.where(fn(df))
@@ -226,6 +321,9 @@ class Plan:
         df = df if df is not None else self.graph.spark.range(1).drop("id")
         return df.withColumn(var, F.explode(fn(df)))
 
+    def _distinct(self, df: DataFrame) -> DataFrame:
+        return df.distinct()
+
     def _project(self, df: DataFrame | None, items: list[tuple[str, Callable]], distinct: bool = False) -> DataFrame:
         df = df if df is not None else self.graph.spark.range(1)
         out = df.select(*[fn(df).alias(name) for name, fn in items])
@@ -233,7 +331,7 @@ class Plan:
 
     def _aggregate(self, df: DataFrame, keys: list[tuple[str, Callable]], values: list[tuple[str, Callable]], order: list[str] | None = None) -> DataFrame:
         out = df.groupBy(*[fn(df).alias(name) for name, fn in keys]).agg(*[fn(df).alias(name) for name, fn in values])
-        return out.select(*order) if order else out
+        return out.select(*[F.col(f"`{c}`") for c in order]) if order else out
 
     def _sort(self, df: DataFrame, keys: list[tuple[Callable, bool]]) -> DataFrame:
         # null is the largest value of the language
@@ -256,11 +354,6 @@ class Plan:
             out = out.withColumnRenamed(node, "id_").join(own.select(F.col("id").alias("id_"), F.struct(*own.columns).alias(node)), "id_").select(node, *rest)
         return out if df is None or not df.columns else df.crossJoin(out)
 
-    def _exists(self, df: DataFrame, chain: list, negated: bool = False) -> DataFrame:
-        inner = Plan(self.graph, used=self.used)._match(df.select(chain[0].var).distinct(), chain)
-        keys = inner.select(F.col(f"{chain[0].var}.id").alias("ok_")).distinct()
-        return df.join(keys, F.col(f"{chain[0].var}.id") == F.col("ok_"), "left_anti" if negated else "left_semi")
-
 
 def keyed_reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str) -> DataFrame:
     """``seed, to_`` of every distinct end of a trail of 1 to ``depth`` edges, by one search keyed by seed."""

@@ -50,9 +50,10 @@ def test_delete(session):
 
 
 def test_merge(session):
-    for _ in range(2):
-        session.run("MERGE (n:Person {name: 'Dee'}) ON CREATE SET n.age = 1 ON MATCH SET n.age = 2")
-    assert rows(session.run("MATCH (n {name: 'Dee'}) RETURN n.age AS a")) == [(2,)]
+    text = "UNWIND $visits AS v MERGE (p:Place {name: v}) ON CREATE SET p.age = 1 ON MATCH SET p.age = p.age + 1"
+    session.run(text, visits=["pier", "mill"])
+    session.run(text, visits=["mill", "dock", "dock"])
+    assert rows(session.run("MATCH (p:Place) RETURN p.name AS n, p.age AS a")) == [("dock", 1), ("mill", 2), ("pier", 1)]
     session.run("MATCH (a {id: 0}), (b {id: 1}) MERGE (a)-[:KNOWS]->(b)")
     assert session.graph.edges.count() == 1
 
