@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ from tessera.llm import textbytes
 from tessera.llm.storage import materialize
 
 
+#: Labels that are sent to every task (an id and a bit each); with more of them labelled texts meet them by a shuffle.
+SENT_LABELS = 2_000_000
+
+
 @dataclass(frozen=True)
 class Params:
     """prior: toxic pseudo-texts of each token, with as many others as make its log-odds 0; enough: least log-odds in standard errors; known: texts from which a token's own counts decide; stems: lengths tried in turn; drift: cost of any other token; expected: chance segments a passage may have; tokens: bound of the model's table, the surest kept."""
@@ -172,8 +177,12 @@ def segments(rows: DataFrame, models: list[Model], extra: list[str], text_col: s
 # learning
 
 
+#: Columns of the counts: texts of each half that have the token, toxic and other, and bitmaps of the words left and right of it in toxic ones.
+_COUNTS = ("t0", "o0", "l0", "r0", "t1", "o1", "l1", "r1")
+
+
 def _counted(rows: DataFrame) -> DataFrame:
-    """``word, half, toxic, other``: learned texts with each word, by half."""
+    """``stem`` and the counts of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +191,7 @@ def _counted(rows: DataFrame) -> DataFrame:
             for a, b, buf, offsets in textbytes.chunks(batch.column("text_")):
                 _, _, text, coded = words(buf, offsets)
                 n = b - a
-                kind = (half * 2 + label)[done : done + n]
+                mine, kind = half[done : done + n], (half * 2 + label)[done : done + n]
                 done += n
                 # equal words of one text count once; lower-casing may have made entries equal
                 low = coded.dictionary.dictionary_encode()
@@ -190,76 +199,69 @@ def _counted(rows: DataFrame) -> DataFrame:
                 pairs = np.unique(index * n + text)
                 size = len(low.dictionary)
                 table = np.bincount(pairs // n * 4 + kind[pairs % n], minlength=4 * size).reshape(size, 2, 2)
-                for h in (0, 1):
-                    some = np.flatnonzero(table[:, h].any(axis=1))
-                    yield pa.RecordBatch.from_arrays([low.dictionary.take(pa.array(some)), pa.array(np.full(len(some), h, np.int32)), pa.array(table[some, h, 1]), pa.array(table[some, h, 0])], ["word", "half", "toxic", "other"])
+                beside = np.zeros((2, size, 2), np.int64)
+                at = np.flatnonzero(kind[text] % 2 == 1)
+                for side, bit in enumerate(_neighbours(low.dictionary, index, text, at)):
+                    np.bitwise_or.at(beside[side], (index[at], mine[text[at]]), np.left_shift(np.int64(1), bit))
+                yield pa.RecordBatch.from_arrays([low.dictionary, *[pa.array(c) for h in (0, 1) for c in (table[:, h, 1], table[:, h, 0], beside[0, :, h], beside[1, :, h])]], ["stem", *_COUNTS])
 
-    found = textbytes.map_texts(rows, run, "word string, half int, toxic bigint, other bigint")
-    return found.groupBy("word", "half").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    found = textbytes.map_texts(rows, run, "stem string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return _summed(found, F.col("stem"))
 
 
-def _contexts(texts: DataFrame, candidates: list[dict[str, float]], p: Params) -> DataFrame:
-    """``level, token, half, contexts``: the different pairs of neighbours that a candidate has in toxic texts.
+def _neighbours(distinct: pa.Array, index: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 64 for the words left and right of each token ``at``."""
+    left, right = np.maximum(at - 1, 0), np.minimum(at + 1, max(len(index) - 1, 0))
+    spread = np.zeros(len(distinct), np.int64)
+    some = np.unique(np.concatenate([index[left], index[right]])) if len(at) else np.zeros(0, np.int64)
+    hashed = textbytes.mix64(np.array([zlib.crc32(w.encode()) + 1 for w in distinct.take(pa.array(some)).to_pylist()], np.uint64))
+    spread[some] = (hashed & np.uint64(63)).astype(np.int64)
+    before = np.where((at > 0) & (text[left] == text[at]), spread[index[left]], 0)
+    return before, np.where((right > at) & (text[right] == text[at]), spread[index[right]], 0)
 
-    Copied passages give a token many texts but one context.
-    """
-    levels = [(length, pa.array(list(t), pa.string())) for length, t in zip((0, *p.stems), candidates, strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            half, done = np.asarray(batch.column("half_"), np.int64), 0
-            for a, b, buf, offsets in textbytes.chunks(batch.column("text_")):
-                _, _, text, coded = words(buf, offsets)
-                mine, done = half[done : done + b - a], done + b - a
-                index = np.asarray(coded.indices, np.int64)
-                spread = textbytes.mix64(np.array([zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()], np.uint64) + np.uint64(1))[index]
-                same = text[1:] == text[:-1]
-                left, right = np.zeros(len(index), np.uint64), np.zeros(len(index), np.uint64)
-                left[1:], right[:-1] = np.where(same, spread[:-1], 0), np.where(same, spread[1:], 0)
-                beside = textbytes.mix64(left * np.uint64(3) + right).view(np.int64)
-                for level, (length, names) in enumerate(levels):
-                    keys = pc.utf8_slice_codeunits(coded.dictionary, 0, length) if length else coded.dictionary
-                    at = np.flatnonzero(pc.is_in(keys, value_set=names).to_numpy(zero_copy_only=False)[index]) if len(index) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, np.int32)), keys.take(pa.array(index[at])), pa.array(mine[text[at]].astype(np.int32)), pa.array(beside[at])], ["level", "token", "half", "beside"])
-
-    found = textbytes.map_texts(texts, run, "level int, token string, half int, beside bigint").distinct()
-    return materialize(found.groupBy("level", "token", "half").agg(F.count(F.lit(1)).alias("contexts")), "toxic-contexts")
-
-
-def _log_odds(own: DataFrame, level: int, totals: tuple[int, int], contexts: DataFrame | None, p: Params) -> DataFrame:
-    """``own(stem, toxic, other)`` with ``odds``, the log-odds, 0 where they are not significantly above 0; toxic texts count at most as often as contexts differ."""
-    if contexts is not None:
-        of = contexts.where(F.col("level") == level).groupBy(F.col("token").alias("stem")).agg(F.sum("contexts").alias("contexts"))
-        own = own.join(of, "stem", "left").withColumn("toxic", F.least("toxic", "contexts")).drop("contexts")
+def _summed(own: DataFrame, key: Column) -> DataFrame:
+    return own.groupBy(key.alias("stem")).agg(*[(F.bit_or(c) if c[0] in "lr" else F.sum(c)).alias(c) for c in _COUNTS])
+
+
+def _log_odds(own: DataFrame, halves: tuple[int, ...], totals: tuple[int, int], p: Params) -> DataFrame:
+    """``stem, odds, sure, known`` from the counts of some halves; odds are 0 where they are not significantly above 0.
+
+    Toxic texts count at most as often as the words on either side of their
+    token differ (linear counting in the bitmaps, while that can tell), since a
+    passage that is copied gives a token many texts but one neighbour.
+    """
+    toxic, other = (reduce(lambda x, y: x + y, [F.col(f"{c}{h}") for h in halves]) for c in "to")
+    bits = F.least(*[F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"{side}{h}") for h in halves])) for side in "lr"])
+    differ = F.ceil(-64 * F.log((64 - bits) / 64.0))
+    own = own.select("stem", F.when(bits < 56, F.least(toxic, differ)).otherwise(toxic).alias("toxic"), other.alias("other"))
     share = (totals[1] + 1.0) / (totals[0] + 1.0)
     t, c = F.col("toxic") + p.prior, F.col("other") + p.prior * share
     odds = F.log(t) - F.log(c) + float(np.log(share))
     sure = odds / F.sqrt(1 / t + 1 / c)
-    return own.withColumn("sure", sure).withColumn("odds", F.when(sure >= p.enough, odds).otherwise(0.0))
+    return own.select("stem", F.when(sure >= p.enough, odds).otherwise(0.0).alias("odds"), sure.alias("sure"), (F.col("toxic") + F.col("other") >= p.known).alias("known"))
 
 
-def _tables(counts: DataFrame, contexts: DataFrame | None, p: Params) -> list[dict[str, float]]:
-    """Log-odds of the words and stems that decide: positive ones, and known ones that a positive shorter stem would name wrongly."""
-    totals = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
-    own = counts.groupBy(F.col("word").alias("stem")).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    out: list[DataFrame] = []
+def _tables(counts: dict[int, DataFrame], halves: tuple[int, ...], p: Params) -> list[dict[str, float]]:
+    """Log-odds of the words (length 0) and stems that decide: positive ones, and known ones that a positive shorter stem would name wrongly."""
+    sums = counts[0].agg(*[F.coalesce(F.sum(f"{c}{h}"), F.lit(0)).alias(f"{c}{h}") for c in "to" for h in halves]).first()
+    totals = tuple(sum(sums[f"{c}{h}"] for h in halves) for c in "to")
+    out: list[dict[str, float]] = []
     shorter: list[tuple[int, DataFrame]] = []
-    for level, length in reversed([*enumerate((0, *p.stems))]):
-        at = own
-        if length:
-            longer = own.where(F.length("stem") > length)
-            at = longer.groupBy(F.substring("stem", 1, length).alias("stem")).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") + F.col("other") >= p.known)
-        at = _log_odds(at, level, totals, contexts, p).withColumn("known", F.col("toxic") + F.col("other") >= p.known)
+    for length in (*reversed(p.stems), 0):
+        at = _log_odds(counts[length], halves, totals, p)
         keep = F.col("odds") > 0
+        if length:
+            keep &= F.col("known")
         for n, up in shorter:
             at = at.join(up.select(F.col("stem").alias("up"), F.lit(True).alias(f"under{n}")), F.substring("stem", 1, n) == F.col("up"), "left").drop("up")
             keep |= F.col("known") & F.coalesce(F.col(f"under{n}"), F.lit(False))
-        kept = materialize(at.where(keep).select("stem", "odds", "sure"), "toxic-table")
-        out.append(kept)
+        # the surest first; a token that is left out costs the drift
+        kept = materialize(at.where(keep).select("stem", "odds", "sure").orderBy(F.abs("sure").desc(), "stem").limit(p.tokens), "toxic-table")
+        out.append({r["stem"]: r["odds"] for r in kept.select("stem", "odds").collect()})
         if length:
             shorter.append((length, kept))
-    # the surest first; a token that is left out costs the drift
-    return [{r["stem"]: r["odds"] for r in found.orderBy(F.abs("sure").desc(), "stem").limit(p.tokens).collect()} for found in reversed(out)]
+    return out[::-1]
 
 
 def _chance(values: np.ndarray, tokens: np.ndarray, p: Params) -> float:
@@ -298,16 +300,18 @@ def _x() -> Column:
 def learn(rows: DataFrame, params: Params = Params()) -> Model:
     """A model from ``text_`` and ``label_`` (0 or 1) of all rows.
 
-    Exact copies count once.  All counts are over all rows; the driver sees the
-    deciding tokens (at most ``tokens`` a table) and histograms.
+    Equal texts fall into one half, and copies of toxic ones add nothing to
+    the different neighbours of their tokens.  All counts are over all rows; the driver
+    sees the deciding tokens (at most ``tokens`` a table) and histograms.  The
+    texts are read twice and not stored.
     """
     p = params
-    marked = rows.withColumn("mark_", F.sha2("text_", 256))
-    first = materialize(marked.groupBy("mark_").agg(F.max("label_").alias("label_"), F.first("text_").alias("text_")).select("text_", "label_", F.pmod(F.xxhash64("mark_"), F.lit(2)).cast("int").alias("half_")), "toxic-texts")
-    counts = materialize(_counted(first), "toxic-counts")
-    contexts = _contexts(first.where("label_ = 1"), _tables(counts, None, p), p)
-    halves = [Model(_tables(counts.where(F.col("half") == h), contexts.where(F.col("half") == h), p), p) for h in (0, 1)]
-    model = Model(_tables(counts, contexts, p), p)
+    first = rows.withColumn("half_", F.pmod(F.xxhash64("text_"), F.lit(2)).cast("int"))
+    counts = {0: materialize(_counted(first), "toxic-words")}
+    for length in p.stems:
+        counts[length] = materialize(_summed(counts[0].where(F.length("stem") > length), F.substring("stem", 1, length)), "toxic-stems")
+    halves = [Model(_tables(counts, (h,), p), p) for h in (0, 1)]
+    model = Model(_tables(counts, (0, 1), p), p)
     # each half is scanned with what the other half taught
     scanned = materialize(segments(first.withColumn("other_", 1 - F.col("half_")), halves, ["label_"], "text_", "other_"), "toxic-segments")
     clean = scanned.where("label_ = 0")
@@ -365,7 +369,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
     """A model from the labelled documents that are not held out (crc32 of the id modulo 3 is 1); null labels, ids and texts teach nothing, of several labels of an id the largest counts."""
     own = docs.select(docs[id_col].alias("id_"), docs[text_col].cast("string").alias("text_")).where(F.col("text_").isNotNull() & ~_held_out("id_"))
     of = labels.where(labels[label_col].isNotNull()).groupBy(labels[id_col].alias("id_")).agg((F.max(labels[label_col]) > 0).cast("int").alias("label_"))
-    return learn(own.join(of, "id_").select("text_", "label_"), params)
+    of = materialize(of, "toxic-labels")
+    # a copy of the texts by a shuffle only where the labels are too many to send
+    few = of.count() <= SENT_LABELS
+    return learn(own.join(F.broadcast(of) if few else of, "id_").select("text_", "label_"), params)
 
 
 def _held_out(id_col: str) -> Column:
