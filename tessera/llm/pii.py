@@ -72,13 +72,42 @@ def _patterns(reach: int) -> str:
     return f"array_compact(array({two}, {one}, {set_}, {after}))"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` in which ``name`` is the value, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(items: str, join: str) -> str:
+    """SQL: running values of an array of numbers under an associative ``join`` of x and y.
+
+    An array that grows by an item is copied each time, so items run in blocks
+    of about the square root of their number, and the blocks' ends in turn.
+    """
+    along = lambda xs: f"aggregate({xs}, cast(array() AS array<int>), (acc, y) -> concat(acc, array(CASE WHEN size(acc) = 0 THEN y ELSE {_let('element_at(acc, -1)', 'x', join)} END)))"
+    blocks = f"transform(sequence(0, cast((size(ns) - 1) div w AS INT)), b -> {along('slice(ns, b * w + 1, w)')})"
+    carried = f"flatten(transform(own, (l, i) -> CASE WHEN i = 0 THEN l ELSE {_let('ends[i - 1]', 'x', f'transform(l, y -> {join})')} END))"
+    body = _let(blocks, "own", _let(along("transform(own, l -> element_at(l, -1))"), "ends", carried))
+    sized = _let("cast(ceil(sqrt(size(ns))) AS INT)", "w", body)
+    return _let(items, "ns", f"CASE WHEN size(ns) = 0 THEN ns ELSE {sized} END")
+
+
 def _matches(pattern: str, kind: int, reach: int) -> str:
     """SQL: spans of all matches, by the lengths of what lies between them."""
     quoted = "r'" + pattern.replace("'", "\\'") + "'"
     gaps, hits = f"split(text, {quoted}, -1)", f"regexp_extract_all(text, {quoted}, 0)"
     zipped = f"transform(array({gaps}), g -> zip_with(zip_with(slice(g, 1, size(g) - 1), {hits}, (p, h) -> struct(p, h)), slice(g, 2, size(g) - 1), (x, q) -> transform(array(x.p), p -> struct(length(p) AS gap, length(x.h) AS len, x.h AS value, {_patterns(reach)} AS at))[0]))[0]"
-    step = "struct(a.pos + z.gap + z.len AS pos, concat(a.found, array(struct({kind} AS kind, a.pos + z.gap AS s, a.pos + z.gap + z.len AS e, z.value AS value, z.at AS at))) AS found)".format(kind=kind)
-    return f"aggregate({zipped}, struct(0 AS pos, cast(array() AS {_SPAN}) AS found), (a, z) -> {step}, a -> a.found)"
+    ends = _running("transform(zs, z -> z.gap + z.len)", "x + y")
+    spans = f"cast(zip_with(zs, {ends}, (z, e) -> struct({kind} AS kind, e - z.len AS s, e AS e, z.value AS value, z.at AS at)) AS {_SPAN})"
+    return _let(zipped, "zs", spans)
+
+
+def _outside(tokens: str) -> str:
+    """SQL: the tokens that share no character with a base span: in order of their starts, none before reaches into one and none after starts within it."""
+    marks = f"array_sort(concat(transform({tokens}, (t, i) -> struct(t.s AS s, 1 AS kind, t.e AS e, i AS i)), transform(base, x -> struct(x.s AS s, 0 AS kind, x.e AS e, -1 AS i))))"
+    before = _running("transform(ms, m -> IF(m.kind = 0, m.e, -1))", "greatest(x, y)")
+    after = f"reverse({_running('reverse(transform(ms, m -> IF(m.kind = 0, m.s, 2147483647)))', 'least(x, y)')})"
+    free = f"transform(filter(zip_with(zip_with(ms, {before}, (m, e) -> struct(m, e)), {after}, (x, s) -> struct(x.m AS m, x.e AS e, s AS s)), x -> x.m.kind = 1 AND x.e <= x.m.s AND x.s >= x.m.e), x -> x.m.i)"
+    return f"CASE WHEN size(base) = 0 THEN {tokens} ELSE transform({_let(marks, 'ms', free)}, i -> {tokens}[i]) END"
 
 
 def base_spans(reach: int = Params.reach) -> Column:
@@ -99,7 +128,7 @@ def _scanned(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFram
     lead = "length(regexp_extract(t.value, '^[^A-Za-z0-9]*', 0))"
     core = "regexp_extract(t.value, '[A-Za-z0-9](?:.*[A-Za-z0-9])?', 0)"
     cores = f"transform({found}, t -> struct(t.kind AS kind, t.s + {lead} AS s, t.s + {lead} + length({core}) AS e, {core} AS value, t.at AS at))"
-    outside = f"filter({cores}, t -> size(t.at) > 0 AND length(t.value) >= 5 AND NOT exists(base, b -> b.s < t.e AND t.s < b.e))"
+    outside = _let(f"filter({cores}, t -> size(t.at) > 0 AND length(t.value) >= 5)", "ts", _outside("ts"))
     seeded = f"transform({outside}, t -> struct(CASE WHEN {_SECRET} THEN {len(KINDS)} ELSE -1 END AS kind, t.s AS s, t.e AS e, t.value AS value, t.at AS at))"
     return rows.select("id", _mark(F.col("id"), F.col("text")), "base", F.expr(seeded).alias("tokens"))
 
@@ -110,7 +139,7 @@ def _mark(id_: Column, text: Column) -> Column:
 
 
 def learned_spans(scanned: DataFrame, p: Params) -> DataFrame:
-    """``mark, more`` (kind, s, e) of the entities that accepted patterns name."""
+    """``mark, more`` (kind, s, e, whether a seed rule names it too) of the entities that accepted patterns name."""
     beside = lambda c: scanned.select("mark", F.explode(c).alias("x")).select("mark", "x.*").select("mark", "kind", "s", "e", "value", F.explode("at").alias("pattern"))
     tokens = beside("tokens")
     # distinct values of a pattern first: a hot pattern or value is one row from each task
@@ -132,8 +161,8 @@ def learned_spans(scanned: DataFrame, p: Params) -> DataFrame:
         grown = graph.where("kind < 0").select("pattern", "value").join(fit, "pattern").groupBy("value", "kind").agg(chance.alias("belief")).where(F.col("belief") >= p.belief)
         believed = materialize(seeds.unionByName(grown), "pii-believed")
     sure = believed.select("value", "kind").distinct()
-    named = tokens.drop("kind").join(fit.select("pattern", "kind"), "pattern").join(sure, ["value", "kind"], "left_semi")
-    return named.groupBy("mark").agg(F.collect_set(F.struct("kind", "s", "e")).alias("more"))
+    named = tokens.withColumn("seed", F.col("kind") >= 0).drop("kind").join(fit.select("pattern", "kind"), "pattern").join(sure, ["value", "kind"], "left_semi")
+    return named.groupBy("mark").agg(F.collect_set(F.struct("kind", "s", "e", "seed")).alias("more"))
 
 
 _PLAIN = "array<struct<kind:int,s:int,e:int>>"
@@ -149,11 +178,12 @@ def _plain() -> Column:
 
 
 def _with_learned(rows: DataFrame, more: DataFrame) -> DataFrame:
-    """``rows`` with column ``spans``: base and learned ones, by kind and start."""
-    plain = _plain()
+    """``rows`` with ``spans``, base and learned ones by kind and start, and ``more``, the learned ones, which never meet base ones."""
+    none = F.expr("cast(array() AS array<struct<kind:int,s:int,e:int,seed:boolean>>)")
     if more.isEmpty():
-        return rows.withColumn("spans", plain)
-    return rows.join(more, "mark", "left").withColumn("spans", F.array_sort(F.array_union(plain, F.coalesce(F.col("more"), F.expr(f"cast(array() AS {_PLAIN})"))))).drop("more")
+        return rows.withColumn("spans", _plain()).withColumn("more", none)
+    joined = rows.join(more, "mark", "left").withColumn("more", F.coalesce("more", none))
+    return joined.withColumn("spans", F.array_sort(F.concat(_plain(), F.expr(f"cast(transform(more, x -> struct(x.kind, x.s, x.e)) AS {_PLAIN})"))))
 
 
 def find(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +191,8 @@ def find(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", tex
 
     Returns ``id, n_email, n_ip, n_card, n_phone long`` (base spans),
     ``base_sha256 string``, ``spans string`` (base and learned), ``n_learned,
-    n_spans long``, one row per input row.  Null or empty text has none.  A null id stays null; repeated
+    n_discovered, n_spans long`` (learned ones, and those among them that no
+    rule, seeds included, names), one row per input row.  Null or empty text has none.  A null id stays null; repeated
     rows stay repeated.  Other columns are not read.  Texts are read once; only
     spans are kept and shuffled.
     """
@@ -169,7 +200,7 @@ def find(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", tex
     more = materialize(learned_spans(scanned, params), "pii-learned")
     out = _with_learned(scanned, more)
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) AS bigint)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return out.select(F.col("id").alias(id_col), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size(F.array_except("spans", _plain())).cast("bigint").alias("n_learned"), F.size("spans").cast("bigint").alias("n_spans"))
+    return out.select(F.col("id").alias(id_col), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("more").cast("bigint").alias("n_learned"), F.expr("cast(size(filter(more, x -> NOT x.seed)) AS bigint)").alias("n_discovered"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def redact(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
