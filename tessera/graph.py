@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,8 @@ class PropertyGraph:
     snapshot: int = 0
     indexes: tuple[tuple[str, str], ...] = ()
     constraints: tuple[tuple[str, str, str], ...] = field(default=())
+    #: (label, property, value) -> nodes by a written index, or None; a stored graph has one
+    finder: Callable[[str, str, object], DataFrame | None] | None = field(default=None, compare=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -39,6 +42,14 @@ class PropertyGraph:
     def node(self, id_: int) -> DataFrame:
         return self.nodes.where(F.col("id") == id_)
 
+    def having(self, labels: tuple[str, ...], name: str, value) -> DataFrame | None:
+        """Nodes with a label and a property's value by a written index; None without one."""
+        for label in labels if self.finder else ():
+            found = self.finder(label, name, value)
+            if found is not None:
+                return found
+        return None
+
     def degree(self, id_: int) -> int:
         return self.edges.where(F.col("src") == id_).count()
 
@@ -52,7 +63,7 @@ class PropertyGraph:
         return self.edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
     def _next(self, **changed) -> PropertyGraph:
-        return replace(self, snapshot=self.snapshot + 1, **changed)
+        return replace(self, snapshot=self.snapshot + 1, finder=None, **changed)
 
     # changes
 
@@ -62,14 +73,17 @@ class PropertyGraph:
             rows = rows.withColumn("labels", F.array().cast("array<string>"))
         return self._next(nodes=self.nodes.unionByName(rows, allowMissingColumns=True))
 
-    def create_edges(self, pairs: DataFrame, kind: str) -> PropertyGraph:
-        """Adds an edge for each row of ``pairs(src, dst, …)`` whose two ends exist; others create nothing."""
+    def numbered_edges(self, pairs: DataFrame, kind: str) -> DataFrame:
+        """New edges, numbered once, for each row of ``pairs(src, dst, …)`` whose two ends exist."""
         ends = self.nodes.select("id")
         found = pairs.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
         top = self.edges.agg(F.coalesce(F.max("eid"), F.lit(-1)).alias("top"))
         numbered = found.withColumn("eid", F.monotonically_increasing_id()).crossJoin(F.broadcast(top)).withColumn("eid", F.col("eid") + F.col("top") + 1).drop("top").withColumn("type", F.lit(kind))
-        numbered = materialize(numbered, "new-edges")  # numbers given once: a plan run again would give others
-        return self._next(edges=self.edges.unionByName(numbered, allowMissingColumns=True))
+        return materialize(numbered, "new-edges")  # a plan run again would give other numbers
+
+    def create_edges(self, pairs: DataFrame, kind: str) -> PropertyGraph:
+        """Adds an edge for each row of ``pairs(src, dst, …)`` whose two ends exist; others create nothing."""
+        return self._next(edges=self.edges.unionByName(self.numbered_edges(pairs, kind), allowMissingColumns=True))
 
     def set_property(self, where: Column, name: str, value: Column) -> PropertyGraph:
         old = F.col(name) if name in self.nodes.columns else F.lit(None)

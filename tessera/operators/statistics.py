@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.cypher import normal_cdf
+from tessera.functions.cypher import normal_cdf, probit
+from tessera.storage import materialize
 
 # Outlier scaling of deviations, and the threshold on modified z-scores.
 MAD_SCALE, Z_LIMIT = 0.6745, 3.5
@@ -116,44 +119,89 @@ def compare_metric(df: DataFrame, value: str, side: str, by: list[str] | None =
     return both.select(*by, "mean_a", "mean_b", delta.alias("delta"), percent.alias("percent"), "p_value", kind.alias("change"))
 
 
-def bca_interval(df: DataFrame, value: str, by: list[str], resamples: int = 10000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """``lower, upper, bias, acceleration`` of the mean: bias-corrected accelerated bootstrap of each group with three values or more.
+#: Prime of the resampling hash; the squares of numbers below it fit 64 bits.
+PRIME = 2_147_483_647
+#: Thresholds of a Poisson count of mean 1: a uniform number at or above the k-th means more than k.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9))
 
-    ``bias`` is the mean of the resampled means less the mean.
 
-    Groups are samples of a measurement, taken to fit one task; each draws from its own seeded stream.
-    """
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema), "n bigint", "lower double", "upper double", "bias double", "acceleration double"])
+def poisson_weights(rows: np.ndarray, resamples: np.ndarray, seed: int) -> np.ndarray:
+    """How often each row counts in each resample, by a hash of both: 0 to 9, one on average."""
+    x = (rows % PRIME * 48_271 % PRIME)[:, None] + (resamples * 69_621 + seed * 16_807) % PRIME
+    x = x % PRIME
+    for k in (1, 2):  # two rounds of squaring mix the sum
+        x = (x * x + k * 40_692) % PRIME
+    return np.searchsorted(np.array(POISSON), x / PRIME, side="right")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(rows[value].dropna().to_numpy(float))
-        if len(x) < 3:
-            return pd.DataFrame()
-        lower, upper, bias, acceleration = bca(x, resamples, level, seed)
-        return pd.DataFrame([(*key, len(x), lower, upper, bias, acceleration)])
 
-    return df.select(*by, value).groupBy(*by).applyInPandas(run, fields)
+def bca_interval(df: DataFrame, value: str, by: list[str], resamples: int = 1000, level: float = 0.95, seed: int = 42, row: str | None = None) -> DataFrame:
+    """``n, lower, upper, bias, acceleration`` of the mean: bias-corrected accelerated bootstrap of each group with three values or more.
 
+    Every row counts in each resample as often as a Poisson number hashed from
+    the row (column ``row``, an integer, or the row's own hash) and the
+    resample says, so resampling is an aggregation: a task adds up the weights
+    and weighted values of its rows, and only one number pair a group and
+    resample leaves it.  The acceleration needs only central moments.  ``bias``
+    is the mean of the resampled means less the mean.
+    """
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x_"), (F.col(row).cast("bigint") if row else F.pmod(F.xxhash64(*df.columns), F.lit(PRIME))).alias("row_"))
+    kinds = own.select(*by).schema
+    schema = T.StructType([*kinds.fields, T.StructField("at_", T.IntegerType()), T.StructField("w_", T.LongType()), T.StructField("wx_", T.DoubleType())])
+    numbers = np.arange(resamples, dtype=np.int64)
 
-def bca(x: np.ndarray, resamples: int = 10000, level: float = 0.95, seed: int = 42) -> tuple[float, float, float, float]:
+    def part(batches):
+        held: dict[tuple, list] = {}
+        for rows in batches:
+            for key, some in rows.groupby(by, dropna=False, sort=False) if by else [((), rows)]:
+                key = key if isinstance(key, tuple) else (key,)
+                key = tuple(None if pd.isna(k) else k for k in key)
+                sums = held.setdefault(key, [np.zeros(resamples, np.int64), np.zeros(resamples)])
+                x, r = some["x_"].to_numpy(float), some["row_"].to_numpy(np.int64)
+                for a in range(0, len(x), 2048):
+                    w = poisson_weights(r[a : a + 2048], numbers, seed)
+                    sums[0] += w.sum(axis=0)
+                    sums[1] += x[a : a + 2048] @ w
+            if len(held) > 256:  # groups that are many are added up by Spark
+                yield from _resampled(held, by, numbers)
+                held = {}
+        yield from _resampled(held, by, numbers)
+
+    sums = own.mapInPandas(part, schema).groupBy(*by, "at_").agg(F.sum("w_").alias("w"), F.sum("wx_").alias("wx"))
+    means = sums.where("w > 0").select(*by, (F.col("wx") / F.col("w")).alias("m"))
+    drawn = means.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("ms"))  # ``resamples`` numbers a group
+    moments = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x_").alias("mean"), F.var_pop("x_").alias("v"), F.skewness("x_").alias("skew")).where("n >= 3")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_m")) for c in by]
+    both = moments.withColumnsRenamed({c: f"{c}_m" for c in by}).join(drawn, same) if by else moments.crossJoin(drawn)
+    z = [float(_quantile(p)) for p in ((1 - level) / 2, (1 + level) / 2)]
+    below = F.size(F.filter("ms", lambda m: m < F.col("mean"))) / F.size("ms")
+    shift = probit(F.least(F.greatest(below, F.lit(1e-6)), F.lit(1 - 1e-6)))
+    # sums of powers of what leaving one value out changes, from the moments
+    acceleration = F.when(F.col("v") == 0, 0.0).otherwise(F.col("skew") / (6 * F.sqrt("n")))
+    both = both.withColumn("z0", shift).withColumn("acceleration", acceleration)
+
+    def end(zp: float) -> Column:
+        t = F.col("z0") + zp
+        place = normal_cdf(F.col("z0") + t / (1 - F.col("acceleration") * t)) * (F.size("ms") - 1)
+        low = F.floor(place).cast("int")
+        at = lambda k: F.get("ms", F.least(k, F.size("ms") - 1))
+        return at(low) + (at(low + 1) - at(low)) * (place - low)
+
+    bias = F.aggregate("ms", F.lit(0.0), lambda a, m: a + m) / F.size("ms") - F.col("mean")
+    return both.select(*by, "n", end(z[0]).alias("lower"), end(z[1]).alias("upper"), bias.alias("bias"), "acceleration")
+
+
+def _quantile(p: float) -> float:
     from statistics import NormalDist
 
-    normal, rng, n = NormalDist(), np.random.default_rng(seed), len(x)
-    # some resamples at a time, of four million draws at most
-    some = min(500, max(1, 4_000_000 // n))
-    means = np.sort(np.concatenate([x[rng.integers(0, n, (min(some, resamples - a), n))].mean(axis=1) for a in range(0, resamples, some)]))
-    mean = x.mean()
-    shift = normal.inv_cdf(float(np.clip((means < mean).mean(), 1e-6, 1 - 1e-6)))
-    left_out = (x.sum() - x) / (n - 1)
-    off = left_out.mean() - left_out
-    spread = (off**2).sum()
-    acceleration = 0.0 if spread == 0 else float((off**3).sum() / (6 * spread**1.5))
-    ends = []
-    for p in ((1 - level) / 2, (1 + level) / 2):
-        z = shift + normal.inv_cdf(p)
-        q = normal.cdf(shift + z / (1 - acceleration * z))
-        ends.append(float(np.quantile(means, q)))
-    return ends[0], ends[1], float(means.mean() - mean), acceleration
+    return NormalDist().inv_cdf(p)
+
+
+def _resampled(held: dict[tuple, list], by: list[str], numbers: np.ndarray):
+    for key, (w, wx) in held.items():
+        rows = pd.DataFrame({"at_": numbers.astype(np.int32), "w_": w, "wx_": wx})
+        for c, k in reversed([*zip(by, key, strict=True)]):
+            rows.insert(0, c, k)
+        yield rows
 
 
 def jackknife(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -216,15 +264,16 @@ def variance_parts(df: DataFrame, value: str, run: str) -> DataFrame:
 
 @dataclass
 class SteadyState:
-    """A detector of the steady state of a series, one value at a time.
-
-    The first ``least`` values fix a baseline mean and deviation.  Both
-    one-sided sums of departures from it, less half of ``drift`` deviations a
-    value, are held against ``sigma`` deviations; a baseline that does not vary
-    stands in a tenth of its mean for the deviation, with the whole drift.  A sum
-    beyond its bound starts a new regime at that value, whose baseline is the
-    value itself.  The state is steady once ``least`` values in a row have left
-    the regime's deviation within ``sigma * drift / 10`` of its mean; it stays so.
+    """Where a series becomes steady, for values that arrive in blocks.
+
+    A regime has a baseline and a deviation: of the first ``least`` values for
+    the first regime, its first value and 0 for a later one.  Departures from
+    the baseline add up on either side, less an allowance of half of ``drift``
+    deviations a value and never below 0; a sum beyond ``sigma`` deviations ends
+    the regime, and the value that did it begins the next.  Without a deviation
+    a tenth of the baseline stands in for it, with the whole drift.  The series
+    is steady, for good, once ``least`` values in a row left the regime's own
+    spread within ``sigma * drift / 10`` of its mean.
     """
 
     seen: int = 0
@@ -242,104 +291,176 @@ class SteadyState:
     sigma: float = 4.0
     drift: float = 0.5
 
-    def bounds(self) -> tuple[float, float]:
-        """(allowance of a value, bound of the sums)."""
+    def extend(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether steady, regimes ended) after each of the values."""
+        x = np.asarray(values, float)
+        steady, changes = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+        at, width = 0, 64
+        while at < len(x):
+            if self.steady_at >= 0:
+                self._moments(x[at:])
+                steady[at:], changes[at:] = True, self.changes
+                break
+            warming = self.changes == 0 and self.seen < self.least - 1
+            block = x[at : at + (self.least - 1 - self.seen if warming else width)]
+            ended = self.changes
+            if warming:
+                self._moments(block)
+                took = len(block)
+            else:
+                took = self._regime(block)
+            changes[at : at + took] = ended
+            if self.changes > ended:
+                changes[at + took - 1], width = self.changes, 64
+            else:
+                width *= 2
+            if self.steady_at >= 0:
+                steady[at + took - 1] = True
+            at += took
+        return steady, changes
+
+    def _moments(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count, mean and sum of squares of the regime after each value; the last ones are kept."""
+        n = self.n + np.arange(1, len(x) + 1)
+        off = x - (self.mean if self.n else x[0] if len(x) else 0.0)
+        origin = self.mean if self.n else x[0] if len(x) else 0.0
+        total = np.cumsum(off)
+        mean, m2 = origin + total / n, np.maximum(self.m2 + np.cumsum(off * off) - total * total / n, 0.0)
+        if len(x):
+            self.seen, self.n, self.mean, self.m2 = self.seen + len(x), int(n[-1]), float(mean[-1]), float(m2[-1])
+        return n, mean, m2
+
+    def _regime(self, x: np.ndarray) -> int:
+        """Takes values until the regime ends or is steady; returns how many."""
+        kept = (self.seen, self.n, self.mean, self.m2)
+        n, mean, m2 = self._moments(x)
+        spread = np.sqrt(m2 / np.maximum(n - 1, 1))
+        if self.changes == 0 and kept[0] == self.least - 1:
+            self.base, self.deviation = float(mean[0]), float(spread[0])
         if self.deviation > 1e-9:
-            return self.drift / 2 * self.deviation, self.sigma * self.deviation
-        unit = self.drift * abs(self.base) / 10
-        return max(unit, 1e-10), max(self.sigma * unit, 1e-9)
-
-    def add(self, x: float) -> bool:
-        """Takes the next value; whether the state is steady."""
-        self.seen += 1
-        self.n += 1
-        off = x - self.mean
-        self.mean += off / self.n
-        self.m2 += off * (x - self.mean)
-        if self.seen < self.least or self.steady_at >= 0:
-            return self.steady_at >= 0
-        deviation = (self.m2 / (self.n - 1)) ** 0.5 if self.n > 1 else 0.0
-        if not self.changes and self.n == self.least:
-            self.base, self.deviation = self.mean, deviation
-        allowance, bound = self.bounds()
-        off = x - self.base
-        self.up, self.down = max(0.0, self.up + off - allowance), max(0.0, self.down - off - allowance)
-        if max(self.up, self.down) > bound:
-            self.n, self.mean, self.m2, self.base, self.deviation = 1, x, 0.0, x, 0.0
+            allowance, bound = self.drift / 2 * self.deviation, self.sigma * self.deviation
+        else:
+            unit = self.drift * abs(self.base) / 10
+            allowance, bound = max(unit, 1e-10), max(self.sigma * unit, 1e-9)
+
+        def held_at_zero(carried: float, steps: np.ndarray) -> np.ndarray:
+            total = carried + np.cumsum(steps)
+            return total - np.minimum(np.minimum.accumulate(total), 0.0)
+
+        up = held_at_zero(self.up, x - self.base - allowance)
+        down = held_at_zero(self.down, self.base - x - allowance)
+        over = np.flatnonzero(np.maximum(up, down) > bound)
+        inside = over[0] if len(over) else len(x)
+        near = (spread < 1e-9) | (np.where(np.abs(mean) > 1e-10, spread / np.maximum(np.abs(mean), 1e-300), 0.0) <= self.sigma * self.drift / 10)
+        late = n >= self.least
+        place = np.arange(len(x))
+        broken = np.maximum.accumulate(np.where(late & ~near, place, -1))
+        run = np.where(broken >= 0, place - broken, self.calm + np.cumsum(late))
+        calm = np.flatnonzero(late & (run >= self.least))
+        took = min(inside + 1, calm[0] + 1 if len(calm) else len(x), len(x))
+        # the state after the values taken
+        self.seen, self.n, self.mean, self.m2 = kept
+        if inside < len(x) and inside == took - 1:
+            self.seen += took
+            self.n, self.mean, self.m2, self.base, self.deviation = 1, float(x[inside]), 0.0, float(x[inside]), 0.0
             self.up = self.down = 0.0
             self.calm, self.changes = 0, self.changes + 1
-            return False
-        if self.n >= self.least:
-            spread = deviation / abs(self.mean) if abs(self.mean) > 1e-10 else 0.0
-            self.calm = self.calm + 1 if deviation < 1e-9 or spread <= self.sigma * self.drift / 10 else 0
-            if self.calm >= self.least:
-                self.steady_at = self.seen - 1
-        return self.steady_at >= 0
+            return took
+        self._moments(x[:took])
+        self.up, self.down, self.calm = float(up[took - 1]), float(down[took - 1]), int(run[took - 1])
+        if len(calm) and calm[0] == took - 1:
+            self.steady_at = self.seen - 1
+        return took
 
 
 def cusum(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
-    """``by…, order, value, steady, changes`` of each series by the detector; a series is folded in order in one task."""
+    """``by…, order, value, steady, changes`` of each series by the detector; the detector follows a series in order, in one task, in blocks."""
     own = df.select(*by, order, value)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "steady boolean", "changes int"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        state, steady, changes = SteadyState(), [], []
-        for x in rows[value]:
-            if pd.notna(x):
-                state.add(float(x))
-            steady.append(state.steady_at >= 0)
-            changes.append(state.changes)
-        return rows.assign(steady=steady, changes=changes)
+        known = rows[value].notna().to_numpy()
+        steady, changes = SteadyState().extend(rows[value].to_numpy(float)[known])
+        # a missing value changes nothing
+        at = np.cumsum(known)
+        return rows.assign(steady=np.append(False, steady)[at], changes=np.append(0, changes)[at])
 
     return own.groupBy(*by).applyInPandas(run, schema)
 
 
 def digest(values: np.ndarray, weights: np.ndarray, compression: float = 100.0) -> tuple[np.ndarray, np.ndarray]:
-    """(means, weights) of centroids: values in order merge while a centroid stays within four times its share of the tail weight over the compression."""
+    """(means, weights) of centroids of a t-digest.
+
+    Sorted values are cut where the arcsine scale of their rank passes a whole
+    number, so centroids are small at both tails; there are ``compression / 2``
+    at most, however many values there are.
+    """
     order = np.argsort(values, kind="stable")
     values, weights = values[order].astype(float), weights[order].astype(float)
-    total, means, sizes, before = weights.sum(), [], [], 0.0
-    for x, w in zip(values.tolist(), weights.tolist(), strict=True):
-        if means:
-            q = (before + (sizes[-1] + w) / 2) / total
-            if sizes[-1] + w <= max(1.0, 4 * total * q * (1 - q) / compression):
-                sizes[-1] += w
-                means[-1] += (x - means[-1]) * w / sizes[-1]
-                continue
-            before += sizes[-1]
-        means.append(x)
-        sizes.append(w)
-    return np.array(means), np.array(sizes)
+    total = weights.sum()
+    if not total > 0:
+        return values[:0], weights[:0]
+    middle = (np.cumsum(weights) - weights / 2) / total
+    place = np.floor(compression / (2 * np.pi) * (np.arcsin(2 * middle - 1) + np.pi / 2)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    sizes = np.add.reduceat(weights, starts)
+    return np.add.reduceat(values * weights, starts) / sizes, sizes
+
+
+#: Digests that one task merges.
+FAN = 64
 
 
 def digests(df: DataFrame, value: str, by: list[str] | None = None, compression: float = 100.0) -> DataFrame:
     """``by…, mean, weight``: the centroids of each group's t-digest.
 
-    Every batch is digested where it lies, so a hot group sends a bounded number
-    of centroids from each task; those are digested once more.  Digests of
-    several tables merge by the union of their centroids through ``merge_digests``.
+    A task digests what it reads of each group, so it sends a bounded number of
+    centroids; ``merge_digests`` joins them as a tree.  Digests of several
+    tables merge by the union of their centroids.
     """
     by = by or []
     own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("mean"), F.lit(1.0).alias("weight"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)])
 
     def part(batches):
+        held: dict[tuple, list] = {}
         for rows in batches:
-            groups = rows.groupby(by, dropna=False, sort=False) if by else [((), rows)]
-            yield from (_digested(key if isinstance(key, tuple) else (key,), by, some, compression) for key, some in groups)
+            for key, some in rows.groupby(by, dropna=False, sort=False) if by else [((), rows)]:
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                old = held.get(key, (np.zeros(0), np.zeros(0)))
+                held[key] = digest(np.concatenate([old[0], some["mean"].to_numpy(float)]), np.concatenate([old[1], some["weight"].to_numpy(float)]), compression)
+            if len(held) > 4096:
+                yield from (_centroids(k, by, *d) for k, d in held.items())
+                held = {}
+        yield from (_centroids(k, by, *d) for k, d in held.items())
 
-    return merge_digests(own.mapInPandas(part, schema), by, compression)
+    parts = materialize(own.mapInPandas(part, own.schema).withColumn("source_", F.spark_partition_id()), "digests")
+    return merge_digests(parts, by, compression, (parts.agg(F.max("source_")).first()[0] or 0) + 1)
 
 
-def _digested(key: tuple, by: list[str], rows: pd.DataFrame, compression: float) -> pd.DataFrame:
-    means, sizes = digest(rows["mean"].to_numpy(), rows["weight"].to_numpy(), compression)
-    return pd.DataFrame({**dict(zip(by, key, strict=True)), "mean": means, "weight": sizes})
+def _centroids(key: tuple, by: list[str], means: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
+    rows = pd.DataFrame({"mean": means, "weight": sizes})
+    for c, k in reversed([*zip(by, key, strict=True)]):
+        rows.insert(0, c, k)
+    return rows
 
 
-def merge_digests(centroids: DataFrame, by: list[str] | None = None, compression: float = 100.0) -> DataFrame:
+def merge_digests(centroids: DataFrame, by: list[str] | None = None, compression: float = 100.0, sources: int = 1) -> DataFrame:
+    """One digest a group, as a tree: each level merges the centroids of at most ``FAN`` of ``sources`` digests (told apart by ``source_``) in a task."""
     by = by or []
-    return centroids.groupBy(*by).applyInPandas(lambda key, rows: _digested(key, by, rows, compression), centroids.schema)
+    now = centroids if "source_" in centroids.columns else centroids.withColumn("source_", F.lit(0))
+    while True:
+        sources = -(-sources // FAN)
+        now = now.withColumn("source_", F.floor(F.col("source_") / FAN).cast("int"))
+
+        def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            out = _centroids(key[:-1], by, *digest(rows["mean"].to_numpy(), rows["weight"].to_numpy(), compression))
+            out["source_"] = key[-1]
+            return out
+
+        now = now.groupBy(*by, "source_").applyInPandas(merge, now.schema)
+        if sources <= 1:
+            return now.drop("source_")
 
 
 def digest_quantiles(centroids: DataFrame, points: list[float], by: list[str] | None = None) -> DataFrame:

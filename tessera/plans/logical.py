@@ -81,6 +81,10 @@ class Plan:
 
     def _struct(self, node: Node) -> DataFrame:
         rows = self.graph.nodes
+        for name, value in node.where.items():
+            if not callable(value) and (found := self.graph.having(node.labels, name, value)) is not None:
+                rows = found.select(*rows.columns)
+                break
         for label in node.labels:
             rows = rows.where(F.array_contains("labels", label))
         for name, value in node.where.items():

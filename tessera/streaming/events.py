@@ -45,9 +45,7 @@ def steady_state(events: DataFrame) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = SteadyState(*(held.get if held.exists else ()))
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        for x in rows["value"]:
-            if pd.notna(x):
-                now.add(float(x))
+        now.extend(rows["value"].dropna().to_numpy(float))
         if now.seen:
             held.update(tuple(getattr(now, name) for name in kinds))
             yield pd.DataFrame({"event_type": [key[0]], "n": [now.seen], "mean": [now.mean], "changes": [now.changes], "steady": [now.steady_at >= 0]})

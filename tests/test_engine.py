@@ -245,22 +245,29 @@ def test_statistics_golden(spark):
     assert statistics.acceleration_point(series, "i", "v", 10, 0.5).first()["point"] == 47
     gaps = spark.createDataFrame([("a", i, None if i == 1 else 1.0) for i in range(8)] + [("b", i, None if i == 7 else 1.0) for i in range(8)], "k string, i int, v double")
     assert {r["k"]: r["recovered"] for r in statistics.recovered(gaps, "i", "v", ["k"]).collect()} == {"a": True, "b": False}
-    low, high, _, _ = statistics.bca(np.arange(100.0), 2000)
-    assert low < 49.5 < high
     assert statistics.enough_samples([10.0] * 10) and not statistics.enough_samples([1.0, 100.0] * 5)
-    state, at = statistics.SteadyState(), None
-    for k, x in enumerate([50.0, 50.0, 50.0, 50.0, 50.0, *[9.0] * 12]):
-        if state.add(x) and at is None:
-            at = k
+    state = statistics.SteadyState()
+    steady, changes = state.extend(np.array([50.0] * 5 + [9.0] * 12))
     # the drop starts a regime; nine values of it are five calm ones in a row
-    assert state.changes == 1 and state.steady_at == at == 13
-    wild = statistics.SteadyState()
-    assert not any(wild.add(x) for x in [1.0, 100.0, 3.0, 77.0] * 20)
+    assert state.changes == 1 and state.steady_at == steady.argmax() == 13 and changes.tolist() == [0] * 5 + [1] * 12
+    assert not statistics.SteadyState().extend(np.array([1.0, 100.0, 3.0, 77.0] * 20))[0].any()
+    rng = np.random.default_rng(3)
+    for _ in range(20):  # in blocks of any size
+        x = np.concatenate([rng.normal(m, rng.uniform(0.1, 40), int(rng.integers(1, 60))) for m in rng.uniform(1, 90, 4)])
+        whole = statistics.SteadyState()
+        want = whole.extend(x)
+        parts = statistics.SteadyState()
+        got = [parts.extend(p) for p in np.split(x, np.sort(rng.integers(0, len(x), 5)))]
+        assert (np.concatenate([g[0] for g in got]) == want[0]).all() and (np.concatenate([g[1] for g in got]) == want[1]).all()
+        assert parts.steady_at == whole.steady_at and abs(parts.mean - whole.mean) < 1e-9
     flat = spark.createDataFrame([(i, v) for i, v in enumerate([3.0] * 9 + [4.0, 100.0])], "i int, v double")
     scores = {r["i"]: (round(r["score"], 4), r["outlier"]) for r in statistics.outliers(flat, "v").collect()}
     assert scores[10] == (round(0.6745 * 97 / (98 / 11), 4), True) and scores[0] == (0.0, False)
-    _, _, bias, _ = statistics.bca(np.array([1.0, 2.0, 10.0]), 4000)
-    assert abs(bias) < 0.2
+    drawn = spark.range(400).select((F.col("id") % 100).cast("double").alias("v"), F.when(F.col("id") < 390, "big").otherwise("small").alias("k"), "id")
+    found = {r["k"]: r for r in statistics.bca_interval(drawn, "v", ["k"], 600, row="id").collect()}
+    big = found["big"]
+    assert big["lower"] < 48.7 < big["upper"] and 4 < big["upper"] - big["lower"] < 7.5 and abs(big["bias"]) < 0.5
+    assert found["small"]["n"] == 10 and statistics.bca_interval(drawn.where("id < 2"), "v", ["k"]).count() == 0
     many = spark.range(20000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("k"))
     got = {r["k"]: r for r in statistics.digest_quantiles(statistics.digests(many, "v", ["k"]), [0.01, 0.5, 0.99], ["k"]).collect()}
     for k in (0, 1):

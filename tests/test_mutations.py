@@ -72,3 +72,23 @@ def test_transactions_and_schema(session):
     session.run("ROLLBACK")
     assert session.graph.nodes.count() == 2
     assert "Match" in session.run("EXPLAIN MATCH (n) RETURN n.id AS id").first()[0]
+
+
+def test_properties_of_edges(session):
+    session.run("MATCH (a)-[r:KNOWS]->(b) SET r.since = a.age + b.age, r.kind = 'old'")
+    assert rows(session.run("MATCH (a)-[r]->(b) RETURN a.id AS a, r.since AS s, r.kind AS k")) == [(0, 70, "old")]
+    session.run("MATCH ()-[r]->() REMOVE r.kind SET r.since = r.since / 2.0")
+    assert rows(session.run("MATCH ()-[r]->() RETURN r.since AS s, r.kind AS k")) == [(35.0, None)]
+
+
+def test_merge_of_patterns(session):
+    text = "MERGE (a:Person {name: 'Ann'})-[:OWNS]->(b:Boat {name: $boat})"
+    for boat in ("Gull", "Gull", "Tern"):
+        session.run(text, boat=boat)
+    # the whole pattern is matched or made: another boat brings another Ann
+    assert rows(session.run("MATCH (a)-[:OWNS]->(b) RETURN a.name AS a, b.name AS b")) == [("Ann", "Gull"), ("Ann", "Tern")]
+    assert rows(session.run("MATCH (p:Person {name: 'Ann'}) RETURN count(*) AS n")) == [(3,)]
+    session.run("MATCH (p:Person {id: 1}) MERGE (p)-[:OWNS]->(b:Boat {name: 'Skua'}) ON CREATE SET b.age = 3 ON MATCH SET b.age = 4")
+    assert rows(session.run("MATCH (p {id: 1})-[:OWNS]->(b) RETURN b.name AS b, b.age AS a")) == [("Skua", 3)]
+    session.run("MATCH (p:Person {id: 1}) MERGE (p)-[:OWNS]->(b:Boat {name: 'Skua'}) ON CREATE SET b.age = 3 ON MATCH SET b.age = 4")
+    assert rows(session.run("MATCH (p {id: 1})-[:OWNS]->(b) RETURN b.name AS b, b.age AS a")) == [("Skua", 4)]
