@@ -181,7 +181,8 @@ def bca_interval(df: DataFrame, value: str, by: list[str], resamples: int = 1000
 
     def end(zp: float) -> Column:
         t = F.col("z0") + zp
-        place = normal_cdf(F.col("z0") + t / (1 - F.col("acceleration") * t)) * (F.size("ms") - 1)
+        share = normal_cdf(F.col("z0") + t / (1 - F.col("acceleration") * t))
+        place = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (F.size("ms") - 1)
         low = F.floor(place).cast("int")
         at = lambda k: F.get("ms", F.least(k, F.size("ms") - 1))
         return at(low) + (at(low + 1) - at(low)) * (place - low)
