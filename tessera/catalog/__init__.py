@@ -34,6 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tessera.catalog import frontends, graphs, joins, more, numbers, patterns, relational, stores  # noqa: F401
+    from tessera.catalog import checks, frontends, graphs, joins, more, numbers, patterns, relational, stores  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

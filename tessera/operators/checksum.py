@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import unicodedata
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -138,8 +140,98 @@ def path_faults(paths: DataFrame, edges: DataFrame, seed: int | None = None, low
     return out.unionByName(steps.join(known.distinct(), ["a", "b"], "left_anti").select("path", F.lit("no edge").alias("fault")).distinct())
 
 
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def normalised(df: DataFrame) -> DataFrame:
+    """``df`` whose texts are in composed form (NFC), so that equal characters have equal bytes."""
+    return df.select(*[_composed(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def exact_differences(left: DataFrame, right: DataFrame, composed: bool = False) -> DataFrame:
+    """``row, times_left, times_right``: rows (canonical, as hex) that the sides hold a different number of times.
+
+    Rows are counted by one shuffle after counting where they lie; nothing is
+    gathered or sorted as a whole, and a row that occurs very often is one count
+    from each task.
+    """
+    if len(left.columns) != len(right.columns):
+        raise TypeError(f"{len(left.columns)} and {len(right.columns)} columns")
+    if composed:
+        left, right = normalised(left), normalised(right)
+    sides = canonical_rows(left).select("row", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(canonical_rows(right).select("row", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    return sides.groupBy("row").agg(F.sum("l").alias("times_left"), F.sum("r").alias("times_right")).where("times_left <> times_right")
+
+
+#: What repeated paths mean for a comparison.
+DUPLICATES = ("allowed", "deduplicated", "unspecified")
+
+
+def path_tuples(paths: DataFrame, directed: bool = True) -> DataFrame:
+    """``steps, times``: each path of ``nodes`` as its list of (source, target, hop_index), and how often it occurs."""
+    own = paths.select(canonical_path(F.col("nodes"), directed).alias("p"))
+    steps = F.transform(F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), lambda a, k: F.struct(a.alias("source"), F.get("p", k + 1).alias("target"), k.alias("hop_index")))
+    return own.select(F.array_sort(steps).alias("steps")).groupBy("steps").agg(F.count(F.lit(1)).alias("times"))
+
+
+def path_differences(left: DataFrame, right: DataFrame, duplicates: str = "unspecified", directed: bool = True) -> DataFrame:
+    """``steps, times_left, times_right`` of paths that the sides do not share.
+
+    ``allowed``: repeats count; ``deduplicated``: a repeat is itself a
+    difference; ``unspecified``: repeats do not matter.
+    """
+    if duplicates not in DUPLICATES:
+        raise ValueError(f"duplicates must be one of {', '.join(DUPLICATES)}")
+    a, b = (path_tuples(p, directed).withColumnRenamed("times", t) for p, t in ((left, "times_left"), (right, "times_right")))
+    both = a.join(b, "steps", "full").select("steps", F.coalesce("times_left", F.lit(0)).alias("times_left"), F.coalesce("times_right", F.lit(0)).alias("times_right"))
+    differs = {"allowed": "times_left <> times_right", "deduplicated": "times_left <> times_right OR times_left > 1 OR times_right > 1", "unspecified": "(times_left = 0) <> (times_right = 0)"}
+    return both.where(differs[duplicates])
+
+
+def degree_distribution(edges: DataFrame, direction: str = "out") -> DataFrame:
+    """``degree, nodes``: how many nodes have each degree of 1 or more."""
+    ends = {"out": ["src"], "in": ["dst"], "both": ["src", "dst"]}[direction]
+    every = reduce(DataFrame.unionAll, [edges.select(F.col(c).alias("id")) for c in ends])
+    return every.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def degree_faults(edges: DataFrame, expected: DataFrame, direction: str = "out", tolerance: float = 0.0) -> DataFrame:
+    """``degree, nodes, expected`` where a distribution ``expected(degree, nodes)`` is missed by more than a share."""
+    own = degree_distribution(edges, direction)
+    both = own.join(expected.withColumnRenamed("nodes", "expected"), "degree", "full").select("degree", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("expected", F.lit(0)).alias("expected"))
+    return both.where(F.abs(F.col("nodes") - F.col("expected")) > tolerance * F.col("expected"))
+
+
+def _path_length(df: DataFrame) -> Column:
+    """What a row says of its path's length: ``length``, ``path_length`` or the number of nodes of ``path``; null if nothing."""
+    found = [F.col(c).cast("bigint") for c in ("length", "path_length") if c in df.columns]
+    if "path" in df.columns and isinstance(df.schema["path"].dataType, T.ArrayType):
+        found.append(F.size("path").cast("bigint"))
+    return F.coalesce(*found) if found else F.lit(None).cast("bigint")
+
+
+def structural_faults(df: DataFrame, max_depth: int | None = None, seed_id=None) -> DataFrame:
+    """Rows with ``fault``: ``length`` for a path beyond ``max_depth``, ``seed`` for one that starts elsewhere (column seed_id, seed or start)."""
+    faults = []
+    if max_depth is not None:
+        faults.append(F.when(_path_length(df) > max_depth, "length"))
+    starts = [F.col(c) for c in ("seed_id", "seed", "start") if c in df.columns]
+    if seed_id is not None and starts:
+        faults.append(F.when(F.coalesce(*starts) != F.lit(seed_id), "seed"))
+    if not faults:
+        return df.withColumn("fault", F.lit(None).cast("string")).where("false")
+    return df.withColumn("fault", F.explode(F.array_compact(F.array(*faults))))
+
+
 def check(df: DataFrame, oracle: dict) -> bool:
-    """Whether a result meets an oracle: row_count, row_count_range, checksum or invariant (a condition every row must meet)."""
+    """Whether a result meets an oracle.
+
+    Kinds: row_count, row_count_range, exact_match and checksum, structural
+    (``max_depth``, ``seed_id``), invariant (a ``condition`` every row must meet,
+    ``invariants`` such as ``all_paths_length_le:4``, a range of rows).
+    """
     kind = oracle["type"]
     if kind == "row_count":
         return df.count() == oracle["expected"]
@@ -147,6 +239,19 @@ def check(df: DataFrame, oracle: dict) -> bool:
         return oracle.get("min", 0) <= df.count() <= oracle.get("max", 1 << 62)
     if kind in ("exact_match", "checksum"):
         return set_hash(df) == oracle["expected"]
+    if kind == "structural":
+        return structural_faults(df, oracle.get("max_depth"), oracle.get("seed_id")).isEmpty()
+    if kind == "invariant" and "condition" not in oracle:
+        low, high = oracle.get("expected_row_count_min"), oracle.get("expected_row_count_max")
+        if low is not None and high is not None and not low <= df.count() <= high:
+            return False
+        for tag in oracle.get("invariants", []):
+            name, _, limit = tag.partition(":")
+            if name != "all_paths_length_le" or not limit.strip().isdigit():
+                return False
+            if not structural_faults(df, int(limit)).isEmpty():
+                return False
+        return True
     if kind == "invariant":
         return df.where(f"NOT coalesce({oracle['condition']}, false)").isEmpty()
     raise ValueError(f"unknown oracle {kind}")

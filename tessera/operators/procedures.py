@@ -224,6 +224,10 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+REGISTRY["procedures"] = lambda g: procedures(g.spark)
+REGISTRY["functions"] = lambda g: functions(g.spark)
+
+
 def call(name: str, graph: PropertyGraph, *args, **kw) -> DataFrame:
     if name not in REGISTRY:
         raise KeyError(f"no procedure {name}; there are {', '.join(sorted(REGISTRY))}")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def csv_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -17,21 +21,84 @@ def csv_edges(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.get(parts, F.lit(0))).cast("bigint").alias("source"), F.trim(F.get(parts, F.lit(1))).cast("bigint").alias("target"))
 
 
-def binary_edges(spark: SparkSession, path: str) -> DataFrame:
-    """``source, target`` of little-endian 64-bit pairs; a file whose size is no multiple of 16 is an error."""
+class BinaryPairs(DataSource):
+    """Little-endian pairs of 64-bit ids as a data source; a file is read in byte ranges of ``rangeBytes``, each a task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "binary_pairs"
+
+    def schema(self) -> str:
+        return "source bigint, target bigint"
+
+    def reader(self, schema):
+        return PairReader(json.loads(self.options["files"]), int(self.options.get("rangeBytes", RANGE_BYTES)))
+
+
+#: Bytes of a binary file that one task reads; whole pairs.
+RANGE_BYTES = 64 << 20
+
+
+class PairReader(DataSourceReader):
+    def __init__(self, files: list, range_bytes: int):
+        self.files, self.step = files, max(16, range_bytes // 16 * 16)
+
+    def partitions(self):
+        return [InputPartition((path, a, min(self.step, size - a))) for path, size in self.files for a in range(0, size, self.step)] or [InputPartition(("", 0, 0))]
+
+    def read(self, partition):
+        path, start, size = partition.value
+        if not size:
+            return
+        with open_input(path) as f:
+            f.seek(start)
+            while size > 0:
+                some = f.read(min(size, 16 << 20))
+                if len(some) < min(size, 16 << 20):
+                    raise ValueError(f"{path} has become shorter")
+                size -= len(some)
+                pairs = np.frombuffer(some, "<u8").reshape(-1, 2)
+                if pairs.max() > np.iinfo(np.int64).max:
+                    raise ValueError(f"{path}: an id is beyond 2^63 - 1")
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].astype(np.int64)) for k in (0, 1)], ["source", "target"])
+
+
+def fs_of(path: str) -> tuple[fs.FileSystem, str]:
+    """(store, path in it) of a path whose scheme pyarrow knows."""
+    return fs.FileSystem.from_uri(path)
+
+
+def open_input(path: str):
+    """A file that tasks can seek in."""
+    store, name = fs_of(path)
+    return store.open_input_file(name)
+
+
+def binary_edges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``source, target`` of little-endian 64-bit pairs; a file whose size is no multiple of 16 is an error.
+
+    Files are listed by the cluster's own file system and read in byte ranges,
+    so a file of any size is read by many tasks.  Where the store has a scheme
+    that pyarrow cannot open, Spark reads each file whole (2 GB at most).
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").collect()  # names and sizes, no contents
+    for r in listed:
+        if r["length"] % 16:
+            raise ValueError(f"{r['path']}: {r['length']} bytes are no whole pairs")
+    uris = [(r["path"].replace("file:/", "file:///", 1) if r["path"].startswith("file:/") and not r["path"].startswith("file://") else r["path"], r["length"]) for r in listed]
+    if all(u.split(":", 1)[0] in ("file", "s3", "gs", "gcs", "hdfs", "abfs", "abfss") for u, _ in uris):
+        spark.dataSource.register(BinaryPairs)
+        return spark.read.format("binary_pairs").option("files", json.dumps(uris)).option("rangeBytes", range_bytes).load()
 
     def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in files:
-            for name, content in zip(some["path"], some["content"], strict=True):
-                if len(content) % 16:
-                    raise ValueError(f"{name}: {len(content)} bytes are no whole pairs")
+            for content in some["content"]:
                 pairs = np.frombuffer(content, "<u8").reshape(-1, 2)
                 if len(pairs) and pairs.max() > np.iinfo(np.int64).max:
-                    raise ValueError(f"{name}: an id is beyond 2^63 - 1")
-                for a in range(0, len(pairs), 1 << 20):
-                    yield pd.DataFrame(pairs[a : a + (1 << 20)].astype(np.int64), columns=["source", "target"])
+                    raise ValueError("an id is beyond 2^63 - 1")
+                yield pd.DataFrame(pairs.astype(np.int64), columns=["source", "target"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source bigint, target bigint")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "source bigint, target bigint")
 
 
 def text_edges(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

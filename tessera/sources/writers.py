@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +23,37 @@ def binary_content(edges: DataFrame) -> DataFrame:
     """``part, content``: little-endian pairs of each partition, in row order."""
 
     def run(some: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
         for k, rows in enumerate(some):
             yield pd.DataFrame({"part": [TaskContext.get().partitionId() * 1_000_000 + k], "content": [rows[["source", "target"]].to_numpy(np.int64).astype("<u8").tobytes()]})
 
     return edges.select("source", "target").mapInPandas(run, "part bigint, content binary")
 
 
+def binary_edge_files(edges: DataFrame, path: str) -> None:
+    """A folder of binary files of little-endian pairs, one a task, in the store that the path names."""
+    from tessera.sources.readers import fs_of
+
+    store, root = fs_of(path)
+    store.create_dir(root, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, base = fs_of(path)
+        context = TaskContext.get()
+        # an attempt writes its own file; a renamed one is whole, and a later attempt replaces it
+        aside, name = f"{base}/.{context.partitionId()}-{context.taskAttemptId()}", f"{base}/part-{context.partitionId():05d}.bin"
+        rows = 0
+        with own.open_output_stream(aside) as out:
+            for b in batches:
+                pairs = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1).astype("<u8")
+                out.write(pairs.tobytes())
+                rows += len(pairs)
+        own.move(aside, name)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], ["file", "rows"])
+
+    pairs = edges.select(F.col("source").cast("bigint"), F.col("target").cast("bigint"))
+    pairs.mapInArrow(run, "file string, rows bigint").write.format("noop").mode("overwrite").save()
+
+
 def binary_edges(edges: DataFrame, path: str) -> int:
     """One binary file of all pairs, streamed part by part through the driver; returns its bytes."""
     total = 0
