@@ -24,7 +24,7 @@ def exact_match(spark, d):
 def composed_texts(spark, d):
     """Texts with their accents apart differ from the composed ones in bytes and in nothing else."""
     own = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    apart = own.withColumn("text", F.replace("text", F.lit("\u00e9"), F.lit("e\u0301"))))
+    apart = own.withColumn("text", F.replace("text", F.lit("\u00e9"), F.lit("e\u0301")))
     whole = checksum.normalised(apart).withColumnRenamed("text", "whole")
     counts = apart.join(whole, "doc_id").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("text") != F.col("whole"), 1)).alias("decomposed"))
     return counts.crossJoin(checksum.exact_differences(checksum.normalised(own), apart, composed=True).agg(F.count(F.lit(1)).alias("differing")))
