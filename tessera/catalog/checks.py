@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog import query, table
+from tessera.catalog.numbers import _hav
+from tessera.functions import sql
 from tessera.graph import order_graph
 from tessera.operators import checksum, traversal
 from tessera.sources import readers, writers
@@ -104,3 +106,22 @@ def experts_among_friends(spark, d):
     things = table(spark, d, "part").where("p_type = 'ECONOMY'").select("p_partkey", "p_brand")
     found = mine.join(lines, "o_orderkey").join(things, "p_partkey").groupBy("id").agg(F.count(F.lit(1)).alias("replies"), F.array_sort(F.collect_set("p_brand")).alias("tags"))
     return found.orderBy(F.desc("replies"), "id").limit(20)
+
+
+@query("WITH {graph} SELECT id, round(" + _hav("lat", "lon", "40.7", "-74.0") + ", 2) AS meters FROM n WHERE " + _hav("lat", "lon", "40.7", "-74.0") + " < 3000000")
+def sql_scalar_functions(spark, d):
+    sql.register(order_graph(spark, d))
+    return spark.sql("SELECT id, round(haversine_distance(lat, lon, 40.7, -74.0), 2) AS meters FROM nodes WHERE haversine_distance(lat, lon, 40.7, -74.0) < 3000000")
+
+
+@query("WITH {graph}, w AS (SELECT b.dst AS id, count(*) AS ways FROM e a JOIN e b ON b.src = a.dst AND b.eid <> a.eid WHERE a.src = 7 GROUP BY 1), g AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY 1) SELECT id, ways, degree FROM w JOIN g USING (id) WHERE degree >= 12")
+def sql_table_functions(spark, d):
+    sql.register(order_graph(spark, d))
+    return spark.sql("SELECT w.id, w.ways, g.degree FROM two_hops(7) w JOIN nodes_of_degree(12) g ON g.id = w.id")
+
+
+@query("WITH RECURSIVE {graph}, r(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 3), f AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1) SELECT depth::BIGINT AS depth, count(*) AS n FROM f WHERE id <> 1 GROUP BY 1")
+def sql_procedure_view(spark, d):
+    g = order_graph(spark, d)
+    sql.procedure_view(g, "frontier", "frontier_profile", 1, 3)
+    return spark.sql("SELECT depth, frontier_size AS n FROM frontier WHERE depth > 0")
