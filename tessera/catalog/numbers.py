@@ -222,7 +222,27 @@ def bootstrap_interval(spark, d):
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("lower", "upper", "bias", "acceleration")])
 
 
-@query()
+_CUSUM = """
+WITH RECURSIVE v AS (SELECT event_type, value::DOUBLE AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL),
+s(event_type, k, n, mean, m2, base, dev, up, down, calm, changes, steady) AS (
+  SELECT DISTINCT event_type, 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::BIGINT, 0::BIGINT, false FROM v
+  UNION ALL
+  SELECT event_type, k, CASE WHEN ended THEN 1 ELSE n END, CASE WHEN ended THEN x ELSE mean END, CASE WHEN ended THEN 0 ELSE m2 END, CASE WHEN ended THEN x WHEN still THEN base0 ELSE base END, CASE WHEN ended THEN 0 WHEN still THEN dev0 ELSE dev END,
+    CASE WHEN ended THEN 0 WHEN still THEN up0 ELSE up END, CASE WHEN ended THEN 0 WHEN still THEN down0 ELSE down END, CASE WHEN ended THEN 0 WHEN still THEN calm0 ELSE calm END, changes + ended::INT, steady OR (NOT ended AND NOT still AND calm >= 5)
+  FROM (SELECT *, NOT still AND greatest(up, down) > bound AS ended, CASE WHEN n < 5 THEN calm0 WHEN sd < 1e-9 OR (CASE WHEN abs(mean) > 1e-10 THEN sd / abs(mean) ELSE 0 END) <= 0.2 THEN calm0 + 1 ELSE 0 END AS calm
+    FROM (SELECT *, greatest(0, up0 + x - base - allowance) AS up, greatest(0, down0 + base - x - allowance) AS down
+      FROM (SELECT *, CASE WHEN dev > 1e-9 THEN dev / 4 ELSE greatest(abs(base) / 20, 1e-10) END AS allowance, CASE WHEN dev > 1e-9 THEN 4 * dev ELSE greatest(abs(base) / 5, 1e-9) END AS bound
+        FROM (SELECT *, CASE WHEN changes = 0 AND n = 5 THEN mean ELSE base0 END AS base, CASE WHEN changes = 0 AND n = 5 THEN sd ELSE dev0 END AS dev, steady OR k < 5 AS still
+          FROM (SELECT *, CASE WHEN n > 1 THEN sqrt(m2 / (n - 1)) ELSE 0 END AS sd
+            FROM (SELECT *, m20 + (x - mean0) * (x - mean) AS m2
+              FROM (SELECT s.event_type, v.k, v.x, s.n + 1 AS n, s.mean AS mean0, s.mean + (v.x - s.mean) / (s.n + 1) AS mean, s.m2 AS m20, s.base AS base0, s.dev AS dev0, s.up AS up0, s.down AS down0, s.calm AS calm0, s.changes, s.steady
+                FROM s JOIN v ON v.event_type = s.event_type AND v.k = s.k + 1)))))))
+)
+SELECT event_type, max(changes)::INTEGER AS changes, count(*) FILTER (steady) AS steady FROM s WHERE k > 0 GROUP BY 1
+"""
+
+
+@query(_CUSUM)
 def cusum_steady_state(spark, d):
     return statistics.cusum(table(spark, d, "events"), "event_id", "value", ["event_type"]).groupBy("event_type").agg(F.max("changes").alias("changes"), F.count(F.when(F.col("steady"), 1)).alias("steady"))
 

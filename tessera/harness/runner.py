@@ -110,12 +110,45 @@ def timed(make: Callable[[], DataFrame]) -> tuple[float, int]:
     return (time.perf_counter() - began) * 1000, seen.get["n"]
 
 
-def run(graph: PropertyGraph, spec: specs.Spec, overrides: dict | None = None, adaptive: bool = False, most: int = 100) -> dict:
-    """A result record; a failure is a record too."""
-    record = {"benchmark": spec.name, "engine": "tessera", "outcome": Outcome.HARNESS_FAILURE.value}
+#: What this engine can do, by the names that specifications ask for in ``dataset["needs"]``.
+CAPABILITIES = {"cypher": True, "gfql": True, "transactions": True, "snapshots": True, "indexes": True, "vector_search": True, "streaming": True, "time_budget": True, "server": False, "row_locks": False}
+
+
+def outcome_of(e: Exception) -> Outcome:
+    """What kind of failure an exception is."""
+    text = f"{type(e).__name__} {e}"
+    if isinstance(e, TimeoutError):
+        return Outcome.TIMEOUT
+    if isinstance(e, MemoryError) or "OutOfMemoryError" in text:
+        return Outcome.OUT_OF_MEMORY
+    if isinstance(e, FileNotFoundError) or any(c in text for c in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "FileNotFoundException", "UNABLE_TO_INFER_SCHEMA")):
+        return Outcome.DATASET_FAILURE
+    return Outcome.UNSUPPORTED if isinstance(e, (SyntaxError, KeyError, NotImplementedError)) else Outcome.ENGINE_ERROR
+
+
+def run(graph: PropertyGraph | Callable[[], PropertyGraph], spec: specs.Spec, overrides: dict | None = None, adaptive: bool = False, most: int = 100) -> dict:
+    """A result record; a failure is a record too.
+
+    Calibrate, load (where ``graph`` is a function that loads it; its failure is
+    the dataset's), one cold and several warm runs, the oracle.  A specification
+    that needs what the engine lacks, or says ``skip``, is skipped.
+    """
+    record = {"benchmark": spec.name, "engine": "tessera", "capabilities": CAPABILITIES, "outcome": Outcome.HARNESS_FAILURE.value}
+    lacking = [n for n in spec.dataset.get("needs", []) if not CAPABILITIES.get(n)]
+    if lacking or spec.dataset.get("skip"):
+        return record | {"outcome": Outcome.SKIPPED.value, "error": f"needs {', '.join(lacking)}" if lacking else str(spec.dataset["skip"])}
     try:
         values = specs.derive(spec, specs.resolve(spec, overrides))
-        record |= {"parameters": values, "calibration": calibrate(), "mode": engine_mode(graph.spark)}
+        record |= {"parameters": values, "calibration": calibrate()}
+        if callable(graph):
+            began = time.perf_counter()
+            try:
+                graph = graph()
+                record["nodes"], record["edges"] = graph.counts()
+            except Exception as e:  # whatever kept the data from being read
+                return record | {"outcome": Outcome.DATASET_FAILURE.value, "error": str(e)[:500]}
+            record["load_ms"] = (time.perf_counter() - began) * 1000
+        record["mode"] = engine_mode(graph.spark)
         make = lambda: frame(graph, spec, values)
         record["cold_ms"], record["rows"] = timed(make)
         samples = []
@@ -128,16 +161,8 @@ def run(graph: PropertyGraph, spec: specs.Spec, overrides: dict | None = None, a
         record |= {"samples": samples, "warm_ms": sum(samples) / n, "p50_ms": samples[n // 2], "p95_ms": samples[min(n - 1, int(n * 0.95))]}
         fine = checksum.check(make(), spec.oracle) if spec.oracle else True
         record["outcome"] = (Outcome.SUCCESS if fine else Outcome.CORRECTNESS_MISMATCH).value
-    except (SyntaxError, KeyError) as e:
-        record |= {"outcome": Outcome.UNSUPPORTED.value, "error": str(e)}
-    except TimeoutError as e:
-        record |= {"outcome": Outcome.TIMEOUT.value, "error": str(e)}
-    except FileNotFoundError as e:
-        record |= {"outcome": Outcome.DATASET_FAILURE.value, "error": str(e)}
-    except MemoryError as e:
-        record |= {"outcome": Outcome.OUT_OF_MEMORY.value, "error": str(e)}
     except Exception as e:  # a failed run is a result
-        record |= {"outcome": Outcome.ENGINE_ERROR.value, "error": str(e)[:500]}
+        record |= {"outcome": outcome_of(e).value, "error": str(e)[:500]}
     return record
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.operators import algorithms, traversal
 
 
+#: Pairs that an exact comparison within labels takes on.
+MOST_PAIRS = 20_000_000_000
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
 
@@ -42,7 +46,14 @@ def expand_from(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def similar_clusters(table: DataFrame, least: float, label: str = "label", id_col: str = "vec_id", vector: str = "embedding", listed: bool = False) -> DataFrame:
-    """``cluster_id, members, avg_similarity`` of components of pairs of one label with cosine ``least`` or more; members are counted, or ``listed``."""
+    """``cluster_id, members, avg_similarity`` of components of pairs of one label with cosine ``least`` or more; members are counted, or ``listed``.
+
+    All pairs of a label are compared: more than ``MOST_PAIRS`` are refused, not
+    begun.
+    """
+    pairs_of = table.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    if pairs_of > MOST_PAIRS:
+        raise ValueError(f"{pairs_of:.0f} pairs to compare; the limit is {MOST_PAIRS}")
     own = table.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(label).alias("l"))
     pairs = own.alias("x").join(own.alias("y"), (F.col("x.l") == F.col("y.l")) & (F.col("x.id") < F.col("y.id")))
     links = pairs.select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"), cosine(F.col("x.v"), F.col("y.v")).alias("s")).where(F.col("s") >= least)
