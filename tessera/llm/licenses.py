@@ -19,6 +19,11 @@ SENTENCES = {
     "apache2-comply": "you may not use this file except in compliance with the license",
     "apache2-copy": "you may obtain a copy of the license at",
     "apache2-unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache2-title": "apache license version 2 0 january 2004",
+    "apache2-terms": "terms and conditions for use reproduction and distribution",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-title": "boost software license version 1 0 august 17th 2003",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
     "mit-ref": "released under the mit license",
     "mit-ref-licensed": "licensed under the mit license",
     "mit-ref-this": "this project is licensed under the mit license",
@@ -41,6 +46,9 @@ SENTENCES = {
     "lgpl21-redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
     "lgpl3-redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "agpl3-redistribute": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-only-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
+    "gpl2-only-short": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl3-only-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license",
     "gpl2-ref": "licensed under the gnu general public license version 2",
     "lgpl3-ref": "licensed under the gnu lesser general public license version 3",
     "agpl3-ref": "licensed under the gnu affero general public license version 3",
@@ -59,7 +67,7 @@ SPDX = {
     "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause",
     "CC-BY-4.0": "CC-BY-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC-BY-ND-4.0": "CC-BY-ND-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC0-1.0": "CC0-1.0",
     "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "ISC": "ISC",
-    "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "MIT": "MIT", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense",
+    "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "MIT": "MIT", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense", "Zlib": "Zlib", "BSL-1.0": "BSL-1.0",
 }
 SENTENCES |= {f"spdx-{tag.lower()}": "spdx license identifier " + tag.lower().replace("-", " ").replace(".", " ") for tag in SPDX}
 
@@ -68,6 +76,10 @@ RULES = [
     ("Apache-2.0", ["apache2-ref"]),
     ("Apache-2.0", ["apache2-ref-the"]),
     ("Apache-2.0", ["apache2-comply", "apache2-copy", "apache2-unless"]),
+    ("Apache-2.0", ["apache2-title", "apache2-terms"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-title"]),
+    ("BSL-1.0", ["boost-grant"]),
     ("MIT", ["mit-ref"]),
     ("MIT", ["mit-ref-licensed"]),
     ("MIT", ["mit-ref-this"]),
@@ -79,6 +91,9 @@ RULES = [
     ("GPL-3.0", ["gpl3-ref"]),
     ("GPL-3.0", ["gpl3-ref-short"]),
     ("GPL-3.0", ["gpl-redistribute"]),
+    ("GPL-3.0", ["gpl3-only-redistribute"]),
+    ("GPL-2.0", ["gpl2-only-redistribute"]),
+    ("GPL-2.0", ["gpl2-only-short"]),
     ("GPL-2.0", ["gpl2-ref"]),
     ("GPL-2.0", ["gpl2-redistribute"]),
     ("LGPL-2.1", ["lgpl21-redistribute"]),
@@ -97,14 +112,24 @@ RULES = [
 ]
 RULES += [(name, [f"spdx-{tag.lower()}"]) for tag, name in SPDX.items()]
 
+#: Of two licences whose rules begin alike, the one whose rule goes on wins: the first stands only if its last sentence occurs more often than the sentence that the second adds.
+EXTENDED = [("BSD-2-Clause", "bsd-binary", "BSD-3-Clause", "bsd-endorse")]
+
+# A holder's name in the clause on endorsement (1 to 12 words) gives way to the words of the known sentence.
+_GAP = r"[^\p{L}\p{N}]+"
+HOLDER = rf"\bneither{_GAP}the{_GAP}names?{_GAP}of{_GAP}(?:[\p{{L}}\p{{N}}]+{_GAP}){{1,12}}?nor{_GAP}the{_GAP}names{_GAP}of{_GAP}(?:its|their){_GAP}contributors"
+HOLDER_PLAIN = "neither the name of the copyright holder nor the names of its contributors"
+#: An expression of tags, up to the end of its line; its words but for OR, AND and WITH are tags or exceptions.
+EXPRESSION = r"spdx-license-identifier:[ \t]*([^\r\n]*)"
+
 #: Every known sentence holds one of these words whole, however it is wrapped or spelled in capitals, so texts without any need no cutting.
-ANCHORS = ("license", "licensed", "copyright", "permission", "redistribution", "redistributions", "redistribute", "software", "cc", "cc0")
+ANCHORS = ("license", "licensed", "copyright", "permission", "redistribution", "redistributions", "redistribute", "software", "terms", "cc", "cc0")
 _MARK = "\x01"
 
 
 def _marked(text: Column) -> Column:
     """Lower-case words with one blank between, or one mark where a line or a sentence ends; a mark at either end."""
-    plain = F.translate(F.lower(text), _MARK, " ")
+    plain = F.regexp_replace(F.translate(F.lower(text), _MARK, " "), HOLDER, HOLDER_PLAIN)
     ends = F.regexp_replace(plain, r"[.!?;:](?=\s|$)|\R", _MARK)
     words = F.regexp_replace(F.concat(F.lit(_MARK), ends, F.lit(_MARK)), rf"[^\p{{L}}\p{{N}}{_MARK}]++", " ")
     return F.regexp_replace(words, rf" ?{_MARK}[ {_MARK}]*+", _MARK)
@@ -124,7 +149,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     (distinct, sorted, comma-joined), one row per input row.  A line ends at a
     line break, a sentence at ``. ! ? ; :`` before white space or the end.  A known
     sentence counts where it begins and ends at such an end, the longest one
-    where several begin, and the next is looked for behind it.  Null or empty
+    where several begin, and the next is looked for behind it.  A holder's name
+    in the BSD clause on endorsement may be any; BSD-2-Clause beside
+    BSD-3-Clause needs a notice of its own.  Every tag of an
+    ``SPDX-License-Identifier`` expression (OR, AND, WITH, brackets) counts.  Null or empty
     text states none.  A null id stays null, repeated rows stay repeated, other
     columns are not read.  A narrow map in built-in functions, linear in the text.
     """
@@ -136,5 +164,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("found", F.when(some, found).otherwise(F.expr("cast(array() AS array<string>)")))
     rows = rows.withColumn("sequence", F.concat(F.lit(","), F.array_join("found", ","), F.lit(",")))
     named = [F.when(F.col("sequence").rlike("," + "(?:[^,]+,)*?".join(f"{s}," for s in rule)), F.lit(name)) for name, rule in RULES]
-    licenses = F.when(F.size("found") > 0, F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))), ",")).otherwise("")
+    tags = F.create_map(*[F.lit(x) for tag, name in SPDX.items() for x in (tag.lower(), name)])
+    lines = F.regexp_extract_all(F.lower("text"), F.lit(EXPRESSION), F.lit(1))
+    words = F.flatten(F.transform(lines, lambda line: F.split(line, "[^a-z0-9.+-]+")))
+    expressed = F.when(F.col("text").rlike("(?i)spdx-license-identifier:"), F.array_compact(F.transform(words, lambda w: F.try_element_at(tags, w)))).otherwise(F.expr("cast(array() AS array<string>)"))
+    every = F.array_union(F.array_compact(F.array(*named)), expressed)
+    times = lambda s: F.size(F.filter("found", lambda x: x == s))
+    for plain, last, longer, added in EXTENDED:
+        beaten = F.array_contains(every, longer) & ~F.array_contains(expressed, plain) & (times(last) <= times(added))
+        every = F.when(beaten, F.array_remove(every, plain)).otherwise(every)
+    rows = rows.withColumn("licenses", F.array_join(F.array_sort(every), ","))
+    licenses = F.coalesce("licenses", F.lit(""))
     return rows.select(F.col("id").alias(id_col), F.size("found").cast("bigint").alias("n_sentences"), F.array_join("found", ",").alias("sentence_ids"), licenses.alias("licenses"))

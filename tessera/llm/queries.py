@@ -142,10 +142,17 @@ def _op3_sql() -> str:
     """Runs of the pieces between line and sentence ends are looked up one by one, and the runs chosen by following pointers from the first."""
     known = ", ".join(f"('{name}', '{words}', {words.count(' ') + 1})" for name, words in licenses.SENTENCES.items())
     rules = ", ".join(f"('{name}', [{', '.join(repr(s) for s in rule)}])" for name, rule in licenses.RULES)
+    tags = ", ".join(f"('{tag.lower()}', '{name}')" for tag, name in licenses.SPDX.items())
+    times = lambda s: f"(SELECT len(list_filter(ids, lambda x: x = '{s}')) FROM ids WHERE ids.r = every.r)"
+    beaten = " AND ".join(
+        f"NOT (name = '{plain}' AND (r, '{longer}') IN (SELECT r, name FROM every) AND (r, '{plain}') NOT IN (SELECT r, name FROM expressed) AND {times(last)} <= {times(added)})"
+        for plain, last, longer, added in licenses.EXTENDED
+    )
     return f"""
 WITH RECURSIVE known(id, words, n) AS (VALUES {known}), rules(name, steps) AS (VALUES {rules}),
 numbered AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-lines AS (SELECT r, unnest(string_split(replace(lower(text), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(lower(text), chr(13), chr(10)), chr(10)), 1) AS l FROM numbered WHERE text IS NOT NULL),
+low AS (SELECT r, regexp_replace(lower(text), '{licenses.HOLDER}', '{licenses.HOLDER_PLAIN}', 'g') AS text FROM numbered WHERE text IS NOT NULL),
+lines AS (SELECT r, unnest(string_split(replace(text, chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13), chr(10)), chr(10)), 1) AS l FROM low),
 parts AS (SELECT r, l, regexp_split_to_array(line, '[.!?;:](\\s+|$)') AS ps FROM lines),
 pieces AS (SELECT r, l, generate_subscripts(ps, 1) AS p, trim(regexp_replace(unnest(ps), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS words FROM parts),
 own AS (SELECT r, list(words ORDER BY l, p) AS ps FROM pieces WHERE words <> '' GROUP BY r),
@@ -156,7 +163,11 @@ hits AS (SELECT r, i, max(j) AS j, arg_max(id, j) AS id FROM runs JOIN known USI
 linked AS (SELECT r, i, id, (SELECT min(x.i) FROM hits x WHERE x.r = h.r AND x.i > h.j) AS next FROM hits h),
 chosen(r, i, id, next) AS (SELECT r, i, id, next FROM linked WHERE (r, i) IN (SELECT r, min(i) FROM hits GROUP BY r) UNION ALL SELECT l.r, l.i, l.id, l.next FROM chosen c JOIN linked l ON l.r = c.r AND l.i = c.next),
 ids AS (SELECT r, list(id ORDER BY i) AS ids FROM chosen GROUP BY r),
-matched AS (SELECT DISTINCT r, name FROM ids, rules WHERE regexp_matches(',' || array_to_string(ids, ',') || ',', '(^|,)' || array_to_string(list_transform(steps, lambda s: replace(s, '.', '[.]')), ',(.*,)?') || ','))
+tags(tag, name) AS (VALUES {tags}),
+expressed AS (SELECT DISTINCT r, name FROM (SELECT r, unnest(regexp_split_to_array(line, '[^a-z0-9.+-]+')) AS tag FROM (SELECT r, unnest(regexp_extract_all(lower(text), '{licenses.EXPRESSION}', 1)) AS line FROM numbered WHERE text IS NOT NULL)) JOIN tags USING (tag)),
+ruled AS (SELECT DISTINCT r, name FROM ids, rules WHERE regexp_matches(',' || array_to_string(ids, ',') || ',', '(^|,)' || array_to_string(list_transform(steps, lambda s: replace(s, '.', '[.]')), ',(.*,)?') || ',')),
+every AS (SELECT r, name FROM ruled UNION SELECT r, name FROM expressed),
+matched AS (SELECT r, name FROM every WHERE {beaten})
 SELECT d.doc_id, coalesce(len(ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
   coalesce(names, '') AS licenses
 FROM numbered d LEFT JOIN ids USING (r) LEFT JOIN (SELECT r, string_agg(name, ',' ORDER BY name) AS names FROM matched GROUP BY r) USING (r)

@@ -316,6 +316,34 @@ def test_licence_rules(spark):
     assert sorted(r["licenses"] for r in licenses.scan(same).collect()) == ["GPL-2.0", "GPL-2.0", "MPL-2.0"]
 
 
+def test_common_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    bsd = bsd.replace("\n1. ", "\n1.\n").replace("\n2. ", "\n2.\n")
+    endorse = "\n3.\nNeither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    gpl = "This program is free software;\nyou can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; {}version 2 of the License{}."
+    cases = [
+        (bsd + endorse.format("Example Corp. (Europe)"), "BSD-3-Clause"), (bsd + endorse.format("the copyright holder"), "BSD-3-Clause"), (bsd, "BSD-2-Clause"), (bsd + bsd + endorse.format("A"), "BSD-2-Clause,BSD-3-Clause"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", "Apache-2.0,MIT"), ("# spdx-license-identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-2-Clause", "BSD-2-Clause,GPL-2.0"), ("SPDX-License-Identifier: nothing-known", ""),
+        (gpl.format("", ""), "GPL-2.0"), (gpl.format("either ", ", or (at your option) any later version"), "GPL-2.0"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "Apache-2.0"),
+        ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "Zlib"),
+        ("Boost Software License - Version 1.0 - August 17th, 2003\n", "BSL-1.0"), ("neither the name of " + "a " * 40 + "nor the names of its contributors", ""),
+    ]
+    got = [r["licenses"] for r in licenses.scan(docs(spark, [t for t, _ in cases])).orderBy("doc_id").collect()]
+    assert got == [want for _, want in cases]
+    # the SQL says the same of them
+    import duckdb
+
+    from tessera.llm import queries
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(cases)])
+    rel = c.sql(queries.oracle_sql()["op3_license_scan"])
+    at = [rel.columns.index(x) for x in ("doc_id", "licenses")]
+    assert [r[at[1]] for r in sorted(rel.fetchall(), key=lambda r: r[at[0]])] == got
+
+
 def test_language_network_learns(spark):
     draw = random.Random(2)
     stems = {"aa": ["the", "and", "ing"], "bb": ["que", "ción", "los"], "cc": ["ung", "sch", "der"]}
