@@ -114,8 +114,8 @@ def periodic(share: Mapping[str, int], blocks: Mapping[str, int]) -> Places:
     return out
 
 
-def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, params: Params = Params(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with struct column ``mix_`` (source, block, release, deadline, slot, position) added.
+def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, params: Params = Params(), id_col: str = "doc_id", source_col: str = "source", column: str = "mix_") -> DataFrame:
+    """``docs`` with struct column ``column`` (source, block, release, deadline, slot, position) added.
 
     Each document keeps its row; a source that runs out leaves its slots empty,
     so nothing is dropped or repeated.  Null is a source of its own.  Sources
@@ -152,11 +152,15 @@ def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, par
     ranked = ranked.withColumn("block", F.floor(F.col("index") / p.block)).withColumn("position", F.col("index") % p.block)
     turn = (F.col("block") - F.floor(F.col("before") / p.block)).cast("int")
     mix = F.struct(F.col("row")[source_col].cast("string").alias("source"), F.col("block"), *(F.get(c, turn).alias(c) for c in ("release", "deadline", "slot")), F.col("position"))
-    return ranked.select(*[F.col("row")[c].alias(c) for c in docs.columns], mix.alias("mix_"))
+    return ranked.select(*[F.col("row")[c].alias(c) for c in docs.columns], mix.alias(column))
 
 
 def interleave(docs: DataFrame, weights: Mapping[str | None, float] | None = None, params: Params = Params(), id_col: str = "doc_id", source_col: str = "source", placed: bool = False) -> DataFrame:
-    """``docs`` in the order of the schedule: ranges of slots in ascending partitions, sorted within; same columns and rows, with ``mix_`` where ``placed``."""
-    order = ["mix_.slot", "mix_.position"]
-    out = plan(docs, weights, params, id_col, source_col).repartitionByRange(*order).sortWithinPartitions(*order)
-    return out if placed else out.drop("mix_")
+    """``docs`` in the order of the schedule: ranges of slots in ascending partitions, sorted within; same columns and rows, and where ``placed`` a last one with their places (``mix_``, or a longer name that is free)."""
+    column = "mix_"
+    taken = {c.lower() for c in docs.columns}
+    while column in taken:
+        column += "_"
+    order = [f"{column}.slot", f"{column}.position"]
+    out = plan(docs, weights, params, id_col, source_col, column).repartitionByRange(*order).sortWithinPartitions(*order)
+    return out if placed else out.select(*docs.columns)

@@ -430,6 +430,14 @@ def test_schedule_follows_the_target_weights(n):
         done[s] += 1
 
 
+def test_mixing_with_clashing_columns_and_null_ids(spark):
+    rows = spark.createDataFrame([(i if i % 5 else None, "abc"[i % 3] if i % 7 else None, i, "r", 1, 2) for i in range(60)], "doc_id bigint, source string, mix_ int, `row` string, slot int, bucket int")
+    out = mixing.interleave(rows)
+    assert out.columns == rows.columns and out.exceptAll(rows).isEmpty() and out.count() == 60
+    assert mixing.interleave(rows, placed=True).columns == [*rows.columns, "mix__"]
+    assert mixing.interleave(rows.limit(0)).count() == 0
+
+
 def test_mixing_by_target_weights(spark):
     n = 12000
     names = ["hot" if i % 3 == 0 else f"s{i % 19}" for i in range(n)]
