@@ -72,7 +72,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     give each document's place in it.
     """
     order = mixing.interleave(docs, placed=True)
-    place = F.struct("doc_id", F.col("mix_.slot").alias("slot"), F.col("mix_.position").alias("position"))
+    own = order.columns[-1]
+    place = F.struct("doc_id", F.col(f"{own}.slot").alias("slot"), F.col(f"{own}.position").alias("position"))
     # the encoder maps each partition in its order
     coded = bpe.encode_documents(order.select(place.alias("place"), "text"), id_col="place")
     return coded.select("place.doc_id", *coded.columns[1:], "place.slot", "place.position")
