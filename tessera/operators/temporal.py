@@ -38,17 +38,15 @@ def asof_join(left: DataFrame, right: DataFrame, time: str, by: list[str], right
     laid = both.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
     laid = materialize(laid, "asof")
     per = Window.partitionBy(*keys, "range_")
-    steps = per.orderBy("t_", "side_", "salt_")
-    if forward:
-        near = F.first("r_", ignorenulls=True).over(steps.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        near = F.last("r_", ignorenulls=True).over(steps.rowsBetween(Window.unboundedPreceding, 0))
+    # frames always grow from their start: one that ends at the last row is evaluated anew for every row
+    turn = F.desc if forward else F.asc
+    past = lambda w, *cols, end=0: w.orderBy(*map(turn, cols)).rowsBetween(Window.unboundedPreceding, end)
+    near = F.last("r_", ignorenulls=True).over(past(per, "t_", "side_", "salt_"))
     held = F.col("r_").isNotNull()
     ends = laid.groupBy(*keys, "range_").agg((F.min_by if forward else F.max_by)(F.when(held, F.col("r_")), F.when(held, F.col("t_"))).alias("end_"))
     spanning = Window.partitionBy(*keys)
     ends = ends.withColumn("n_", F.count(F.lit(1)).over(spanning)).where("n_ > 1")
-    rest = spanning.orderBy("range_")
-    carried = F.first("end_", ignorenulls=True).over(rest.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("end_", ignorenulls=True).over(rest.rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.last("end_", ignorenulls=True).over(past(spanning, "range_", end=-1))
     ends = ends.select(*keys, "range_", carried.alias("carried_"))
     found = laid.withColumn("near_", near).where("l_ IS NOT NULL")
     # a range has at most two keys that span ranges, so this table has at most two rows a range
