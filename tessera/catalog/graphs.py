@@ -274,10 +274,8 @@ def vector_to_graph(spark, d):
 
 @query("WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT count(*) AS pairs, round(avg(s), 6) AS mean FROM p WHERE s >= 0.3")
 def similar_pairs(spark, d):
-    own = table(spark, d, "embeddings")
-    a, b = own.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label"), own.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    s = a.join(b, "label").where("a < b").select(vector.cosine(F.col("x"), F.col("y")).alias("s")).where("s >= 0.3")
-    return s.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("s"), 6).alias("mean"))
+    found = vector.similar_pairs(table(spark, d, "embeddings"), 0.3)
+    return found.select("pairs", F.round(F.try_divide("total", "pairs"), 6).alias("mean"))
 
 
 @query("WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.4), s AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, c) USING KEY (id) AS (SELECT id, id FROM v UNION (SELECT s.b, min(r.c) FROM r JOIN s ON s.a = r.id JOIN recurring.r AS old ON old.id = s.b WHERE r.c < old.c GROUP BY 1)) SELECT c AS cluster_id, (SELECT count(*) FROM r x WHERE x.c = r.c) AS members, round(avg(p.s), 6) AS avg_similarity FROM p JOIN r ON r.id = p.a GROUP BY 1, 2")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import io
+import itertools
+import math
 import random
 
-from tessera.operators import temporal
+from tessera.operators import temporal, vector
 
 
 def plan_of(df) -> str:
@@ -26,3 +28,28 @@ def test_forward_asof_frames_grow_from_their_start(spark):
     assert "currentrow$(), unboundedfollowing$()" not in plan_of(out)
     want = {i: min(((u, -j) for j, m, u in right if m == k and u > t), default=(None, None)) for i, k, t in left}
     assert {r["i"]: (r["asof_t"], r["asof_j"]) for r in out.collect()} == {i: (u, -j if u is not None else None) for i, (u, j) in want.items()}
+
+
+def _vectors(spark):
+    draw = random.Random(5)
+    rows = [(i, i % 2, [draw.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(100 + i, 0, [1.0, 2.0, 3.0, 4.0]) for i in range(30)]  # copies
+    rows += [(200 + i, 1, [0.0] * 4) for i in range(3)] + [(210, 1, None), (211, 1, [1.0, None, 1.0, 1.0]), (212, 1, [1.0, 2.0]), (213, None, [1.0] * 4)]
+
+    def cosine(a, b):
+        if a is None or b is None or None in a + b or len(a) != len(b):
+            return None
+        below = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / below if below else None
+
+    pairs = [(a[0], b[0], cosine(a[2], b[2])) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] is not None]
+    return spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>"), pairs
+
+
+def test_pairs_are_compared_in_blocks_and_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    table, pairs = _vectors(spark)
+    found = [s for _, _, s in pairs if s is not None and s >= 0.6]
+    got = vector.similar_pairs(table, 0.6).first()
+    assert got["pairs"] == len(found) > 435 and abs(got["total"] - sum(found)) < 1e-9
+    assert vector.similar_pairs(table, 1.5).first().asDict() == {"pairs": 0, "total": None}
