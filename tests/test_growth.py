@@ -53,3 +53,20 @@ def test_pairs_are_compared_in_blocks_and_copies_once(spark, monkeypatch):
     got = vector.similar_pairs(table, 0.6).first()
     assert got["pairs"] == len(found) > 435 and abs(got["total"] - sum(found)) < 1e-9
     assert vector.similar_pairs(table, 1.5).first().asDict() == {"pairs": 0, "total": None}
+
+
+def test_similar_clusters_expand_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    table, pairs = _vectors(spark)
+    links = [(a, b, s) for a, b, s in pairs if s is not None and s >= 0.9]
+    root = {i: i for i in {x for a, b, _ in links for x in (a, b)}}
+    for _ in root:
+        for a, b, _ in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {}
+    for c in set(root.values()):
+        own = [s for a, _, s in links if root[a] == c]
+        want[c] = (sorted(i for i in root if root[i] == c), sum(own) / len(own))
+    got = {r["cluster_id"]: (r["members"], r["avg_similarity"]) for r in vector.similar_clusters(table, 0.9, listed=True).collect()}
+    assert got.keys() == want.keys() and any(len(m) > 29 for m, _ in got.values())
+    assert all(got[c][0] == want[c][0] and abs(got[c][1] - want[c][1]) < 1e-9 for c in want)
