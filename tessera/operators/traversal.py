@@ -19,6 +19,8 @@ from tessera.storage import materialize
 MAX_DEPTH = 64
 #: Ids of a frontier that are broadcast; depth up to which a search reads the edges as they are instead of a prepared table.
 SENT, PREPARED = 200_000, 4
+#: Edges up to which trails are walked in one plan, unwritten and uncounted: as many as a pattern of fixed steps has.
+PLAIN = 2
 #: Trails that are broadcast; a row holds two lists of at most MAX_DEPTH ids.
 SENT_TRAILS = 50_000
 
@@ -98,6 +100,20 @@ def trails(edges: DataFrame, seeds: DataFrame, low: int, high: int, direction: s
     return out if out is not None else now
 
 
+def short_trails(edges: DataFrame, seeds: DataFrame, low: int, high: int, direction: str = "out") -> DataFrame:
+    """What ``trails`` gives, for ``high`` up to ``PLAIN``, as plain joins: nothing is written, no number of rows is refused."""
+    steps = _steps(edges, direction)
+    now = seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("nodes"), F.array().cast("array<bigint>").alias("eids"))
+    out = now if low == 0 else None
+    for at in range(1, high + 1):
+        grown = now.join(steps, F.col("id") == F.col("a"))
+        grown = grown if at == 1 else grown.where(~F.array_contains("eids", F.col("eid")))
+        now = grown.select("seed", F.col("b").alias("id"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("eids", F.col("eid")).alias("eids"))
+        if at >= low:
+            out = now if out is None else out.unionByName(now)
+    return out if out is not None else now
+
+
 def count_walks(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out") -> DataFrame:
     """``id, n``: walks of exactly ``hops`` edges ending at each node, by summing multiplicities (trails, if edges are acyclic)."""
     steps = materialize(_steps(edges, direction).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")), "steps")

@@ -312,7 +312,8 @@ class Plan:
         if distinct_ends and edge.low == 1 and not on_path and edge.var not in self.used:
             pairs = keyed_reach(edges, seeds, edge.high, direction)
         else:
-            walked = traversal.trails(edges, seeds, edge.low, edge.high, direction)
+            walk = traversal.short_trails if edge.high <= traversal.PLAIN else traversal.trails
+            walked = walk(edges, seeds, edge.low, edge.high, direction)
             turn = F.reverse if back else lambda c: c  # lists are in the pattern's order
             pairs = walked.select("seed", F.col("id").alias("to_"), F.struct(F.size("eids").cast("bigint").alias("hops"), turn(F.col("nodes")).alias("nodes"), turn(F.col("eids")).alias("eids")).alias(edge.var))
         pairs = pairs.withColumnRenamed("seed", "from_")

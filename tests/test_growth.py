@@ -8,7 +8,9 @@ import itertools
 import math
 import random
 
-from tessera.operators import temporal, vector
+from tessera.graph import PropertyGraph
+from tessera.operators import temporal, traversal, vector
+from tessera.plans import cypher
 
 
 def plan_of(df) -> str:
@@ -70,3 +72,17 @@ def test_similar_clusters_expand_no_copies(spark, monkeypatch):
     got = {r["cluster_id"]: (r["members"], r["avg_similarity"]) for r in vector.similar_clusters(table, 0.9, listed=True).collect()}
     assert got.keys() == want.keys() and any(len(m) > 29 for m, _ in got.values())
     assert all(got[c][0] == want[c][0] and abs(got[c][1] - want[c][1]) < 1e-9 for c in want)
+
+
+def test_pairs_of_edges_are_counted_without_a_limit_of_rows(spark, monkeypatch):
+    links = [(i, i % 5, (i * 3 + 1) % 5) for i in range(20)] + [(20, 2, 2)]
+    g = PropertyGraph(spark.createDataFrame([(i, ["N"]) for i in range(5)], "id bigint, labels array<string>"), spark.createDataFrame([(*x, "T") for x in links], "eid bigint, src bigint, dst bigint, type string"))
+
+    def refused(*args, **kw):
+        raise ValueError("more trails than the limit")
+
+    monkeypatch.setattr(traversal, "trails", refused)
+    for low, hops in ((2, (2,)), (0, (0, 1, 2))):
+        got = {r["x"]: r["n"] for r in cypher.query(g, f"MATCH (a)-[*{low}..2]->(b) RETURN a.id AS x, count(b) AS n").collect()}
+        ways = [a for _, a, _ in links] * (1 in hops) + [a for e, a, b in links for f, c, _ in links if b == c and e != f] + list(range(5)) * (0 in hops)
+        assert got == {x: ways.count(x) for x in set(ways)}
