@@ -118,3 +118,14 @@ def test_nearest_search_places_once_and_widen(spark, monkeypatch):
     # points of one place are searched once, and only the rest goes on to greater distances
     places = len({p for i, p in points if i % 3})
     assert searched[0][1] <= places + 1 < len([i for i, _ in points if i % 3]) and searched[-1][1] < places / 2 and searched[0][0] < searched[-1][0]
+
+
+def test_near_pairs_compare_places_and_spread_them(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HELD", 7)
+    points = _points()
+    df = spark.createDataFrame([(i, *p) for i, p in points], "id bigint, lat double, lon double")
+    met = []
+    monkeypatch.setattr(spatial, "_met", lambda *args, old=spatial._met: met.append(old(*args)) or met[-1])
+    got = [(r["id"], r["other"]) for r in spatial.near_pairs(df, df, 1000.0).collect()]
+    assert sorted(got) == [(i, j) for i, p in points for j, q in points if _metres(p, q) <= 1000]
+    assert met[0].count() < len(got) / 2
