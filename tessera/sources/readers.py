@@ -35,8 +35,8 @@ class BinaryPairs(DataSource):
         return PairReader(json.loads(self.options["files"]), int(self.options.get("rangeBytes", RANGE_BYTES)))
 
 
-#: Bytes of a binary file that one task reads; whole pairs.
-RANGE_BYTES = 64 << 20
+#: Bytes of a binary file that one task reads, whole pairs; tasks from which on smaller ranges are joined, up to that size.
+RANGE_BYTES, TASKS = 64 << 20, 200
 
 
 class PairReader(DataSourceReader):
@@ -44,7 +44,10 @@ class PairReader(DataSourceReader):
         self.files, self.step = files, max(16, range_bytes // 16 * 16)
 
     def partitions(self):
-        return [InputPartition((path, a, min(self.step, size - a))) for path, size in self.files for a in range(0, size, self.step)] or [InputPartition(("", 0, 0))]
+        # neighbouring ranges of a file go to one task where there are many: a task for each tiny one costs more than to read it
+        ranges = sum(-(-size // self.step) for _, size in self.files)
+        step = self.step * max(min(-(-ranges // TASKS), RANGE_BYTES // self.step), 1)
+        return [InputPartition((path, a, min(step, size - a))) for path, size in self.files for a in range(0, size, step)] or [InputPartition(("", 0, 0))]
 
     def read(self, partition):
         path, start, size = partition.value

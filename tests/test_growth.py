@@ -7,10 +7,12 @@ import io
 import itertools
 import math
 import random
+import struct
 
 from tessera.graph import PropertyGraph
 from tessera.operators import spatial, temporal, traversal, vector
 from tessera.plans import cypher
+from tessera.sources import readers
 
 
 def plan_of(df) -> str:
@@ -129,3 +131,13 @@ def test_near_pairs_compare_places_and_spread_them(spark, monkeypatch):
     got = [(r["id"], r["other"]) for r in spatial.near_pairs(df, df, 1000.0).collect()]
     assert sorted(got) == [(i, j) for i, p in points for j, q in points if _metres(p, q) <= 1000]
     assert met[0].count() < len(got) / 2
+
+
+def test_tiny_ranges_of_binary_files_are_joined(tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"".join(struct.pack("<QQ", i, i + 1) for i in range(5000)))
+    reader = readers.PairReader([(f"file://{tmp_path}/a.bin", 80_000)], 16)
+    parts = reader.partitions()
+    assert 100 <= len(parts) <= readers.TASKS
+    assert [x for p in parts for batch in reader.read(p) for x in batch.column(0).to_pylist()] == list(range(5000))
+    # never beyond the bytes of a task, however many ranges there are
+    assert {p.value[2] for p in readers.PairReader([("b", 1 << 40)], 1 << 20).partitions()} == {readers.RANGE_BYTES}
