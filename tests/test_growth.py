@@ -9,10 +9,12 @@ import math
 import random
 import struct
 
+from tessera.catalog import more
 from tessera.graph import PropertyGraph
 from tessera.operators import spatial, temporal, traversal, vector
 from tessera.plans import cypher
 from tessera.sources import readers
+from tests.conftest import DATA
 
 
 def plan_of(df) -> str:
@@ -141,3 +143,9 @@ def test_tiny_ranges_of_binary_files_are_joined(tmp_path):
     assert [x for p in parts for batch in reader.read(p) for x in batch.column(0).to_pylist()] == list(range(5000))
     # never beyond the bytes of a task, however many ranges there are
     assert {p.value[2] for p in readers.PairReader([("b", 1 << 40)], 1 << 20).partitions()} == {readers.RANGE_BYTES}
+
+
+def test_no_sketch_for_every_user(spark):
+    plan = plan_of(more.approximate_distinct(spark, DATA)).split("== physical plan ==")[1]
+    sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line]
+    assert sketches and not any("keys=[event_type#" in line and "user_id" in line.split("functions=")[0] for line in sketches)
