@@ -240,8 +240,11 @@ def messages_of_friends(spark, d):
 @query("SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) > 1")
 def cooccurrence(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"))
+    # hardly any pair occurs twice in a task, so pairs are not counted before they are dealt out, and few enough to a partition
+    parts = min(max(x.count() // 100_000, 1), 10_000)
+    x = x.repartition(parts, "l_orderkey")
     y = x.select("l_orderkey", F.col("a").alias("b"))
-    return x.join(y, "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return x.join(y, "l_orderkey").where("a < b").repartition(parts, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("SELECT l_partkey AS tag, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, tag LIMIT 25")

@@ -9,7 +9,7 @@ import math
 import random
 import struct
 
-from tessera.catalog import more
+from tessera.catalog import graphs, more
 from tessera.graph import PropertyGraph
 from tessera.operators import spatial, temporal, traversal, vector
 from tessera.plans import cypher
@@ -149,3 +149,17 @@ def test_no_sketch_for_every_user(spark):
     plan = plan_of(more.approximate_distinct(spark, DATA)).split("== physical plan ==")[1]
     sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line]
     assert sketches and not any("keys=[event_type#" in line and "user_id" in line.split("functions=")[0] for line in sketches)
+
+
+def test_pairs_of_a_basket_are_dealt_out_before_they_are_counted(spark, tmp_path):
+    rows = [(order, part) for order in range(300) for part in random.Random(order).choices(range(60), k=4)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = graphs.cooccurrence(spark, str(tmp_path))
+    plan = plan_of(out).split("== physical plan ==")[1]
+    # both steps of the aggregation stand above the exchange by pairs, whose partitions are not merged
+    assert plan.rindex("hashaggregate(keys=[a#") < plan.index("repartition_by_num")
+    want = {}
+    for a, b in itertools.product(rows, rows):
+        if a[0] == b[0] and a[1] < b[1]:
+            want[a[1], b[1]] = want.get((a[1], b[1]), 0) + 1
+    assert {(r["a"], r["b"]): r["n"] for r in out.collect()} == {k: n for k, n in want.items() if n > 1}
