@@ -335,8 +335,15 @@ class Plan:
         return out.distinct() if distinct else out
 
     def _aggregate(self, df: DataFrame, keys: list[tuple[str, Callable]], values: list[tuple[str, Callable]], order: list[str] | None = None) -> DataFrame:
-        out = df.groupBy(*[fn(df).alias(name) for name, fn in keys]).agg(*[fn(df).alias(name) for name, fn in values])
-        return out.select(*[F.col(f"`{c}`") for c in order]) if order else out
+        # a node is known by its id: its properties are joined to the groups and do not go along with the rows
+        own = self.graph.nodes
+        kinds = df.select(*[fn(df).alias(name) for name, fn in keys]).schema if keys else []
+        nodes = [k.name for k in kinds if isinstance(k.dataType, T.StructType) and k.dataType.names == own.columns]
+        out = df.groupBy(*[fn(df).getField("id").alias(name) if name in nodes else fn(df).alias(name) for name, fn in keys]).agg(*[fn(df).alias(name) for name, fn in values])
+        for name in nodes:
+            whole = own.select(F.col("id").alias("own_"), F.struct(*own.columns).alias("node_"))
+            out = out.withColumnRenamed(name, "key_").join(whole, F.col("key_") == F.col("own_"), "left").drop("key_", "own_").withColumnRenamed("node_", name)
+        return out.select(*[F.col(f"`{c}`") for c in order or [name for name, _ in [*keys, *values]]])
 
     def _sort(self, df: DataFrame, keys: list[tuple[Callable, bool]]) -> DataFrame:
         # null is the largest value of the language

@@ -9,8 +9,8 @@ import math
 import random
 import struct
 
-from tessera.catalog import graphs, more
-from tessera.graph import PropertyGraph
+from tessera.catalog import graphs, more, patterns
+from tessera.graph import PropertyGraph, order_graph
 from tessera.operators import spatial, temporal, traversal, vector
 from tessera.plans import cypher
 from tessera.sources import readers
@@ -163,3 +163,14 @@ def test_pairs_of_a_basket_are_dealt_out_before_they_are_counted(spark, tmp_path
         if a[0] == b[0] and a[1] < b[1]:
             want[a[1], b[1]] = want.get((a[1], b[1]), 0) + 1
     assert {(r["a"], r["b"]): r["n"] for r in out.collect()} == {k: n for k, n in want.items() if n > 1}
+
+
+def test_groups_by_node_carry_only_its_id(spark):
+    plan = plan_of(patterns.cypher_match_after_aggregate(spark, DATA)).split("== physical plan ==")[1]
+    assert "c_custkey" in plan and "c_name" not in plan and "c_mktsegment" not in plan
+    g = order_graph(spark, DATA)
+    rows = cypher.query(g, "MATCH (a) OPTIONAL MATCH (a)-[]->(b) WITH b, count(a) AS n RETURN b, b.name AS name, n").collect()
+    names = {r["id"]: r["name"] for r in g.nodes.collect()}
+    into = [r["dst"] for r in g.edges.collect()]
+    assert all(r["name"] == (names[r["b"]["id"]] if r["b"] is not None else None) for r in rows)
+    assert {r["b"]["id"]: r["n"] for r in rows if r["b"] is not None} == {x: into.count(x) for x in set(into) if x in names}
