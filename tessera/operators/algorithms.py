@@ -119,7 +119,9 @@ def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10, passes: int =
     """``id, community`` by synchronous modularity moves on the weighted undirected graph, then contraction, a few passes.
 
     Half of the nodes (by a hash that changes each round) may move in a round,
-    which keeps neighbours from swapping for ever.
+    which keeps neighbours from swapping for ever.  Tables of nodes are joined
+    where they lie: sent to all, each of some hundred joins would take them
+    through the driver until they are too large for it.
     """
     pairs = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     pairs = materialize(pairs, "weighted")
@@ -131,16 +133,16 @@ def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10, passes: int =
         label = materialize(strength.select("v", "k", F.col("v").alias("c")), "label")
         for at in range(rounds):
             size = label.groupBy("c").agg(F.sum("k").alias("total"))
-            links = steps.where("a <> b").join(label.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("into"))
+            links = steps.where("a <> b").join(label.select(F.col("v").alias("b"), "c").hint("merge"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("into"))
             own = label.select("v", "k", F.col("c").alias("old"))
-            gain = links.join(own, "v").join(size, "c").withColumn("gain", F.col("into") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / m2)
+            gain = links.join(own.hint("merge"), "v").join(size.hint("merge"), "c").withColumn("gain", F.col("into") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / m2)
             best = gain.groupBy("v").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("stay"))
             may = F.pmod(F.xxhash64("v", F.lit(level * 100 + at)), F.lit(2)) == 0
             better = -F.col("best.g") > F.coalesce("stay", F.lit(0.0)) + 1e-9
-            new = label.join(best, "v", "left").select("v", "k", F.when(may & F.coalesce(better, F.lit(False)), F.col("best.c")).otherwise(F.col("c")).alias("c"))
+            new = label.join(best.hint("merge"), "v", "left").select("v", "k", F.when(may & F.coalesce(better, F.lit(False)), F.col("best.c")).otherwise(F.col("c")).alias("c"))
             label = materialize(new, f"label{at}")
-        place = materialize(place.join(label.select(F.col("v").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")), "place")
-        names = label.select(F.col("v"), "c")
+        place = materialize(place.join(label.select(F.col("v").alias("community"), "c").hint("merge"), "community", "left").select("id", F.coalesce("c", "community").alias("community")), "place")
+        names = label.select(F.col("v"), "c").hint("merge")
         pairs = materialize(
             pairs.join(names.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(names.select(F.col("v").alias("b"), F.col("c").alias("y")), "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")), "contracted"
         )

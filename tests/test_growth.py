@@ -11,7 +11,7 @@ import struct
 
 from tessera.catalog import graphs, more, patterns
 from tessera.graph import PropertyGraph, order_graph
-from tessera.operators import spatial, temporal, traversal, vector
+from tessera.operators import algorithms, spatial, temporal, traversal, vector
 from tessera.plans import cypher
 from tessera.sources import readers
 from tests.conftest import DATA
@@ -174,3 +174,11 @@ def test_groups_by_node_carry_only_its_id(spark):
     into = [r["dst"] for r in g.edges.collect()]
     assert all(r["name"] == (names[r["b"]["id"]] if r["b"] is not None else None) for r in rows)
     assert {r["b"]["id"]: r["n"] for r in rows if r["b"] is not None} == {x: into.count(x) for x in set(into) if x in names}
+
+
+def test_louvain_sends_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(algorithms, "materialize", lambda df, name, old=algorithms.materialize: plans.append(plan_of(df)) or old(df, name))
+    g = order_graph(spark, DATA)
+    place = algorithms.louvain(g.nodes, g.edges, rounds=1, passes=1)
+    assert place.count() == g.nodes.count() and any("sortmergejoin" in p for p in plans) and not any("broadcast" in p for p in plans)
