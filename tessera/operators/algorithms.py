@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.storage import discard, materialize
 
+#: Edges of a node that a row of PageRank's table holds.
+LISTED = 1000
+
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """``id, rank`` summing to 1; rank of nodes without out-edges is shared by all."""
+    """``id, rank`` summing to 1; rank of nodes without out-edges is shared by all.
+
+    What all nodes get alike is a number, so the rank is a sum of walks: ``w0``
+    is 1 for every node, each later table is the one before passed on along the
+    edges, one join and one sum a round, and the factors of the tables follow
+    on the driver from one number a round.  What nodes without out-edges hold
+    goes to the row without id.
+    """
     n = nodes.count()
+    ids = nodes.select("id")
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    steps = materialize(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(degree, "src").select(F.col("src").alias("id"), "dst", (F.col("m") / F.col("degree")).alias("share")), "steps")
-    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    own = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(degree, "src").select(F.col("src").alias("id"), "dst", (F.col("m") / F.col("degree")).alias("share"), "degree")
+    own = own.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    ends = ids.join(degree.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.array(F.struct(F.lit(None).cast(dict(edges.dtypes)["dst"]).alias("dst"), F.lit(1.0).alias("share"))).alias("to"))
+    # edges of a node lie in few rows, so that a round moves few; a hub has many rows
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / LISTED))
+    own = own.groupBy("id", part.alias("part")).agg(F.collect_list(F.struct("dst", "share")).alias("to")).select("id", "to")
+    steps = materialize(own.unionByName(ends), "steps")
+    passed = []
     for at in range(rounds):
-        given = rank.join(steps, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        # what was not given away is the rank of nodes without out-edges
-        given = materialize(given, f"given{at}") if at % 3 == 2 else given
-        lost = given.agg((1 - F.coalesce(F.sum("got"), F.lit(0.0))).alias("lost"))
-        new = nodes.select("id").join(given, "id", "left").crossJoin(F.broadcast(lost))  # one row
-        old = rank
-        rank = new.select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if at % 3 == 2 or at == rounds - 1:  # short plans: cut every third round
-            rank = materialize(rank, f"rank{at}")
-            discard(old)
-    return rank
+        given = steps.withColumn("w", F.lit(1.0)) if at == 0 else steps.join(passed[-1].where("id IS NOT NULL"), "id")
+        given = given.select("w", F.explode("to").alias("to"))
+        passed.append(materialize(given.groupBy(F.col("to.dst").alias("id")).agg(F.sum(F.col("w") * F.col("to.share")).alias("w")), f"walks{at}"))
+    if not passed:
+        return ids.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    numbered = reduce(DataFrame.unionByName, [w.withColumn("at", F.lit(at)) for at, w in enumerate(passed)])
+    held = {r["at"]: r["w"] for r in numbered.where("id IS NULL").collect()}
+    factors = [1.0 / max(n, 1)]
+    for _ in range(rounds):
+        lost = sum(f * held.get(at, 0.0) for at, f in enumerate(factors))
+        factors = [(1 - damping + damping * lost) / max(n, 1), *(damping * f for f in factors)]
+    factor = F.element_at(F.array(*[F.lit(f) for f in factors[1:]]), F.col("at") + 1)
+    got = numbered.where("id IS NOT NULL").groupBy("id").agg(F.sum(F.col("w") * factor).alias("got"))
+    return ids.join(got, "id", "left").select("id", (F.lit(factors[0]) + F.coalesce("got", F.lit(0.0))).alias("rank"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -182,3 +182,22 @@ def test_louvain_sends_no_table_through_the_driver(spark, monkeypatch):
     g = order_graph(spark, DATA)
     place = algorithms.louvain(g.nodes, g.edges, rounds=1, passes=1)
     assert place.count() == g.nodes.count() and any("sortmergejoin" in p for p in plans) and not any("broadcast" in p for p in plans)
+
+
+def test_pagerank_joins_once_a_round(spark, monkeypatch):
+    draw = random.Random(4)
+    ids = range(12)
+    links = [(draw.randrange(10), draw.randrange(12)) for _ in range(40)] + [(0, k) for k in range(1, 9)] + [(3, 99), (99, 3)]  # 10 and 11 have no way out, 99 is no node
+    plans = []
+    monkeypatch.setattr(algorithms, "LISTED", 3)
+    monkeypatch.setattr(algorithms, "materialize", lambda df, name, old=algorithms.materialize: plans.append((name, plan_of(df).split("== physical plan ==")[1])) or old(df, name))
+    got = {r["id"]: r["rank"] for r in algorithms.pagerank(spark.createDataFrame([(i,) for i in ids], "id bigint"), spark.createDataFrame(links, "src bigint, dst bigint"), 6).collect()}
+    rank = dict.fromkeys(ids, 1 / 12)
+    for _ in range(6):
+        out = {i: [b for a, b in links if a == i] for i in ids}
+        lost = sum(rank[i] for i in ids if not out[i])
+        rank = {i: 0.15 / 12 + 0.85 * (sum(rank[a] * out[a].count(i) / len(out[a]) for a in ids if out[a]) + lost / 12) for i in ids}
+    assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-12 for i in ids)
+    rounds = [p for name, p in plans if name != "steps"]
+    # a round passes the table before it on once; it once summed it up a second time for what was lost
+    assert len(rounds) == 6 and all(p.count("join ") + p.count("join(") <= 1 and "nestedloop" not in p for p in rounds)
