@@ -1,23 +1,21 @@
 """Shortest routes over edge weights by delta-stepping.
 
 Tentative distances fall into buckets of width ``delta``.  The lowest bucket is
-worked off: its nodes relax their light edges (up to ``delta``) until no node
-of the bucket improves, then their heavy edges once.  Each step is one join of
-the frontier with the edges; what is known so far is a few written tables, of
-which the smallest distance of a node counts.
+worked off: its nodes relax their edges until no node of the bucket improves.
+What is known is one table; a step joins its open nodes of the bucket with the
+edges, keeps the smallest distance of every node and writes the table anew,
+with the nodes that were improved open again.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize
+from tessera.storage import discard, materialize
 
-#: Nodes of a frontier that are broadcast; tables of distances that are merged into one.
-SENT, TABLES = 200_000, 6
+#: Nodes of a frontier that are broadcast.
+SENT = 200_000
 
 
 def shortest_routes(edges: DataFrame, seeds: DataFrame, weight: str = "weight", delta: float | None = None, limit: float | None = None, paths: bool = False, direction: str = "out", max_steps: int = 10_000) -> DataFrame:
@@ -43,64 +41,37 @@ def shortest_routes(edges: DataFrame, seeds: DataFrame, weight: str = "weight",
         start = start.drop("nodes")
     key = ["seed", "id"]
     value = F.struct("cost", "nodes") if paths else F.struct("cost")
-
-    def best(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*key).agg(F.min(value).alias("v")).select(*key, "v.*")
-
-    known = [materialize(start, "seeds")]
-    open_ = known[0]  # nodes whose last improvement has not been passed on
+    state = materialize(start.withColumn("open", F.lit(True)), "known")
+    end = None
     for _ in range(max_steps):
-        lowest = open_.agg(F.min("cost")).first()[0]
+        bucket = F.count(F.when(F.col("cost") < end, 1)) if end is not None else F.lit(0)
+        lowest, rows = state.where("open").agg(F.min("cost"), bucket).first()
         if lowest is None:
-            return best(reduce(DataFrame.unionByName, known))
-        end = (lowest // delta + 1) * delta
-        done: list[DataFrame] = []
-        now = materialize(open_.where(F.col("cost") < end), "bucket")
-        later = [open_.where(F.col("cost") >= end)]
-        while rows := now.count():
-            done.append(now)
-            new = _relaxed(now, rows, steps.where(F.col("w") <= delta), known, best, limit, paths)
-            known = _few(known + [new], best)
-            later.append(new.where(F.col("cost") >= end))
-            now = materialize(new.where(F.col("cost") < end), "bucket")
-        bucket = materialize(best(reduce(DataFrame.unionByName, done)), "bucket")
-        new = _relaxed(bucket, bucket.count(), steps.where(F.col("w") > delta), known, best, limit, paths)
-        known = _few(known + [new], best)
-        later.append(new)
-        open_ = materialize(best(reduce(DataFrame.unionByName, later)), "open")
-        # a node that was improved again, in a bucket that is done, need not be passed on
-        settled = _costs(known, open_, best).select(*key, F.col("cost").alias("least"))
-        open_ = materialize(open_.join(settled, key).where("cost <= least").drop("least").join(bucket.select(*key), key, "left_anti"), "open")
-    raise ValueError(f"not done after {max_steps} buckets; give a larger delta")
-
-
-def _costs(known: list[DataFrame], of: DataFrame, best) -> DataFrame:
-    """What is known of the nodes of one table."""
-    return best(reduce(DataFrame.unionByName, known).join(of.select("seed", "id").distinct(), ["seed", "id"], "left_semi"))
-
-
-def _relaxed(front: DataFrame, rows: int, steps: DataFrame, known: list[DataFrame], best, limit: float | None, paths: bool) -> DataFrame:
-    """Nodes whose cost the front's edges improve."""
+            return state.drop("open")
+        if end is None or lowest >= end:
+            end = (lowest // delta + 1) * delta
+            rows = state.where(F.col("open") & (F.col("cost") < end)).count()
+        now = F.col("open") & (F.col("cost") < end)
+        found = _relaxed(state.where(now).drop("open"), rows, steps, limit, paths).select(*key, value.alias("v"))
+        old = state.select(*key, value.alias("v"), value.alias("old"), (F.col("open") & ~now).alias("waits"))
+        new = found.withColumns({"old": F.lit(None).cast(old.schema["old"].dataType), "waits": F.lit(False)})
+        merged = old.unionByName(new).groupBy(*key).agg(F.min("v").alias("v"), F.min("old").alias("old"), F.max("waits").alias("waits"))
+        is_open = F.col("waits") | F.col("old").isNull() | (F.col("v") < F.col("old"))
+        then = materialize(merged.select(*key, "v.*", is_open.alias("open")), "known")
+        discard(state)
+        state = then
+    raise ValueError(f"not done after {max_steps} steps; give a larger delta")
+
+
+def _relaxed(front: DataFrame, rows: int, steps: DataFrame, limit: float | None, paths: bool) -> DataFrame:
+    """Nodes at the ends of the front's edges, with what they cost that way."""
     near = front.withColumnsRenamed({"id": "at", "cost": "so_far"})
     if paths:
         near = near.withColumnRenamed("nodes", "way")
     joined = steps.join(F.broadcast(near) if rows <= SENT else near, F.col("a") == F.col("at"))
     cost = F.col("so_far") + F.col("w")
     found = joined.select("seed", F.col("b").alias("id"), cost.alias("cost"), *([F.concat("way", F.array("b")).alias("nodes")] if paths else []))
-    if limit is not None:
-        found = found.where(F.col("cost") <= limit)
-    found = materialize(best(found), "relaxed")
-    old = _costs(known, found, best).withColumnRenamed("cost", "old")
-    if paths:
-        old = old.withColumnRenamed("nodes", "old_nodes")
-    better = F.col("old").isNull() | (F.col("cost") < F.col("old"))
-    if paths:
-        better |= (F.col("cost") == F.col("old")) & (F.col("nodes") < F.col("old_nodes"))
-    return materialize(found.join(old, ["seed", "id"], "left").where(better).select(*found.columns), "improved")
-
-
-def _few(known: list[DataFrame], best) -> list[DataFrame]:
-    return known if len(known) <= TABLES else [materialize(best(reduce(DataFrame.unionByName, known)), "known")]
+    return found if limit is None else found.where(F.col("cost") <= limit)
 
 
 def with_lengths(edges: DataFrame, nodes: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -11,7 +11,7 @@ import struct
 
 from tessera.catalog import graphs, more, patterns
 from tessera.graph import PropertyGraph, order_graph
-from tessera.operators import algorithms, spatial, temporal, traversal, vector
+from tessera.operators import algorithms, routes, spatial, temporal, traversal, vector
 from tessera.plans import cypher
 from tessera.sources import readers
 from tests.conftest import DATA
@@ -201,3 +201,20 @@ def test_pagerank_joins_once_a_round(spark, monkeypatch):
     rounds = [p for name, p in plans if name != "steps"]
     # a round passes the table before it on once; it once summed it up a second time for what was lost
     assert len(rounds) == 6 and all(p.count("join ") + p.count("join(") <= 1 and "nestedloop" not in p for p in rounds)
+
+
+def test_a_step_of_routes_writes_one_table(spark, monkeypatch):
+    draw = random.Random(9)
+    links = [(k, k + 1, 1.0) for k in range(8)] + [(draw.randrange(9), draw.randrange(12), draw.randrange(1, 30) / 4) for _ in range(30)] + [(2, 5, None)]
+    written = []
+    monkeypatch.setattr(routes, "materialize", lambda df, name, old=routes.materialize: written.append(name) or old(df, name))
+    got = {(r["seed"], r["id"]): r["cost"] for r in routes.shortest_routes(spark.createDataFrame(links, "src bigint, dst bigint, weight double"), spark.createDataFrame([(0,), (4,)], "id bigint")).collect()}
+    want = {(0, 0): 0.0, (4, 4): 0.0}
+    for _ in range(12):
+        for (s, a), c in list(want.items()):
+            for x, b, w in links:
+                if x == a and w is not None:
+                    want[s, b] = min(want.get((s, b), c + w), c + w)
+    assert got == want
+    # a relaxation once took four tables, and each bucket five more
+    assert len(written) < 20 and set(written) == {"steps", "known"}
