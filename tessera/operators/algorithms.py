@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.storage import discard, materialize
 
 #: Edges of a node that a row of PageRank's table holds.
 LISTED = 1000
+#: Of betweenness: edges of a node beyond which its lists are added up in parts first, and numbers that a task adds up at once.
+HUB, CELLS = 20_000, 1_000_000
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
@@ -106,34 +111,91 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> D
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 50, blocks: int | None = None) -> DataFrame:
-    """``id, betweenness`` from the ``sources`` nodes of smallest hash, by level-wise joins keyed by source (Brandes).
+    """``id, betweenness`` from the ``sources`` nodes of smallest hash, by level-wise joins for all sources at once (Brandes).
 
-    Paths are counted forward level by level, dependencies are summed backward;
-    every step is a join and an aggregation over (source, node), so no graph is
-    held in one task.
+    Paths are counted forward level by level, dependencies are summed backward.
+    A node's numbers for all sources of a level are one row of two lists, so an
+    edge moves one row a level; lists are added up where the node's rows meet,
+    a batch at a time.  No graph is held in one task.
     """
     steps = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "steps")
-    seeds = nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(sources)
-    level = materialize(seeds.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths"), F.lit(0).alias("depth")), "sources")
-    layers, seen = [level], level.select("source", "id")
+    hubs = any(not steps.groupBy(end).count().where(F.col("count") > HUB).isEmpty() for end in ("src", "dst"))
+    number = F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")) - 1
+    seeds = nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(sources).select("id", number.alias("source"))
+    layers = [materialize(seeds.groupBy("id").agg(F.collect_list("source").alias("sources"), F.array_repeat(F.lit(1.0), F.count("source").cast("int")).alias("xs")), "sources")]
     while True:
-        grown = level.join(steps, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        level = materialize(grown.join(seen, ["source", "id"], "left_anti").withColumn("depth", F.lit(len(layers))), f"layer{len(layers)}")
+        given = layers[-1].join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "sources", "xs", F.col("src").alias("by"))
+        level = materialize(_met(given, reduce(DataFrame.unionByName, layers), sources, hubs, _reached).select("id", "sources", "xs"), f"layer{len(layers)}")
         if level.isEmpty():
             break
         layers.append(level)
-        seen = seen.unionByName(level.select("source", "id"))
-    total = None
-    later = layers[-1].select("source", "id", "paths", F.lit(0.0).alias("credit"))
-    for layer in reversed(layers[:-1]):
-        below = later.select("source", F.col("id").alias("dst"), ((1 + F.col("credit")) / F.col("paths")).alias("unit"))
-        gained = layer.join(steps, F.col("id") == F.col("src")).join(below, ["source", "dst"]).groupBy("source", "id").agg(F.sum("unit").alias("unit"))
-        later = materialize(layer.join(gained, ["source", "id"], "left").select("source", "id", "paths", (F.col("paths") * F.coalesce("unit", F.lit(0.0))).alias("credit")), "credit")
-        part = later.where("source <> id").select("id", "credit")
-        total = part if total is None else total.unionByName(part)
-    if total is None:
+    later = layers[-1].select("id", "sources", F.transform("xs", lambda p: 1 / p).alias("xs"))
+    total = []
+    # what the sources themselves would get does not count
+    for layer in reversed(layers[1:-1]):
+        given = later.join(steps, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "sources", "xs", F.col("dst").alias("by"))
+        later = materialize(_met(given, layer, sources, hubs, _credited), "credit")
+        total.append(later.select("id", "credit"))
+    if not total:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    return nodes.select("id").join(total.groupBy("id").agg(F.sum("credit").alias("b")), "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+    return nodes.select("id").join(reduce(DataFrame.unionByName, total).groupBy("id").agg(F.sum("credit").alias("b")), "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+
+
+def _reached(got: np.ndarray, sent: np.ndarray, own: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paths of the sources that come to a node for the first time."""
+    return sent & ~has, got, np.zeros(len(got))
+
+
+def _credited(got: np.ndarray, sent: np.ndarray, own: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a path through the nodes of a level is worth, and what the nodes get."""
+    credit = np.where(has, own * got, 0.0)
+    return has, (1 + credit) / np.where(has, own, 1.0), credit.sum(axis=1)
+
+
+def _met(given: DataFrame, own: DataFrame, width: int, hubs: bool, fn: Callable) -> DataFrame:
+    """``id, sources, xs, credit`` by ``fn`` of the sums of ``given(id, sources, xs, by)`` and of ``own(id, sources, xs)``, each with a mark for what is there."""
+    if hubs:  # a node's rows are added up in parts first
+        given = _summed(given.withColumn("own", F.lit(False)).repartition("id", F.pmod(F.xxhash64("by"), F.lit(64))), width, lambda got, sent, own, has: (sent, got, np.zeros(len(got))))
+    both = given.select("id", "sources", "xs", F.lit(False).alias("own")).unionByName(own.select("id", "sources", "xs", F.lit(True).alias("own")))
+    return _summed(both.repartition("id"), width, fn)
+
+
+def _summed(rows: DataFrame, width: int, fn: Callable) -> DataFrame:
+    """``fn`` of the rows of each id of a partition, added up in order of the ids; lists without entries are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, None
+
+        def row(ids, sums: np.ndarray, there: np.ndarray) -> pa.RecordBatch:
+            mask, xs, credit = fn(sums[:, 0], there[:, 0], sums[:, 1], there[:, 1])
+            some = mask.any(axis=1)
+            mask, ends = mask[some], np.concatenate([[0], np.cumsum(mask[some].sum(axis=1))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (np.nonzero(mask)[1].astype(np.int32), xs[some][mask])]
+            return pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), *lists, pa.array(credit[some])], names=["id", "sources", "xs", "credit"])
+
+        for batch in batches:
+            for at in range(0, len(batch), most := max(CELLS // width, 1)):
+                ids, of, xs, own = (batch.column(k).slice(at, most) for k in range(4))
+                plain = ids.to_numpy(zero_copy_only=False)
+                fresh = np.concatenate([[True], plain[1:] != plain[:-1]])
+                code, n = np.cumsum(fresh) - 1, int(fresh.sum())
+                cell = np.repeat(2 * code + own.to_numpy(zero_copy_only=False), of.value_lengths().to_numpy()) * width + of.flatten().to_numpy()
+                sums = np.bincount(cell, xs.flatten().to_numpy(), 2 * n * width).reshape(n, 2, width)
+                there = (np.bincount(cell, minlength=2 * n * width) > 0).reshape(n, 2, width)
+                ids = ids.filter(pa.array(fresh))
+                if last is not None and last[0] == ids[0]:
+                    sums[0] += left[0]
+                    there[0] |= left[1]
+                elif last is not None:
+                    yield row(last, left[0][None], left[1][None])
+                if n > 1:
+                    yield row(ids[:-1], sums[:-1], there[:-1])
+                last, left = ids[-1:], (sums[-1], there[-1])
+        if last is not None:
+            yield row(last, left[0][None], left[1][None])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.where("id IS NOT NULL").select("id", "sources", "xs", "own").sortWithinPartitions("id").mapInArrow(run, f"id {kind}, sources array<int>, xs array<double>, credit double")
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10, passes: int = 3) -> DataFrame:

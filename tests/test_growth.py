@@ -232,3 +232,18 @@ def test_a_step_of_routes_writes_one_table(spark, monkeypatch):
     assert got == want
     # a relaxation once took four tables, and each bucket five more
     assert len(written) < 20 and set(written) == {"steps", "known"}
+
+
+def test_betweenness_moves_one_row_an_edge(spark, monkeypatch):
+    draw = random.Random(9)
+    links = {(draw.randrange(30), draw.randrange(30)) for _ in range(90)} | {(i, 0) for i in range(30)} | {(0, i) for i in range(20)}
+    nodes, edges = spark.range(30), spark.createDataFrame(sorted(links), "src bigint, dst bigint")
+    kept = {}
+    monkeypatch.setattr(algorithms, "materialize", lambda df, name, old=algorithms.materialize: kept.setdefault(name, []).append(old(df, name)) or kept[name][-1])
+    found = {r["id"]: r["betweenness"] for r in algorithms.betweenness(nodes, edges, 30).collect()}
+    assert kept["layer2"][0].count() <= 30 and all(t.count() <= 30 for t in kept["credit"])
+    # nodes of many edges, and sums of few numbers at a time
+    monkeypatch.setattr(algorithms, "HUB", 5)
+    monkeypatch.setattr(algorithms, "CELLS", 60)
+    again = {r["id"]: r["betweenness"] for r in algorithms.betweenness(nodes, edges, 30).collect()}
+    assert found[0] > 100 and all(abs(found[i] - again[i]) < 1e-9 for i in range(30))
