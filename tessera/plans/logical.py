@@ -23,6 +23,9 @@ from tessera.graph import PropertyGraph
 from tessera.operators import traversal
 from tessera.storage import materialize
 
+#: Edges of a node up to which their ends are listed beside it.
+ENDS = 1000
+
 
 @dataclass
 class Node:
@@ -126,7 +129,7 @@ class Plan:
             # a chain that meets what is bound goes first, so that it is joined and not crossed
             at = next((k for k, (_, chain, _) in enumerate(left) if any(n.var in bound for n in chain[::2])), 0)
             path, chain, nodes = left.pop(at)
-            df = self._chain(df, chain, seen, path is not None, distinct_ends and (each or sum(len(c) // 2 for _, c, _ in chains) == 1))
+            df = self._chain(df, chain, seen, path is not None, distinct_ends and (each or sum(len(c) // 2 for _, c, _ in chains) == 1), [c for _, c, _ in left])
             if path is not None:
                 df = self._path(df, chain, path, nodes)
         if where is not None:
@@ -136,13 +139,14 @@ class Plan:
     def _one(self) -> DataFrame:
         return self.graph.spark.range(1).select(F.lit(True).alias("one_"))
 
-    def _chain(self, df: DataFrame | None, chain: list, seen: list[Edge], on_path: bool, distinct_ends: bool) -> DataFrame:
-        """Walks a chain from its node that is bound, or else from one known by its id, to both sides."""
+    def _chain(self, df: DataFrame | None, chain: list, seen: list[Edge], on_path: bool, distinct_ends: bool, later: list[list] = ()) -> DataFrame:
+        """Walks a chain from its node that is bound, or else from one known by its id, to both sides; ``later``: the chains to come."""
         bound = set(df.columns) if df is not None else set()
         nodes = chain[::2]
         known = [k for k, n in enumerate(nodes) if n.var in bound] or [k for k, n in enumerate(nodes) if "id" in n.where and not callable(n.where["id"])] or [0]
         at = known[0]
         start = nodes[at]
+        every = df is None and "id" not in start.where and self._alike()
         if df is None:
             df = self._struct(start)
         elif start.var not in bound:
@@ -151,11 +155,46 @@ class Plan:
             df = self._narrow(df, start)
         df = self._bound(df, start)
         for k in range(at, len(nodes) - 1):
+            closing = self._closing(df, nodes[k + 1], [chain[2 * k + 2 :], *later]) if every and not chain[2 * k + 1].varied else None
+            if closing:
+                df = self._with_ends(df, *closing)
             df = self._expand(df, nodes[k], chain[2 * k + 1], nodes[k + 1], seen, on_path, distinct_ends)
+            if closing:
+                df = df.where(F.col("ends_").isNull() | F.array_contains("ends_", F.hash(F.col(f"{nodes[k + 1].var}.id")))).drop("ends_")
         for k in range(at, 0, -1):
             df = self._expand(df, nodes[k], chain[2 * k - 1], nodes[k - 1], seen, on_path, distinct_ends, back=True)
         return df
 
+    def _alike(self) -> bool:
+        """Whether ids of nodes and of edges' ends have one type, so that equal ones have equal hashes."""
+        kinds = {dict(self.graph.nodes.dtypes)["id"], *(dict(self.graph.edges.dtypes)[c] for c in ("src", "dst"))}
+        return len(kinds) == 1 and kinds <= {"int", "bigint", "string"}
+
+    def _closing(self, df: DataFrame, node: Node, chains: list[list]) -> tuple[Node, Edge, str] | None:
+        """A later step of one edge between ``node``, which is about to be bound, and a bound one: that one, the edge and its direction from there."""
+        if node.var in df.columns:
+            return None
+        for chain in chains:
+            for a, edge, b in zip(chain[:-2:2], chain[1::2], chain[2::2], strict=True):
+                if edge.varied or edge.direction == "both" or edge.var in df.columns:
+                    continue
+                if a.var == node.var and b.var in df.columns:
+                    return b, edge, {"out": "in", "in": "out"}[edge.direction]
+                if b.var == node.var and a.var in df.columns:
+                    return a, edge, edge.direction
+        return None
+
+    def _with_ends(self, df: DataFrame, near: Node, edge: Edge, direction: str) -> DataFrame:
+        """``df`` with ``ends_``: hashes of the nodes that an edge of ``near`` leads to, null for nodes of very many edges.
+
+        The step that this edge closes is then cut down where it is made, before its rows are sent to be joined with the edge.
+        """
+        edges = self.graph.typed(*edge.types)
+        own, other = ("src", "dst") if direction == "out" else ("dst", "src")
+        few = edges.groupBy(F.col(own).alias("of_")).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") <= ENDS).select("of_")
+        ends = edges.select(F.col(own).alias("of_"), F.hash(other).alias("end_")).join(few, "of_").groupBy("of_").agg(F.collect_list("end_").alias("ends_"))
+        return df.join(ends, F.col(f"{near.var}.id") == F.col("of_"), "left").drop("of_")
+
     def _path(self, df: DataFrame, chain: list, path: str, nodes: bool) -> DataFrame:
         """Struct column ``path``: ``hops``, ``eids`` and, if asked for, ``nodes`` with their properties."""
         ids, eids = F.array(F.col(f"{chain[0].var}.id")), F.array().cast("array<bigint>")

@@ -12,7 +12,7 @@ import struct
 from tessera.catalog import graphs, more, patterns
 from tessera.graph import PropertyGraph, order_graph
 from tessera.operators import algorithms, routes, spatial, temporal, traversal, vector
-from tessera.plans import cypher
+from tessera.plans import cypher, logical
 from tessera.sources import readers
 from tests.conftest import DATA
 
@@ -247,3 +247,20 @@ def test_betweenness_moves_one_row_an_edge(spark, monkeypatch):
     monkeypatch.setattr(algorithms, "CELLS", 60)
     again = {r["id"]: r["betweenness"] for r in algorithms.betweenness(nodes, edges, 30).collect()}
     assert found[0] > 100 and all(abs(found[i] - again[i]) < 1e-9 for i in range(30))
+
+
+def test_steps_that_an_edge_closes_are_cut_where_they_are_made(spark, monkeypatch):
+    draw = random.Random(11)
+    links = [(i, draw.randrange(20), draw.randrange(20)) for i in range(120)] + [(120 + i, 3, 3) for i in range(3)] + [(130 + i, i, 5) for i in range(20)]
+    g = PropertyGraph(spark.createDataFrame([(i, ["N"]) for i in range(20)], "id bigint, labels array<string>"), spark.createDataFrame([(*x, "T") for x in links], "eid bigint, src bigint, dst bigint, type string"))
+    threes = [t for t in itertools.permutations(links, 3) if t[0][2] == t[1][1] and t[1][2] == t[2][1]]
+    for text, closes in (("(c)-[]->(a)", lambda t: t[2][2] == t[0][1]), ("(a)<-[]-(c)", lambda t: t[2][2] == t[0][1])):
+        want = {}
+        for t in filter(closes, threes):
+            want[t[0][1]] = want.get(t[0][1], 0) + 1
+        for most in (1000, 8):  # with nodes of more edges than are listed
+            monkeypatch.setattr(logical, "ENDS", most)
+            df = cypher.query(g, f"MATCH (a)-[]->(b)-[]->(c), {text} RETURN a.id AS id, count(*) AS n")
+            assert "ends_" in plan_of(df) and {r["id"]: r["n"] for r in df.collect()} == want
+    back = [t for t in itertools.permutations(links, 3) if t[0][2] == t[1][1] and t[1][2] == t[2][2] and t[2][1] == t[0][1]]
+    assert cypher.query(g, "MATCH (a)-[]->(b)-[]->(c)<-[]-(a) RETURN count(*) AS n").first()["n"] == len(back)
