@@ -15,7 +15,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from functools import cache, cached_property
-from itertools import chain, pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -179,8 +179,9 @@ class WordTable:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(path)
-            self.library.no_truncation()
-            self.library.no_padding()
+            # 0xFF is in no UTF-8 text, so it may stand between words
+            self.letters = {b: c for c, b in _byte_alphabet().items()} | {0xFF: " "}
+            self.lengths = np.array(self.vocab.lengths)
         self.special = next(iter(self.vocab.special), None)
         self._clear()
 
@@ -190,24 +191,36 @@ class WordTable:
         self.offset = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    @property
+    def full(self) -> bool:
+        """Whether the next call of ``encode`` empties the memory first, so that its numbers begin anew."""
+        return len(self.number) > WORDS_KEPT[self.engine]
+
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each)."""
         if self.engine == "trie":
             each = list(self.vocab.encode_words(words))
             return np.fromiter(chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each))
-        # the words are pre-tokens already: one call encodes them all, each apart
-        done = self.library.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        return np.array(done.ids, np.int32), np.bincount(np.array(done.word_ids, np.int64), minlength=len(words))
+        # the words are pre-tokens already: spelled in the byte alphabet they go to the library's model, past its scanner
+        spelled = b"\xff".join(words).decode("latin-1").translate(self.letters).split(" ")
+        if len(spelled) != len(words):
+            raise ValueError("a text is not UTF-8")
+        model = self.library.model
+        ids = np.fromiter((t.id for w in spelled for t in model.tokenize(w)), np.int32)
+        # a word's tokens have its bytes together
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))) + 1
+        return ids, np.diff(ends, prepend=0)
 
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
         """Word numbers of distinct pre-tokens; new ones are encoded."""
-        if len(self.number) > WORDS_KEPT[self.engine]:
+        if self.full:
             self._clear()
         number = self.number
-        known = list(map(number.get, distinct))
-        new = [w for w, k in zip(distinct, known, strict=True) if k is None]
-        if not new:
-            return np.array(known, np.int64)
+        known = np.fromiter(map(number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(known < 0)
+        if not len(unknown):
+            return known
+        new = [distinct[i] for i in unknown.tolist()]
         k = len(number)
         special = self.vocab.special
         plain = sorted(w for w in new if w not in special) if self.engine == "trie" else [w for w in new if w not in special]
@@ -223,7 +236,8 @@ class WordTable:
         self.flat[self.used : self.used + len(ids)] = ids
         self.offset[k + 1 : k + 1 + len(words)] = self.used + np.cumsum(counts)
         self.used += len(ids)
-        return np.array([number[w] if k is None else k for w, k in zip(distinct, known, strict=True)], np.int64)
+        known[unknown] = np.fromiter(map(number.get, new), np.int64, len(new))
+        return known
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word number of every pre-token, index of each text's first pre-token and an end)."""
@@ -235,10 +249,14 @@ class WordTable:
 
     def ids(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, index of each text's first id and an end)."""
-        counts = self.offset[numbers + 1] - self.offset[numbers]
+        counts = self.counts(numbers)
         ends = np.concatenate([[0], np.cumsum(counts)])
         return self.flat[textbytes.ragged(self.offset[numbers], counts)], ends[first]
 
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """Number of ids of each word."""
+        return self.offset[numbers + 1] - self.offset[numbers]
+
 
 _tables: dict[tuple[str, str], WordTable] = {}
 

@@ -2,10 +2,13 @@
 
 A file is a table of frames in ascending id order of the documents, written by
 the engine's own committing writer, so a lost executor leaves no half file.  A
-frame holds whole documents' ids cut into blocks; blocks start from a reset
-model, carry their own CRC-32 and decode alone.  All blocks of a frame (the
-lanes) are coded side by side, one id of every block at a time, in integer
-arithmetic only, so that any machine decodes what another encoded.
+frame holds whole documents as the ids of its distinct words (pre-tokens, and
+the end of a document), the most frequent first, and then the places of all words
+in that list: on common texts that is far fewer numbers than ids.  Both are one
+run of numbers, cut into blocks; blocks start from a reset model, carry their
+own CRC-32 and decode alone.  All blocks of a frame (the lanes) are coded side
+by side, one number of every block at a time, in integer arithmetic only, so
+that any machine decodes what another encoded.  Below, "id" is any such number.
 
 For each id, a table of order-2 contexts and one of order-1 contexts each guess
 an id.  A guess's confidence and the lane's recent hit rate (order 0) are mixed
@@ -55,7 +58,7 @@ class Params:
 
     def low(self, id_bits: int) -> int:
         """Bits coded in equal shares: more where ids are so long that their high parts would be too many."""
-        found = max(self.low_bits, id_bits - 8)
+        found = max(self.low_bits, min(id_bits - 6, 32 - _SHARE), id_bits - 8)
         if found > 32 - _SHARE:
             raise ValueError(f"ids of {id_bits} bits are too long")
         return found
@@ -138,19 +141,21 @@ class _Model:
 
     def predict(self, slot: np.ndarray) -> None:
         """Guesses of both orders at ``slot`` and the shares of the coder's range that they get."""
+        # look-ups are in range but for the last, which is meant to clip; this mode is faster as it never raises
         squash, stretch = _squash()
-        self.entry = entry = self.table.take(slot)
+        self.entry = entry = self.table.take(slot, mode="clip")
         self.said = entry >> 3
         self.sure = sure = entry & 7
         self.same = self.said[0] == self.said[1]
-        self.input[:, 0] = _BELIEF.take(sure)
-        self.input[:, 1] = stretch.take(self.recent >> 4)
+        self.input[:, 0] = _BELIEF.take(sure, mode="clip")
+        self.input[:, 1] = stretch.take(self.recent >> 4, mode="clip")
         dot = (self.weight[:, 0] * self.input[:, 0] + self.weight[:, 1] * self.input[:, 1]) >> 16
-        self.chance = squash.take(np.clip(dot, -2048, 2047) + 2048)
+        dot += 2048
+        self.chance = squash.take(dot, mode="clip")
         self.share2 = share2 = np.clip(self.chance[0] << 4, 64, 57344)
         rest = 65536 - share2
         share1 = np.minimum(np.maximum((rest * self.chance[1]) >> 12, 16), rest - 4096)
-        share1[self.same] = 0
+        share1 *= ~self.same
         self.share1 = share1
         self.both = share2 + share1
         self.left = rest - share1
@@ -170,7 +175,7 @@ class _Model:
         move[1] *= active
         self.recent += move
         sure = self.sure
-        entry = self.entry + _CONFIDENCE.take(sure + hit * np.int32(8))
+        entry = self.entry + _CONFIDENCE.take(sure + hit * np.int32(8), mode="clip")
         fresh = ids << 3
         entry -= fresh
         entry *= hit | (sure > 0)
@@ -296,10 +301,9 @@ def decode_blocks(codes: list[bytes], count: int, sums: np.ndarray, p: Params, i
                     both, left = model.both[plain], model.left[plain]
                     # a part's share begins at floor(shares * left): it is the last one at or before this
                     most = (((share[plain] - both + 1) << _COUNT) - 1) // left
-                    place, jump = plain, model.high >> 1
+                    place, jump = plain.copy(), model.high >> 1
                     while jump:
-                        up = place + jump * lanes
-                        place = np.where(shares.take(up) <= most, up, place)
+                        place += (shares.take(place + jump * lanes, mode="clip") <= most) * (jump * lanes)
                         jump >>= 1
                     begin, own = model.span(model.ends.take(place), both, left)
                     begin *= scale
@@ -326,7 +330,41 @@ def decode_blocks(codes: list[bytes], count: int, sums: np.ndarray, p: Params, i
     return ids
 
 
-_FRAME = "part int, frame int, id_bits int, count bigint, ids array<bigint>, sizes array<bigint>, sums array<bigint>, codes array<binary>"
+def _ranked(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct symbols, most frequent first; each symbol's place among them)."""
+    uses = np.bincount(symbols)
+    found = np.flatnonzero(uses)
+    found = found[np.argsort(-uses[found], kind="stable")]
+    place = np.zeros(len(uses), np.int32)
+    place[found] = np.arange(len(found), dtype=np.int32)
+    return found, place[symbols]
+
+
+def pack(spelled: np.ndarray, sizes: np.ndarray, places: np.ndarray, p: Params, id_bits: int) -> dict:
+    """A frame's numbers, coded: ids of its distinct words, ids of each word, place of every word in turn.
+
+    Where words hardly occur again, or are too many, every distinct id is a word.
+    """
+    count = int(sizes[places].sum())
+    if len(sizes) >> 24 or len(spelled) + len(places) > count + np.count_nonzero(np.bincount(spelled)):
+        begin = np.cumsum(sizes) - sizes
+        spelled, places = _ranked(spelled[textbytes.ragged(begin[places], sizes[places])])
+        sizes = np.ones(len(spelled), np.int64)
+    bits = max(id_bits, len(sizes).bit_length())
+    codes, sums = encode_blocks(np.concatenate([spelled, places]).astype(np.int32, copy=False), p, bits)
+    return {"bits": bits, "count": count, "spelled": len(spelled), "places": len(places), "words": zlib.compress(sizes.astype("<u4").tobytes(), 1), "sums": sums.tolist(), "codes": codes}
+
+
+def unpack(row: dict, p: Params) -> np.ndarray:
+    """All ids of a frame; raises if a checksum differs."""
+    numbers = decode_blocks(row["codes"], row["spelled"] + row["places"], np.array(row["sums"]), p, row["bits"])
+    spelled, places = numbers[: row["spelled"]], numbers[row["spelled"] :]
+    sizes = np.frombuffer(zlib.decompress(row["words"]), "<u4").astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    return spelled[textbytes.ragged(begin[places], sizes[places])]
+
+
+_FRAME = "part int, frame int, bits int, count bigint, spelled bigint, places bigint, words binary, ids array<bigint>, sizes array<bigint>, sums array<bigint>, codes array<binary>"
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
@@ -334,7 +372,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, params:
 
     Every text is cut into pre-tokens by the library's own published pattern
     (tests compare with the library on whole texts, fuzzed ones too) and the
-    library encodes the distinct ones.  Null text is empty, a null id sorts
+    library's model encodes the distinct ones.  A frame also closes where a
+    worker's memory of words is full, which changes the files' layout only.
+    Null text is empty, a null id sorts
     first, rows of equal id are in order of their text; an empty table writes no
     frame.  Other columns are not read.  Texts are range-partitioned by id
     (balanced, whatever the sources' sizes) and sorted in their partitions.
@@ -355,27 +395,34 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, params:
 
         def close() -> pa.RecordBatch:
             nonlocal keys, held, sizes, frame
-            ids = np.concatenate(held)
-            codes, sums = encode_blocks(ids, p, id_bits)
-            row = pa.RecordBatch.from_pylist([{"part": part, "frame": frame, "id_bits": id_bits, "count": len(ids), "ids": keys, "sizes": np.concatenate(sizes).tolist(), "sums": sums.tolist(), "codes": codes}], schema=arrow)
+            words, places = _ranked(np.concatenate(held))
+            end = np.flatnonzero(words == 0)
+            numbers = np.delete(words, end) - 1
+            counts = table.counts(numbers)
+            at = counts[: end[0]].sum()
+            spelled = np.insert(table.flat[textbytes.ragged(table.offset[numbers], counts)], at, p.end_id)
+            packed = pack(spelled, np.insert(counts, end, 1), places, p, id_bits)
+            row = pa.RecordBatch.from_pylist([{"part": part, "frame": frame, "ids": keys, "sizes": np.concatenate(sizes).tolist(), **packed}], schema=arrow)
             keys, held, sizes, frame = [], [], [], frame + 1
             return row
 
         for batch in batches:
             for a, b, buf, offsets in textbytes.chunks(batch.column(1), 2 * textbytes.CHUNK_BYTES):
+                if held and table.full:
+                    yield close()
                 numbers, first = table.encode(buf, offsets)
-                ids, begin = table.ids(numbers, first)
-                ended = np.insert(ids, begin[1:], p.end_id)
+                ends = np.concatenate([[0], np.cumsum(table.counts(numbers))])
                 keys += batch.column(0).slice(a, b - a).to_pylist()
-                held.append(ended)
-                sizes.append(np.diff(begin) + 1)
-                if sum(map(len, held)) >= p.frame:
+                # 0 ends a document
+                held.append(np.insert((numbers + 1).astype(np.int32), first[1:], 0))
+                sizes.append(np.diff(ends[first]) + 1)
+                if sum(int(s.sum()) for s in sizes) >= p.frame:
                     yield close()
         if held:
             yield close()
 
     lists = pa.list_(pa.int64())
-    arrow = pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("id_bits", pa.int32()), ("count", pa.int64()), ("ids", lists), ("sizes", lists), ("sums", lists), ("codes", pa.list_(pa.binary()))])
+    arrow = pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("bits", pa.int32()), ("count", pa.int64()), ("spelled", pa.int64()), ("places", pa.int64()), ("words", pa.binary()), ("ids", lists), ("sizes", lists), ("sums", lists), ("codes", pa.list_(pa.binary()))])
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
     ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
     textbytes.map_texts(ordered, run, _FRAME).write.option("compression", "uncompressed").parquet(path)
@@ -395,7 +442,7 @@ def read_ids(spark, path: str, params: Params = Params(), keep_ids: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = decode_blocks(row["codes"], row["count"], np.array(row["sums"]), p, row["id_bits"])
+                ids = unpack(row, p)
                 ends = np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
                 little = ids.astype("<u4")
                 sums = [zlib.crc32(little[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

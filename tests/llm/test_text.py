@@ -156,6 +156,43 @@ def test_token_files(spark, library, tmp_path):
     assert tokenfile.round_trip(docs(spark, [])).count() == 0
 
 
+def test_token_files_code_distinct_words_and_their_places(spark, library, tmp_path):
+    draw = np.random.default_rng(3)
+    long = [f" {a}{b}{c}" for a in ("zuverkeit", "ingtion", "ñosque") for b in ("heit", "ly", "mente", "bex") for c in ("ung", "ed", "íco", "qz")]
+    texts = ["".join(draw.choice(long, 200)) for _ in range(20)]
+    tokenfile.write_ids(docs(spark, texts).repartition(2), str(tmp_path / "t"), partitions=1)
+    (frame,) = spark.read.parquet(str(tmp_path / "t")).collect()
+    # every word is one number, and its ids are spelled once
+    assert frame["places"] == 20 * 201 and frame["spelled"] < 500 and frame["places"] + frame["spelled"] < 0.5 * frame["count"]
+    got = tokenfile.read_ids(spark, str(tmp_path / "t")).orderBy("doc_id").collect()
+    assert [r["ids"] for r in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_words_that_hardly_occur_again_are_coded_by_id():
+    draw, p = np.random.default_rng(4), tokenfile.Params(block=100)
+    sizes = draw.integers(1, 6, 3000)
+    spelled = draw.integers(0, 200, sizes.sum())
+    for places in (draw.permutation(3000), draw.permutation(np.repeat(np.arange(3000), 3))):
+        row = tokenfile.pack(spelled, sizes, places, p, 16)
+        begin = np.cumsum(sizes) - sizes
+        assert (tokenfile.unpack(row, p) == np.concatenate([spelled[begin[k] : begin[k] + sizes[k]] for k in places])).all()
+        # once each: as many numbers as ids and distinct ids; thrice: the words and their places
+        assert row["spelled"] + row["places"] == (row["count"] + 200 if len(places) == 3000 else len(spelled) + 9000)
+
+
+def test_memory_of_words_tells_when_its_numbers_begin_anew(library, monkeypatch):
+    monkeypatch.setitem(bpe.WORDS_KEPT, "library", 100)
+    table, emptied = bpe.WordTable(bpe.default_tokenizer(), "library"), 0
+    for i in range(20):
+        text = " ".join(f"w{i * 31 + k * k}ñ" for k in range(60))
+        emptied += table.full
+        buf = np.frombuffer(text.encode(), np.uint8)
+        numbers, first = table.encode(buf, np.array([0, len(buf)]))
+        ids, _ = table.ids(numbers, first)
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and len(ids) == table.counts(numbers).sum()
+    assert emptied > 1
+
+
 def test_token_files_with_null_and_repeated_ids(spark, library):
     rows = [(3, "three"), (None, "none"), (3, "another three"), (3, "three"), (1, None)]
     got = tokenfile.round_trip(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).orderBy("start").collect()
