@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.storage import discard, materialize
@@ -16,6 +17,13 @@ from tessera.storage import discard, materialize
 LISTED = 1000
 #: Of betweenness: edges of a node beyond which its lists are added up in parts first, and numbers that a task adds up at once.
 HUB, CELLS = 20_000, 1_000_000
+#: Of Louvain: edge ends of a block of nodes at most, of a pair of blocks in a small graph, bits of a node's place in its block, and rounds after which the same halves move again.
+BLOCK, PAIR, PLACES, TURNS = 1_000_000, 20_000, 33, 62
+MASK = (1 << PLACES) - 1
+#: Edges of Louvain from ``block`` to the block ``to``.
+PACKED = "block int, part int, to int, a binary, b binary, w binary, turns binary"
+#: What nodes of a block are told of the communities of their neighbours.
+SENT = "block int, part int, a binary, c binary, total binary, w binary"
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
@@ -202,34 +210,185 @@ def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 10, passes: int =
     """``id, community`` by synchronous modularity moves on the weighted undirected graph, then contraction, a few passes.
 
     Half of the nodes (by a hash that changes each round) may move in a round,
-    which keeps neighbours from swapping for ever.  Tables of nodes are joined
-    where they lie: sent to all, each of some hundred joins would take them
-    through the driver until they are too large for it.
+    which keeps neighbours from swapping for ever.  Nodes are numbered in order
+    of their ids, in blocks; the edges between two blocks are one row.  In a
+    round a block tells the communities of its nodes along its edges to those
+    that may move, and a block picks the best of what it was told: an edge is
+    moved once, in a packed row.  A block of many edges is worked on in parts.
+    Communities keep the number of a node, so a contraction only renames ends.
+    Tables of nodes are joined where they lie, none goes through the driver.
     """
     pairs = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    pairs = materialize(pairs, "weighted")
-    place = nodes.select("id", F.col("id").alias("community"))
+    pairs = materialize(pairs.where("a IS NOT NULL"), "weighted")
+    ends = 2 * pairs.count()
+    blocks = max(1, -(-ends // BLOCK), math.isqrt(ends // PAIR))
+    strength = pairs.select(F.explode(F.array("a", "b")).alias("v"), "w").groupBy("v").agg(F.sum("w").alias("k"))
+    names = materialize(strength.repartitionByRange(blocks, "v").sortWithinPartitions("v").select(F.monotonically_increasing_id().alias("n"), "v", "k"), "names")
+    m2 = names.agg(F.sum("k")).first()[0] or 1.0
+    x, y = (names.select(F.col("v").alias(end), F.col("n").alias(n)).hint("merge") for end, n in (("a", "x"), ("b", "y")))
+    both = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    links = materialize(pairs.where("a <> b").join(x, "a").join(y, "b").select(both.alias("e"), "w").select("e.x", "e.y", "w"), "links")
+    place = nodes.select("id").join(names.select(F.col("v").alias("id"), F.col("n").alias("c")).hint("merge"), "id", "left")
+    label = names.select("n", "k", F.col("n").alias("c"))
+    kind = np.min_scalar_type((1 << min(rounds, TURNS)) - 1).name
     for level in range(passes):
-        m2 = pairs.agg(F.sum(F.col("w") * 2)).first()[0] or 1.0
-        steps = materialize(pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "steps")
-        strength = materialize(steps.groupBy(F.col("a").alias("v")).agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")), "strength")
-        label = materialize(strength.select("v", "k", F.col("v").alias("c")), "label")
+        parts = {r["block"]: -(-r["count"] // (2 * BLOCK)) for r in links.groupBy(_block("x").alias("block")).count().where(F.col("count") > 2 * BLOCK).collect()}
+        # bit at: whether a node may move in that round
+        turns = reduce(Column.bitwiseOR, [F.shiftleft((F.pmod(F.xxhash64("v", F.lit(level * 100 + at)), F.lit(2)) == 0).cast("long"), at) for at in range(min(rounds, TURNS))], F.lit(0).cast("long"))
+        given = links.select(_block("x").alias("block"), _part("x", "y", parts).alias("part"), "x", "y", "w")
+        steps = materialize(_beside(given, _in_parts(names.select("n", turns.alias("turns")), parts), blocks, partial(_packed, parts=parts, kind=kind), PACKED), "steps")
+        discard(links)
         for at in range(rounds):
-            size = label.groupBy("c").agg(F.sum("k").alias("total"))
-            links = steps.where("a <> b").join(label.select(F.col("v").alias("b"), "c").hint("merge"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("into"))
-            own = label.select("v", "k", F.col("c").alias("old"))
-            gain = links.join(own.hint("merge"), "v").join(size.hint("merge"), "c").withColumn("gain", F.col("into") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / m2)
-            best = gain.groupBy("v").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("stay"))
-            may = F.pmod(F.xxhash64("v", F.lit(level * 100 + at)), F.lit(2)) == 0
-            better = -F.col("best.g") > F.coalesce("stay", F.lit(0.0)) + 1e-9
-            new = label.join(best.hint("merge"), "v", "left").select("v", "k", F.when(may & F.coalesce(better, F.lit(False)), F.col("best.c")).otherwise(F.col("c")).alias("c"))
-            label = materialize(new, f"label{at}")
-        place = materialize(place.join(label.select(F.col("v").alias("community"), "c").hint("merge"), "community", "left").select("id", F.coalesce("c", "community").alias("community")), "place")
-        names = label.select(F.col("v"), "c").hint("merge")
-        pairs = materialize(
-            pairs.join(names.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(names.select(F.col("v").alias("b"), F.col("c").alias("y")), "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")), "contracted"
-        )
-    return place
+            own = _in_parts(_with_total(label), parts)
+            told = _beside(steps, own, blocks, partial(_sent, parts=parts, kind=kind, at=at % TURNS), SENT)
+            best = _beside(told, own, blocks, partial(_best, m2=m2), "n long, k double, old long, g double, c long, stay double")
+            if parts:
+                best = best.groupBy("n").agg(F.first("k").alias("k"), F.first("old").alias("old"), F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("best"), F.max("stay").alias("stay")).select("n", "k", "old", (-F.col("best.g")).alias("g"), "best.c", "stay")
+            better = F.col("g") > F.coalesce("stay", F.lit(0.0)) + 1e-9
+            new = materialize(best.select("n", "k", F.when(better, F.col("c")).otherwise(F.col("old")).alias("c")), f"label{at}")
+            discard(label)
+            label = new
+        place = materialize(place.join(label.select(F.col("n").alias("c"), F.col("c").alias("to")).hint("merge"), "c", "left").select("id", F.col("to").alias("c")), "place")
+        if level + 1 < passes:
+            own = _in_parts(_with_total(label), parts)
+            told = _beside(steps, own, blocks, partial(_sent, parts=parts, kind=kind, at=None), SENT)
+            links = materialize(_beside(told, own, blocks, _renamed, "x long, y long, w double"), "links")
+            merged = materialize(label.groupBy("c").agg(F.sum("k").alias("k")).select(F.col("c").alias("n"), "k", "c"), "label")
+            discard(label)
+            label = merged
+        discard(steps)
+    named = place.join(names.select(F.col("n").alias("c"), "v").hint("merge"), "c", "left")
+    return materialize(named.select("id", F.coalesce("v", "id").alias("community")), "place")
+
+
+def _block(n: str) -> Column:
+    return F.shiftright(n, PLACES).cast("int")
+
+
+def _part(n: str, other: str, parts: dict[int, int]) -> Column:
+    """The part of ``n``'s block that has the edges to ``other``'s block."""
+    return F.pmod(_block(other), _parts_of(n, parts))
+
+
+def _parts_of(n: str, parts: dict[int, int]) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for item in parts.items() for x in item])[_block(n)], F.lit(1)) if parts else F.lit(1)
+
+
+def _in_parts(rows: DataFrame, parts: dict[int, int]) -> DataFrame:
+    """Rows of nodes ``n``, once for each part of their block."""
+    part = F.explode(F.sequence(F.lit(0), _parts_of("n", parts) - 1)) if parts else F.lit(0)
+    return rows.select(_block("n").alias("block"), part.alias("part"), "*")
+
+
+def _with_total(label: DataFrame) -> DataFrame:
+    """``n, k, c`` and the strength of the whole community."""
+    return label.join(label.groupBy("c").agg(F.sum("k").alias("total")).hint("merge"), "c").select("n", "k", "c", "total")
+
+
+def _beside(given: DataFrame, own: DataFrame, blocks: int, fn: Callable, schema: str) -> DataFrame:
+    """``fn`` of what is given to a part of a block and of the block's nodes."""
+    given, own = (rows.repartition(blocks, "block", "part").groupBy("block", "part") for rows in (given, own))
+    return given.cogroup(own).applyInArrow(fn, schema)
+
+
+def _numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [table[c].to_numpy() for c in columns]
+
+
+def _unpacked(table: pa.Table, **columns: type | str) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]] or [np.zeros(0, kind)]) for c, kind in columns.items()]
+
+
+def _by_place(n: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Columns of a block's nodes, to be looked up by place in the block."""
+    at = n & MASK
+    out = [np.zeros(at.max(initial=-1) + 1, x.dtype) for x in columns]
+    for to, x in zip(out, columns, strict=True):
+        to[at] = x
+    return out
+
+
+def _grouped(a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by ``a``, then by number ``c``, and where a new pair begins."""
+    code = (c >> PLACES) * ((c & MASK).max(initial=0) + 1) + (c & MASK)
+    key = a.astype(np.int64) * (code.max(initial=0) + 1) + code
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+
+
+def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.values(), strict=True)], names=list(schema))
+
+
+def _packed(links: pa.Table, own: pa.Table, parts: dict[int, int], kind: str) -> pa.Table:
+    """Edges into a block, one row for each block that they come from."""
+    x, y, w = _numbers(links, "x", "y", "w")
+    (turns,) = _by_place(*_numbers(own, "n", "turns"))
+    turns = turns.astype(kind)
+    order, fresh = _grouped(x & MASK, y)
+    if len(order):
+        x, y, w = x[order][fresh], y[order][fresh], np.add.reduceat(w[order], fresh)
+    by, rows = y >> PLACES, []
+    order = np.argsort(by, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(by[order])) + 1) if len(order) else []:
+        block, to, a = int(by[at[0]]), int(x[0] >> PLACES), x[at] & MASK
+        rows.append((block, to % parts.get(block, 1), to, a.astype(np.int32).tobytes(), (y[at] & MASK).astype(np.int32).tobytes(), w[at].tobytes(), turns[a].tobytes()))
+    return _table({"block": pa.int32(), "part": pa.int32(), "to": pa.int32(), "a": pa.binary(), "b": pa.binary(), "w": pa.binary(), "turns": pa.binary()}, rows)
+
+
+def _sent(steps: pa.Table, own: pa.Table, parts: dict[int, int], kind: str, at: int | None) -> pa.Table:
+    """The community of an edge's other end and its strength, packed for the blocks of those that may move in round ``at`` (None: of all)."""
+    c, total = _by_place(*_numbers(own, "n", "c", "total"))
+    rows = []
+    for k in range(len(steps)):
+        row = steps.slice(k, 1)
+        to = row["to"][0].as_py()
+        a, b, w, turns = _unpacked(row, a=np.int32, b=np.int32, w=np.float64, turns=kind)
+        if at is not None:
+            may = np.flatnonzero(turns & turns.dtype.type(1 << at))
+            a, b, w = a[may], b[may], w[may]
+        part = (c[b] >> PLACES) % parts.get(to, 1)
+        for p in range(parts.get(to, 1)):
+            some = part == p if to in parts else slice(None)
+            if len(a[some]):
+                rows.append((to, p, a[some].tobytes(), c[b[some]].tobytes(), total[b[some]].tobytes(), w[some].tobytes()))
+    return _table({"block": pa.int32(), "part": pa.int32(), "a": pa.binary(), "c": pa.binary(), "total": pa.binary(), "w": pa.binary()}, rows)
+
+
+def _best(told: pa.Table, own: pa.Table, m2: float) -> pa.Table:
+    """Of each node of a block the community of largest gain (ties to the first) and the gain of staying."""
+    n, k, old = _numbers(own, "n", "k", "c")
+    strength, now = _by_place(n, k, old)
+    a, c, total, w = _unpacked(told, a=np.int32, c=np.int64, total=np.float64, w=np.float64)
+    g, to, stay = np.full(len(now), -np.inf), now.copy(), np.full(len(now), np.nan)
+    if len(a):
+        order, fresh = _grouped(a, c)
+        into, first = np.add.reduceat(w[order], fresh), order[fresh]
+        a, c, total = a[first], c[first], total[first]
+        gain = into - strength[a] * (total - np.where(c == now[a], strength[a], 0.0)) / m2
+        stay[a[c == now[a]]] = gain[c == now[a]]
+        gain = np.round(gain, 9)
+        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        most = np.maximum.reduceat(gain, starts)
+        top = gain == np.repeat(most, np.diff(np.append(starts, len(a))))
+        pick = np.minimum.reduceat(np.where(top, np.arange(len(a)), len(a)), starts)
+        g[a[pick]], to[a[pick]] = most, c[pick]
+    at = n & MASK
+    return pa.table({"n": n, "k": k, "old": old, "g": g[at], "c": to[at], "stay": pa.array(stay[at], from_pandas=True)})
+
+
+def _renamed(told: pa.Table, own: pa.Table) -> pa.Table:
+    """Edges between the communities of their ends, added up."""
+    (now,) = _by_place(*_numbers(own, "n", "c"))
+    a, y, w = _unpacked(told, a=np.int32, c=np.int64, w=np.float64)
+    x = now[a]
+    a, x, y, w = (z[x != y] for z in (a, x, y, w))
+    if len(x):
+        code = np.unique(x, return_inverse=True)
+        order, fresh = _grouped(code[1], y)
+        x, y, w = x[order][fresh], y[order][fresh], np.add.reduceat(w[order], fresh)
+    return pa.table({"x": x, "y": y, "w": w})
 
 
 def modularity(place: DataFrame, edges: DataFrame) -> float:

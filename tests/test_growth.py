@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import contextlib
 import io
 import itertools
@@ -198,6 +199,51 @@ def test_louvain_sends_no_table_through_the_driver(spark, monkeypatch):
     assert place.count() == g.nodes.count() and any("sortmergejoin" in p for p in plans) and not any("broadcast" in p for p in plans)
 
 
+def test_louvain_moves_an_edge_once_a_round(spark, monkeypatch):
+    draw = random.Random(9)
+    links = [(g + draw.randrange(8), g + draw.randrange(8)) for g in range(0, 48, 8) for _ in range(30)] + [(draw.randrange(48), draw.randrange(48)) for _ in range(30)]
+    links += [(3, k) for k in range(50, 120)] + [(7, 300), (300, 301), (5, 5), (None, 6)]  # a hub, ends that are no nodes, loops
+    monkeypatch.setattr(algorithms, "BLOCK", 30)
+    plans, old = {}, algorithms.materialize
+    monkeypatch.setattr(algorithms, "materialize", lambda df, name: plans.setdefault(name, plan_of(df).split("== physical plan ==")[1]) and old(df, name))
+    nodes = spark.createDataFrame([(i,) for i in range(130)], "id bigint")
+    got = {r["id"]: r["community"] for r in algorithms.louvain(nodes, spark.createDataFrame(links, "src bigint, dst bigint"), 3, 2).collect()}
+
+    pairs = collections.Counter((min(ends), max(ends)) for ends in ([x for x in link if x is not None] for link in links))
+    ids = sorted({x for pair in pairs for x in pair})
+    turns = {(r["v"], r["t"]): r["may"] for r in spark.createDataFrame([(v, t) for v in ids for t in (0, 1, 2, 100, 101, 102)], "v bigint, t int").selectExpr("v", "t", "pmod(xxhash64(v, t), 2) = 0 AS may").collect()}
+    place, m2 = {i: i for i in range(130)}, 2 * sum(pairs.values())
+    for level in range(2):
+        near, k = collections.defaultdict(collections.Counter), collections.Counter()
+        for (a, b), w in pairs.items():
+            k[a] += w
+            k[b] += w
+            if a != b:
+                near[a][b] += w
+                near[b][a] += w
+        label = {v: v for v in k}
+        for at in range(3):
+            size, new = collections.Counter(), {}
+            for v, c in label.items():
+                size[c] += k[v]
+            for v, own in label.items():
+                into = collections.Counter()
+                for b, w in near[v].items():
+                    into[label[b]] += w
+                gain = {c: n - k[v] * (size[c] - (k[v] if c == own else 0)) / m2 for c, n in into.items()}
+                loss, best = min(((-round(x, 9), c) for c, x in gain.items()), default=(0, own))
+                new[v] = best if turns[v, level * 100 + at] and -loss > gain.get(own, 0) + 1e-9 else own
+            label = new
+        place = {i: label.get(c, c) for i, c in place.items()}
+        merged = collections.Counter()
+        for (a, b), w in pairs.items():
+            merged[tuple(sorted((label[a], label[b])))] += w
+        pairs = merged
+    assert got == place and len(set(place.values())) < 60
+    # only the strengths of communities are joined to nodes; edges meet nodes by block, and those of a large block in parts
+    assert plans["label0"].count("sortmergejoin") <= 2 and "explode(" in plans["label0"]
+
+
 def test_pagerank_joins_once_a_round(spark, monkeypatch):
     draw = random.Random(4)
     ids = range(12)
